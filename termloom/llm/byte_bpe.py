@@ -22,7 +22,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick
+from .common import Memory, pick
 
 #: The contraction endings of the pattern, after an apostrophe.
 SHORT_ENDINGS = "stmd"
@@ -161,7 +161,7 @@ class ByteBpe:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.known: dict[str, tuple] = {}
+        self.known = Memory(self._merged)
         # the library's own splitting pattern is never used here: it gets one slice at a time
         self.pair_merge = tiktoken.Encoding("slices", pat_str=r"\S+", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
 
@@ -196,23 +196,14 @@ class ByteBpe:
                 lo, start = hi + 1, int(ends[k]) + 1
             at = to
 
+    def _merged(self, piece: str) -> tuple:
+        ids = tuple(self.pair_merge(piece.encode("utf-8", "surrogatepass")))
+        return ids, " ".join(map(str, ids)), len(ids)
+
     def _slices(self, text: str, own: list[int]) -> list[tuple]:
-        known = self.known
-        slices = [text[a:b] for a, b in zip(own, own[1:], strict=False)]
-        out = list(map(known.get, slices))
-        if not all(out):
-            if len(known) >= CACHE_SLICES:
-                known.clear()
-            for i in [k for k, v in enumerate(out) if v is None]:
-                s = slices[i]
-                v = known.get(s)
-                if v is None:
-                    ids = tuple(self.pair_merge(s.encode("utf-8", "surrogatepass")))
-                    v = (ids, " ".join(map(str, ids)), len(ids))
-                    if len(s) <= 64:
-                        known[s] = v
-                out[i] = v
-        return out
+        if len(self.known) > CACHE_SLICES:
+            self.known.clear()
+        return list(map(self.known.__getitem__, map(text.__getitem__, map(slice, own, own[1:]))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

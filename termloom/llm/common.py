@@ -209,6 +209,20 @@ def block_pairs(own: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(low), np.flatnonzero(~low)
 
 
+class Memory(dict):
+    """Results of make by short key, kept as they come; reading a key that is not there makes it."""
+
+    def __init__(self, make: Callable, longest: int = 64):
+        super().__init__()
+        self.make, self.longest = make, longest
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+
 def words_regex() -> str:
     return r"[^\x20\x09-\x0D]+"
 

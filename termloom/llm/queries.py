@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_caps, language, mixing, pii, simhash
+from . import byte_bpe, embedding_caps, html_text, language, mixing, pii, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_spherical_caps": embedding_caps.op3_spherical_caps,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op5_mixing": mixing.op5_mixing,
+        "op6_token_files": token_files.op6_token_files,
+        "op7_html_text": html_text.op7_html_text,
         "op8_simhash": simhash.op8_simhash,
         "op9_language": language.op9_language,
         "op10_pii": pii.op10_pii,
