@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_caps, html_text, language, mixing, pii, simhash, token_files
+from . import byte_bpe, embedding_caps, html_text, language, mixing, pii, simhash, token_files, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_fixity": warc_fixity.op1_warc_fixity,
         "op3_spherical_caps": embedding_caps.op3_spherical_caps,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op5_mixing": mixing.op5_mixing,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_spherical_caps": embedding_caps.ORACLE}
+    return {"op1_warc_fixity": warc_fixity.ORACLE, "op3_spherical_caps": embedding_caps.ORACLE}
