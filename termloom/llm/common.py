@@ -82,14 +82,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def blocked(light: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(bucket, id) rows of buckets with two rows or more, dealt into pairs of blocks: adds bi, bj and own.
+def shared_buckets(light: DataFrame) -> DataFrame:
+    """The (bucket, id) rows whose bucket has two rows or more, with that number as n."""
+    n = light.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return light.select("bucket", "id").join(n, "bucket")
+
+
+def blocked(shared: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(bucket, id, n) rows dealt into pairs of blocks: adds bi, bj and own.
 
     A bucket of up to block_rows rows stays whole. A larger one is cut by a hash of id into blocks, and every row
     goes to each pair of blocks its own takes part in, so that no task holds more than two blocks and no pair is lost.
     """
-    n = light.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = light.join(n, "bucket").withColumn("nb", F.ceil(F.col("n") / block_rows).cast("int"))
+    rows = shared.withColumn("nb", F.ceil(F.col("n") / block_rows).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return rows.select("bucket", "id", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
@@ -157,7 +162,7 @@ LINK_SCHEMA = "id long, root long, n long"
 
 
 def bucket_links(rows: DataFrame, payload: DataFrame, linked: Callable, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links inside buckets: rows (bucket, id); payload (id, weight, keys, ...), one row an id, keys all its buckets.
+    """Links inside buckets: rows (bucket, id) without repeats; payload (id, weight, ...), one row an id.
 
     linked(table, own, cross) gets the rows of one pair of blocks and returns index arrays (a, b) of pairs that
     link. A pair counts in the first bucket it shares. Returns (id, root, n): n adds the weights of the rows that
@@ -165,7 +170,9 @@ def bucket_links(rows: DataFrame, payload: DataFrame, linked: Callable, block_ro
     the rows, not with the pairs.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = blocked(rows, block_rows).join(payload, "id")
+    shared = stage_table(shared_buckets(rows), "buckets")
+    keys = shared.groupBy("id").agg(F.collect_list("bucket").alias("keys"))
+    near = blocked(shared, block_rows).join(payload.join(keys, "id"), "id")
     near = near.repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,7 +128,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
 
     rows = payload.select(F.explode("keys").alias("bucket"), "id")
-    links = stage_table(bucket_links(rows, payload, linked), "caps")
+    links = stage_table(bucket_links(rows, payload.drop("keys"), linked), "caps")
     comp = connected_components(links.select(F.col("id").alias("src"), F.col("root").alias("dst")))
     n = links.groupBy("id").agg(F.sum("n").alias("n"))
     known = classes.select("k1", "k2", "id", "weight").join(n, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")

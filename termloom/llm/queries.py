@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_caps, html_text, language, mixing, pii, simhash, token_files, warc_fixity
+from . import byte_bpe, embedding_caps, html_text, image_copies, language, mixing, pii, simhash, token_files, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_fixity": warc_fixity.op1_warc_fixity,
+        "op2_image_copies": image_copies.op2_image_copies,
         "op3_spherical_caps": embedding_caps.op3_spherical_caps,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op5_mixing": mixing.op5_mixing,

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_ROWS, blocked, connected_components, merge_labels, pick, sorted_groups, stage_table
+from .common import BLOCK_ROWS, blocked, connected_components, merge_labels, pick, shared_buckets, sorted_groups, stage_table
 
 RADIUS = 3
 SHINGLE = 3
@@ -150,7 +150,7 @@ def near_fingerprints(spark: SparkSession, fps: DataFrame, block_rows: int = BLO
     """(fp, component) of the distinct fingerprints that link with another one; component is the smallest fp reachable."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     light = fps.select(F.col("fp").alias("id"), F.explode(F.array(*_keys(F.col("fp")))).alias("bucket"))
-    near = blocked(light, block_rows).repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    near = blocked(shared_buckets(light), block_rows).repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in sorted_groups(batches, ["bucket", "bi", "bj"]):
