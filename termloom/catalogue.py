@@ -1,15 +1,750 @@
-"""Queries over the driver's tables and their DuckDB SQL, by name."""
+"""Queries over the driver's tables, by name, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions.text import fold, plain_run, squash, strip
+from .operators import chunking, docmodel, glossary, guards, layout, quality, terms
+from .sources.files import line_blocks, page_blocks, page_parts
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, text): non-blank lines of documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return d.where(strip(F.col("text")) != "")
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}]+)"), 1)
+
+
+#: DuckDB: white space of any kind, and the non-blank lines and words of documents.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+LINES = f"""lines AS (
+  SELECT doc_id, pos, line AS text FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_replace(line, '{SPACE}+', '', 'g') <> '')"""
+WORDS = r"regexp_extract_all({}, '\p{{L}}+')"
+
+#: The glossary of the matching queries: nested and overlapping terms in the corpus's own words.
+TERMS = (
+    (["the"], "der", [], "require"),
+    (["thethe", "in the"], "in der", ["im"], "require"),
+    (["of the"], "des", [], "verbatim"),
+    (["er", "erer"], "er", [], "prefer"),
+    (["tion"], "tion", [], "verbatim"),
+    (["action", "ationtion"], "Tat", ["Akt"], "require"),
+    (["queque"], "que", [], "require"),
+    (["DE LA", "de la"], "von der", [], "require"),
+)
+
+
+def demo_glossary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, s, t, a, k) for i, (s, t, a, k) in enumerate(TERMS)], "entry_idx int, source_terms array<string>, target string, target_alts array<string>, kind string")
+
+
+def _sql_list(xs: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+
+
+GLOSSARY = "gl(entry_idx, source_terms, target, target_alts, kind) AS (VALUES " + ", ".join(f"({i}, {_sql_list(s)}, '{t}', {_sql_list(a)}, '{k}')" for i, (s, t, a, k) in enumerate(TERMS)) + ")"
+#: DuckDB: occurrences (overlapping ones too) of folded terms in src(id, folded), and the live pairs.
+LIVE = GLOSSARY + """, tt AS (SELECT DISTINCT entry_idx, strip_accents(lower(unnest(source_terms))) AS term FROM gl),
+parts AS (SELECT s.id, tt.entry_idx, tt.term, s.folded FROM src s JOIN tt ON contains(s.folded, tt.term)),
+occ AS (
+  SELECT id, entry_idx, p AS s, p + length(term) AS e FROM (
+    SELECT id, entry_idx, term, folded, unnest(range(1, length(folded) - length(term) + 2)) AS p FROM parts) WHERE substr(folded, p, length(term)) = term
+), live AS (
+  SELECT DISTINCT id, entry_idx FROM occ a WHERE NOT EXISTS (
+    SELECT 1 FROM occ b WHERE b.id = a.id AND b.entry_idx <> a.entry_idx AND b.s < a.e AND a.s < b.e AND b.e - b.s > a.e - a.s))"""
+
+
+# ------------------------------------------------------------------------------------------------- document model
+
+
+@query("plain_text_normalize", f"SELECT doc_id, trim(regexp_replace(text, '{SPACE}+', ' ', 'g'), ' ') AS plain FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", squash(F.col("text")).alias("plain"))
+
+
+@query("run_consolidate", """
+WITH a AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM a)
+SELECT conv_id, run::BIGINT AS run, role, string_agg(text, '' ORDER BY turn) AS text, count(*) AS n FROM b GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return docmodel.consolidate_rows(table(spark, d, "conversations"), "conv_id", "turn", ["role"], "text").withColumn("run", F.col("run").cast("long"))
+
+
+@query("run_markdown", """
+SELECT conv_id, turn, trim(regexp_replace(CASE role WHEN 'user' THEN '**' || text || '****' || role || '**' ELSE text || '*' || role || '*' END, '\\s+', ' ', 'g'), ' ') AS markdown FROM conversations""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    run = lambda t, b, i: F.struct(t.alias("text"), b.alias("bold"), i.alias("italic"), F.lit(0.0).alias("size"))
+    user = F.col("role") == "user"
+    runs = F.array(run(F.col("text"), user, F.lit(False)), run(F.lit(""), user, F.lit(True)), run(F.col("role"), user, ~user))
+    from .functions.text import runs_markdown
+
+    return table(spark, d, "conversations").select("conv_id", "turn", runs_markdown(runs).alias("markdown"))
+
+
+@query("blocks_by_kind", """
+WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(h[1-6]|p|li)(?:\\s[^>]*)?>', 1)) AS tag, unnest(regexp_split_to_array(html, '(?i)<(?:h[1-6]|p|li)(?:\\s[^>]*)?>')[2:]) AS rest FROM pages),
+q AS (SELECT page_id, lower(tag) AS tag, trim(regexp_replace(regexp_replace(rest, '(?is)</?(?:h[1-6]|p|li|article|ul|ol|nav|footer|body|html|div)\\b.*$', ''), '(?s)<[^>]*>', '', 'g')) AS part FROM p)
+SELECT page_id AS doc_id, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list_item' ELSE 'body' END AS kind, count(*) AS n FROM q WHERE part <> '' GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return page_blocks(table(spark, d, "pages")).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("doc_stats", """
+WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(h[1-6]|p|li)(?:\\s[^>]*)?>', 1)) AS tag, unnest(regexp_split_to_array(html, '(?i)<(?:h[1-6]|p|li)(?:\\s[^>]*)?>')[2:]) AS rest FROM pages),
+q AS (SELECT page_id, lower(tag) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(rest, '(?is)</?(?:h[1-6]|p|li|article|ul|ol|nav|footer|body|html|div)\\b.*$', ''), '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS part FROM p)
+SELECT page_id AS doc_id, count(*) FILTER (tag LIKE 'h%') AS n_heading, count(*) FILTER (tag = 'p') AS n_body, count(*) FILTER (tag = 'li') AS n_list_item, sum(length(part))::BIGINT AS chars_in FROM q WHERE part <> '' GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return docmodel.doc_stats(page_blocks(table(spark, d, "pages"))).select(F.col("doc_id").cast("long").alias("doc_id"), "n_heading", "n_body", "n_list_item", "chars_in")
+
+
+@query("flat_texts", f"WITH {LINES} SELECT doc_id, count(*) AS n, sum(length(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'), ' ')))::BIGINT AS chars FROM lines GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = docmodel.flat_texts(line_blocks(table(spark, d, "documents")))
+    return t.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("part")).alias("chars"))
+
+
+@query("block_routes", f"WITH {LINES} SELECT doc_id, CASE WHEN contains(text, 'e') THEN 'marked' ELSE 'body' END AS route, count(*) AS n FROM lines GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    marked = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", "e", "e‹FN1›"))
+    r = docmodel.routed(line_blocks(marked))
+    return r.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("heading_number_split", """
+SELECT p_partkey, p_size::VARCHAR || '.' || (p_partkey % 7)::VARCHAR || ') ' AS prefix, p_name AS rest FROM part""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    title = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit(") "), "p_name")
+    prefix, rest = docmodel.split_number(title)
+    return table(spark, d, "part").select("p_partkey", prefix.alias("prefix"), rest.alias("rest"))
+
+
+@query("list_marker_repair", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR || ') ' || upper(p_name) ELSE '7. ' || upper(p_name) END AS title FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    source = F.concat(F.col("p_size").cast("string"), F.lit(") "), "p_name")
+    out = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("  "), F.upper("p_name"))).otherwise(F.concat(F.lit("7. "), F.upper("p_name")))
+    return table(spark, d, "part").select("p_partkey", docmodel.repaired_marker(source, out).alias("title"))
+
+
+# ------------------------------------------------------------------------------------------------------- chunking
+
+
+def _packing(max_chars: int, max_rows: int | None) -> str:
+    full = f"r.len + l.len + 1 > {max_chars}" + (f" OR r.n >= {max_rows}" if max_rows else "")
+    return f"""
+WITH RECURSIVE {LINES}, l AS (SELECT doc_id, length(text) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM lines),
+r AS (
+  SELECT doc_id, i, 0 AS grp, len + 1 AS len, 1 AS n FROM l WHERE i = 1
+  UNION ALL
+  SELECT l.doc_id, l.i, CASE WHEN {full} THEN r.grp + 1 ELSE r.grp END, CASE WHEN {full} THEN 0 ELSE r.len END + l.len + 1, CASE WHEN {full} THEN 0 ELSE r.n END + 1
+  FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1
+)
+SELECT doc_id, grp, count(*) AS n_rows, max(len)::BIGINT AS chars FROM r GROUP BY ALL"""
+
+
+def _packed(spark: SparkSession, d: str, max_chars: int, max_rows: int | None) -> DataFrame:
+    p = chunking.packed(lines(spark, d), "doc_id", "pos", "text", max_chars, max_rows)
+    return p.groupBy("doc_id", "grp").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text") + 1).alias("chars"))
+
+
+@query("greedy_segments", _packing(chunking.SEGMENT_CHARS, None))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, chunking.SEGMENT_CHARS, None)
+
+
+@query("greedy_chunks", _packing(chunking.CHUNK_CHARS, chunking.CHUNK_BLOCKS))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, chunking.CHUNK_CHARS, chunking.CHUNK_BLOCKS)
+
+
+@query("term_batches", "SELECT item_id, ((row_number() OVER (ORDER BY item_id) - 1) // 40)::INT AS batch FROM benchmark")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.term_batches(table(spark, d, "benchmark").select("item_id"), "item_id")
+
+
+SENTENCES = r"""list_filter(string_split(regexp_replace({}, '([.!?]["”’'')]?)[\s\x0b\x{{85}}\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10)) <> '')"""
+
+
+@query("sentence_split", f"SELECT doc_id, unnest(range(len(s)))::INT AS sent_no, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("sent_no", "sentence"))
+
+
+@query("marker_sentence_map", f"""
+WITH t AS (SELECT doc_id, string_split(text, ', ') AS pieces, {SENTENCES.format("text")} AS s FROM documents),
+m AS (SELECT doc_id, k, sum(length(pieces[k]) + CASE WHEN k > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS off, s FROM (SELECT *, unnest(range(1, len(pieces))) AS k FROM t)),
+e AS (SELECT doc_id, j, sum(length(s[j]) + 1) OVER (PARTITION BY doc_id ORDER BY j) AS stop FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS j FROM t))
+SELECT m.doc_id, m.k::INT AS marker, coalesce(min(e.j) - 1, any_value(len(m.s)) - 1)::INT AS sent FROM m LEFT JOIN e ON e.doc_id = m.doc_id AND m.off < e.stop GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    marked = F.regexp_replace("text", ", ", "‹FN1›, ")
+    m = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.marker_sentences(marked)).alias("k", "m"))
+    return m.select("doc_id", (F.col("k") + 1).alias("marker"), F.col("m.sent").cast("int").alias("sent"))
+
+
+@query("indexed_realign", """
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, text FROM conversations)
+SELECT conv_id, n::INT AS n, trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' ')) AS cand FROM c""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(texts.alias("texts"))
+    raw = F.concat(F.lit("Here it is:\n[0] old\n"), chunking.indexed_lines(F.col("texts")))
+    return chunking.realigned(c.select("conv_id", F.size("texts").alias("k"), raw.alias("raw")), "conv_id", "k", "raw")
+
+
+@query("realign_guard", """
+WITH c AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS cand FROM conversations)
+SELECT conv_id, turn, coalesce(cand <> '' AND length(cand) / greatest(length(text), 1) BETWEEN 0.4 AND 2.5, false) AS ok FROM c""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = table(spark, d, "conversations").withColumn("cand", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", chunking.accepted(F.col("cand"), F.col("text")).alias("ok"))
+
+
+# ---------------------------------------------------------------------------------------------------------- terms
+
+
+@query("fold_text", "SELECT doc_id, md5(strip_accents(lower(text))) AS folded FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(fold(F.col("text"))).alias("folded"))
+
+
+@query("paren_variants", "SELECT p_partkey, [p_name, upper(p_name[1]) || p_size::VARCHAR] AS variants FROM part UNION ALL SELECT -1 - p_partkey, [p_name || ' ()'] FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    term = F.concat(F.lit(" "), "p_name", F.lit(" ("), F.upper(F.substring("p_name", 1, 1)), F.col("p_size").cast("string"), F.lit(") "))
+    plain = p.select((-1 - F.col("p_partkey")).alias("p_partkey"), terms.paren_variants(F.concat("p_name", F.lit(" ()"))).alias("variants"))
+    return p.select("p_partkey", terms.paren_variants(term).alias("variants")).union(plain)
+
+
+@query("term_line_parse", """
+WITH w AS (SELECT item_id, regexp_extract_all(text, '\\p{L}+') AS w FROM benchmark)
+SELECT item_id, 'keep' AS kind, [w[1]] AS variants FROM w
+UNION ALL SELECT item_id, 'group', CASE WHEN lower(w[2]) = lower(w[3]) THEN [w[2]] ELSE [w[2], w[3]] END FROM w
+UNION ALL SELECT item_id, 'group', [upper(w[4]) || ' Bare'] FROM w""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = words(F.col("text"))
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    raw = F.concat_ws("\n", F.lit("# a note"), say("- KEEP: ", w[0]), say("TERM: ", w[1], " | ", w[2], " |"), say("* KEEP: \"", w[0], "\"."), say(F.upper(w[3]), " Bare"), F.lit("this is plain prose."))
+    out = terms.parsed_lines(table(spark, d, "benchmark").select("item_id", raw.alias("raw")), "item_id", "raw")
+    return out.select("item_id", "kind", "variants")
+
+
+@query("term_candidate_flag", """
+WITH l AS (SELECT item_id, unnest(range(len(s))) AS k, unnest(s) AS x FROM (SELECT item_id, string_split(text, ', ') AS s FROM benchmark))
+SELECT item_id, k::INT AS k, length(trim(x, ' ' || chr(10))) >= 2 AND NOT regexp_matches(trim(x, ' ' || chr(10)), '[?!.][)\\]}»›"'']*$') AND NOT contains(trim(x, ' ' || chr(10)), '. ') AND regexp_matches(x, '[\\p{Lu}_.]') AS ok FROM l""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", ", ")).alias("k", "x")).select("item_id", "k", terms.is_candidate(F.col("x")).alias("ok"))
+
+
+@query("acronym_flag", "SELECT p_partkey, regexp_matches(p_type, '^[A-Z]{2,7}$') AS by_type, false AS by_name, length(upper(p_name[1:3])) BETWEEN 2 AND 7 AS by_start FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select("p_partkey", terms.is_acronym(F.col("p_type")).alias("by_type"), terms.is_acronym(F.col("p_name")).alias("by_name"), terms.is_acronym(F.upper(F.substring("p_name", 1, 3))).alias("by_start"))
+
+
+@query("real_keep_flag", """
+WITH w AS (SELECT doc_id, unnest(string_split(line, ', ')) AS t FROM (SELECT doc_id, text AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents))),
+x AS (SELECT doc_id, trim(t) AS t FROM w)
+SELECT doc_id, count(*) AS n, count(*) FILTER (t <> '' AND (contains(t, '/') OR contains(t, '_') OR regexp_matches(t, '[0-9]') OR regexp_matches(t, '\\.(?:org|eu|int|un|gov|net)(?:[^0-9A-Za-z_]|$)') OR (length(t) <= 6 AND regexp_matches(t, '\\p{Lu}') AND NOT regexp_matches(t, '\\p{Ll}')) OR regexp_matches(t, '(?:^|\\s)\\p{Lu}'))) AS n_keep FROM x GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.explode(F.split("line", ", ")).alias("t"))
+    return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(terms.is_real_keep(F.col("t")).cast("long")).alias("n_keep"))
+
+
+@query("entity_list_split", """
+WITH v AS (SELECT item_id, regexp_extract_all(text, '\\p{L}+')[1:3] AS v FROM benchmark),
+f AS (SELECT item_id, v, len(v) = 3 AND len(list_filter(v, lambda x: regexp_matches(x, '^\\p{Lu}{2,7}$'))) = 0 AND (SELECT count(*) = count(DISTINCT w) FROM (SELECT lower(unnest(v)) AS w) WHERE length(w) > 1 AND w NOT IN (STOP)) AS apart FROM v)
+SELECT item_id, [unnest(v)] AS variants FROM f WHERE apart UNION ALL SELECT item_id, v FROM f WHERE NOT apart""".replace("STOP", ", ".join(f"'{w}'" for w in sorted(set(terms.STOPWORDS)))))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return terms.split_lists(table(spark, d, "benchmark").select("item_id", F.slice(words(F.col("text")), 1, 3).alias("variants")))
+
+
+@query("presence_filter", f"""
+WITH {LINES}, w AS (SELECT l.doc_id, l.pos, l.text, b.w, unnest(range(1, len(b.w) + 1)) AS k FROM lines l JOIN (SELECT item_id, regexp_extract_all(text, '\\p{{L}}+')[1:4] AS w FROM benchmark) b ON b.item_id = l.pos)
+SELECT doc_id, pos, list(w[k] ORDER BY k) AS variants FROM w WHERE contains(strip_accents(lower(regexp_replace(text, '\\s+', ' ', 'g'))), strip_accents(lower(w[k]))) GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    l = lines(spark, d).withColumn("seg", F.concat_ws("/", "doc_id", "pos"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.slice(words(F.col("text")), 1, 4).alias("variants"))
+    parsed = l.select("seg", F.col("pos").cast("long").alias("pos")).join(items, "pos").select("seg", F.lit(1).alias("ord"), F.lit("group").alias("kind"), "variants")
+    out = terms.present_only(parsed, l, "seg", "text")
+    return out.select(F.split("seg", "/")[0].cast("long").alias("doc_id"), F.split("seg", "/")[1].cast("long").alias("pos"), "variants")
+
+
+@query("cross_segment_merge", f"""
+WITH {LINES}, g AS (SELECT doc_id, pos, {WORDS.format("text")}[1:2] AS v FROM lines),
+e AS (SELECT doc_id, pos, strip_accents(lower(v[1])) AS canon_key, unnest(range(1, len(v) + 1)) AS k, v FROM g),
+x AS (SELECT doc_id, pos, canon_key, k, v[k] AS variant, strip_accents(lower(v[k])) AS var_key FROM e)
+SELECT doc_id, canon_key, var_key, arg_min(variant, pos * 10 + k) AS variant, count(*) AS support FROM x GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    g = lines(spark, d).select("doc_id", "pos", F.lit(1).alias("ord"), F.lit("group").alias("kind"), F.slice(words(F.col("text")), 1, 2).alias("variants")).where("size(variants) > 0")
+    return terms.merged_groups(g, "doc_id", "pos").select("doc_id", "canon_key", "var_key", "variant", "support")
+
+
+@query("keep_conflict_resolution", f"""
+WITH w AS (SELECT doc_id, unnest({WORDS.format("text")}) AS t FROM documents),
+keep AS (SELECT DISTINCT doc_id, t FROM w WHERE regexp_matches(t, '^\\p{{Lu}}')), g AS (SELECT DISTINCT doc_id, t FROM w WHERE NOT regexp_matches(t, '^\\p{{Lu}}'))
+SELECT doc_id, t AS term FROM keep k WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = k.doc_id AND lower(g.t) = lower(k.t))""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("term")).distinct()
+    big = F.col("term").rlike(r"^\p{Lu}")
+    return terms.without_conflicts(w.where(big), w.where(~big).withColumnRenamed("term", "variant"), "doc_id")
+
+
+@query("keep_reclassify", f"""
+WITH w AS (SELECT DISTINCT doc_id, unnest({WORDS.format("text")}) AS t FROM documents),
+o AS (SELECT doc_id, t FROM w WHERE NOT (regexp_matches(t, '^\\p{{Lu}}') OR (length(t) <= 6 AND regexp_matches(t, '\\p{{Lu}}') AND NOT regexp_matches(t, '\\p{{Ll}}'))))
+SELECT doc_id, count(*) AS n_groups FROM (SELECT DISTINCT doc_id, lower(t) FROM o) GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    keep = table(spark, d, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("term")).distinct()
+    none = spark.createDataFrame([], "doc_id long, canon_key string, var_key string, variant string, support long, first struct<pos:int,ord:int,var_no:int>")
+    _, groups = terms.reclassified(keep, none, "doc_id")
+    return groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+@query("variant_voting", f"""
+WITH c AS (SELECT source, lang, lower(t) AS var_key, count(*) AS support FROM (SELECT source, lang, unnest({WORDS.format("text")}) AS t FROM documents) GROUP BY ALL),
+v AS (SELECT *, max(support) OVER w AS top, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY source, var_key))
+SELECT source, lang AS canon_key, count(*) AS n_variants, sum(support)::BIGINT AS support FROM v WHERE NOT (support = 1 AND top >= 3 AND n > 1) GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "documents").select("source", F.col("lang").alias("canon_key"), F.explode(words(F.col("text"))).alias("t"))
+    c = w.groupBy("source", "canon_key", F.lower("t").alias("var_key")).agg(F.count(F.lit(1)).alias("support"))
+    return terms.voted(c, "source").groupBy("source", "canon_key").agg(F.count(F.lit(1)).alias("n_variants"), F.sum("support").alias("support"))
+
+
+@query("group_components")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    g = lines(spark, d).select("doc_id", "pos", F.lit(1).alias("ord"), F.lit("group").alias("kind"), F.slice(words(F.col("text")), 1, 2).alias("variants")).where("size(variants) > 0")
+    return terms.united(terms.voted(terms.merged_groups(g, "doc_id", "pos"), "doc_id"), "doc_id")
+
+
+@query("caps_normalize", """
+SELECT p_partkey, [upper(p_name) || ' ABC', 'Part ' || p_name] AS raw, [list_reduce(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN length(w) <= 4 THEN upper(w) ELSE upper(w[1]) || w[2:] END), lambda a, b: a || ' ' || b) || ' ABC', 'Part ' || p_name] AS mixed, [lower(p_name) || ' of'] AS low FROM part""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    raw = F.array(F.concat(F.upper("p_name"), F.lit(" ABC")), F.concat(F.lit("Part "), "p_name"))
+    return p.select("p_partkey", raw.alias("raw"), terms.normal_case(raw).alias("mixed"), terms.normal_case(F.array(F.concat(F.upper("p_name"), F.lit(" OF")))).alias("low"))
+
+
+@query("url_extract", r"""
+WITH u AS (SELECT page_id, list_transform(regexp_extract_all(html, 'https?://[^\s\x0b\x{85}\p{Z}]+|\b\w+\.(?:org|eu|int|un|gov|net)\b'), lambda x: regexp_replace(x, '[.,;:!?)]+$', '')) AS u FROM pages),
+e AS (SELECT page_id, unnest(range(len(u))) AS k, unnest(u) AS symbol FROM u)
+SELECT page_id, arg_min(symbol, k) AS symbol, 'url' AS what FROM e WHERE symbol <> '' GROUP BY page_id, lower(symbol)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return terms.symbols(table(spark, d, "pages").select("page_id", "html"), "page_id", "html").where("what = 'url'").select("page_id", "symbol", "what")
+
+
+@query("identifier_extract", """
+SELECT event_id, unnest(list_distinct(['user_' || user_id::VARCHAR, event_type || '_' || user_id::VARCHAR])) AS symbol FROM events""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    uid = F.col("user_id").cast("string")
+    text = F.concat(F.lit("see https://x.org/a_b_c/ and user_"), uid, F.lit(", "), "event_type", F.lit("_"), uid, F.lit("; user_"), uid)
+    e = table(spark, d, "events").select("event_id", text.alias("t"))
+    return terms.symbols(e, "event_id", "t").where("what = 'identifier'").select("event_id", "symbol")
+
+
+@query("term_context")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").withColumn("term", F.element_at(words(F.col("text")), -1))
+    return t.select("doc_id", "term", terms.term_context(F.col("term"), F.col("text")).alias("context"))
+
+
+@query("term_targets", "SELECT n_regionkey, n_name AS term, upper(n_name) || '!' AS target FROM nation")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("term"))
+    line = F.concat(F.lit("- "), F.lower("term"), F.lit(" → "), F.upper("term"), F.lit("!\nnot asked → nothing\nno arrow"))
+    replies = n.groupBy("n_regionkey").agg(F.array_join(F.collect_list(line), "\n").alias("raw"))
+    return terms.parsed_targets(replies, n, "n_regionkey", "raw").select("n_regionkey", "term", "target")
+
+
+@query("entry_builder", """
+SELECT n_regionkey, [n_name] AS source_terms, CASE n_nationkey % 3 WHEN 0 THEN 'T' || n_nationkey::VARCHAR ELSE n_name END AS target, CASE n_nationkey % 3 WHEN 0 THEN 'require' WHEN 1 THEN 'verbatim' ELSE 'prefer' END AS kind FROM nation
+UNION ALL SELECT r_regionkey, [r_name], r_name, 'verbatim' FROM region""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n, k = table(spark, d, "nation"), F.col("n_nationkey") % 3
+    groups = n.select("n_regionkey", F.lower("n_name").alias("canon_key"), F.array("n_name").alias("variants"))
+    target = F.when(k == 0, F.concat(F.lit("T"), F.col("n_nationkey").cast("string"))).otherwise(F.lower("n_name"))
+    targets = n.where(k < 2).select("n_regionkey", F.col("n_name").alias("term"), target.alias("target"))
+    keep = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("term"))
+    return terms.built_entries(keep, groups, targets, "n_regionkey").select("n_regionkey", "source_terms", "target", "kind")
+
+
+# ------------------------------------------------------------------------------------------------------- glossary
+
+
+def rule_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Rule lines of every kind, right and wrong, from the nations."""
+    n = table(spark, d, "nation")
+    k, name = F.col("n_nationkey") % 8, F.col("n_name")
+    line = (
+        F.when(k == 0, F.concat(F.lit("translate: "), name, F.lit(" | "), F.lower(name), F.lit(" → X | Y")))
+        .when(k == 1, F.concat(F.lit("KEEP: "), name, F.lit(" | b")))
+        .when(k == 2, F.concat(F.lit("  PREFER:  "), name))
+        .when(k == 3, F.concat(F.lit("PREFER: "), name, F.lit(" → Z ")))
+        .when(k == 4, F.concat(F.lit("TRANSLATE: "), name, F.lit(" -> x")))
+        .when(k == 5, F.concat(F.lit("# "), name))
+        .when(k == 6, F.concat(F.lit("KEEP: "), name, F.lit(" → no")))
+        .otherwise(F.concat(F.lit("Terms: "), name))
+    )
+    return n.select(F.col("n_nationkey").cast("int").alias("line_no"), line.alias("line"))
+
+
+@query("glossary_parse", """
+SELECT n_nationkey AS line_no, [n_name, lower(n_name)] AS source_terms, 'X' AS target, ['Y'] AS target_alts, 'require' AS kind FROM nation WHERE n_nationkey % 8 = 0
+UNION ALL SELECT n_nationkey, [n_name], n_name, [], 'verbatim' FROM nation WHERE n_nationkey % 8 IN (1, 6) UNION ALL SELECT n_nationkey, ['b'], 'b', [], 'verbatim' FROM nation WHERE n_nationkey % 8 = 1
+UNION ALL SELECT n_nationkey, [n_name], CASE n_nationkey % 8 WHEN 2 THEN n_name ELSE 'Z' END, [], 'prefer' FROM nation WHERE n_nationkey % 8 IN (2, 3)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return glossary.parsed(rule_lines(spark, d)).drop("var_no")
+
+
+@query("glossary_validate", """
+SELECT n_nationkey AS line_no, CASE n_nationkey % 8 WHEN 6 THEN 'warning' ELSE 'error' END AS level, CASE n_nationkey % 8 WHEN 4 THEN 'the arrow must be →' WHEN 6 THEN 'KEEP takes no target' ELSE 'unknown rule' END AS message FROM nation WHERE n_nationkey % 8 IN (4, 6, 7)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return glossary.issues(rule_lines(spark, d))
+
+
+@query("glossary_format", """
+SELECT n_nationkey AS line_no, 'TRANSLATE: ' || n_name || ' | ' || lower(n_name) || ' → X | Y' AS line FROM nation WHERE n_nationkey % 8 = 0
+UNION ALL SELECT n_nationkey, 'KEEP: ' || n_name FROM nation WHERE n_nationkey % 8 IN (1, 6) UNION ALL SELECT n_nationkey, 'KEEP: b' FROM nation WHERE n_nationkey % 8 = 1
+UNION ALL SELECT n_nationkey, 'PREFER: ' || n_name || CASE n_nationkey % 8 WHEN 3 THEN ' → Z' ELSE '' END FROM nation WHERE n_nationkey % 8 IN (2, 3)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = glossary.parsed(rule_lines(spark, d))
+    return p.select("line_no", glossary.entry_line(F.col("source_terms"), F.col("target"), F.col("target_alts"), F.col("kind")).alias("line"))
+
+
+def _entries(df: DataFrame, name: str, target: str) -> list[glossary.Entry]:
+    return [glossary.Entry([r[0]], r[1]) for r in df.orderBy(name).select(name, target).collect()]
+
+
+@query("glossary_combine", """
+SELECT n_name AS source, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE upper(n_name) END AS target, CASE WHEN n_regionkey = 1 AND false THEN 1 ELSE 0 END AS n_other FROM nation UNION ALL SELECT r_name, 'R', 0 FROM region""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n, r = table(spark, d, "nation"), table(spark, d, "region").withColumn("t", F.lit("R"))
+    low = n.where("n_regionkey = 1").withColumn("t", F.lower("n_name"))
+    out = glossary.combined(_entries(n.withColumn("t", F.upper("n_name")), "n_name", "t"), None, _entries(low, "n_name", "t"), _entries(r, "r_name", "t"))
+    return glossary.entries_frame(spark, out or []).select(F.element_at("source_terms", 1).alias("source"), "target", F.size("alt_versions").alias("n_other"))
+
+
+@query("glossary_upsert", """
+SELECT n_name AS source, CASE n_regionkey WHEN 0 THEN 'new' WHEN 1 THEN 'old' ELSE 'new' END AS target FROM nation""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    old = _entries(n.where("n_regionkey < 2").withColumn("t", F.lit("old")), "n_name", "t")
+    new = _entries(n.withColumn("t", F.lit("new")), "n_name", "t")
+    out, _report = glossary.upserted(old, new, [e.source_terms[0] for e in _entries(n.where("n_regionkey = 0").withColumn("t", F.lit("x")), "n_name", "t")])
+    return glossary.entries_frame(spark, out).select(F.element_at("source_terms", 1).alias("source"), "target")
+
+
+@query("glossary_final_merge", """
+SELECT n_name AS source, CASE WHEN n_regionkey = 1 THEN 'user' ELSE 'draft' END AS target, CASE WHEN n_regionkey = 1 THEN 'approved' ELSE 'draft' END AS origin FROM nation""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    out, _notes = glossary.final_merge(_entries(n.withColumn("t", F.lit("draft")), "n_name", "t"), [], _entries(n.where("n_regionkey = 1").withColumn("t", F.lit("user")), "n_name", "t"))
+    return glossary.entries_frame(spark, out).select(F.element_at("source_terms", 1).alias("source"), "target", "origin")
+
+
+CHUNKS = "src AS (SELECT doc_id * 100000 + pos AS id, strip_accents(lower(text)) AS folded, text FROM lines)"
+
+
+def line_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), "text")
+
+
+@query("glossary_live_entries", f"WITH {LINES}, {CHUNKS}, {LIVE} SELECT id, entry_idx FROM live")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    g = demo_glossary(spark)
+    return glossary.live_entries(glossary.occurrences(line_chunks(spark, d), g, "id", "text"), "id")
+
+
+@query("glossary_occurrences", f"WITH {LINES}, {CHUNKS}, {LIVE} SELECT id, entry_idx, count(*) AS n, min(s) - 1 AS first FROM occ GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = glossary.occurrences(line_chunks(spark, d), demo_glossary(spark), "id", "text")
+    return o.groupBy("id", "entry_idx").agg(F.count(F.lit(1)).alias("n"), F.min("s").cast("long").alias("first"))
+
+
+@query("glossary_prompt_section", f"""WITH {LINES}, {CHUNKS}, {LIVE}
+SELECT id, string_agg('  ' || source_terms[1] || ' → ' || target || CASE kind WHEN 'verbatim' THEN '  (preserve exactly as written)' ELSE '' END, chr(10) ORDER BY entry_idx) AS section FROM live JOIN gl USING (entry_idx) GROUP BY id""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return glossary.prompt_sections(line_chunks(spark, d), demo_glossary(spark), "id", "text")
+
+
+_PAIRS = "p AS (SELECT doc_id * 100000 + pos AS id, text, coalesce(lead(text) OVER (PARTITION BY doc_id ORDER BY pos), '') AS out FROM lines)"
+_VIOLATED = f"""WITH {LINES}, {_PAIRS}, src AS (SELECT id, strip_accents(lower(text)) AS folded FROM p), {LIVE},
+v AS (SELECT id, entry_idx, '''' || source_terms[1] || ''' must translate to ' || target || CASE WHEN len(target_alts) > 0 THEN ' (or: ' || array_to_string(target_alts, ', ') || ')' ELSE '' END AS message
+  FROM live JOIN gl USING (entry_idx) JOIN p USING (id) WHERE kind IN ('require', 'verbatim') AND NOT contains(strip_accents(lower(out)), strip_accents(lower(target))) AND len(list_filter(target_alts, lambda t: contains(strip_accents(lower(p.out)), strip_accents(lower(t))))) = 0)"""
+
+
+def line_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    nxt = F.coalesce(F.lead("text").over(Window.partitionBy("doc_id").orderBy("pos")), F.lit(""))
+    return lines(spark, d).select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), "text", nxt.alias("out"))
+
+
+@query("glossary_violations", _VIOLATED + " SELECT * FROM v")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return glossary.violations(line_pairs(spark, d), demo_glossary(spark), "id", "text", "out")
+
+
+@query("glossary_retry_hints", _VIOLATED + " SELECT id, 'Use exactly these terms in this translation:' || chr(10) || string_agg('  - ' || message, chr(10) ORDER BY entry_idx) AS hint FROM v GROUP BY id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return glossary.hints(glossary.violations(line_pairs(spark, d), demo_glossary(spark), "id", "text", "out"), "id")
+
+
+# --------------------------------------------------------------------------------------------------------- guards
+
+
+@query("mask_identifiers", "SELECT event_id, 'x ⟪V0⟫, ⟪V1⟫ y' AS masked, 'x ' || event_type || '_' || user_id::VARCHAR || ', a_b1 y' AS restored, 2 AS n FROM events")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("x "), "event_type", F.lit("_"), F.col("user_id").cast("string"), F.lit(", a_b1 y"))
+    e = table(spark, d, "events").select("event_id", guards.masked(text).alias("masked"), guards.identifiers(text).alias("ids"))
+    return e.select("event_id", "masked", guards.unmasked(F.col("masked"), F.col("ids")).alias("restored"), F.size("ids").alias("n"))
+
+
+@query("echo_flags", "SELECT conv_id, turn, turn % 3 = 0 AS echo FROM conversations")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" RETURN Nothing but THE translation."))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", guards.is_echo(said).alias("echo"))
+
+
+@query("output_budget", "SELECT doc_id, greatest(30, (length(text) * 2) // 3)::INT AS budget, greatest(20, length(text) // 2 + 10)::INT AS retry FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n = F.length("text")
+    return table(spark, d, "documents").select("doc_id", guards.output_budget(n).alias("budget"), guards.retry_budget(n).alias("retry"))
+
+
+@query("data_cell_flag", """
+SELECT l_orderkey, l_linenumber, true AS amount, true AS flag, (l_quantity::INT::VARCHAR || ' ' || l_returnflag || 'bcd') IS NULL AS words, false AS blank FROM lineitem""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem")
+    qty = F.col("l_quantity").cast("int").cast("string")
+    return l.select("l_orderkey", "l_linenumber", guards.is_data_cell(F.concat(F.lit("$ "), F.format_number("l_extendedprice", 2), F.lit(" kg"))).alias("amount"), guards.is_data_cell(F.col("l_returnflag")).alias("flag"), guards.is_data_cell(F.concat(qty, F.lit(" "), "l_returnflag", F.lit("bcd"))).alias("words"), guards.is_data_cell(F.lit(" \n")).alias("blank"))
+
+
+@query("cell_runaway", "SELECT conv_id, turn, length(out) > 4 * length(text) + 50 AS runaway FROM (SELECT *, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS out FROM conversations)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    nxt = F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", guards.is_runaway(F.col("text"), nxt).alias("runaway"))
+
+
+def part_cells(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    cell = lambda i, c: F.struct(F.lit(i).alias("col_idx"), c.alias("text"))
+    cells = F.explode(F.array(cell(0, F.col("p_name")), cell(1, F.col("p_type")), cell(2, F.col("p_size").cast("string")), cell(3, F.col("p_type"))))
+    return p.select(F.col("p_brand").alias("doc_id"), F.lit(1).alias("table_idx"), F.col("p_partkey").cast("int").alias("row_idx"), cells.alias("c")).select("doc_id", "table_idx", "row_idx", "c.*")
+
+
+_CELLS = "cells AS (SELECT p_brand AS doc_id, 1 AS table_idx, p_partkey::INT AS row_idx, unnest([0, 1, 2, 3]) AS col_idx, unnest([p_name, p_type, p_size::VARCHAR, p_type]) AS text FROM part)"
+
+
+@query("cell_memo", f"WITH {_CELLS} SELECT doc_id, row_idx, col_idx, CASE col_idx WHEN 2 THEN text ELSE '<' || text || '>' END AS translated FROM cells")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out = guards.translated_cells(part_cells(spark, d), lambda k: k.select("cell_key", F.concat(F.lit("<"), "text", F.lit(">")).alias("translated")))
+    return out.select("doc_id", "row_idx", "col_idx", "translated")
+
+
+@query("emphasis_spans", """
+SELECT conv_id, turn, [role, ' ', 'b', ' and ', '7', ' ', 'x', '3', ' y'] AS texts, [false, false, true, false, false, false, true, false, true] AS bold, [false, false, false, false, false, false, true, false, true] AS italic, [false, false, false, false, true, false, false, true, false] AS sup FROM conversations""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    text = F.concat("role", F.lit("* *** "[:0]), F.lit(" **b** and ‹FN7› ***x‹FN3› y***"))
+    e = c.select("conv_id", "turn", guards.emphasised(text).alias("e"))
+    # the first piece holds the role and the space after it: split to show the places
+    head = F.array(F.regexp_extract(F.col("e")[0]["text"], r"^(\S+)", 1), F.lit(" "))
+    rest = F.slice("e", F.lit(2), F.size("e"))
+    false2 = F.array(F.lit(False), F.lit(False))
+    return e.select("conv_id", "turn", F.concat(head, F.transform(rest, lambda p: p["text"])).alias("texts"), F.concat(false2, F.transform(rest, lambda p: p["bold"])).alias("bold"), F.concat(false2, F.transform(rest, lambda p: p["italic"])).alias("italic"), F.concat(false2, F.transform(rest, lambda p: p["superscript"])).alias("sup"))
+
+
+@query("prompt_assembly", "SELECT conv_id, turn, 'You translate documents from Spanish (es) to English (en). Return nothing but the translation. Keep asterisks around emphasised words, and leave codes in ⟪⟫ brackets as they are. The documents belong to this field: law.' || chr(10) || chr(10) || text AS prompt FROM conversations")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", guards.prompt(F.col("text"), "Spanish", "English", "law").alias("prompt"))
+
+
+@query("translate_identity", "SELECT conv_id * 1000 + turn AS id, text AS translated, false AS kept_source, 0::BIGINT AS n_violations, false AS retry_taken FROM conversations")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return guards.guarded_translation(c, "id", "text", guards.Echo(), lambda df: df)
+
+
+# -------------------------------------------------------------------------------------------------------- quality
+
+_NEXT = "nxt AS (SELECT doc_id - 1 AS doc_id, pos, text FROM lines WHERE doc_id - 1 IN (SELECT doc_id FROM lines))"
+_PLAIN = f"trim(regexp_replace(text, '{SPACE}+', ' ', 'g'), ' ')"
+
+
+def next_doc(blocks: DataFrame) -> DataFrame:
+    """Each document's successor as its output."""
+    ids = blocks.select("doc_id").distinct()
+    return blocks.withColumn("doc_id", (F.col("doc_id").cast("long") - 1).cast("string")).join(ids, "doc_id", "left_semi")
+
+
+@query("qa_count_diff", f"""WITH {LINES}, s AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1)
+SELECT s.doc_id, 'body' AS what, s.n AS n_source, coalesce(o.n, 0) AS n_output FROM s LEFT JOIN s o ON o.doc_id = s.doc_id + 1 WHERE s.n <> coalesce(o.n, 0)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = line_blocks(table(spark, d, "documents"))
+    return quality.count_diff(b, next_doc(b)).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query("qa_length_ratio", f"""WITH {LINES}, o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, length({_PLAIN}) AS n FROM lines)
+SELECT a.doc_id, a.i AS ordinal, a.n AS n_source, b.n AS n_output FROM o a JOIN o b ON b.doc_id = a.doc_id + 1 AND a.i = b.i WHERE a.n >= 20 AND (b.n / a.n < 0.3 OR b.n / a.n > 3.0)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = line_blocks(table(spark, d, "documents"))
+    return quality.body_ratios(b, next_doc(b)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), F.col("n_source").cast("long").alias("n_source"), F.col("n_output").cast("long").alias("n_output"))
+
+
+@query("qa_lost_prefix", "SELECT p_brand AS doc_id, i AS ordinal FROM (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part) WHERE p_size % 3 = 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("pos"), F.lit("heading").alias("kind"), "p_name", "p_size")
+    number = F.concat(F.col("p_size").cast("string"), F.lit(". "), "p_name")
+    side = lambda c: p.select("doc_id", "pos", "kind", plain_run(c).alias("runs"), F.lit(None).cast("string").alias("text"))
+    return quality.lost_numbers(side(number), side(F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(number))).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("qa_cell_ratio", "SELECT p_partkey::BIGINT AS row_idx, length(p_name)::BIGINT AS n_source FROM part WHERE length(p_name) >= 10 AND (p_size::DOUBLE / length(p_name) < 0.3 OR p_size::DOUBLE / length(p_name) > 3.0)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    side = lambda c: p.select(F.lit("d").alias("doc_id"), F.lit(1).alias("table_idx"), F.col("p_partkey").alias("row_idx"), F.lit(0).alias("col_idx"), c.alias("text"))
+    return quality.cell_ratios(side(F.col("p_name")), side(F.repeat(F.lit("x"), F.col("p_size")))).select("row_idx", F.col("n_source").cast("long").alias("n_source"))
+
+
+# --------------------------------------------------------------------------------------------------------- layout
+
+
+@query("row_cell_dedup", """
+WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, lag(l_returnflag) OVER w AS prev FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+SELECT l_orderkey AS row_idx, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS col_idx, l_returnflag AS text FROM a WHERE prev IS NULL OR prev <> l_returnflag""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem")
+    cells = l.select(F.lit("d").alias("doc_id"), F.lit(1).alias("table_idx"), F.col("l_orderkey").alias("row_idx"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("col_idx"), F.col("l_returnflag").alias("text"))
+    return layout.deduped_cells(cells).select("row_idx", "col_idx", "text")
+
+
+@query("collapse_columns", """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 25 THEN ['a', l_returnflag, l_linestatus] ELSE [l_returnflag, l_linestatus, ''] END AS cells FROM lineitem""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem")
+    few = F.col("l_quantity") < 25
+    cells = F.array(F.when(few, F.lit("a")).otherwise(F.lit("")), F.concat(F.lit(" "), "l_returnflag"), F.lit(""), F.col("l_linestatus"), F.lit(" "))
+    pad = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    # every order line is a table of two rows: its own and one that keeps three columns in use
+    two = l.select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.array(F.struct(F.lit(0).alias("row_idx"), cells.alias("cells")), F.struct(F.lit(1).alias("row_idx"), pad.alias("cells")))).alias("r"))
+    rows = two.select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey").alias("doc_id"), F.lit(1).alias("table_idx"), "r.row_idx", "r.cells")
+    out = layout.collapsed_table(rows).where("row_idx = 0")
+    k = F.split("doc_id", "/")
+    return out.select(k[0].cast("long").alias("l_orderkey"), k[1].cast("int").alias("l_linenumber"), k[2].cast("long").alias("l_partkey"), "cells")
+
+
+def line_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' lines as PDF lines of one span: sizes by length, every fifth line after a wide gap."""
+    n = F.length("text")
+    size = F.when(n < 40, 16.0).when(n < 80, 12.0).otherwise(10.0)
+    y = F.col("pos") * 12.0 + F.floor(F.col("pos") / 5) * 20.0
+    return lines(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("block"), F.col("pos").alias("line"), F.lit(0).alias("span"), "text", size.alias("size"), F.when(n < 40, 16).otherwise(0).alias("flags"), F.lit("Serif").alias("font"), F.lit(0.0).alias("x0"), y.alias("y0"), F.lit(400.0).alias("x1"), (y + 10.0).alias("y1"))
+
+
+_SIZED = f"sized AS (SELECT doc_id, pos, text, length(text) AS raw, length(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')) AS n, CASE WHEN length(text) < 40 THEN 16.0 WHEN length(text) < 80 THEN 12.0 ELSE 10.0 END::DOUBLE AS size, pos * 12.0 + (pos // 5) * 20.0 AS y0 FROM lines)"
+
+
+@query("font_levels", f"""WITH {LINES}, {_SIZED}, b AS (SELECT doc_id, size, sum(n) AS n, sum(n) FILTER (raw < 40) AS bold, min(pos) AS seen FROM sized GROUP BY ALL),
+t AS (SELECT doc_id, size AS body_size, coalesce(bold, 0) > n / 2 AS body_bold FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) AS r FROM b) WHERE r = 1)
+SELECT t.doc_id, body_size, body_bold, coalesce(list(b.size ORDER BY b.size DESC) FILTER (b.size > body_size), []) AS heading_sizes, body_size * 0.85 AS note_size FROM t JOIN b USING (doc_id) GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    f = layout.font_stats(line_spans(spark, d))
+    return f.select(F.col("doc_id").cast("long").alias("doc_id"), "body_size", "body_bold", "heading_sizes", "note_size")
+
+
+@query("paragraph_islands", f"""WITH {LINES}, {_SIZED}, s AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN y0 - (lag(y0) OVER w + 10) > 7 OR abs(size - lag(size) OVER w) > 0.5 OR (raw < 40) <> (lag(raw) OVER w < 40) OR (raw < 40 AND lag(raw) OVER w < 40) OR (raw < 40 AND regexp_matches({_PLAIN}, '^[IVXLCDM]+\\.\\s*\\S')) OR regexp_matches({_PLAIN}, '^\\d+\\)\\s+\\S') THEN 1 ELSE 0 END AS new FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM s)
+SELECT doc_id, para::BIGINT AS para, count(*) AS n_lines FROM p GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return layout.islands(layout.lines_of(line_spans(spark, d))).groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("para").cast("long").alias("para")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("paragraph_blocks")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    spans = line_spans(spark, d)
+    zones = spans.select("doc_id", "page").distinct().withColumn("zone_y", F.lit(1e9))
+    blocks = layout.assembled(layout.classified(layout.paragraphs(layout.lines_of(spans)), layout.font_stats(spans), zones))
+    return docmodel.block_text(blocks).select("doc_id", "pos", "kind", "level", "title", "marker", "markdown")
+
+
+@query("continuation_merge", f"""WITH {LINES}, t AS (SELECT doc_id, pos, {_PLAIN} AS x FROM lines),
+s AS (SELECT *, CASE WHEN lag(x) OVER w IS NOT NULL AND NOT regexp_matches(lag(x) OVER w, '[.!?:;»)”"]$') AND regexp_matches(x, '^(?:\\p{{Ll}}|[(,;])') THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM s)
+SELECT doc_id, min(pos)::INT AS pos, string_agg(x, ' ' ORDER BY pos) AS text FROM i GROUP BY doc_id, island""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    cut = table(spark, d, "documents")
+    b = layout.stitched(line_blocks(cut))
+    return docmodel.block_text(b).select(F.col("doc_id").cast("long").alias("doc_id"), "pos", F.col("plain").alias("text"))
+
+
+@query("marker_folding", """
+SELECT p_brand AS doc_id, count(*) AS n FROM part GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    none = {"title": "string", "separator": "string", "marker": "string", "text": "string", "comment": "string"}
+    # each part is a lone Roman heading and the heading after it: the pair becomes one
+    both = p.select(F.col("p_brand").alias("doc_id"), "p_partkey", F.posexplode(F.array(F.lit("IV."), F.col("p_name"))).alias("k", "t"))
+    b = both.select("doc_id", (F.col("p_partkey") * 2 + F.col("k")).alias("pos"), F.lit("heading").alias("kind"), F.lit(2).alias("level"), plain_run(F.col("t")).alias("runs"), *[F.lit(None).cast(t).alias(n) for n, t in none.items()])
+    return layout.folded_markers(b).where(F.col("runs")[0]["text"].startswith("IV. ")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("image_regions", """
+WITH i AS (SELECT DISTINCT p_brand AS doc_id, p_size::DOUBLE * 10 AS x0, p_size::DOUBLE * 10 + 60 + p_size AS x1 FROM part)
+SELECT doc_id, x0, x1, least((x1 - x0) / 72.0, 6.0) AS width_inches FROM i WHERE NOT (x0 < 105 AND 95 - 0 < x1 AND true)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    box = lambda x0, x1: [x0.cast("double").alias("x0"), F.lit(0.0).alias("y0"), x1.cast("double").alias("x1"), F.lit(60.0).alias("y1")]
+    p = table(spark, d, "part").select(F.col("p_brand").alias("doc_id"), F.lit(1).alias("page"), "p_size")
+    images = p.select("doc_id", "page", *box(F.col("p_size") * 10, F.col("p_size") * 11 + 60))
+    tables = p.select("doc_id", "page").distinct().select("doc_id", "page", *box(F.lit(100.0), F.lit(100.0)))
+    return layout.image_regions(images, images.limit(0), tables).select("doc_id", "x0", "x1", "width_inches")
+
+
+@query("page_markdown", """
+WITH p AS (SELECT page_id, unnest(range(len(t))) AS k, unnest(t) AS tag, unnest(r) AS rest FROM (SELECT page_id, regexp_extract_all(html, '(?i)<(h[1-6]|p|li)(?:\\s[^>]*)?>', 1) AS t, regexp_split_to_array(html, '(?i)<(?:h[1-6]|p|li)(?:\\s[^>]*)?>')[2:] AS r FROM pages)),
+q AS (SELECT page_id, k, lower(tag) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(rest, '(?is)</?(?:h[1-6]|p|li|article|ul|ol|nav|footer|body|html|div)\\b.*$', ''), '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS part FROM p)
+SELECT page_id AS doc_id, string_agg(CASE WHEN tag = 'h1' THEN '# ' || part WHEN tag = 'li' THEN '- ** ' || part ELSE part END, chr(10) || chr(10) ORDER BY k) AS content FROM q WHERE part <> '' GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.sinks import markdown_documents
+
+    m = markdown_documents(docmodel.block_text(page_blocks(table(spark, d, "pages"))))
+    return m.select(F.col("doc_id").cast("long").alias("doc_id"), "content")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+__all__ = ["demo_glossary", "oracle_sql", "page_parts", "queries"]

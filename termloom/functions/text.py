@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,size:double>"
 
@@ -28,7 +30,7 @@ def fold_text(s: str) -> str:
     return "".join([c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """fold_text for a column; Spark has no normal form function, so this is an Arrow UDF."""
     return s.map(fold_text, na_action="ignore")
@@ -80,3 +82,13 @@ def plain_run(text: Column) -> Column:
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p)) if phrases else F.lit(False)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: a lambda variable holds it, where plain nesting would compute it at each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running_total(sizes: Column) -> Column:
+    """Array of the running sums of an int array."""
+    return F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n).cast("int"))))

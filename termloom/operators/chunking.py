@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, running_total, strip
 from .docmodel import NOTE_MARKER
 
 SEGMENT_CHARS = 6000
@@ -71,24 +71,36 @@ def marker_sentences(text: Column) -> Column:
     A marker's offset counts characters without markers; its sentence is the first whose running length (one for each
     gap) passes the offset, else the last. Text that is only markers has no sentence (sent -1).
     """
-    clean = F.regexp_replace(text, NOTE_MARKER, "")
-    sents = sentences(clean)
-    ends = F.aggregate(sents, F.array().cast("array<int>"), lambda acc, s: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(s) + 1).cast("int"))))
-    pieces = F.split(text, NOTE_MARKER)
+    sents = sentences(F.regexp_replace(text, NOTE_MARKER, ""))
+    ends = running_total(F.transform(sents, lambda s: F.length(s) + 1))
+    # a marker's offset is the running length of the pieces before it
+    offsets = running_total(F.transform(F.split(text, NOTE_MARKER, -1), F.length))
     ids = F.regexp_extract_all(text, F.lit(NOTE_MARKER), 1)
-    offsets = F.transform(ids, lambda _, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, p: a + F.length(p)))
-    at = lambda o: F.coalesce(F.array_position(F.transform(ends, lambda e: o < e), F.lit(True)), F.lit(0)).cast("int")
-    sent = lambda o: F.when(at(o) > 0, at(o) - 1).otherwise(F.size(sents) - 1)
-    return F.transform(F.arrays_zip(ids.alias("ids"), offsets.alias("offsets")), lambda z: F.struct(z["ids"].alias("id"), sent(z["offsets"]).alias("sent")))
+
+    def place(x: Column) -> Column:
+        def one(z: Column, i: Column) -> Column:
+            at = F.size(F.filter(x["ends"], lambda e: e <= F.get(x["offsets"], i)))
+            return F.struct(z.alias("id"), F.least(at, F.size(x["ends"]) - 1).alias("sent"))
+
+        return F.transform(x["ids"], one)
+
+    return let(F.struct(ends.alias("ends"), offsets.alias("offsets"), ids.alias("ids")), place)
 
 
 def with_markers(translated: Column, markers: Column) -> Column:
     """Markers put back at the end of the sentence of the same number, or of the last one; text without a sentence stays."""
-    sents = sentences(translated)
-    n = F.size(sents)
-    end = lambda i: F.array_join(F.transform(F.filter(markers, lambda m: F.least(m["sent"], n - 1) == i), lambda m: F.concat(F.lit("‹FN"), m["id"], F.lit("›"))), "")
-    body = F.transform(sents, lambda s, i: F.when(end(i) != "", F.concat(F.regexp_replace(s, r"(?U)\s+$", ""), end(i))).otherwise(s))
-    return F.when((F.size(markers) == 0) | (n == 0), translated).otherwise(F.array_join(body, " "))
+
+    def put(x: Column) -> Column:
+        last = F.size(x["sents"]) - 1
+
+        def one(s: Column, i: Column) -> Column:
+            own = F.filter(x["markers"], lambda m: F.least(m["sent"], last) == i)
+            end = F.array_join(F.transform(own, lambda m: F.concat(F.lit("‹FN"), m["id"], F.lit("›"))), "")
+            return F.when(F.size(own) > 0, F.concat(F.regexp_replace(s, r"(?U)\s+$", ""), end)).otherwise(s)
+
+        return F.when((F.size(x["markers"]) > 0) & (last >= 0), F.array_join(F.transform(x["sents"], one), " "))
+
+    return F.coalesce(let(F.struct(sentences(translated).alias("sents"), markers.alias("markers")), put), translated)
 
 
 def indexed_lines(texts: Column) -> Column:

@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import contains_any, strip
 from . import glossary as G
@@ -155,9 +156,7 @@ def called(rows: DataFrame, backend: Backend, out: str, temperature: float = 0.3
         for pdf in batches:
             yield pdf.assign(**{out: backend(list(pdf["prompt"]), list(pdf["masked"]), [int(b) for b in pdf["budget"]], temperature, seed)})
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def guarded_translation(texts: DataFrame, key: str, text: str, backend: Backend, keep: Callable[[DataFrame], DataFrame], entries: DataFrame | None = None, source: str = "Spanish", target: str = "English", domain: str = "", seed: int = 42) -> DataFrame:
@@ -217,7 +216,7 @@ def translated_cells(cells: DataFrame, translate: Callable[[DataFrame], DataFram
 #: Fixed value: emphasis of one to three asterisks, or a note marker.
 EMPHASIS = re.compile(r"\*\*\*(?P<both>.+?)\*\*\*|\*\*(?P<bold>.+?)\*\*|\*(?P<italic>.+?)\*|‹FN(?P<note>\d+)›")
 NOTE = re.compile(r"‹FN(\d+)›")
-PIECE = "array<struct<text:string,bold:boolean,italic:boolean,superscript:boolean>>"
+PIECE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.BooleanType()) for n in ("bold", "italic", "superscript"))]))
 
 
 def emphasis_pieces(text: str) -> list[tuple[str, bool, bool, bool]]:

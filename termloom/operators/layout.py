@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import RUN, consolidated, runs_text, strip, stripped_length
 
@@ -135,7 +136,10 @@ def split_item(runs: list, text_of=lambda r: r["text"]) -> tuple[str, str, dict,
     return title, body, lead, " "
 
 
-@F.pandas_udf(f"struct<title:string,body:array<{RUN}>,separator:string>")
+_RUN = T.StructType([T.StructField("text", T.StringType()), T.StructField("bold", T.BooleanType()), T.StructField("italic", T.BooleanType()), T.StructField("size", T.DoubleType())])
+
+
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.ArrayType(_RUN)), T.StructField("separator", T.StringType())]))
 def list_items(runs: pd.Series) -> pd.DataFrame:
     out = []
     for rs in runs:
