@@ -246,18 +246,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 WITH w AS (SELECT item_id, regexp_extract_all(text, '\\p{L}+') AS w FROM benchmark)
 SELECT item_id, 'keep' AS kind, [w[1]] AS variants FROM w
 UNION ALL SELECT item_id, 'group', CASE WHEN lower(w[2]) = lower(w[3]) THEN [w[2]] ELSE [w[2], w[3]] END FROM w
-UNION ALL SELECT item_id, 'group', [upper(w[4]) || ' Bare'] FROM w""")
+UNION ALL SELECT item_id, 'group', ['X' || w[4] || ' Bare'] FROM w""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     w = words(F.col("text"))
     say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
-    raw = F.concat_ws("\n", F.lit("# a note"), say("- KEEP: ", w[0]), say("TERM: ", w[1], " | ", w[2], " |"), say("* KEEP: \"", w[0], "\"."), say(F.upper(w[3]), " Bare"), F.lit("this is plain prose."))
+    raw = F.concat_ws("\n", F.lit("# a note"), say("- KEEP: ", w[0]), say("TERM: ", w[1], " | ", w[2], " |"), say("* KEEP: \"", w[0], "\""), say("X", w[3], " Bare"), F.lit("this is plain prose."))
     out = terms.parsed_lines(table(spark, d, "benchmark").select("item_id", raw.alias("raw")), "item_id", "raw")
     return out.select("item_id", "kind", "variants")
 
 
 @query("term_candidate_flag", """
 WITH l AS (SELECT item_id, unnest(range(len(s))) AS k, unnest(s) AS x FROM (SELECT item_id, string_split(text, ', ') AS s FROM benchmark))
-SELECT item_id, k::INT AS k, length(trim(x, ' ' || chr(10))) >= 2 AND NOT regexp_matches(trim(x, ' ' || chr(10)), '[?!.][)\\]}»›"'']*$') AND NOT contains(trim(x, ' ' || chr(10)), '. ') AND regexp_matches(x, '[\\p{Lu}_.]') AS ok FROM l""")
+SELECT item_id, k::INT AS k, length(trim(x, ' ' || chr(10))) >= 2 AND NOT regexp_matches(trim(x, ' ' || chr(10)), '[?!.][)\\]}»›"'']*$') AND NOT contains(regexp_replace(trim(x, ' ' || chr(10)), '(?i)\\b(?:vs|v|cf|etc|i\\.e|e\\.g|Sr|Sra|Sres|Sras|Dr|Dra|Mr|Mrs|Ms|No|Art|Inc|Ltd|St)\\.', '', 'g'), '. ') AND regexp_matches(x, '[\\p{Lu}_.]') AS ok FROM l""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", ", ")).alias("k", "x")).select("item_id", "k", terms.is_candidate(F.col("x")).alias("ok"))
 
