@@ -49,6 +49,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of an edge (src, dst); component is the smallest node that can be reached.
 

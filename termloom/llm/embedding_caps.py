@@ -26,9 +26,9 @@ SEED = 20240611
 
 
 def code_size(rows: int) -> int:
-    """Codewords a block: filters (its square) keep up with the rows, so caps hold about as many vectors at any size."""
+    """Codewords a block: filters (its square) keep well ahead of the rows, so few unrelated vectors share one at any size."""
     k = 64
-    while k < 4096 and k * k < rows:
+    while k < 4096 and k * k < 16 * rows:
         k *= 2
     return k
 
@@ -64,13 +64,24 @@ def list_decode(unit: np.ndarray, k: int, threshold: float = THRESHOLD, margin:
     return r1[i], c1[i].astype(np.int64) * g2.shape[1] + c2[j]
 
 
-def _units(vectors: list) -> np.ndarray:
+def _units(vectors: list | np.ndarray) -> np.ndarray:
     x = np.asarray(vectors, dtype=np.float64)
     big = np.abs(x).max(axis=1, keepdims=True)
     x = x / big
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """The rows as bytes: single precision where that loses nothing (a first byte tells), else double."""
+    low = x.astype(np.float32)
+    same = (low.astype(np.float64) == x).all(axis=1)
+    return [b"\4" + s.tobytes() if ok else b"\10" + d.tobytes() for s, d, ok in zip(low, x, same, strict=True)]
+
+
+def unpacked(rows: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(r, np.float32 if r[0] == 4 else np.float64, offset=1).astype(np.float64) for r in rows]
+
+
 def _mix(label: np.ndarray, dim: int, code: np.ndarray) -> np.ndarray:
     """A bucket number of (label, dim, filter); equal numbers of different labels are told apart on verification."""
     with np.errstate(over="ignore"):
@@ -95,7 +106,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     base = base.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("lab"), "ok", x.alias("vec"), F.when(F.col("ok"), F.xxhash64(label_col, vector_col)).alias("k1"), F.when(F.col("ok"), F.xxhash64(F.lit(1), vector_col, label_col)).alias("k2"))
     keyed = base.select("vec_id", "ok", "k1", "k2")
     label = F.col("lab").cast("long") if dict(df.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("lab")
-    classes = stage_table(base.where("ok").select("k1", "k2", "vec_id", label.alias("label"), F.col("vec").cast("array<double>").alias("vec")).groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec")), "caps")
+    classes = stage_table(base.where("ok").select("k1", "k2", "vec_id", label.alias("label"), F.col("vec")).groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec")), "caps")
     k = code_size(classes.count())
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,29 +115,26 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             for dim, part in pdf.groupby(size):
                 for at in range(0, len(part), 2048):
                     p = part.iloc[at : at + 2048]
-                    unit = _units(list(p["vec"]))
-                    row, code = list_decode(unit, k, threshold)
+                    raw = np.array(list(p["vec"]), dtype=np.float64)
+                    row, code = list_decode(_units(raw), k, threshold)
                     bucket = _mix(p["label"].to_numpy()[row], dim, code)
                     order = np.lexsort((bucket, row))
                     cut = np.searchsorted(row, np.arange(1, len(p)))
-                    yield pd.DataFrame({"id": p["id"].to_numpy(), "weight": p["weight"].to_numpy(), "label": p["label"].to_numpy(), "keys": np.split(bucket[order], cut), "vec": [u.tobytes() for u in unit]})
+                    yield pd.DataFrame({"id": p["id"].to_numpy(), "weight": p["weight"].to_numpy(), "label": p["label"].to_numpy(), "keys": np.split(bucket[order], cut), "vec": packed(raw)})
 
     payload = stage_table(classes.select("id", "weight", "label", "vec").mapInPandas(decode, "id long, weight long, label long, keys array<long>, vec binary"), "caps")
 
     def linked(t: pa.Table, own: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
         i, j = block_pairs(own, cross)
-        vec, label = t.column("vec").to_pylist(), t.column("label").to_numpy()
-        if len({len(v) for v in vec}) > 1 or not len(i):
-            return _by_pair(vec, label, i, j, cross)
-        m = np.frombuffer(b"".join(vec)).reshape(len(vec), -1)
+        vec, label = unpacked(t.column("vec").to_pylist()), t.column("label").to_numpy()
+        if len({len(v) for v in vec}) > 1 or not len(i):  # two buckets with one number: rare
+            out = [(a, b) for a in i for b in j if (cross or a < b) and label[a] == label[b] and len(vec[a]) == len(vec[b]) and _units([vec[a]])[0] @ _units([vec[b]])[0] >= threshold]
+            return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+        m = _units(vec)
         a, b = np.nonzero((m[i] @ m[j].T >= threshold) & (label[i][:, None] == label[j][None, :]))
         a, b = i[a], j[b]
         return (a, b) if cross else (a[a < b], b[a < b])
 
-    def _by_pair(vec: list, label: np.ndarray, i: np.ndarray, j: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-        out = [(a, b) for a in i for b in j if (cross or a < b) and label[a] == label[b] and len(vec[a]) == len(vec[b]) and np.frombuffer(vec[a]) @ np.frombuffer(vec[b]) >= threshold]
-        return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
-
     rows = payload.select(F.explode("keys").alias("bucket"), "id")
     links = stage_table(bucket_links(rows, payload.drop("keys"), linked), "caps")
     comp = connected_components(links.select(F.col("id").alias("src"), F.col("root").alias("dst")))

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, sized, stage_table
+from .common import fresh_name, pick, sized, stage_table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -50,13 +50,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
 
 
 def entropy_balance(cells: DataFrame, margins: dict[str, DataFrame], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, int]:
-    """Multipliers for word constraints: cells (one column a margin, words) and, by margin, (group, target).
-
-    The dual is sum(words * exp(l)) - sum(target * l), l the sum of a cell's multipliers. Groups of one margin share no
-    cell, so its Hessian block is diagonal and a step solves each group by Newton's rule on the log scale,
-    l += log(target / now) - the Newton step of log(sum exp) - taking the margins in turn. Every gradient is a
-    distributed aggregation over the cells; the multipliers stay in tables. Groups whose target or words are zero get
-    rate zero or stay out. Returns (cells with their rate, number of steps); one margin is met exactly in its first step.
+    """Rates that meet word constraints: cells (one column a margin, words) and, by margin, (group, target).
+
+    The convex dual is sum(words * exp(l)) - sum(target * l), l the sum of the multipliers of a cell's groups. Groups of
+    one margin share no cell, so their Hessian block is diagonal, and a Newton step moves each multiplier by
+    (target - now) / now, now being the words its cells take at present (kept within +-2, which only shortens the first
+    steps). Margins take their steps in turn. Gradient and Hessian are distributed aggregations over the cells, and
+    multipliers never leave the tables. A group without words or target keeps its rate. Returns (cells with their
+    rate exp(l), number of steps).
     """
     state = stage_table(cells.withColumn("rate", F.lit(1.0)), "mix")
     steps = 0
@@ -65,9 +66,9 @@ def entropy_balance(cells: DataFrame, margins: dict[str, DataFrame], max_steps:
         for name, targets in margins.items():
             now = state.groupBy(name).agg(F.sum(F.col("words") * F.col("rate")).alias("now"))
             t = targets.select(F.col("group").alias("_group"), "target")
-            step = now.join(t, now[name].eqNullSafe(t["_group"]), "left").select(F.col(name).alias("_key"), F.when(F.col("now") > 0, F.col("target") / F.col("now")).alias("_by"))
-            worst = max(worst, step.agg(F.max(F.abs(F.col("_by") - 1))).first()[0] or 0.0)
-            state = state.join(step, state[name].eqNullSafe(step["_key"]), "left").withColumn("rate", F.col("rate") * F.coalesce("_by", F.lit(1.0))).drop("_key", "_by")
+            step = now.join(t, now[name].eqNullSafe(t["_group"]), "left").select(F.col(name).alias("_key"), F.when((F.col("now") > 0) & (F.col("target") > 0), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("target") / F.col("now") - 1))).alias("_move"))
+            worst = max(worst, step.agg(F.max(F.abs("_move"))).first()[0] or 0.0)
+            state = state.join(step, state[name].eqNullSafe(step["_key"]), "left").withColumn("rate", F.col("rate") * F.exp(F.coalesce("_move", F.lit(0.0)))).drop("_key", "_move")
             state = stage_table(state, "mix")
         steps += 1
         if worst <= tolerance:
@@ -128,16 +129,13 @@ def _scatter(ids: np.ndarray) -> np.ndarray:
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of df, each as often as the mix takes it (documents without words stay once)."""
-    src = df.withColumn("_size", sized(F.col(text_col)))
-    copies = mix(df, id_col, text_col, source_col).groupBy("doc_id", "size").agg(F.max("copies").alias("_copies")).withColumnsRenamed({"doc_id": "_id", "size": "_words"})
-    joined = src.join(copies, src[id_col].eqNullSafe(copies["_id"]) & (F.col("_size") == F.col("_words")))
-    many = joined.withColumn("_n", F.explode(repeat_index("_copies")))
-    return many.select(*[df[c] for c in df.columns])
-
-
-def repeat_index(column: str) -> Column:
-    return F.when(F.col(column) > 0, F.sequence(F.lit(1), F.col(column).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """The rows of df, each as often as the mix takes it (documents without words stay once); columns of any name stay."""
+    copies, words, key = (fresh_name(df, n) for n in ("copies", "words", "key"))
+    src = df.withColumn(words, sized(F.col(text_col)))
+    plan = mix(df, id_col, text_col, source_col).groupBy("doc_id", "size").agg(F.max("copies").alias(copies)).withColumnRenamed("doc_id", key)
+    joined = src.join(plan, src[id_col].eqNullSafe(plan[key]) & (src[words] == plan["size"]))
+    many = joined.withColumn(key, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int"))))
+    return many.select(*[df[f"`{c}`"] for c in df.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,10 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # high-recall generators
-LOOSE_MAIL = re.compile(r"([A-Za-z0-9._%+-]+)\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?([A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]+)+)", re.I)
+LOOSE_MAIL = re.compile(r"([A-Za-z0-9._%+-]*[A-Za-z0-9])(?: ?(?:\(at\)|\[at\]|\{at\}) ?| at )([A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]+)+)", re.I)
 LOOSE_DIGITS = re.compile(r"\(?[0-9][0-9 ().\-/]{5,40}[0-9]")
 LOOSE_ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-LOOSE_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|credential)\s{0,3}(?:=|:|is)\s{0,3}[\"']?([^\s\"'<>]{6,200})", re.I)
+LOOSE_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|credential)\s{0,3}(?:=|:|is)\s{0,3}[\"']?([^\s\"'<>]{5,199}[^\s\"'<>.,;:)\]])", re.I)
 SECRET_HINTS = ("token", "secret", "passw", "pwd", "key", "credential")
 CONTEXT = 28
 _HINTS = {
@@ -117,7 +117,10 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 
 def _word_start(text: str, at: int) -> int:
+    """Where the word before at begins, at most 80 characters back."""
     lo = at
+    while lo > 0 and text[lo - 1].isspace() and at - lo < 3:
+        lo -= 1
     while lo > 0 and at - lo < 80 and not text[lo - 1].isspace():
         lo -= 1
     return lo
@@ -247,12 +250,14 @@ def labelled(n: int = 9000, seed: int = 11) -> list[tuple[str, str, bool]]:
         lambda: (rng.choice(("the token is ", "secret: ", "a password is ", "key is ")), word() + word(), False),
         lambda: (hint("mail") if rng.random() < 0.5 else "", mail(), True),
         lambda: ("", f"{word()} at {word()}.{word()}", False),
+        lambda: ("", f"{word()}. At {word()}. {word().capitalize()}", False),
+        lambda: ("", f"{word()} at {word()}. {word().capitalize()} {word()}", False),
         lambda: ("", f"{word()} at {word()} dot {word()}ing", False),
     )
     out = []
     for i in range(n):
         lead, span, good = made[i % len(made)]()
-        out.append((" ".join(word() for _ in range(rng.randint(0, 5))) + rng.choice((" ", ". ", "\n")) + lead + "\0" + span + "\0" + rng.choice((" ", ", ", ".", "\n", '"', ")")) + " ".join(word() for _ in range(rng.randint(0, 4))), span, good))
+        out.append((" ".join(word() for _ in range(rng.randint(0, 5))) + rng.choice((" ", ". ", "\n")) + lead + "\0" + span + "\0" + rng.choice((" ", ", ", ". ", "\n", '" ', ") ")) + " ".join(word() for _ in range(rng.randint(0, 4))), span, good))
     return out
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_ROWS, blocked, connected_components, merge_labels, pick, shared_buckets, sorted_groups, stage_table
+from .common import BLOCK_ROWS, blocked, connected_components, fresh_name, merge_labels, pick, shared_buckets, sorted_groups, stage_table
 
 RADIUS = 3
 SHINGLE = 3
@@ -170,8 +170,8 @@ def near_fingerprints(spark: SparkSession, fps: DataFrame, block_rows: int = BLO
     return connected_components(near.mapInArrow(run, "src long, dst long")).select(F.col("node").alias("fp"), "component")
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links), *keep.
 
     Documents link when their fingerprints differ in at most three bits. Equal fingerprints are one class and are
     compared once, so groups of copies never become pairs. Null, empty and blank texts have fingerprint zero and link
@@ -179,14 +179,14 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     come back as often as they came in.
     """
     spark = df.sparkSession
-    docs = stage_table(fingerprints(df, id_col, text_col), "simhash")
+    docs = stage_table(fingerprints(df, id_col, text_col, *keep), "simhash")
     classes = stage_table(docs.groupBy("fp").agg(F.min("id").alias("low")), "simhash")
     comp = stage_table(near_fingerprints(spark, classes.select("fp")), "simhash")
     low = comp.join(classes, "fp").groupBy("component").agg(F.min("low").alias("low"))
     known = classes.join(comp, "fp", "left").join(low.withColumnRenamed("low", "least"), "component", "left")
     known = known.select("fp", F.coalesce("least", "low").alias("component_id"))
     out = docs.join(known, "fp", "left")
-    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,11 +194,13 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows without an id stay only where their group has none with an id (all such rows stay then).
     """
-    groups = simhash_groups(df, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = df.join(groups, df[id_col].eqNullSafe(groups[id_col]), "left_semi")
-    twice = kept.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_twice"))
-    again = kept.join(twice, F.col(id_col) == F.col("_twice"), "left_semi").dropDuplicates([id_col])
-    once = kept.join(twice, F.col(id_col) == F.col("_twice"), "left_anti")
+    key, mark, own = (fresh_name(df, n) for n in ("key", "mark", "own_mark"))
+    marked = df.withColumn(mark, F.xxhash64(text_col))
+    groups = simhash_groups(marked, id_col, text_col, mark).where("doc_id <=> component_id").select(F.col("doc_id").alias(key), F.col(mark).alias(own)).distinct()
+    kept = marked.join(groups, marked[id_col].eqNullSafe(groups[key]) & (marked[mark] == groups[own]), "left_semi").drop(mark)
+    twice = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias(key))
+    again = kept.join(twice, kept[id_col] == twice[key], "left_semi").dropDuplicates([id_col])
+    once = kept.join(twice, kept[id_col] == twice[key], "left_anti")
     return once.unionByName(again)
 
 
