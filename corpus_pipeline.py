@@ -13,9 +13,7 @@ from termloom.llm.common import stage_table
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay, as they are: those without letters (und) go, as do predictions below even odds."""
-    told = language.identify(docs, language.fit(docs))
-    gone = told.where((F.col("lang_pred") == "und") | (F.col("score") < 0.5)).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    return language.with_known_language(docs, language.fit(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 #: Documents for each language that the classifier is fitted on, chosen by a hash of the id (expected number).
-SAMPLE_PER_LANG = 600
+SAMPLE_PER_LANG = 400
 EPOCHS = 12
 RIDGE = 1e-4
 #: ISO 639-1 codes by family; codes that are not here form families by likeness of their letters.
@@ -50,7 +50,7 @@ def grams(text: str) -> np.ndarray:
     h1 = cp * np.uint32(2654435761)
     h2 = (h1[:-1] ^ (h1[:-1] >> np.uint32(15))) * np.uint32(2246822519) + h1[1:]
     h3 = (h2[:-1] ^ (h2[:-1] >> np.uint32(13))) * np.uint32(3266489917) + h1[2:]
-    top = np.uint32(32 - 13)
+    top = np.uint32(32 - 12)
     return np.bincount(np.concatenate([(h >> top) for h in (h1, h2, h3)]), minlength=BUCKETS)
 
 
@@ -76,15 +76,17 @@ class LanguageModel:
         self.families = sorted(set(families.values()))
         self.members = {f: [x for x in langs if families[x] == f] for f in self.families}
         self.pairs = [(a, b) for f in self.families for a, b in combinations(self.members[f], 2)]
-        self.idf = np.ones(BUCKETS)
-        self.weights = np.zeros((BUCKETS, len(self.families) + len(self.pairs)))
+        self.idf = np.ones(BUCKETS, dtype=np.float32)
+        self.weights = np.zeros((BUCKETS, len(self.families) + len(self.pairs)), dtype=np.float32)
         self.bias = np.zeros(self.weights.shape[1])
         self.slope = 4.0
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        n = np.sqrt((x * x).sum(axis=-1, keepdims=True))
-        return x / np.where(n == 0, 1, n)
+        x = np.log1p(counts, dtype=np.float32)
+        x *= self.idf
+        n = np.sqrt(np.einsum("...i,...i->...", x, x))[..., None]
+        x /= np.where(n == 0, 1, n)
+        return x
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights + self.bias
@@ -148,8 +150,8 @@ def train(counts: np.ndarray, labels: list[str]) -> LanguageModel:
     langs = sorted(set(labels))
     y = np.array([langs.index(x) for x in labels])
     df = (counts > 0).sum(axis=0)
-    idf = np.log((1 + len(counts)) / (1 + df)) + 1.0
-    x = np.log1p(counts) * idf
+    idf = (np.log((1 + len(counts)) / (1 + df)) + 1.0).astype(np.float32)
+    x = np.log1p(counts, dtype=np.float32) * idf
     centroids = np.array([x[y == k].mean(axis=0) for k in range(len(langs))])
     model = LanguageModel(langs, families_of(langs, centroids - centroids.mean(axis=0) * (len(langs) > 1)))
     model.idf = idf
@@ -231,19 +233,37 @@ def identify(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                texts = part.column(1).to_pylist()
-                known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
-                lang, score = ["und"] * len(texts), [0.0] * len(texts)
-                if known:
-                    m = model.margins(model.vector(np.array([grams(texts[i]) for i in known], dtype=np.float64)))
-                    for i, row in zip(known, m, strict=True):
-                        lang[i], low = model.decide(row)
-                        score[i] = model.score(low)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                told = predictions(model, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return pick(df, id_col, text_col).mapInArrow(run, f"doc_id {dict(df.dtypes)[id_col]}, lang_pred string, score double")
 
 
+def predictions(model: LanguageModel | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of each text."""
+    out = [("und", 0.0)] * len(texts)
+    known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+    if known:
+        for i, row in zip(known, model.margins(model.vector(np.array([grams(texts[i]) for i in known], dtype=np.float32))), strict=True):
+            lang, low = model.decide(row)
+            out[i] = (lang, model.score(low))
+    return out
+
+
+def with_known_language(df: DataFrame, model: LanguageModel | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of df whose language can be told with a score of at least `least`; rows pass by as they are, without a shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                keep = [lang != "und" and score >= least for lang, score in predictions(model, part.column(at).to_pylist())]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs, fit(docs))
