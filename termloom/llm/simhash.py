@@ -194,14 +194,16 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows without an id stay only where their group has none with an id (all such rows stay then).
     """
-    key, mark, own = (fresh_name(df, n) for n in ("key", "mark", "own_mark"))
+    key, mark, own, n = (fresh_name(df, x) for x in ("key", "mark", "own_mark", "kept_rows"))
     marked = df.withColumn(mark, F.xxhash64(text_col))
-    groups = simhash_groups(marked, id_col, text_col, mark).where("doc_id <=> component_id").select(F.col("doc_id").alias(key), F.col(mark).alias(own)).distinct()
-    kept = marked.join(groups, marked[id_col].eqNullSafe(groups[key]) & (marked[mark] == groups[own]), "left_semi").drop(mark)
-    twice = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias(key))
-    again = kept.join(twice, kept[id_col] == twice[key], "left_semi").dropDuplicates([id_col])
-    once = kept.join(twice, kept[id_col] == twice[key], "left_anti")
-    return once.unionByName(again)
+    rows = stage_table(simhash_groups(marked, id_col, text_col, mark).where("doc_id <=> component_id").groupBy("doc_id", mark).agg(F.count(F.lit(1)).alias("c")), "simhash")
+    many = rows.groupBy("doc_id").agg(F.sum("c").alias("total")).where("total > 1 and doc_id is not null").select(F.col("doc_id").alias("d"), F.lit(2).alias(n))
+    plan = rows.join(many, rows["doc_id"] == many["d"], "left").select(F.col("doc_id").alias(key), F.col(mark).alias(own), F.coalesce(n, F.lit(1)).alias(n))
+    plan = stage_table(plan, "simhash")
+    kept = marked.join(plan, marked[id_col].eqNullSafe(plan[key]) & (marked[mark] == plan[own]))
+    # both halves read one exchange of the rows; only ids that repeat need the second one
+    once, again = kept.where(kept[n] == 1), kept.where(kept[n] == 2).dropDuplicates([id_col])
+    return once.unionByName(again).select(*[f"`{c}`" for c in df.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
