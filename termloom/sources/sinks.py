@@ -58,3 +58,17 @@ def snapshot(df: DataFrame, folder: str | None, name: str) -> DataFrame:
         return df
     df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
+def append_report(report: DataFrame, path: str) -> int:
+    """Appends the findings of a check to a log folder; returns how many there are."""
+    n = report.count()
+    if n:
+        report.withColumn("at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).write.mode("append").json(path)
+    return n
+
+
+def delete_file(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder if it is there."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)

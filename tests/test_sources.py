@@ -176,3 +176,23 @@ def test_catalogue(spark):
         want = con.execute(sql[name])
         cols = [c[0] for c in want.description]
         assert sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(repr, want.fetchall())), name
+
+
+def test_folder_run(spark, folder, tmp_path):
+    from termloom.plans import batch
+
+    out = batch.run_folder(spark, folder, f"{tmp_path}/o", guards.Dictionary({"Hello": "Hola"}), identify_title, to_target)
+    assert out["failed"].count() == 1 and out["documents"].first()["content"].startswith("# ")
+    assert ["Wrapped"] in [e.source_terms for e in glossary.coerce(spark, f"{tmp_path}/o/glossary.txt")]
+    n = out["blocks"].count()
+    again = batch.run_folder(spark, folder, f"{tmp_path}/o", guards.Echo(), None, None, phases=("translate",))
+    assert again["blocks"].count() == n > 5 and spark.read.json(f"{tmp_path}/o/runs").count() == 2
+    with pytest.raises(ValueError, match="nothing to build"):
+        batch.run_folder(spark, folder, f"{tmp_path}/p", guards.Echo(), user=False, phases=("glossary",))
+    assert batch.chosen_phases(None, True, True) == ("glossary",) and batch.chosen_phases(["translate"], True) == ("translate",)
+    assert batch.output_names("/x/a.b.docx", "2020")["tables"] == "a.b_translated_2020_tables"
+    assert sinks.append_report(again["check"], f"{tmp_path}/r") == again["check"].count() and sinks.delete_file(spark, f"{tmp_path}/o")
+
+
+def identify_title(segments):
+    return ["TERM: Title\nTERM: Wrapped" if "Wrapped" in s else "" for s in segments]
