@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one bucket that meet in one task; larger buckets are compared block by block.
 BLOCK_ROWS = 1024
+#: Groups of up to so many rows have their pairs verified together with those of other groups.
+SMALL_GROUP = 12
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -169,13 +171,13 @@ def first_shared(keys: list[np.ndarray], bucket: int, a: np.ndarray, b: np.ndarr
 LINK_SCHEMA = "id long, root long, n long"
 
 
-def bucket_links(rows: DataFrame, payload: DataFrame, linked: Callable, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def bucket_links(rows: DataFrame, payload: DataFrame, verify: Callable, block_rows: int = BLOCK_ROWS, screen: Callable | None = None) -> DataFrame:
     """Links inside buckets: rows (bucket, id) without repeats; payload (id, weight, ...), one row an id.
 
-    linked(table, own, cross) gets the rows of one pair of blocks and returns index arrays (a, b) of pairs that
-    link. A pair counts in the first bucket it shares. Returns (id, root, n): n adds the weights of the rows that
-    id is linked with there, root is the smallest id its links reach in that block pair, so the output grows with
-    the rows, not with the pairs.
+    verify(table, a, b) says which of the pairs of row numbers a, b link; it gets the pairs of many small buckets at
+    once. screen(table, own, cross) may give the pairs of one large block pair that are worth it (all by default). A pair
+    counts in the first bucket it shares. Returns (id, root, n): n adds the weights of the rows that id is linked with
+    there, root is the smallest id its links reach in that bucket, so the output grows with the rows, not the pairs.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = stage_table(shared_buckets(rows), "buckets")
@@ -188,31 +190,43 @@ def bucket_links(rows: DataFrame, payload: DataFrame, linked: Callable, block_ro
             ids, weight = t.column("id").to_numpy(), t.column("weight").to_numpy()
             own, bi, bj = (t.column(c).to_numpy() for c in ("own", "bi", "bj"))
             bucket = t.column("bucket").to_numpy()
-            keys = t.column("keys").combine_chunks()
-            keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
-            ends, flat = keys.offsets.to_numpy(), keys.values.to_numpy()
-            out: list[tuple] = []
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
+            lists = t.column("keys").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            few: list[tuple[int, int]] = []
+            many: list[tuple[np.ndarray, np.ndarray]] = []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if e - s < 2:
                     continue
-                a, b = linked(t.slice(s, e - s), own[s:e], bi[s] != bj[s])
-                if len(a):
-                    ks = [flat[ends[i] : ends[i + 1]] for i in range(s, e)]
-                    first = first_shared(ks, bucket[s], a, b)
-                    a, b = a[first], b[first]
-                if not len(a):
+                if e - s <= SMALL_GROUP and bi[s] == bj[s]:
+                    k = bucket[s]
+                    low = [{x for x in flat[ends[i] : ends[i + 1]].tolist() if x < k} for i in range(s, e)]
+                    few += [(s + i, s + j) for i in range(e - s) for j in range(i + 1, e - s) if low[i].isdisjoint(low[j])]
                     continue
-                n = np.bincount(a, weight[s:e][b], e - s) + np.bincount(b, weight[s:e][a], e - s)
-                lab = merge_labels(e - s, a, b)
+                a, b = (screen or every_pair)(t.slice(s, e - s), own[s:e], bi[s] != bj[s])
+                if len(a):
+                    first = first_shared([flat[ends[i] : ends[i + 1]] for i in range(s, e)], bucket[s], a, b)
+                    many.append((a[first] + s, b[first] + s))
+            many.append(tuple(np.array(few, dtype=np.int64).reshape(-1, 2).T))
+            a, b = (np.concatenate(x) for x in zip(*many, strict=True))
+            if len(a):
+                hit = verify(t, a, b)
+                a, b = a[hit], b[hit]
+            if len(a):
+                n = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
+                lab = merge_labels(len(ids), a, b)
                 hit = np.flatnonzero(n)
-                out.append((ids[s:e][hit], ids[s:e][lab[hit]], n[hit].astype(np.int64)))
-            if out:
-                cols = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "root", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[lab[hit]]), pa.array(n[hit].astype(np.int64))], ["id", "root", "n"])
 
     return near.mapInArrow(run, LINK_SCHEMA)
 
 
+def every_pair(t: pa.Table, own: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    i, j = block_pairs(own, cross)
+    a, b = np.repeat(i, len(j)), np.tile(j, len(i))
+    return (a, b) if cross else (a[a < b], b[a < b])
+
+
 def block_pairs(own: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """Row indices of the two sides that are to be compared: one block with itself or two different ones."""
     if not cross:

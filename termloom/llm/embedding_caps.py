@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, bucket_links, connected_components, pick, stage_table
+from .common import block_pairs, bucket_links, connected_components, every_pair, pick, stage_table
 
 THRESHOLD = 0.98
 #: Width of the accepted score range below a vector's best filter, in standard deviations of what two linked vectors can differ by.
@@ -124,19 +124,37 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     payload = stage_table(classes.select("id", "weight", "label", "vec").mapInPandas(decode, "id long, weight long, label long, keys array<long>, vec binary"), "caps")
 
-    def linked(t: pa.Table, own: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    def screen(t: pa.Table, own: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a large block pair that come near: one product of matrices (for vectors of one length; else all)."""
+        vec = unpacked(t.column("vec").to_pylist())
         i, j = block_pairs(own, cross)
-        vec, label = unpacked(t.column("vec").to_pylist()), t.column("label").to_numpy()
-        if len({len(v) for v in vec}) > 1 or not len(i):  # two buckets with one number: rare
-            out = [(a, b) for a in i for b in j if (cross or a < b) and label[a] == label[b] and len(vec[a]) == len(vec[b]) and _units([vec[a]])[0] @ _units([vec[b]])[0] >= threshold]
-            return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+        if not len(i) or len({len(v) for v in vec}) > 1:
+            return every_pair(t, own, cross)
         m = _units(vec)
-        a, b = np.nonzero((m[i] @ m[j].T >= threshold) & (label[i][:, None] == label[j][None, :]))
+        a, b = np.nonzero(m[i] @ m[j].T >= threshold - 1e-6)
         a, b = i[a], j[b]
         return (a, b) if cross else (a[a < b], b[a < b])
 
+    def verify(t: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Cosine in double precision and equal labels."""
+        label, vec = t.column("label").to_numpy(), t.column("vec")
+        hit = np.zeros(len(a), dtype=bool)
+        for at in range(0, len(a), 1 << 16):
+            p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            used, place = np.unique(np.concatenate([p, q]), return_inverse=True)
+            rows = unpacked(vec.take(pa.array(used)).to_pylist())
+            size = np.array([len(v) for v in rows])
+            for dim in np.unique(size):
+                own = np.flatnonzero(size == dim)
+                unit = np.zeros((len(rows), dim))
+                unit[own] = _units([rows[k] for k in own])
+                x, y = place[: len(p)], place[len(p) :]
+                both = np.flatnonzero((size[x] == dim) & (size[y] == dim) & (label[p] == label[q]))
+                hit[at + both] = np.einsum("ij,ij->i", unit[x[both]], unit[y[both]]) >= threshold
+        return hit
+
     rows = payload.select(F.explode("keys").alias("bucket"), "id")
-    links = stage_table(bucket_links(rows, payload.drop("keys"), linked), "caps")
+    links = stage_table(bucket_links(rows, payload.drop("keys"), verify, screen=screen), "caps")
     comp = connected_components(links.select(F.col("id").alias("src"), F.col("root").alias("dst")))
     n = links.groupBy("id").agg(F.sum("n").alias("n"))
     known = classes.select("k1", "k2", "id", "weight").join(n, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")

@@ -54,10 +54,11 @@ def vectors():
     return rows + [(n + k, v, label) for k, (v, label) in enumerate(odd)]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_near_vectors(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "small"), [(1024, 12), (3, 1)])
+def test_near_vectors(spark, monkeypatch, block, small):
     rows = vectors()
-    monkeypatch.setattr(embedding_caps, "bucket_links", lambda r, p, f: common.bucket_links(r, p, f, block))
+    monkeypatch.setattr(common, "SMALL_GROUP", small)
+    monkeypatch.setattr(embedding_caps, "bucket_links", lambda r, p, f, screen: common.bucket_links(r, p, f, block, screen))
     table = spark.createDataFrame([(*r, 0, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, id int, component_id string, n_links long")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_caps.near_vectors(table).collect()}
     fine = [(i, np.array(v, float), label) for i, v, label in rows if v and label is not None and None not in v and np.isfinite(v).all() and np.any(v)]
