@@ -23,6 +23,8 @@ CAP = 3
 GROUP_DOCS = 1000
 TOLERANCE = 1e-10
 MAX_STEPS = 60
+#: Files of the cell table between Newton steps: it has a row for each combination of groups, not for each document.
+CELL_PARTS = 8
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -59,7 +61,7 @@ def entropy_balance(cells: DataFrame, margins: dict[str, DataFrame], max_steps:
     multipliers never leave the tables. A group without words or target keeps its rate. Returns (cells with their
     rate exp(l), number of steps).
     """
-    state = stage_table(cells.withColumn("rate", F.lit(1.0)), "mix")
+    state = stage_table(cells.withColumn("rate", F.lit(1.0)).coalesce(CELL_PARTS), "mix")
     steps = 0
     while steps < max_steps:
         worst = 0.0
@@ -69,7 +71,7 @@ def entropy_balance(cells: DataFrame, margins: dict[str, DataFrame], max_steps:
             step = now.join(t, now[name].eqNullSafe(t["_group"]), "left").select(F.col(name).alias("_key"), F.when((F.col("now") > 0) & (F.col("target") > 0), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("target") / F.col("now") - 1))).alias("_move"))
             worst = max(worst, step.agg(F.max(F.abs("_move"))).first()[0] or 0.0)
             state = state.join(step, state[name].eqNullSafe(step["_key"]), "left").withColumn("rate", F.col("rate") * F.exp(F.coalesce("_move", F.lit(0.0)))).drop("_key", "_move")
-            state = stage_table(state, "mix")
+            state = stage_table(state.coalesce(CELL_PARTS), "mix")
         steps += 1
         if worst <= tolerance:
             break
