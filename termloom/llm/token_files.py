@@ -185,7 +185,7 @@ class WordIds:
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if max(chunk) < "ɐ" and "İ" not in chunk and "<|" not in chunk:
+        if (chunk.isascii() or (max(chunk) < "ɐ" and "İ" not in chunk)) and "<|" not in chunk:
             return b"".join(map(self.words.__getitem__, self.find(chunk.lower())))
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
 
