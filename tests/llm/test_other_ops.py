@@ -115,6 +115,12 @@ def test_image_copies(spark):
     assert np.mean([got[i]["component_id"] == want[i] for i in names]) >= 0.95
 
 
+def test_textures_are_smoothed_twice():
+    f = image_copies.textures(8)
+    near = [np.corrcoef(a[:, 1:].ravel(), a[:, :-1].ravel())[0, 1] for a in f]
+    assert np.mean(near) == pytest.approx(34 / 37, abs=0.02)  # smoothed once it is 2 / 3
+
+
 def test_pgm():
     img = np.arange(30, dtype=float).reshape(5, 6)
     assert (image_copies.read_pgm(image_copies.write_pgm(img)) == img).all()
