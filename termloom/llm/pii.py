@@ -29,7 +29,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # high-recall generators
 LOOSE_MAIL = re.compile(r"([A-Za-z0-9._%+-]*[A-Za-z0-9])(?: ?(?:\(at\)|\[at\]|\{at\}) ?| at )([A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]+)+)", re.I)
-LOOSE_DIGITS = re.compile(r"\(?[0-9][0-9 ().\-/]{5,40}[0-9]")
+DIGIT_CHAIN = re.compile(r"[0-9][0-9 ().\-/]{5,}[0-9]")
+DIGITS = re.compile(r"[0-9]+")
+GAP = " ().-/"
 LOOSE_ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 LOOSE_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|credential)\s{0,3}(?:=|:|is)\s{0,3}[\"']?([^\s\"'<>]{5,199}[^\s\"'<>.,;:)\]])", re.I)
 SECRET_HINTS = ("token", "secret", "passw", "pwd", "key", "credential")
@@ -89,6 +91,24 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [mail, ip, card, phone]
 
 
+def digit_runs(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of every run of adjacent digit groups with 7 to 19 digits, from every group on.
+
+    A bracket that opens right before a run counts to it if it closes inside.
+    """
+    for chain in DIGIT_CHAIN.finditer(text):
+        groups = [m.span() for m in DIGITS.finditer(text, *chain.span())]
+        for i, (lo, _) in enumerate(groups):
+            n = 0
+            for a, hi in groups[i:]:
+                n += hi - a
+                if n > 19:
+                    break
+                if n >= 7:
+                    opened = lo > 0 and text[lo - 1] == "(" and text.find(")", lo, hi) >= 0
+                    yield lo - opened, hi, n
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Everything that could be personal data beyond the base rules; spans may overlap."""
     out = []
@@ -99,14 +119,13 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 hit = LOOSE_MAIL.search(text, max(0, _word_start(text, m.start())), min(len(text), m.end() + 120))
                 if hit:
                     out.append(("email", *hit.span()))
-    for m in LOOSE_DIGITS.finditer(text):
-        n = len(_digits(m[0]))
-        if 7 <= n <= 15:
-            out.append(("phone", *m.span()))
-        if 13 <= n <= 19:
-            out.append(("card", *m.span()))
+    for lo, hi, n in digit_runs(text):
+        if n <= 15:
+            out.append(("phone", lo, hi))
+        if n >= 13:
+            out.append(("card", lo, hi))
         if n == 9:
-            out.append(("national_id", *m.span()))
+            out.append(("national_id", lo, hi))
     for m in LOOSE_ACCOUNT.finditer(text):
         out.append(("account", *m.span()))
     low = text.lower()
@@ -130,6 +149,17 @@ def _side(c: str) -> float:
     return 0.0 if not c or c.isspace() else 1.0 if c.isalpha() else 2.0 if c.isdigit() else 3.0
 
 
+def _beside(text: str, lo: int, hi: int) -> list[float]:
+    """Of the digit groups next to a run, left and right: their digits, the gap, and whether the run has such a gap inside."""
+    inside = set(re.split(r"[0-9]+", text[lo:hi].lstrip("("))[1:-1])
+    left, right = text[max(0, lo - CONTEXT) : lo], text[hi : hi + CONTEXT]
+    row = []
+    for gap, rest in ((left[len(left.rstrip(GAP)) :], left.rstrip(GAP)[::-1]), (right[: len(right) - len(right.lstrip(GAP))], right.lstrip(GAP))):
+        m = DIGITS.match(rest)
+        row += [float(len(m[0])), float(len(gap)), float(gap in inside)] if m else [0.0, 0.0, 0.0]
+    return row
+
+
 def features(text: str, kind: str, lo: int, hi: int) -> list[float]:
     """Format of the span and words around it."""
     s = text[lo:hi]
@@ -143,6 +173,8 @@ def features(text: str, kind: str, lo: int, hi: int) -> list[float]:
     row += [float(16 <= len(d) <= 19 and luhn(d)), float(kind == "account" and mod97(s)), hexes / max(1, n), len(set(s)) / max(1, n), _side(text[lo - 1 : lo] if lo else ""), _side(text[hi : hi + 1])]
     row += [float(s[:1] == "("), float(s.startswith("00")), float([3, 2, 4] == groups), float("at" in s.lower()), float("dot" in s.lower() or "." in s), float(" " in s), float("-" in s), float("." in s), float("/" in s)]
     row += [float(any(w in before for w in words)) for words in _HINTS.values()]
+    row += [float(g) for g in (groups + [0, 0, 0])[1:3]]
+    row += _beside(text, lo, hi) if kind in ("phone", "card", "national_id") else [0.0] * 6
     return row
 
 
@@ -223,7 +255,10 @@ def _account(rng: random.Random, good: bool) -> str:
 
 
 def labelled(n: int = 9000, seed: int = 11) -> list[tuple[str, str, bool]]:
-    """Generated cases (text, personal part, whether it is personal): both classes in plain and in telling contexts."""
+    """Generated cases (text, personal part, whether it is personal): both classes in plain and in telling contexts.
+
+    NULs enclose the part, and further personal parts of its kind beside it.
+    """
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("etaoinshrdlucmfgypwbv") for _ in range(rng.randint(2, 9)))
     hint = lambda k: rng.choice(_HINTS[k]) + rng.choice((": ", " ", " is ", ". ", " no "))
@@ -231,6 +266,8 @@ def labelled(n: int = 9000, seed: int = 11) -> list[tuple[str, str, bool]]:
     hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789_-!") for _ in range(k))
     mail = lambda: f"{word()}{rng.choice(('', '.' + word()))} {rng.choice(('(at)', '[at]', 'at'))} {word()} {rng.choice(('(dot)', '[dot]', 'dot'))} {rng.choice(('com', 'org', 'net', 'de', 'fr'))}"
+    day = lambda: rng.choice(("{y}-{m:02d}-{d:02d}", "{d:02d}.{m:02d}.{y}", "{m:02d}/{d:02d}/{y}")).format(y=rng.randint(1900, 2030), m=rng.randint(1, 12), d=rng.randint(1, 28))
+    next_to = lambda: rng.choice((" / ", " ", ". ", " - ", "/", "  "))
     made = (
         lambda: (hint("phone") if rng.random() < 0.7 else "", phone(), True),
         lambda: ("", f"({_number(rng, 3)}) {_number(rng, 3)}-{_number(rng, 4)}", True),
@@ -253,25 +290,39 @@ def labelled(n: int = 9000, seed: int = 11) -> list[tuple[str, str, bool]]:
         lambda: ("", f"{word()}. At {word()}. {word().capitalize()}", False),
         lambda: ("", f"{word()} at {word()}. {word().capitalize()} {word()}", False),
         lambda: ("", f"{word()} at {word()} dot {word()}ing", False),
+        # numbers beside each other: each personal one is marked
+        lambda: (hint("phone") if rng.random() < 0.7 else "", next_to().join(("{}",) * rng.randint(2, 4)), phone),
+        lambda: (hint("phone") if rng.random() < 0.7 else "", "{}" + rng.choice((" ", ". ", " - ", " (", " / ")) + day(), phone),
+        lambda: (hint("phone") if rng.random() < 0.5 else "", rng.choice((day(), str(rng.randint(1900, 2030)), _number(rng, rng.randint(1, 3)) + ".", f"({rng.randint(1900, 2030)})")) + rng.choice((" ", ". ", " - ", " / ")) + "{}", phone),
+        lambda: (hint("card") if rng.random() < 0.5 else "", "{}" + next_to() + rng.choice(("{}", day(), _number(rng, 3))), lambda: ".".join(re.findall("....", _with_check(rng, 16)))),
+        lambda: (hint("national_id"), rng.choice(("{}" + next_to() + "{}", "{} " + day(), day() + " {}")), lambda: f"{_number(rng, 3)}-{_number(rng, 2)}-{_number(rng, 4)}"),
+        lambda: ("", day() + next_to() + day(), False),
     )
     out = []
     for i in range(n):
         lead, span, good = made[i % len(made)]()
-        out.append((" ".join(word() for _ in range(rng.randint(0, 5))) + rng.choice((" ", ". ", "\n")) + lead + "\0" + span + "\0" + rng.choice((" ", ", ", ". ", "\n", '" ', ") ")) + " ".join(word() for _ in range(rng.randint(0, 4))), span, good))
+        if callable(good):
+            shape, make = re.split(r"(\{\})", span), good
+            parts = [make() if x == "{}" else x for x in shape]
+            lead, span, tail = lead + parts[0], parts[1], "".join(f"\0{x}\0" if y == "{}" else x for x, y in zip(parts[2:], shape[2:], strict=True))
+            good = True
+        else:
+            tail = ""
+        out.append((" ".join(word() for _ in range(rng.randint(0, 5))) + rng.choice((" ", ". ", "\n")) + lead + "\0" + span + "\0" + tail + rng.choice((" ", ", ", ". ", "\n", '" ', ") ")) + " ".join(word() for _ in range(rng.randint(0, 4))), span, good))
     return out
 
 
 def cases(rows: list[tuple[str, str, bool]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Features and truth of all candidates that the generators propose in the cases: true if the span is the personal part."""
+    """Features and truth of all candidates that the generators propose in the cases: true if the span is a personal part."""
     x, y, kinds = [], [], []
     for marked, span, good in rows:
-        lo = marked.index("\0")
-        text = marked.replace("\0", "")
-        hi = lo + len(span)
+        parts = marked.split("\0")
+        text = "".join(parts)
+        ends = np.cumsum([len(v) for v in parts]).tolist()
+        own = list(zip(ends[::2], ends[1::2], strict=False)) if good else []
         for kind, a, b in candidates(text):
-            inside = a < hi and b > lo
             x.append(features(text, kind, a, b))
-            y.append(float(good and inside and abs(a - lo) <= 1 and abs(b - hi) <= 1 and _right_kind(kind, span)))
+            y.append(float(any(abs(a - lo) <= 1 and abs(b - hi) <= 1 and _right_kind(kind, text[lo:hi]) for lo, hi in own)))
             kinds.append(kind)
     return np.array(x), np.array(y), kinds
 

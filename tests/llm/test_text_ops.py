@@ -195,6 +195,21 @@ def test_boosted_trees_on_cases_not_seen():
     assert hit / (hit + miss) > 0.85 and wrong / clean < 0.05
 
 
+def test_numbers_beside_each_other():
+    model = pii.fit()
+    for text, want in (
+        ("(555) 123-4567 / 555-987-6543", ["(555) 123-4567", "555-987-6543"]),
+        ("555-123-4567. 2024-01-02", ["555-123-4567"]),
+        ("2011 555-123-4567", ["555-123-4567"]),
+        ("phone 555-123-4567 555-987-6543 555-222-1111", ["555-123-4567", "555-987-6543", "555-222-1111"]),
+    ):
+        assert [text[a:b] for _, a, b in pii.all_spans(text, model)[1]] == want
+    for text in ("12 (345) 678-90 / 1234567", "1234567" * 9 + " 1234567"):  # every run of groups with 7 to 19 digits
+        groups = [m.span() for m in re.finditer("[0-9]+", text)]
+        runs = {(g[0], h[1]) for i, g in enumerate(groups) for h in groups[i:] if 7 <= sum(c.isdigit() for c in text[g[0] : h[1]]) <= 19}
+        assert {(a + (text[a] == "("), b) for a, b, _ in pii.digit_runs(text)} == runs
+
+
 def test_redaction_keeps_the_rest():
     assert pii.redacted("ab cd ef", [("email", 3, 5), ("phone", 4, 7)]) == "ab [EMAIL]f"
 
