@@ -33,7 +33,7 @@ DIGIT_CHAIN = re.compile(r"[0-9][0-9 ().\-/]{5,}[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 GAP = " ().-/"
 LOOSE_ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-LOOSE_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|credential)\s{0,3}(?:=|:|is)\s{0,3}[\"']?([^\s\"'<>]{5,199}[^\s\"'<>.,;:)\]])", re.I)
+LOOSE_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|credential)\s{0,3}(?:=|:|is)\s{0,3}[\"']?([^\s\"'<>]{5,}[^\s\"'<>.,;:)\]])", re.I)
 SECRET_HINTS = ("token", "secret", "passw", "pwd", "key", "credential")
 CONTEXT = 28
 _HINTS = {
@@ -297,6 +297,7 @@ def labelled(n: int = 9000, seed: int = 11) -> list[tuple[str, str, bool]]:
         lambda: (hint("card") if rng.random() < 0.5 else "", "{}" + next_to() + rng.choice(("{}", day(), _number(rng, 3))), lambda: ".".join(re.findall("....", _with_check(rng, 16)))),
         lambda: (hint("national_id"), rng.choice(("{}" + next_to() + "{}", "{} " + day(), day() + " {}")), lambda: f"{_number(rng, 3)}-{_number(rng, 2)}-{_number(rng, 4)}"),
         lambda: ("", day() + next_to() + day(), False),
+        lambda: (rng.choice(("token = ", "secret: ", "api_key=", "access_key: ")) + rng.choice(('"', "'", "")), rng.choice((hexes, mixed, lambda k: ".".join(mixed(k // 3) for _ in range(3)) + "Q"))(rng.randint(60, 1500)), True),
     )
     out = []
     for i in range(n):

@@ -210,6 +210,14 @@ def test_numbers_beside_each_other():
         assert {(a + (text[a] == "("), b) for a, b, _ in pii.digit_runs(text)} == runs
 
 
+def test_secrets_are_spanned_to_their_end():
+    rng = np.random.default_rng(6)
+    part = lambda k: "".join(rng.choice(list("abcdefABCDEF0123456789_-"), k))
+    for value in (part(449) + "7", f"{part(40)}.{part(380)}.{part(42)}a", part(2999) + "x"):
+        text = f'set token = "{value}" and go'
+        assert pii.redacted(text, pii.all_spans(text, pii.fit())[1]) == 'set token = "[SECRET]" and go'
+
+
 def test_redaction_keeps_the_rest():
     assert pii.redacted("ab cd ef", [("email", 3, 5), ("phone", 4, 7)]) == "ab [EMAIL]f"
 
