@@ -26,6 +26,7 @@ NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style head title template noscript textarea select option button svg math iframe object canvas audio video datalist".split())
 RAW = frozenset("script style textarea title".split())
+HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template noframes".split())
 BLOCKS = ("html body main article section div nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot caption tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog hgroup center").split()
 BLOCK = {name: i for i, name in enumerate(BLOCKS)}
 CLOSES_P = frozenset(BLOCKS) - {"html", "body"}
@@ -85,6 +86,8 @@ def parse(html: str, labelled: bool = False) -> Page:
 
     def text(piece: str) -> None:
         nonlocal run
+        if unseen and unseen[-1] == "head" and piece.strip(" \t\n\r\f"):  # text ends a head
+            unseen.pop()
         if not piece or unseen:
             return
         if "&" in piece:
@@ -133,6 +136,14 @@ def parse(html: str, labelled: bool = False) -> Page:
                     close(k)
                     break
             continue
+        if unseen and unseen[-1] == "head":
+            if name not in HEAD:  # so does what cannot stand in it
+                unseen.pop()
+            elif name == "noframes":
+                unseen.append(name)
+                continue
+            elif name == "head":
+                continue
         if name in UNSEEN:
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)

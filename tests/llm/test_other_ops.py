@@ -175,6 +175,16 @@ def test_main_text(spark):
     assert html_text.main_text(table.limit(0), model).count() == 0
 
 
+def test_heads_that_no_tag_ends():
+    rest = "<article><h1>A</h1><p>First line of the text, in full.<p>Second line.</article>"
+    inner = '<meta charset="utf-8"><title>T</title><link rel="x"><script>var a = "<p>no</p>";</script><noscript><p>no</p></noscript><noframes><p>no</p></noframes>'
+    whole = [r[1] for r in html_text.parse(f"<html><head>{inner}</head><body>{rest}</body></html>").runs]
+    assert whole == [["A"], ["First line of the text, in full."], ["Second line."]]
+    for head in (f"<html><head>{inner}", f"<head><head>\n{inner}\n", f"<!doctype html><html><head>{inner}<!-- c --><svg><p>no</p></svg>"):
+        assert [r[1] for r in html_text.parse(head + rest).runs] == whole
+    assert [r[1] for r in html_text.parse(f"<head>{inner} text first<p>then").runs] == [[" text first"], ["then"]]
+
+
 def test_fixity(spark):
     rows = [(i, f"u{i}", "x" * (i % 90), 1) for i in range(3000)] + [(None, None, None, 1), (5, "u5", "xxxxx", 1), (-4, "neg", "y", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, file int")
