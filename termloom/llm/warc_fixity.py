@@ -136,21 +136,61 @@ def differing_leaves(a: list[DataFrame], b: list[DataFrame], inside: int) -> Dat
     return wrong.select("file", "idx", F.col("ha").isNotNull().alias("in_a"), F.col("hb").isNotNull().alias("in_b"))
 
 
+def realigned(a: DataFrame, b: DataFrame, wrong: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Differing leaves in pairs: (file, idx, status) of the master's that are not intact, and (file, idx) of the extra ones.
+
+    Leaves of a file pair by hash, then by id (repeats of either in their order). What is left, where an id is null, pairs
+    by its order between the same two neighbours.
+    """
+
+    def ranked(x: DataFrame, name: str, *by: str) -> DataFrame:
+        return x.withColumn("rank", F.row_number().over(Window.partitionBy("file", *by).orderBy("idx"))).withColumnRenamed("idx", name)
+
+    def pairs(x: DataFrame, y: DataFrame, *by: str) -> DataFrame:
+        keys = ["file", *by, "rank"]
+        return stage_table(ranked(x, "ia", *by).join(ranked(y, "ib", *by).select(*keys, "ib"), keys).select("file", "ia", "ib"), "merkle")
+
+    def without(x: DataFrame, done: DataFrame, name: str) -> DataFrame:
+        return x.join(done.select("file", F.col(name).alias("idx")), ["file", "idx"], "left_anti")
+
+    cols = ["file", "idx", "id", "sha256"]
+    in_a, in_b = (stage_table(x.select(*cols).join(wrong.where(k), ["file", "idx"], "left_semi"), "merkle") for x, k in ((a, "in_a"), (b, "in_b")))
+    same = pairs(in_a, in_b, "sha256")
+    rest_a, rest_b = without(in_a, same, "ia"), without(in_b, same, "ib")
+    named = pairs(rest_a.where("id is not null"), rest_b.where("id is not null"), "id")
+    rest_a, rest_b = (stage_table(without(x, named, k), "merkle") for x, k in ((rest_a, "ia"), (rest_b, "ib")))
+    # the last leaf before each that has a partner, as the master numbers it
+    alike = a.select("file", "idx").join(wrong, ["file", "idx"], "left_anti").select("file", F.col("idx").alias("ia"), F.col("idx").alias("ib"))
+    fixed = alike.unionByName(same).unionByName(named).join(rest_a.select("file").intersect(rest_b.select("file")), "file", "left_semi")
+    before = Window.partitionBy("file").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+
+    def placed(rest: DataFrame, name: str) -> DataFrame:
+        marked = fixed.select("file", F.col(name).alias("idx"), F.col("ia").alias("at")).unionByName(rest.select("file", "idx", "id"), allowMissingColumns=True)
+        marked = marked.withColumn("gap", F.coalesce(F.last("at", True).over(before), F.lit(-1).cast("long")))
+        return marked.where("at is null").withColumnRenamed("id", f"id_{name}")
+
+    keys = ["file", "gap", "rank"]
+    unnamed = ranked(placed(rest_a, "ia"), "ia", "gap").select(*keys, "ia", "id_ia").join(ranked(placed(rest_b, "ib"), "ib", "gap").select(*keys, "ib", "id_ib"), keys)
+    unnamed = stage_table(unnamed.where("id_ia is null or id_ib is null").select("file", "ia", "ib"), "merkle")
+    corrupt = named.unionByName(unnamed).select("file", F.col("ia").alias("idx"), F.lit("corrupt").alias("status"))
+    missing = without(rest_a, unnamed, "ia").select("file", "idx", F.lit("missing").alias("status"))
+    return corrupt.unionByName(missing), without(rest_b, unnamed, "ib").select("file", "idx")
+
+
 def audit(master: DataFrame, replica: DataFrame) -> DataFrame:
     """The master's records with status: intact, corrupt (the replica's bytes differ) or missing; and the replica's extra ones.
 
     Both are (id, file, position, length, sha256). Empty replicas leave every record missing, empty masters every one
-    extra; equal rows are separate records. Records pair by their order in the file, so a record lost from the middle
-    of a file marks those after it; bit rot and lost tails mark just the records hit.
+    extra; equal rows are separate records. The trees say which leaves differ; those are realigned, so that records lost
+    from or put into the middle of a file mark no others. A record whose bytes lie elsewhere in its file is intact.
     """
     a, b = stage_table(leaves(master), "merkle"), stage_table(leaves(replica), "merkle")
     inside, over = depth(a, b)
     wrong = stage_table(differing_leaves(tree(a, inside, over), tree(b, inside, over), inside), "merkle")
-    status = F.when(F.col("in_b").isNull(), "intact").when(F.col("in_b"), "corrupt").otherwise("missing")
+    found, extra = realigned(a, b, wrong)
     cols = ["id", "file", "idx", "offset", "length", "sha256"]
-    known = a.join(wrong, ["file", "idx"], "left").select(*cols, status.alias("status"))
-    extra = b.join(wrong.where(~F.col("in_a")), ["file", "idx"], "left_semi").select(*cols, F.lit("extra").alias("status"))
-    return known.unionByName(extra)
+    known = a.join(found, ["file", "idx"], "left").select(*cols, F.coalesce("status", F.lit("intact")).alias("status"))
+    return known.unionByName(b.join(extra, ["file", "idx"], "left_semi").select(*cols, F.lit("extra").alias("status")))
 
 
 def page_records(pages: DataFrame) -> DataFrame:

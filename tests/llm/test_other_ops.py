@@ -201,6 +201,23 @@ def test_fixity(spark):
     assert warc_fixity.audit(none, none).count() == 0
 
 
+@pytest.mark.parametrize("named", [True, False])
+def test_fixity_of_files_that_lost_or_gained_records(spark, named):
+    schema = "id long, file long, position long, length long, sha256 string"
+    rows = [(i, i >> 10, i, 10, f"h{i}") for i in range(3000)] + [(40, 0, 40, 10, "h40")]
+    lost, rot = {7, 500, 501, 1024, 2047, 2500, 2999}, {8, 600, 2048, 2600}
+    copy = [(i, f, p, n, f"rot{i}" if i in rot else h) for i, f, p, n, h in rows if i not in lost]
+    copy += [(9000, 1, 1500, 10, "new"), (9001, 5, 0, 10, "new")]
+    if not named:  # the replica's numbers are only its own order, and nothing but the bytes tells a record
+        lost, rot = lost | {8}, rot - {8}
+        copy = [(None, f, k, n, h) for k, (i, f, p, n, h) in enumerate(sorted(copy, key=lambda r: (r[1], r[2], r[4]))) if i != 8]
+    got = warc_fixity.audit(spark.createDataFrame(rows, schema), spark.createDataFrame(copy, schema)).collect()
+    by = lambda status: sorted(r["id"] for r in got if r["status"] == status)
+    assert by("missing") == sorted(lost) and by("corrupt") == sorted(rot)
+    assert [r["sha256"] for r in got if r["status"] == "extra"] == ["new", "new"]
+    assert len(by("intact")) == len(rows) - len(lost) - len(rot)
+
+
 def test_audit_descends_only_into_differing_branches(spark):
     leaf = spark.range(4096).select(F.lit(1).cast("long").alias("file"), F.col("id").alias("position"), F.lit(10).cast("long").alias("length"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
     a = warc_fixity.leaves(leaf)
