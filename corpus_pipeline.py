@@ -12,7 +12,7 @@ from termloom.llm.common import stage_table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay, as they are: those without letters (und) go, as do predictions below even odds."""
+    """Documents whose language can be told stay, as they are: those without letters (und) go, as do unclear predictions."""
     return language.with_known_language(docs, language.fit(docs))
 
 

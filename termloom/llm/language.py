@@ -80,6 +80,7 @@ class LanguageModel:
         self.weights = np.zeros((BUCKETS, len(self.families) + len(self.pairs)), dtype=np.float32)
         self.bias = np.zeros(self.weights.shape[1])
         self.slope = 4.0
+        self.least = 0.5
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts, dtype=np.float32)
@@ -168,14 +169,16 @@ def train(counts: np.ndarray, labels: list[str]) -> LanguageModel:
         own = ((y == ia) | (y == ib)) & ~hold
         sign = np.where(y[own] == ia, 1.0, -1.0)
         model.weights[:, nf + k], model.bias[nf + k] = linear_svm(x[own], sign, np.ones(int(own.sum())))
-    model.slope = _slope(model, x[hold], [langs[k] for k in y[hold]])
+    model.slope, model.least = _calibrated(model, x[hold], [langs[k] for k in y[hold]])
     return model
 
 
-def _slope(model: LanguageModel, x: np.ndarray, truth: list[str]) -> float:
-    """Slope of the score on held-back sample rows: the one of a fixed list with the least log loss."""
+def _calibrated(model: LanguageModel, x: np.ndarray, truth: list[str]) -> tuple[float, float]:
+    """From held-back sample rows: the slope of the score, of a fixed list the one with the least log loss, and the score
+    below which a prediction is unclear, that of half the least margin of a right one.
+    """
     if not len(x):
-        return 4.0
+        return model.slope, model.least
     told = [model.decide(m) for m in model.margins(x)]
     right = np.array([a == t for (a, _), t in zip(told, truth, strict=True)])
     margin = np.minimum(np.array([c for _, c in told]), 50)
@@ -184,7 +187,9 @@ def _slope(model: LanguageModel, x: np.ndarray, truth: list[str]) -> float:
         p = np.clip(1 / (1 + np.exp(-s * margin)), 1e-6, 1 - 1e-6)
         return float(-np.where(right, np.log(p), np.log(1 - p)).mean())
 
-    return min((1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0), key=loss)
+    slope = min((1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0), key=loss)
+    half = max(0.0, float(margin[right].min())) / 2 if right.any() else 0.0
+    return slope, float(1 / (1 + np.exp(-slope * half)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -250,9 +255,12 @@ def predictions(model: LanguageModel | None, texts: list[str | None]) -> list[tu
     return out
 
 
-def with_known_language(df: DataFrame, model: LanguageModel | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of df whose language can be told with a score of at least `least`; rows pass by as they are, without a shuffle."""
+def with_known_language(df: DataFrame, model: LanguageModel | None, least: float | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of df whose language can be told with a score of at least `least` (by default the model's own bound);
+    rows pass by as they are, without a shuffle."""
     at = df.columns.index(text_col)
+    if least is None:
+        least = model.least if model is not None else 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

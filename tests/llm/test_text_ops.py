@@ -167,6 +167,16 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in pred.values())
 
 
+def test_unclear_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    assert 0.5 < model.least < 1
+    odd = ["wszystkie ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "все люди рождаются свободными и равными в своем достоинстве", "xqzv kjwp zzxq vbnm qwpx jjkq wvxz pqzk zxcv bnmq", "人人生而自由在尊严和权利上一律平等", "kaikki ihmiset syntyvät vapaina ja tasavertaisina"]
+    assert language.with_known_language(spark.createDataFrame([(t,) for t in odd], "text string"), model).count() == 0
+    known = [r["text"] for r in docs.select("text").collect() if language.has_letter(r["text"])]
+    assert language.with_known_language(docs, model).count() >= 0.995 * len(known)
+
+
 MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
