@@ -8,14 +8,16 @@ the bits. Parts and blocks ascend by document id. All checkpoints of a block dec
 
 from __future__ import annotations
 
-import gc
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,13 @@ MAX_BITS = 20
 CHECKPOINT_IDS = 64
 BLOCK_IDS = 1 << 16
 END_ID = 2
-#: Words and chunks remembered by a task; beyond it the memory starts anew.
-CACHE_WORDS = 500_000
+#: Words and chunks remembered by a Python worker, and ids in its pool; beyond either the memory starts anew.
+CACHE_WORDS = 600_000
+POOL_IDS = 4_000_000
+#: Marks that end a word, each a match of its own there.
+CLOSING = frozenset(".,;:!?")
+#: Texts are encoded together up to about this many bytes.
+BATCH_BYTES = 4 << 20
 #: Fixed value: how the vocabulary file splits lower-cased text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -157,9 +164,10 @@ def read_blocks(contents: list[bytes], table: tuple[np.ndarray, np.ndarray]) ->
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library, as little-endian 16-bit (or 32-bit) numbers.
+    """Ids of whole texts by the tokenizers library, as 16-bit (or 32-bit) numbers.
 
-    No token spans white space in this kind of vocabulary, so chunks between spaces are encoded once and remembered.
+    No token spans white space in this kind of vocabulary, so texts are cut at spaces into chunks, and each chunk is
+    encoded once and remembered: its ids lie in a pool, and the ids of a batch of texts are gathered from there.
     Chunks of Latin letters take the library's model directly, word by word; all others, and chunks that could hold a
     special token, go through its whole chain.
     """
@@ -171,29 +179,52 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         self.find = regex.compile(SPLIT).findall
         self.model = self.tokenizer.model
         self.letter = _byte_letters()
-        self.chunks, self.words = Memory(self._chunk), Memory(self._word)
-        self.end = np.array([END_ID], self.kind).tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty pool: only the end id, as chunk number 0."""
+        self.words = Memory(self._word)
+        self.place = Memory(self._remembered, 1 << 30)
+        self.pool = array(self.code, [END_ID])
+        self.stops = array("q", [0, 1])
 
     def _word(self, word: str) -> bytes:
-        mapped = "".join(map(self.letter.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.kind).tobytes()
+        if not (word.isascii() and word.isalnum()):  # bytes of letters and digits stand for themselves
+            word = "".join(map(self.letter.__getitem__, word.encode()))
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
+    def _remembered(self, chunk: str) -> int:
+        """The number of a chunk that is new here."""
         if (chunk.isascii() or (max(chunk) < "ɐ" and "İ" not in chunk)) and "<|" not in chunk:
-            return b"".join(map(self.words.__getitem__, self.find(chunk.lower())))
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        for memory in (self.chunks, self.words):
-            if len(memory) > CACHE_WORDS:
-                memory.clear()
-        return b"".join([*map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")), self.end])
+            low = chunk.lower()
+            if low.isalpha():
+                self.pool.frombytes(self.words[low])
+            elif low[-1:] in CLOSING and low[:-1].isalpha():
+                self.pool.frombytes(self.words[low[:-1]] + self.words[low[-1]])
+            else:
+                self.pool.frombytes(b"".join(map(self.words.__getitem__, self.find(low))))
+        else:
+            self.pool.extend(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        self.stops.append(len(self.pool))
+        return len(self.stops) - 2
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other, each with the end id; number of ids of each)."""
+        if len(self.place) > CACHE_WORDS or len(self.words) > CACHE_WORDS or len(self.pool) > POOL_IDS:
+            self._forget()
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        rows = np.fromiter(map(self.place.__getitem__, chain.from_iterable(chunks)), np.int64, int(ends[-1]))
+        numbers = np.insert(rows, ends, 0)  # number 0, the end id, after each text
+        stops = np.frombuffer(self.stops, dtype=np.int64)
+        n = np.diff(stops)[numbers]
+        after = np.cumsum(n)
+        ids = np.frombuffer(self.pool, dtype=self.kind)[np.arange(after[-1]) + np.repeat(stops[numbers] - (after - n), n)]
+        return ids, np.diff(after[ends + np.arange(len(ends))], prepend=0)
 
 
 def _byte_letters() -> list[str]:
@@ -208,8 +239,8 @@ _WORDS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
+    """One encoder a Python worker and vocabulary."""
     if path not in _WORDS:
-        gc.disable()  # the memories hold no cycles, and collections would walk all of them again and again
         _WORDS[path] = WordIds(path)
     return _WORDS[path]
 
@@ -217,38 +248,64 @@ def word_ids(path: str) -> WordIds:
 # --------------------------------------------------------------------------------------------------- the files
 
 
+RAW_SCHEMA = "part int, seq long, start long, docs binary, known binary, sizes binary, ids binary"
+RAW = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("start", pa.int64()), *((n, pa.binary()) for n in ("docs", "known", "sizes", "ids"))])
+COUNTS = -1
+
+
 def tokenized(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of raw ids in ascending order of document id: part, seq, start, docs, known, sizes, ids."""
+    """Blocks of raw ids in ascending order of document id: part, seq, start, docs, known, sizes, ids.
+
+    The last row of a part, with seq COUNTS, holds how often the part has each id of the vocabulary. Rows that repeat
+    an id, null included, may be in several parts, by their text.
+    """
     from pyspark import TaskContext
 
     spark = df.sparkSession
     src = pick(df, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    near = src.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
-        width = np.dtype(coder.kind).itemsize
         part, seq, start, own, total = TaskContext.get().partitionId(), 0, 0, [], 0
+        counts = np.zeros(coder.size, dtype=np.int64)
+
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, RAW, strict=True)], schema=RAW)
 
         def block() -> pa.RecordBatch:
-            docs = np.array([d or 0 for d, _ in own], dtype="<i8")
-            known = np.array([d is not None for d, _ in own], dtype=np.uint8)
-            sizes = np.array([len(b) // width for _, b in own], dtype="<u4")
-            row = [part, seq, start, docs.tobytes(), known.tobytes(), sizes.tobytes(), b"".join([b for _, b in own])]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)], ["part", "seq", "start", "docs", "known", "sizes", "ids"])
+            docs, known, sizes, ids = (np.concatenate(x) for x in zip(*own, strict=True))
+            return row(part, seq, start, docs.tobytes(), known.tobytes(), sizes.astype("<u4").tobytes(), ids.tobytes())
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own.append((d, coder.encode(t.as_py() or "")))
-                total += len(own[-1][1]) // width
-                if total >= BLOCK_IDS:
-                    yield block()
-                    seq, start, own, total = seq + 1, start + total, [], 0
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH_BYTES)))
+                piece = batch.slice(lo, hi - lo)
+                docs = pc.fill_null(piece.column(0), 0).to_numpy(zero_copy_only=False).astype("<i8")
+                known = pc.is_valid(piece.column(0)).to_numpy(zero_copy_only=False).astype(np.uint8)
+                ids, sizes = coder.encode([t or "" for t in piece.column(1).to_pylist()])
+                counts += np.bincount(ids, minlength=coder.size)
+                stops = np.cumsum(sizes)
+                at = 0
+                while at < len(sizes):  # blocks end after the document that fills them
+                    used = int(stops[at - 1]) if at else 0
+                    to = min(len(sizes), int(np.searchsorted(stops, used + BLOCK_IDS - total)) + 1)
+                    own.append((docs[at:to], known[at:to], sizes[at:to], ids[used : stops[to - 1]]))
+                    total += int(stops[to - 1]) - used
+                    if total >= BLOCK_IDS:
+                        yield block()
+                        seq, start, own, total = seq + 1, start + total, [], 0
+                    at = to
+                lo = hi
         if own:
             yield block()
+        if counts.any():
+            yield row(part, COUNTS, 0, b"", b"", b"", counts.tobytes())
 
-    return near.mapInArrow(run, "part int, seq long, start long, docs binary, known binary, sizes binary, ids binary")
+    return near.mapInArrow(run, RAW_SCHEMA)
 
 
 def write_tokens(df: DataFrame, target: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -261,18 +318,17 @@ def write_tokens(df: DataFrame, target: str, vocabulary: str, id_col: str = "doc
     kind, size = coder.kind, coder.size
     raw_path = stage_path(spark, "tokens")
     tokenized(df, vocabulary, id_col, text_col).write.option("compression", "zstd").parquet(raw_path)
-    raw = spark.read.schema("part int, seq long, start long, docs binary, known binary, sizes binary, ids binary").parquet(raw_path)
+    raw = spark.read.schema(RAW_SCHEMA).parquet(raw_path)
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for v in b.column(0):
-                total += np.bincount(np.frombuffer(v.as_buffer(), kind), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+                n = np.frombuffer(v.as_buffer(), np.int64)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["id", "n"])
 
     counts = np.zeros(size, dtype=np.int64)
-    for r in raw.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row an id of the vocabulary
+    for r in raw.where(F.col("seq") == COUNTS).select("ids").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row an id of the vocabulary
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     codes = canonical(lengths)
@@ -284,7 +340,7 @@ def write_tokens(df: DataFrame, target: str, vocabulary: str, id_col: str = "doc
                 docs, known, sizes, ids = (np.frombuffer(v.as_buffer(), t) for v, t in ((docs, "<i8"), (known, "u1"), (sizes, "<u4"), (ids, kind)))
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([seq.as_py()]), pa.array([start.as_py()]), pa.array([len(ids)]), pa.array([write_block(docs, known, sizes, ids, lengths, codes)], pa.binary())], ["part", "seq", "start", "n", "content"])
 
-    raw.mapInArrow(code, "part int, seq long, start long, n long, content binary").write.mode("overwrite").option("compression", "none").parquet(f"{target}/blocks")
+    raw.where(F.col("seq") != COUNTS).mapInArrow(code, "part int, seq long, start long, n long, content binary").write.mode("overwrite").option("compression", "none").parquet(f"{target}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.mode("overwrite").parquet(f"{target}/code")
     drop_stage(spark, raw_path)
 
