@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import pick
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag after its "<": slash, name, attributes. Possessive throughout, so a match or a failure reads each character once;
+#: a quote belongs to a value only right after "=" and only where it is closed.
+TAG = re.compile(r"""(/?)([a-zA-Z][^\t\n\f\r />]*+)((?:[\t\n\f\r /]++|[^\t\n\f\r />][^\t\n\f\r />=]*+(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:"[^"]*+"|'[^']*+'|[^\t\n\f\r "'>][^\t\n\f\r >]*+)?+)?+)*+)>""")
+COMMENT_END = re.compile(r"--!?>")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Element names of HTML by what they do to the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +32,7 @@ RAW = frozenset("script style textarea title".split())
 HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template noframes".split())
 BLOCKS = ("html body main article section div nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot caption tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog hgroup center").split()
 BLOCK = {name: i for i, name in enumerate(BLOCKS)}
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES_P = frozenset(BLOCKS) - {"html", "body"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "p": ("td", "th", "table", "li", "div", "section", "article", "body")}
@@ -51,6 +55,8 @@ _HINT_OF = {word: i for i, (_, words) in enumerate(HINTS.items()) for word in wo
 NUMERIC = 13
 WIDTH = len(BLOCKS) + len(HINTS) + NUMERIC + 1
 LABEL = "data-content"
+#: Elements nested deeper become children of the last element at this depth, as in browsers; their text stays.
+DEEPEST = 512
 
 
 class Page:
@@ -73,27 +79,91 @@ def _hints(attributes: str) -> tuple[int, ...]:
     return tuple(found)
 
 
+def _letter(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
+def tags(html: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(text before, slash, name, attributes, place after) of every tag, and the rest as text without a name; in linear time.
+
+    Comments, declarations and instructions go, as do a comment or a tag that the page's end cuts off. A "<" that opens
+    nothing is text. send() a place to go on there instead.
+    """
+    at, seek, n = 0, 0, len(html)
+    pieces: list[str] = []
+    while True:
+        lo = html.find("<", seek)
+        c = html[lo + 1 : lo + 2] if lo >= 0 else ""
+        if lo >= 0 and not (c in ("!", "?", "/") or _letter(c)):
+            seek = lo + 1
+            continue
+        pieces.append(html[at : lo if lo >= 0 else n])
+        if lo < 0:
+            yield "".join(pieces), "", "", "", n
+            return
+        m = TAG.match(html, lo + 1) if c not in ("!", "?") else None
+        if m is None:
+            if html.startswith("<!--", lo):
+                short = 5 if html.startswith(">", lo + 4) else 6 if html.startswith("->", lo + 4) else 0
+                end = COMMENT_END.search(html, lo + 4) if not short else None
+                at = lo + short if short else end.end() if end else n
+            elif c in ("!", "?") or (c == "/" and not _letter(html[lo + 2 : lo + 3])):
+                at = html.find(">", lo) + 1 or n
+            else:  # a tag that never ends
+                at = n
+            seek = at
+            continue
+        at = seek = m.end()
+        to = yield "".join(pieces), m[1], m[2].lower(), m[3], at
+        pieces = []
+        if to is not None:
+            at = seek = to
+            yield "", "", "", "", at  # what send() returns
+
+
+class Open:
+    """The open elements: (name, node), and where each name stands, so that the nearest one is known without a walk."""
+
+    __slots__ = ("at", "items")
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str, node: int) -> None:
+        self.at.setdefault(name, []).append(len(self.items))
+        self.items.append((name, node))
+
+    def pop(self) -> str:
+        name = self.items.pop()[0]
+        self.at[name].pop()
+        return name
+
+    def nearest(self, names: tuple) -> int:
+        """Place of the innermost open element of names, -1 if there is none."""
+        return max([w[-1] for x in names if (w := self.at.get(x))], default=-1)
+
+
 def parse(html: str, labelled: bool = False) -> Page:
-    """Block tree of any string; tags left open close by HTML's rules, stray ones are ignored."""
+    """Block tree of any string; tags left open close by HTML's rules, stray ones are ignored. Time is linear in its length."""
     page = Page()
     page.label[0] = int(labelled and f"<!--{LABEL}-->" in html)
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node each belongs to
+    stack, unseen = Open(), Open()
+    stack.push("html", 0)
     links = 0
-    unseen: list[str] = []
     run: list | None = None  # the open run: node, pieces, characters in links
-    at, n = 0, len(html)
     runs = page.runs
 
     def text(piece: str) -> None:
         nonlocal run
-        if unseen and unseen[-1] == "head" and piece.strip(" \t\n\r\f"):  # text ends a head
+        if unseen.items and unseen.items[-1][0] == "head" and piece.strip(" \t\n\r\f"):  # text ends a head
             unseen.pop()
-        if not piece or unseen:
+        if not piece or unseen.items:
             return
         if "&" in piece:
             piece = entities.unescape(piece)
         if run is None:
-            run = [stack[-1][1], [], 0]
+            run = [stack.items[-1][1], [], 0]
             runs.append(run)
         run[1].append(piece)
         if links:
@@ -101,61 +171,60 @@ def parse(html: str, labelled: bool = False) -> Page:
 
     def close(to: int) -> None:
         nonlocal links, run
-        for name, _ in stack[to:]:
+        while len(stack.items) > to:
+            name = stack.pop()
             if name == "a":
                 links -= 1
             elif name in BLOCK:
                 run = None
-        del stack[to:]
 
-    search = TOKEN.search
-    while at < n:
-        m = search(html, at)
-        if m is None:
-            text(html[at:])
-            break
-        if m.start() > at:
-            text(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+    def close_open(names: tuple, scope: tuple, every: bool) -> None:
+        """Close the innermost open element of names (or all of them), unless an element of scope is nearer."""
+        edge = stack.nearest(scope)
+        while (k := stack.nearest(names)) > max(edge, 0):
+            close(k)
+            if not every:
+                break
+
+    scan = tags(html)
+    for before, slash, name, attributes, after in scan:
+        if before:
+            text(before)
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
-            if unseen:
-                if name in unseen:
+        if slash:
+            if unseen.items:
+                if unseen.at.get(name):
                     while unseen.pop() != name:
                         pass
                 elif name in ("body", "html"):
-                    unseen.clear()
-                continue
-            if name in ("html", "body"):
+                    while unseen.items:
+                        unseen.pop()
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if name not in ("html", "body") and (k := stack.nearest((name,))) > 0:
+                close(k)
             continue
-        if unseen and unseen[-1] == "head":
+        if unseen.items and unseen.items[-1][0] == "head":
             if name not in HEAD:  # so does what cannot stand in it
                 unseen.pop()
             elif name == "noframes":
-                unseen.append(name)
+                unseen.push(name, 0)
                 continue
             elif name == "head":
                 continue
         if name in UNSEEN:
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
-            elif not m[3].rstrip().endswith("/"):
-                unseen.append(name)
+                end = _raw_end(name).search(html, after)
+                tail = TAG.match(html, end.start() + 1) if end else None
+                scan.send(tail.end() if tail else len(html))
+            elif not attributes.rstrip().endswith("/"):
+                unseen.push(name, 0)
             continue
-        if unseen:
-            if name == "body":  # a head that was never closed
-                unseen.clear()
-            else:
+        if unseen.items:
+            if name != "body":
                 continue
+            while unseen.items:  # a head that was never closed
+                unseen.pop()
         if name in ("br", "hr", "wbr", "img"):
             if name != "wbr":
                 text(" ")
@@ -165,39 +234,35 @@ def parse(html: str, labelled: bool = False) -> Page:
         if name in VOID or name == "html":
             continue
         if name in BLOCK:
-            if name == "body" and any(s[0] == "body" for s in stack):
+            if name == "body" and stack.at.get("body"):
                 continue
             if name in CLOSES_P:
-                _close_open(stack, ("p",), SCOPE["p"], close)
+                close_open(("p",), SCOPE["p"], False)
             if name in SIBLINGS:
-                _close_open(stack, SIBLINGS[name], SCOPE[name], close)
-            if name[0] == "h" and name[1:].isdigit() and stack[-1][0] != name and stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit():
-                close(len(stack) - 1)
+                close_open(SIBLINGS[name], SCOPE[name], True)
+            top = stack.items[-1][0]
+            if name in HEADINGS and top in HEADINGS and top != name:
+                close(len(stack.items) - 1)
             run = None
-            up = stack[-1][1]
+            up = stack.items[-1][1]
+            if page.depth[up] >= DEEPEST:
+                up = page.parent[up]
             page.parent.append(up)
             page.depth.append(page.depth[up] + 1)
             page.tag.append(BLOCK[name])
-            page.hints.append(_hints(m[3]) if m[3] else ())
-            page.label.append(int(labelled and LABEL in m[3]))
-            stack.append((name, len(page.parent) - 1))
-        elif not m[3].rstrip().endswith("/"):
+            page.hints.append(_hints(attributes) if attributes else ())
+            page.label.append(int(labelled and LABEL in attributes))
+            stack.push(name, len(page.parent) - 1)
+        elif not attributes.rstrip().endswith("/"):
             if name == "a":
                 links += 1
-            stack.append((name, stack[-1][1]))
+            stack.push(name, stack.items[-1][1])
     return page
 
 
-def _close_open(stack: list, names: tuple, scope: tuple, close) -> None:
-    """Close the innermost open element of names, unless an element of scope is nearer."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] in names:
-            close(k)
-            if names != ("p",):
-                _close_open(stack, names, scope, close)
-            return
-        if stack[k][0] in scope:
-            return
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\t\n\f\r />])", re.I)
 
 
 class Forest:
@@ -227,7 +292,8 @@ class Forest:
                     stops[lo + node] += s.count(".") + s.count(",") + s.count("。")
                     words[lo + node] += s.count(" ") + 1
             self.texts.append(rows)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(int(self.depth.max(initial=0)) + 1)]
+        by_depth = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(by_depth, np.searchsorted(self.depth[by_depth], np.arange(1, int(self.depth.max(initial=0)) + 1)))
         below, below_link, below_stops = own.copy(), link.copy(), stops.copy()
         for level in reversed(self.levels[1:]):
             for a in (below, below_link, below_stops):
@@ -309,12 +375,16 @@ class ContentModel:
     def marginals(self, forest: Forest) -> np.ndarray:
         return messages(forest, self.unary(forest), self.pair)[0][:, 1]
 
-    def main_texts(self, htmls: list[str]) -> list[str]:
+    def blocks(self, htmls: list[str]) -> list[list[tuple[str, float]]]:
+        """Each page's blocks with text, in page order, with their probability of being content."""
         if not htmls:
             return []
         forest = Forest([parse(h) for h in htmls])
-        keep = self.marginals(forest) > 0.5
-        return ["\n\n".join([s for node, s in rows if keep[node]]) for rows in forest.texts]
+        p = self.marginals(forest)
+        return [[(s, float(p[node])) for node, s in rows] for rows in forest.texts]
+
+    def main_texts(self, htmls: list[str]) -> list[str]:
+        return ["\n\n".join([s for s, p in rows if p > 0.5]) for rows in self.blocks(htmls)]
 
 
 # ---------------------------------------------------------------------------------------------- labelled pages
@@ -419,7 +489,9 @@ def main_text(df: DataFrame, model: ContentModel, id_col: str = "page_id", url_c
     """One row per row of df: page_id, url, text, n_chars (code points).
 
     Null and empty html, and pages without content, give an empty text. Whole pages are read whatever their length or
-    depth; rows are independent, so repeated rows and null ids come back as they are.
+    depth, in time linear in the length whatever the markup (a page of 1 MB takes seconds). As in browsers, a comment, tag,
+    script or style that the page's end cuts off goes with what it holds. Rows are independent, so repeated rows and null
+    ids come back as they are.
     """
     kind = dict(df.dtypes)
 
