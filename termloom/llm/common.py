@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +19,29 @@ SMALL_GROUP = 12
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset and all run on one machine a temporary one.
+
+    On a cluster the setting is needed: executors have no other folder in common.
+    """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("termloom.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("termloom.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+#: Paths of the stage tables made in each open scratch(), innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +57,26 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Stage tables made inside are deleted at the end."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_stage(spark, path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make gives as a stage table; the stage tables it is made from are deleted."""
+    path = stage_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; further columns, whatever they are called, go no further."""
     return df.select(*[df[n] for n in names])
@@ -64,32 +95,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star rewrites until the edge set no longer changes, which takes
     O(log^2 n) rounds whatever the diameter. Minima are combined map-side before the shuffle, and each round is
-    checkpointed. Loops and null ends are ignored; an empty edge table gives an empty result.
+    written down. Loops and null ends are ignored; an empty edge table gives an empty result.
     """
     spark = edges.sparkSession
-    shared_dir(spark)
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    e = e.where("u is not null and v is not null and u <> v").distinct().checkpoint()
+    e = e.where("u is not null and v is not null and u <> v").distinct()
 
     def mark(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = mark(e)
-    if before[0]:
-        while True:
-            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            low = big.groupBy("u").agg(F.min("v").alias("m"))
-            near = big.join(low, "u")
-            e = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            e = e.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
-            after = mark(e)
+    def stars(e: DataFrame) -> DataFrame:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        near = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return near.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+    def rounds() -> DataFrame:
+        now = stage_table(e, "edges")
+        before = mark(now)
+        while before[0]:
+            now = stage_table(stars(now), "edges")
+            after = mark(now)
             if after == before:
                 break
             before = after
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+    return settled(spark, "components", rounds)
 
 
 def shared_buckets(light: DataFrame) -> DataFrame:

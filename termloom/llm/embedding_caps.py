@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, bucket_links, connected_components, every_pair, pick, stage_table
+from .common import block_pairs, bucket_links, connected_components, every_pair, pick, settled, stage_table
 
 THRESHOLD = 0.98
 #: Width of the accepted score range below a vector's best filter, in standard deviations of what two linked vectors can differ by.
@@ -154,7 +154,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         return hit
 
     rows = payload.select(F.explode("keys").alias("bucket"), "id")
-    links = stage_table(bucket_links(rows, payload.drop("keys"), verify, screen=screen), "caps")
+    links = settled(spark, "caps", lambda: bucket_links(rows, payload.drop("keys"), verify, screen=screen))
     comp = connected_components(links.select(F.col("id").alias("src"), F.col("root").alias("dst")))
     n = links.groupBy("id").agg(F.sum("n").alias("n"))
     known = classes.select("k1", "k2", "id", "weight").join(n, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")

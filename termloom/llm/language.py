@@ -12,14 +12,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pick
 
 BUCKETS = 1 << 12
-#: Documents for each language that the classifier is fitted on, chosen by a hash of the id (expected number).
+#: Distinct texts of each language that the classifier is fitted on at most, chosen by a hash of text and language.
 SAMPLE_PER_LANG = 400
+#: Languages that are learned at most: the most frequent ones, of equals the one that sorts first.
+MOST_LANGS = 1000
 EPOCHS = 12
 RIDGE = 1e-4
 #: ISO 639-1 codes by family; codes that are not here form families by likeness of their letters.
@@ -200,15 +202,20 @@ def held_out(doc_id: Column) -> Column:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> LanguageModel | None:
     """Fit on a bounded sample of labelled rows that are not held out; None where there is no labelled text with letters.
 
-    The bound is per_lang documents a language in expectation, picked by a hash of id and language.
+    The bound is per_lang distinct texts for each of at most MOST_LANGS languages: those with the smallest hashes of text
+    and language, so rows that repeat an id, null included, or a text do not crowd out others. A draw by the same hash
+    at twice the expected share comes first, so that only few texts are shuffled.
     """
     src = pick(df, id_col, text_col, lang_col).toDF("id", "text", "lang")
-    src = src.where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    n = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    src = src.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("id"))).select("lang", "text", F.xxhash64("text", "lang").alias("h"))
+    distinct = src.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS)
+    n = {r["lang"]: r["n"] for r in distinct.collect()}
     if not n:
         return None
-    share = F.element_at(F.create_map(*[F.lit(v) for k, c in sorted(n.items()) for v in (k, min(1.0, per_lang / c))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 20)) / float(1 << 20)
+    share = F.element_at(F.create_map(*[F.lit(v) for k, c in sorted(n.items()) for v in (k, min(1.0, 2.0 * per_lang / c))]), F.col("lang"))
+    drawn = src.where(F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20) < share).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("h", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,11 +223,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             at = [np.flatnonzero(c) for _, _, c in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.column(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array([r[2][k] for r, k in zip(rows, at, strict=True)], pa.list_(pa.int32()))], ["id", "lang", "at", "n"])
 
-    kind = dict(df.dtypes)[id_col]
-    got = src.where(draw < share).mapInArrow(run, f"id {kind}, lang string, at array<int>, n array<int>").toPandas()
+    got = drawn.mapInArrow(run, "id long, lang string, at array<int>, n array<int>").toPandas()
     if not len(got):
         return None
-    got = got.assign(key=got["id"].astype(str)).sort_values(["key", "lang"], kind="stable")
+    got = got.sort_values(["id", "lang"], kind="stable")
     counts = np.zeros((len(got), BUCKETS), dtype=np.float32)
     for k, (at, c) in enumerate(zip(got["at"], got["n"], strict=True)):
         counts[k, np.asarray(at)] = c

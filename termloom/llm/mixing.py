@@ -9,18 +9,22 @@ near its target.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_name, pick, sized, stage_table
+from .common import fresh_name, pick, settled, sized, stage_table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Rounding happens in groups of about this many documents of one source.
 GROUP_DOCS = 1000
+#: Rows that are alike are handled together in pieces of so many.
+PIECE_ROWS = 1000
 TOLERANCE = 1e-10
 MAX_STEPS = 60
 #: Files of the cell table between Newton steps: it has a row for each combination of groups, not for each document.
@@ -74,7 +78,8 @@ def entropy_balance(cells: DataFrame, margins: dict[str, DataFrame], max_steps:
             state = stage_table(state.coalesce(CELL_PARTS), "mix")
         steps += 1
         if worst <= tolerance:
-            break
+            return state, steps
+    warnings.warn(f"mix: after {steps} steps targets are still missed by up to {worst:.2g} of their size", RuntimeWarning, stacklevel=2)
     return state, steps
 
 
@@ -97,31 +102,58 @@ def whole_copies(sizes: np.ndarray, rate: float, order: np.ndarray) -> np.ndarra
     return out
 
 
+def planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, mark: Column | None = None) -> DataFrame:
+    """What the mix takes of rows that are alike: source, doc_id, size, mark, source_size, target, n, copies.
+
+    Rows with one source, id, size and mark are alike; they come in pieces of up to PIECE_ROWS rows, and n rows of a
+    piece get copies each. Rounding groups hold whole pieces, so no group grows with the rows that share a key.
+    """
+    spark = df.sparkSession
+    src = pick(df, id_col, source_col, text_col)
+    src = src.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), sized(F.col(text_col)).alias("size"), (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
+    alike = stage_table(src.groupBy("source", "doc_id", "size", "mark").agg(F.count(F.lit(1)).alias("rows")), "mix")
+    cells = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.sum("rows").alias("docs"))
+
+    def rated() -> DataFrame:
+        targets = stage_table(source_targets(cells.select("source", F.col("words").alias("source_size")), weights, cap), "mix")
+        rates, _ = entropy_balance(cells, {"source": targets.select(F.col("source").alias("group"), "target")})
+        return rates.join(targets, rates["source"].eqNullSafe(targets["source"])).select(rates["source"].alias("_source"), "docs", "source_size", "target", "rate")
+
+    plan = settled(spark, "mix", rated)
+    pieces = alike.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / PIECE_ROWS))))
+    pieces = pieces.withColumn("rows", F.least(F.lit(PIECE_ROWS), F.col("rows") - F.col("piece") * PIECE_ROWS))
+    spread = F.pmod(F.xxhash64("doc_id", "size", "piece", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("docs") / GROUP_DOCS)))
+    dealt = pieces.join(plan, pieces["source"].eqNullSafe(plan["_source"])).withColumn("_part", spread).drop("_source", "docs")
+
+    def deal(t: pa.Table) -> pa.Table:
+        sizes, rows, piece, mark = (t.column(c).to_numpy() for c in ("size", "rows", "piece", "mark"))
+        known = t.column("doc_id").is_valid().to_numpy()
+        ids = t.column("doc_id").fill_null(0).to_numpy()
+        rate = t.column("rate")[0].as_py()
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[np.lexsort((mark, piece, known, ids, _scatter(ids)))] = np.arange(len(ids))
+        low = int(np.floor(rate + 1e-9))
+        more = whole_copies(np.repeat(sizes, rows), rate, np.repeat(rank, rows)) - low
+        high = np.add.reduceat(more, np.cumsum(rows) - rows)
+        low = np.full(len(rows), low)
+        low[sizes == 0], high[sizes == 0] = 1, 0
+        both = pa.concat_tables([t.append_column("n", pa.array(n)).append_column("copies", pa.array(c)) for n, c in ((rows - high, low), (high, low + 1))])
+        return both.filter(pa.array(np.r_[rows - high, high] > 0)).select(["source", "doc_id", "size", "mark", "source_size", "target", "n", "copies"])
+
+    kind = dict(df.dtypes)[source_col]
+    return dealt.groupBy("source", "_part").applyInArrow(deal, f"source {kind}, doc_id long, size long, mark long, source_size long, target double, n long, copies long")
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per row of df: doc_id, size, source_size, target, taken, copies.
+    """One row per row of df: doc_id, size, source_size, target, taken, copies, source.
 
     Sizes count words of whole texts (null and empty: 0). Documents without words get copies 1 and take 0 words. A
     document's copies are the floor or the ceiling of its source's rate, so it takes at most cap times its size. Null
     is a source of its own, the last. Reruns agree: rounding depends on ids, sizes and sources only. Rows that repeat
-    count separately.
+    count separately, however many they are; ids may repeat across sources.
     """
-    src = pick(df, id_col, source_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), sized(F.col(text_col)).alias("size"))
-    docs = stage_table(src, "mix")
-    cells = docs.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
-    targets = stage_table(source_targets(cells.select("source", F.col("words").alias("source_size")), weights, cap), "mix")
-    rated, _ = entropy_balance(cells.select("source", "words", "docs"), {"source": targets.select(F.col("source").alias("group"), "target")})
-    plan = rated.join(targets, rated["source"].eqNullSafe(targets["source"])).select(rated["source"].alias("_source"), "docs", "source_size", "target", "rate")
-    spread = F.pmod(F.xxhash64("doc_id", "size", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("docs") / GROUP_DOCS)))
-    dealt = docs.join(plan, docs["source"].eqNullSafe(plan["_source"])).withColumn("_part", spread).drop("_source", "docs")
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf["size"].to_numpy()
-        ids = pdf["doc_id"].fillna(-1).to_numpy().astype(np.int64)
-        copies = whole_copies(sizes, float(pdf["rate"].iloc[0]), _scatter(ids))
-        copies[sizes == 0] = 1
-        return pdf[["doc_id", "size", "source_size", "target"]].assign(taken=copies * sizes, copies=copies)
-
-    return dealt.groupBy("source", "_part").applyInPandas(deal, "doc_id long, size long, source_size long, target double, taken long, copies long")
+    each = planned(df, id_col, text_col, source_col, weights, cap).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
 def _scatter(ids: np.ndarray) -> np.ndarray:
@@ -131,13 +163,31 @@ def _scatter(ids: np.ndarray) -> np.ndarray:
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of df, each as often as the mix takes it (documents without words stay once); columns of any name stay."""
-    copies, words, key = (fresh_name(df, n) for n in ("copies", "words", "key"))
-    src = df.withColumn(words, sized(F.col(text_col)))
-    plan = mix(df, id_col, text_col, source_col).groupBy("doc_id", "size").agg(F.max("copies").alias(copies)).withColumnRenamed("doc_id", key)
-    joined = src.join(plan, src[id_col].eqNullSafe(plan[key]) & (src[words] == plan["size"]))
-    many = joined.withColumn(key, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int"))))
-    return many.select(*[df[f"`{c}`"] for c in df.columns])
+    """The rows of df, each as often as the mix takes it (documents without words stay once); columns of any name stay.
+
+    Rows with one source, id and text share what the mix takes of them: each comes as often as that goes into them
+    evenly, and one of them as often again as is left.
+    """
+    spark = df.sparkSession
+    total, rows, key, words, text, source, piece = (fresh_name(df, n) for n in ("mix_total", "mix_rows", "mix_id", "mix_words", "mix_text", "mix_source", "mix_piece"))
+    plan = planned(df, id_col, text_col, source_col, mark=F.xxhash64(text_col)).groupBy("source", "doc_id", "size", "mark").agg(F.sum(F.col("n") * F.col("copies")).alias(total), F.sum("n").alias(rows))
+    plan = stage_table(plan.toDF(source, key, words, text, total, rows), "mix")
+
+    def matched(plan: DataFrame) -> DataFrame:
+        # size is a function of the text, so the text's hash stands for it and words are not counted again
+        return df.join(plan, df[f"`{id_col}`"].cast("long").eqNullSafe(plan[key]) & df[f"`{source_col}`"].eqNullSafe(plan[source]) & (F.xxhash64(df[f"`{text_col}`"]) == plan[text]))
+
+    def repeated(x: DataFrame, n: Column) -> DataFrame:
+        return x.withColumn(piece, F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*[x[f"`{c}`"] for c in df.columns])
+
+    out = repeated(matched(plan), F.floor(F.col(total) / F.col(rows)))
+    left = plan.where(F.col(total) % F.col(rows) > 0)
+    if left.limit(1).count():
+        one = matched(left).dropDuplicates([key, source, text])
+        rest = F.col(total) % F.col(rows)
+        cut = one.withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((rest - 1) / PIECE_ROWS)))).repartition(F.col(key), F.col(piece))
+        out = out.unionByName(repeated(cut, F.least(F.lit(PIECE_ROWS), rest - F.col(piece) * PIECE_ROWS)))
+    return out
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

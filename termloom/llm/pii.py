@@ -24,13 +24,17 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "national_id", "secret")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match can only begin where a run of digits does, so the pattern is tried there alone: long runs take linear time
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # high-recall generators
-LOOSE_MAIL = re.compile(r"([A-Za-z0-9._%+-]*[A-Za-z0-9])(?: ?(?:\(at\)|\[at\]|\{at\}) ?| at )([A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]+)+)", re.I)
-DIGIT_CHAIN = re.compile(r"[0-9][0-9 ().\-/]{5,}[0-9]")
+LOOSE_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}) ?| at ", re.I)
+LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]++)+", re.I)
+#: Digit groups with up to five marks or blanks between two of them; wider gaps part numbers.
+DIGIT_CHAIN = re.compile(r"[0-9]++(?:[ ().\-/]{1,5}+[0-9]++)*+")
 DIGITS = re.compile(r"[0-9]+")
+MOST_GROUPS = 6
 GAP = " ().-/"
 LOOSE_ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 LOOSE_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|credential)\s{0,3}(?:=|:|is)\s{0,3}[\"']?([^\s\"'<>]{5,}[^\s\"'<>.,;:)\]])", re.I)
@@ -92,15 +96,18 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 
 def digit_runs(text: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, digits) of every run of adjacent digit groups with 7 to 19 digits, from every group on.
+    """(start, end, digits) of every run of one to six adjacent digit groups with 7 to 19 digits, from every group on.
 
     A bracket that opens right before a run counts to it if it closes inside.
     """
     for chain in DIGIT_CHAIN.finditer(text):
+        if chain.end() - chain.start() < 7:
+            continue
         groups = [m.span() for m in DIGITS.finditer(text, *chain.span())]
         for i, (lo, _) in enumerate(groups):
             n = 0
-            for a, hi in groups[i:]:
+            for k in range(i, min(i + MOST_GROUPS, len(groups))):
+                a, hi = groups[k]
                 n += hi - a
                 if n > 19:
                     break
@@ -112,13 +119,15 @@ def digit_runs(text: str) -> Iterator[tuple[int, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Everything that could be personal data beyond the base rules; spans may overlap."""
     out = []
-    low = None
-    if "at" in text:
-        if any(x in text for x in ("(at)", "[at]", "{at}", " at ", "(AT)", "[AT]", "(dot)", "[dot]", " dot ")):
-            for m in re.finditer(r"[(\[{\s][aA][tT][)\]}\s]", text):
-                hit = LOOSE_MAIL.search(text, max(0, _word_start(text, m.start())), min(len(text), m.end() + 120))
-                if hit:
-                    out.append(("email", *hit.span()))
+    low = text.lower()
+    if "at" in low and ("." in low or "dot" in low):
+        for m in LOOSE_AT.finditer(text):
+            lo = m.start()
+            if lo and text[lo - 1].isalnum() and (domain := LOOSE_DOMAIN.match(text, m.end())):
+                while lo and text[lo - 1] in LOCAL:
+                    lo -= 1
+                if lo < m.start():
+                    out.append(("email", lo, domain.end()))
     for lo, hi, n in digit_runs(text):
         if n <= 15:
             out.append(("phone", lo, hi))
@@ -128,23 +137,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             out.append(("national_id", lo, hi))
     for m in LOOSE_ACCOUNT.finditer(text):
         out.append(("account", *m.span()))
-    low = text.lower()
     if any(h in low for h in SECRET_HINTS):
         for m in LOOSE_SECRET.finditer(text):
             out.append(("secret", *m.span(1)))
     return list(dict.fromkeys(out))
 
 
-def _word_start(text: str, at: int) -> int:
-    """Where the word before at begins, at most 80 characters back."""
-    lo = at
-    while lo > 0 and text[lo - 1].isspace() and at - lo < 3:
-        lo -= 1
-    while lo > 0 and at - lo < 80 and not text[lo - 1].isspace():
-        lo -= 1
-    return lo
-
-
 def _side(c: str) -> float:
     return 0.0 if not c or c.isspace() else 1.0 if c.isalpha() else 2.0 if c.isdigit() else 3.0
 
@@ -265,7 +263,8 @@ def labelled(n: int = 9000, seed: int = 11) -> list[tuple[str, str, bool]]:
     phone = lambda: rng.choice(("({a}) {b}-{c}", "{a}-{b}-{c}", "{a} {b} {c}", "{a}.{b}.{c}", "00{x} {a} {b}{c}", "0{a} {b} {c}")).format(a=_number(rng, 3), b=_number(rng, 3), c=_number(rng, 4), x=_number(rng, 2))
     hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789_-!") for _ in range(k))
-    mail = lambda: f"{word()}{rng.choice(('', '.' + word()))} {rng.choice(('(at)', '[at]', 'at'))} {word()} {rng.choice(('(dot)', '[dot]', 'dot'))} {rng.choice(('com', 'org', 'net', 'de', 'fr'))}"
+    case = lambda x: x.upper() if rng.random() < 0.2 else x
+    mail = lambda: case(f"{word()}{rng.choice(('', '.' + word()))} {rng.choice(('(at)', '[at]', 'at'))} {word()}{rng.choice((' (dot) ', ' [dot] ', ' dot ', '.', '.'))}{rng.choice(('com', 'org', 'net', 'de', 'fr', 'example.com'))}")
     day = lambda: rng.choice(("{y}-{m:02d}-{d:02d}", "{d:02d}.{m:02d}.{y}", "{m:02d}/{d:02d}/{y}")).format(y=rng.randint(1900, 2030), m=rng.randint(1, 12), d=rng.randint(1, 28))
     next_to = lambda: rng.choice((" / ", " ", ". ", " - ", "/", "  "))
     made = (

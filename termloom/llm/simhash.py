@@ -161,10 +161,8 @@ def near_fingerprints(spark: SparkSession, fps: DataFrame, block_rows: int = BLO
                 order = np.argsort(fp, kind="stable")
                 rank = np.empty(len(fp), dtype=np.int64)
                 rank[order] = np.arange(len(fp))
-                run_of = np.searchsorted(starts, np.arange(len(fp)), side="right")
                 lab = merge_labels(len(fp), rank[a], rank[b])
                 hit = np.unique(np.concatenate([a, b]))
-                assert (run_of[a] == run_of[b]).all()
                 yield pa.RecordBatch.from_arrays([pa.array(fp[hit]), pa.array(fp[order[lab[rank[hit]]]])], ["src", "dst"])
 
     return connected_components(near.mapInArrow(run, "src long, dst long")).select(F.col("node").alias("fp"), "component")
@@ -181,7 +179,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     docs = stage_table(fingerprints(df, id_col, text_col, *keep), "simhash")
     classes = stage_table(docs.groupBy("fp").agg(F.min("id").alias("low")), "simhash")
-    comp = stage_table(near_fingerprints(spark, classes.select("fp")), "simhash")
+    comp = near_fingerprints(spark, classes.select("fp"))
     low = comp.join(classes, "fp").groupBy("component").agg(F.min("low").alias("low"))
     known = classes.join(comp, "fp", "left").join(low.withColumnRenamed("low", "least"), "component", "left")
     known = known.select("fp", F.coalesce("least", "low").alias("component_id"))
