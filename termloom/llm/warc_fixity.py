@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stage_table
+from .common import pick, settled, stage_table
 
 FANOUT_BITS = 4
 RECORDS_PER_FILE_BITS = 10
+#: A gzip file is fed to the decoder in pieces of so many bytes.
+PIECE_BYTES = 1 << 15
 
 
 def warc_record(record_id: Column, url: Column, payload: Column) -> Column:
@@ -33,16 +35,18 @@ def parse_warc(content: bytes) -> Iterator[tuple[int, bytes]]:
     A damaged head ends the file: the rest is one last record, so that no byte escapes the audit.
     """
     if content[:2] == b"\x1f\x8b":
-        at = 0
+        at, whole = 0, memoryview(content)
         while at < len(content):
-            d = zlib.decompressobj(31)
+            d, begin, parts = zlib.decompressobj(31), at, []
             try:
-                body = d.decompress(content[at:]) + d.flush()
+                while not d.eof and at < len(content):  # piece by piece, so that each byte is read once
+                    parts.append(d.decompress(whole[at : at + PIECE_BYTES]))
+                    at = min(at + PIECE_BYTES, len(content))
             except zlib.error:
-                yield at, content[at:]
+                yield begin, bytes(whole[begin:])
                 return
-            yield at, body
-            at = len(content) - len(d.unused_data) if d.eof else len(content)
+            yield begin, b"".join([*parts, d.flush()])
+            at -= len(d.unused_data)
         return
     at = 0
     while at < len(content):
@@ -86,12 +90,13 @@ def leaves(records: DataFrame) -> DataFrame:
 
 
 def _parents(nodes: DataFrame, inside: bool) -> DataFrame:
-    """Nodes one level up: neighbours share the idx shifted by the fanout; hash and range cover the children in order."""
+    """Nodes one level up: neighbours share the idx shifted by the fanout; the hash covers the children's numbers, byte
+    ranges and hashes in order, so a node vouches for where its records lie as well as for what they say."""
     up = F.shiftright("idx" if inside else "file", FANOUT_BITS)
     key = {"file": F.col("file"), "idx": up} if inside else {"file": up, "idx": F.lit(0).cast("long")}
-    child = F.struct(F.col("idx" if inside else "file").alias("k"), "hash")
+    child = F.struct(F.col("idx" if inside else "file").alias("k"), "lo", "hi", "hash")
     ordered = F.array_sort(F.collect_list("child"))
-    joined = F.array_join(F.transform(ordered, lambda c: F.concat(c["k"].cast("string"), F.lit(":"), c["hash"])), ",")
+    joined = F.array_join(F.transform(ordered, lambda c: F.concat_ws(":", c["k"].cast("string"), c["lo"].cast("string"), c["hi"].cast("string"), c["hash"])), ",")
     keyed = nodes.select(*[c.alias(n) for n, c in key.items()], child.alias("child"), "lo", "hi")
     return keyed.groupBy("file", "idx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sha2(joined, 256).alias("hash"))
 
@@ -186,7 +191,7 @@ def audit(master: DataFrame, replica: DataFrame) -> DataFrame:
     """
     a, b = stage_table(leaves(master), "merkle"), stage_table(leaves(replica), "merkle")
     inside, over = depth(a, b)
-    wrong = stage_table(differing_leaves(tree(a, inside, over), tree(b, inside, over), inside), "merkle")
+    wrong = settled(master.sparkSession, "merkle", lambda: differing_leaves(tree(a, inside, over), tree(b, inside, over), inside))
     found, extra = realigned(a, b, wrong)
     cols = ["id", "file", "idx", "offset", "length", "sha256"]
     known = a.join(found, ["file", "idx"], "left").select(*cols, F.coalesce("status", F.lit("intact")).alias("status"))

@@ -239,3 +239,28 @@ def test_read_warc(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(packed)
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert warc_fixity.read_records(files).groupBy("sha256").count().where("count = 2").count() == 3
+
+
+def test_members_of_a_gzip_file_are_read_in_linear_time():
+    import gzip
+    import time
+
+    from termloom.llm import warc_fixity
+
+    one = gzip.compress(b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    big = gzip.compress(bytes(range(256)) * 2000, 0)
+    content = one * 20_000 + big + one
+    began = time.process_time()
+    got = list(warc_fixity.parse_warc(content))
+    assert time.process_time() - began < 20 and len(got) == 20_002
+    assert [at for at, _ in got[:3]] == [0, len(one), 2 * len(one)] and got[20_000][1] == bytes(range(256)) * 2000 and got[-1][0] == len(content) - len(one)
+    cut = list(warc_fixity.parse_warc(one + big[:1000]))
+    assert cut[0] == (0, gzip.decompress(one)) and cut[1][0] == len(one)
+
+
+def test_nodes_vouch_for_byte_ranges(spark):
+    from termloom.llm import warc_fixity
+
+    leaf = "file long, idx long, offset long, length long, sha256 string"
+    roots = [warc_fixity.tree(spark.createDataFrame([(0, 0, 0, n, "x"), (0, 1, n, 5, "y")], leaf), 1, 0)[-1].first()["hash"] for n in (3, 4)]
+    assert roots[0] != roots[1]
