@@ -478,7 +478,7 @@ def line_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("glossary_live_entries", f"WITH {LINES}, {CHUNKS}, {LIVE} SELECT id, entry_idx FROM live")
 def _(spark: SparkSession, d: str) -> DataFrame:
     g = demo_glossary(spark)
-    return glossary.live_entries(glossary.occurrences(line_chunks(spark, d), g, "id", "text"), "id")
+    return glossary.live_terms(line_chunks(spark, d), g, "id", "text")
 
 
 @query("glossary_occurrences", f"WITH {LINES}, {CHUNKS}, {LIVE} SELECT id, entry_idx, count(*) AS n, min(s) - 1 AS first FROM occ GROUP BY ALL")
@@ -488,14 +488,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("glossary_prompt_section", f"""WITH {LINES}, {CHUNKS}, {LIVE}
-SELECT id, string_agg('  ' || source_terms[1] || ' → ' || target || CASE kind WHEN 'verbatim' THEN '  (preserve exactly as written)' ELSE '' END, chr(10) ORDER BY entry_idx) AS section FROM live JOIN gl USING (entry_idx) GROUP BY id""")
+SELECT id, '{glossary.SECTION_HEAD}' || chr(10) || string_agg('  ' || source_terms[1] || ' → ' || target || CASE kind WHEN 'verbatim' THEN '{glossary.UNCHANGED}' ELSE '' END, chr(10) ORDER BY entry_idx) AS section FROM live JOIN gl USING (entry_idx) GROUP BY id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return glossary.prompt_sections(line_chunks(spark, d), demo_glossary(spark), "id", "text")
 
 
 _PAIRS = "p AS (SELECT doc_id * 100000 + pos AS id, text, coalesce(lead(text) OVER (PARTITION BY doc_id ORDER BY pos), '') AS out FROM lines)"
 _VIOLATED = f"""WITH {LINES}, {_PAIRS}, src AS (SELECT id, strip_accents(lower(text)) AS folded FROM p), {LIVE},
-v AS (SELECT id, entry_idx, '''' || source_terms[1] || ''' must translate to ' || target || CASE WHEN len(target_alts) > 0 THEN ' (or: ' || array_to_string(target_alts, ', ') || ')' ELSE '' END AS message
+v AS (SELECT id, entry_idx, 'render ''' || source_terms[1] || ''' as ' || target || CASE WHEN len(target_alts) > 0 THEN ' (or: ' || array_to_string(target_alts, ', ') || ')' ELSE '' END AS message
   FROM live JOIN gl USING (entry_idx) JOIN p USING (id) WHERE kind IN ('require', 'verbatim') AND NOT contains(strip_accents(lower(out)), strip_accents(lower(target))) AND len(list_filter(target_alts, lambda t: contains(strip_accents(lower(p.out)), strip_accents(lower(t))))) = 0)"""
 
 
@@ -511,7 +511,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return glossary.violations(line_pairs(spark, d), demo_glossary(spark), "id", "text", "out")
 
 
-@query("glossary_retry_hints", _VIOLATED + " SELECT id, 'Use exactly these terms in this translation:' || chr(10) || string_agg('  - ' || message, chr(10) ORDER BY entry_idx) AS hint FROM v GROUP BY id")
+@query("glossary_retry_hints", _VIOLATED + f" SELECT id, '{glossary.HINT_HEAD}' || chr(10) || string_agg('  - ' || message, chr(10) ORDER BY entry_idx) AS hint FROM v GROUP BY id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return glossary.hints(glossary.violations(line_pairs(spark, d), demo_glossary(spark), "id", "text", "out"), "id")
 
@@ -528,7 +528,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("echo_flags", "SELECT conv_id, turn, turn % 3 = 0 AS echo FROM conversations")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" RETURN Nothing but THE translation."))).otherwise(F.col("text"))
+    said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" RETURN Nothing but THE translation"))).otherwise(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", guards.is_echo(said).alias("echo"))
 
 

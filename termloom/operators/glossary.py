@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
@@ -16,8 +17,15 @@ RULE = r"(?iU)^(TRANSLATE|KEEP|PREFER):\s*(.+?)(?:\s*→\s*(.+))?$"
 PREFIX = r"(?iU)^(TRANSLATE|KEEP|PREFER):\s*(.*)$"
 LINES = "line_no int, line string"
 HEADER = ("# Glossary of this document. Edit freely before translation.", "# TRANSLATE: source → target  (checked)", "# KEEP: term  (stays as it is)", "# PREFER: source → target  (a hint)", "# Several source forms of one thing: a | b | c", "# Lines that begin with # are notes.")
-#: Beyond so many bytes of terms the glossary is joined by first letters instead of being sent to every task.
+#: Beyond so many bytes of terms the glossary is not sent to every task at once but slice by slice.
 BROADCAST_BYTES = 8 << 20
+#: Our own wording of what a model is told about terms; guards watch for it in answers.
+SECTION_HEAD = "Vocabulary of this document (source → target); use it wherever it applies:"
+UNCHANGED = "  (leave as is)"
+HINT_HEAD = "Vocabulary this passage needs:"
+ATTEMPT_HEAD = "Earlier attempt at this passage:"
+MEND_HEAD = "It misses some vocabulary. Mend only the following:"
+RENDER, AS = "render '", "' as "
 
 
 def variants(text: Column) -> Column:
@@ -123,55 +131,124 @@ def find_all(text: str, term: str) -> list[int]:
     return out
 
 
-def occurrences(chunks: DataFrame, entries: DataFrame, key: str, text: str) -> DataFrame:
+def term_slices(entries: DataFrame) -> list[pd.DataFrame]:
+    """The folded terms, checked for their size: one table up to 8 MB, else slices of that size."""
+    terms = folded_terms(entries)
+    size = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    n = int(size // BROADCAST_BYTES) + 1
+    return [(terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k) if n > 1 else terms).toPandas() for k in range(n)]
+
+
+def occurrences(chunks: DataFrame, entries: DataFrame, key: str, text: str, slices: list[pd.DataFrame] | None = None) -> DataFrame:
     """(key, entry_idx, s, e): every substring occurrence of a folded term in the folded text, overlapping ones included.
 
-    The glossary's terms are checked for their size: up to 8 MB they go to every task and one automaton pass finds all
-    of them; a larger one is cut into slices of that size, and each slice makes its own pass over the texts.
+    The texts are folded and searched in one pass for each slice of the glossary's terms.
     """
-    terms = folded_terms(entries)
-    size = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
-    slices = int(size // BROADCAST_BYTES) + 1
-    folded = chunks.select(F.col(key), fold(F.col(text)).alias("_folded"))
     out = None
-    for k in range(slices):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == k) if slices > 1 else terms
-        found = folded.mapInPandas(_finder(part.toPandas(), key), f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int, s int, e int")
+    for part in slices or term_slices(entries):
+        find = _finder(part)
+
+        def run(batches: Iterator[pd.DataFrame], find: Callable = find) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(k, i, s, e) for k, text in zip(pdf[key], pdf["_text"], strict=True) if text for s, e, i in find(fold_text(text))]
+                yield pd.DataFrame(rows, columns=[key, "entry_idx", "s", "e"])
+
+        found = chunks.select(F.col(key), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int, s int, e int")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _finder(terms: pd.DataFrame, key: str):
+def _finder(terms: pd.DataFrame) -> Callable[[str], list[tuple[int, int, int]]]:
+    """A search for all (start, end, entry) of the terms in a folded text; an automaton where there are many terms."""
     owners: dict[str, list[int]] = {}
     for i, t in zip(terms["entry_idx"], terms["term"], strict=True):
         owners.setdefault(t, []).append(int(i))
+    made: list = []
+
+    def find(text: str) -> list[tuple[int, int, int]]:
+        if len(owners) <= 40:
+            return [(at, at + len(t), i) for t, own in owners.items() if t in text for at in find_all(text, t) for i in own]
+        if not made:
+            import ahocorasick
 
-    def run(batches):
-        automaton = None
-        if len(owners) > 40:
-            try:
-                import ahocorasick
-
-                automaton = ahocorasick.Automaton()
-                for t, own in owners.items():
-                    automaton.add_word(t, (len(t), own))
-                automaton.make_automaton()
-            except ImportError:
-                automaton = None
+            automaton = ahocorasick.Automaton()
+            for t, own in owners.items():
+                automaton.add_word(t, (len(t), own))
+            automaton.make_automaton()
+            made.append(automaton)
+        return [(end + 1 - n, end + 1, i) for end, (n, own) in made[0].iter(text) for i in own]
+
+    return find
+
+
+def live(spans: list[tuple[int, int, int]]) -> list[int]:
+    """Entries of (start, end, entry) spans of one text with a span that no strictly longer span of another entry overlaps.
+
+    Spans of one length are kept in order, so those that overlap a span are a slice of each longer length, and a slice
+    holds another entry if its first span or the next different one does.
+    """
+    by: dict[int, list[tuple[int, int]]] = {}
+    for s, e, i in spans:
+        by.setdefault(e - s, []).append((s, i))
+    if len(by) < 2:
+        return sorted({i for _, _, i in spans})
+    longer: list[tuple[int, list[int], list[int], list[int]]] = []
+    out: set[int] = set()
+    for n in sorted(by, reverse=True):
+        own = sorted(by[n])
+        for s, i in own:
+            if i in out:
+                continue
+            for m, starts, entries, change in longer:
+                lo, hi = bisect_right(starts, s - m), bisect_left(starts, s + n)
+                if lo < hi and (entries[lo] != i or change[lo] < hi):
+                    break
+            else:
+                out.add(i)
+        change = [len(own)] * len(own)
+        for k in range(len(own) - 2, -1, -1):
+            change[k] = k + 1 if own[k][1] != own[k + 1][1] else change[k + 1]
+        longer.append((n, [s for s, _ in own], [i for _, i in own], change))
+    return sorted(out)
+
+
+def live_terms(chunks: DataFrame, entries: DataFrame, key: str, text: str, told: str | None = None, accepted: dict[int, list[str]] | None = None) -> DataFrame:
+    """(key, entry_idx) of the live entries of each text; with told and accepted only those none of whose accepted folded
+    forms the folded told has. Where both tables have a scope, entries concern the chunks of theirs only (null: all). One pass over the texts, where liveness is decided too; a glossary beyond 8 MB takes a pass
+    a slice and joins the spans by key."""
+    slices = term_slices(entries)
+    scoped = "scope" in chunks.columns and "scope" in entries.columns
+    # as many rows as the glossary; one document's entries do not concern another
+    owner = {r[0]: r[1] for r in entries.select("entry_idx", "scope").collect()} if scoped else {}
+    cols = [F.col(key), F.col(text).alias("_text"), (F.col("scope") if scoped else F.lit(None).cast("string")).alias("_scope"), *([F.col(told).alias("_told")] if told else [])]
+    schema = f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int"
+    src = chunks.select(*cols)
+    mine = lambda spans, scope: [x for x in spans if owner[x[2]] in (None, scope)] if scoped else spans
+    if len(slices) > 1:
+        spans = occurrences(chunks, entries, key, text, slices)
+        if scoped:
+            spans = spans.join(entries.select("entry_idx", F.col("scope").alias("_own")), "entry_idx").join(chunks.select(key, "scope"), key).where("_own is null or _own = scope").select(key, "entry_idx", "s", "e")
+        found = live_entries(spans, key)
+        if not told:
+            return found
+        grouped = found.groupBy(key).agg(F.collect_set("entry_idx").alias("_live"))
+        src = src.drop("_text").join(grouped, key)
+        of_row = lambda pdf: pdf["_live"]
+    else:
+        find = _finder(slices[0])
+        of_row = lambda pdf: (live(mine(find(fold_text(t)), c)) if t else () for t, c in zip(pdf["_text"], pdf["_scope"], strict=True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, text in zip(pdf[key], pdf["_folded"], strict=True):
-                if not text:
-                    continue
-                if automaton is not None:
-                    for end, (n, own) in automaton.iter(text):
-                        rows += [(k, i, end + 1 - n, end + 1) for i in own]
-                else:
-                    for t, own in owners.items():
-                        rows += [(k, i, at, at + len(t)) for at in find_all(text, t) for i in own]
-            yield pd.DataFrame(rows, columns=[key, "entry_idx", "s", "e"])
+            for k, own, said in zip(pdf[key], of_row(pdf), pdf["_told"] if told else pdf[key], strict=True):
+                if told and len(own):
+                    said = fold_text(said or "")
+                    own = [i for i in own if i in accepted and not any(t in said for t in accepted[i])]
+                rows += [(k, i) for i in own]
+            yield pd.DataFrame(rows, columns=[key, "entry_idx"])
 
-    return run
+    return src.mapInPandas(run, schema)
 
 
 def live_entries(spans: DataFrame, key: str) -> DataFrame:
@@ -189,33 +266,26 @@ def target_present(translation: Column, target: Column, alts: Column) -> Column:
     return F.exists(F.concat(F.array(target), alts), lambda t: F.contains(translation, t))
 
 
-def folded_entries(entries: DataFrame) -> DataFrame:
-    """Adds accepted: the folded target forms."""
-    forms = entries.select("entry_idx", F.explode(F.concat(F.array("target"), "target_alts")).alias("t")).withColumn("t", fold(F.col("t"))).groupBy("entry_idx").agg(F.collect_set("t").alias("accepted"))
-    return entries.join(forms, "entry_idx", "left")
-
-
 def violations(pairs: DataFrame, entries: DataFrame, key: str, source: str, translation: str) -> DataFrame:
     """(key, entry_idx, message): live require and verbatim entries of the source none of whose targets the translation has."""
-    live = live_entries(occurrences(pairs, entries, key, source), key)
-    rules = folded_entries(entries).where(F.col("kind").isin("require", "verbatim"))
-    told = pairs.select(key, fold(F.coalesce(F.col(translation), F.lit(""))).alias("_told"))
-    missing = live.join(rules, "entry_idx").join(told, key).where(~F.exists("accepted", lambda t: F.contains("_told", t)))
+    rules = entries.where(F.col("kind").isin("require", "verbatim"))
+    # as many rows as the glossary has checked rules
+    accepted = {r["entry_idx"]: [fold_text(t) for t in (r["target"], *r["target_alts"])] for r in rules.select("entry_idx", "target", "target_alts").collect()}
+    missing = live_terms(pairs, entries, key, source, translation, accepted)
     also = F.when(F.size("target_alts") > 0, F.concat(F.lit(" (or: "), F.array_join("target_alts", ", "), F.lit(")"))).otherwise("")
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(" — "), "note")).otherwise("") if "note" in entries.columns else F.lit("")
-    message = F.concat(F.lit("'"), F.element_at("source_terms", 1), F.lit("' must translate to "), "target", also, note)
-    return missing.select(key, "entry_idx", message.alias("message"))
+    message = F.concat(F.lit(RENDER), F.element_at("source_terms", 1), F.lit(AS), "target", also, note)
+    return missing.join(rules, "entry_idx").select(key, "entry_idx", message.alias("message"))
 
 
 def prompt_sections(chunks: DataFrame, entries: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section): the live entries as lines in order; chunks without any have no row."""
-    live = live_entries(occurrences(chunks, entries, key, text), key)
-    mark = F.when(F.col("kind") == "verbatim", "  (preserve exactly as written)").otherwise("")
+    """(key, section): a heading that says what they are, and the live entries as lines in order; chunks without any have no row."""
+    mark = F.when(F.col("kind") == "verbatim", UNCHANGED).otherwise("")
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("  ["), "note", F.lit("]"))).otherwise("") if "note" in entries.columns else F.lit("")
     line = F.concat(F.lit("  "), F.element_at("source_terms", 1), F.lit(" → "), "target", mark, note)
-    lines = live.join(entries.select("entry_idx", line.alias("line")), "entry_idx")
+    lines = live_terms(chunks, entries, key, text).join(entries.select("entry_idx", line.alias("line")), "entry_idx")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("entry_idx", "line"))), lambda s: s["line"])
-    return lines.groupBy(key).agg(F.array_join(ordered, "\n").alias("section"))
+    return lines.groupBy(key).agg(F.concat(F.lit(SECTION_HEAD + "\n"), F.array_join(ordered, "\n")).alias("section"))
 
 
 def hints(found: DataFrame, key: str, previous: Column | None = None) -> DataFrame:
@@ -223,7 +293,7 @@ def hints(found: DataFrame, key: str, previous: Column | None = None) -> DataFra
     bullet = F.concat(F.lit("  - "), F.substring_index("message", " — ", 1))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("entry_idx", bullet.alias("line")))), lambda s: s["line"])
     one = found.groupBy(key).agg(F.array_join(lines, "\n").alias("lines"), *([F.first(previous).alias("previous")] if previous is not None else []))
-    head = F.lit("Use exactly these terms in this translation:\n") if previous is None else F.concat(F.lit("Your translation of this passage was:\n---\n"), strip(F.col("previous")), F.lit("\n---\nIt has terminology errors. Correct these terms and nothing else:\n"))
+    head = F.lit(HINT_HEAD + "\n") if previous is None else F.concat(F.lit(ATTEMPT_HEAD + "\n---\n"), strip(F.col("previous")), F.lit("\n---\n" + MEND_HEAD + "\n"))
     return one.select(key, F.concat(head, "lines").alias("hint"))
 
 

@@ -18,16 +18,18 @@ IDENTIFIER = r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"
 #: Placeholders of masked identifiers, and the characters that make a cell data.
 PLACEHOLDER = r"⟪V(\d+)⟫"
 DATA_CHARS = r"(?U)[\d\s.,\-/+:%·–—$€£¥@#()\[\]]+"
-#: Our own prompt wording; each phrase that could only come from a prompt is watched for in the output.
+#: Our own prompt wording, in two templates: for chat models, and for models made for translation only.
 INSTRUCTIONS = (
     "You translate documents from {source} ({source_code}) to {target} ({target_code}).",
     "Return nothing but the translation.",
     "Keep asterisks around emphasised words, and leave codes in ⟪⟫ brackets as they are.",
 )
+SHORT_INSTRUCTIONS = ("Render the following {source} ({source_code}) passage in {target} ({target_code}), marks and codes unchanged.",)
+SHORT_MODELS = ("translate",)
 DOMAIN_CLAUSE = "The documents belong to this field: {domain}."
-LEAKS = ("you translate documents from", "return nothing but the translation", "keep asterisks around emphasised words", "use exactly these terms in this translation", "your translation of this passage was", "it has terminology errors", "correct these terms and nothing else", "the documents belong to this field")
-RETRY_LEAKS = ("This is a short fragment", "table cell", "Translate ONLY this text", "Do not add any explanation")
-HINT_BULLET = r"['\"][^'\"]+['\"] must translate to "
+#: What could only come from a prompt: the fixed beginnings of everything that prompts are made of.
+LEAKS = tuple(t.split("{")[0].strip(" :\n").lower() for t in (*INSTRUCTIONS, *SHORT_INSTRUCTIONS, DOMAIN_CLAUSE, G.SECTION_HEAD, G.HINT_HEAD, G.ATTEMPT_HEAD, G.MEND_HEAD))
+HINT_BULLET = re.escape(G.RENDER) + "[^']+" + re.escape(G.AS)
 #: Language names and their codes.
 LANGUAGES = {
     "Arabic": "ar", "Bengali": "bn", "Bulgarian": "bg", "Catalan": "ca", "Chinese": "zh-CN", "Croatian": "hr", "Czech": "cs",
@@ -70,9 +72,10 @@ def language_code(name: str, default: str) -> str:
     return LANGUAGES.get(name, default)
 
 
-def prompt(text: Column, source: str, target: str, domain: str = "", section: Column | None = None, hint: Column | None = None) -> Column:
-    """Instructions, terminology section, hint and text."""
-    head = " ".join(INSTRUCTIONS).format(source=source, target=target, source_code=language_code(source, "es"), target_code=language_code(target, "en"))
+def prompt(text: Column, source: str, target: str, domain: str = "", section: Column | None = None, hint: Column | None = None, model: str = "") -> Column:
+    """Instructions, terminology section, hint and text; models with one of SHORT_MODELS in their name get the short template."""
+    short = any(m in model.lower() for m in SHORT_MODELS)
+    head = " ".join(SHORT_INSTRUCTIONS if short else INSTRUCTIONS).format(source=source, target=target, source_code=language_code(source, "es"), target_code=language_code(target, "en"))
     if domain:
         head += " " + DOMAIN_CLAUSE.format(domain=domain)
     more = [F.coalesce(F.concat(p, F.lit("\n")), F.lit("")) for p in (section, hint) if p is not None]
@@ -159,33 +162,35 @@ def called(rows: DataFrame, backend: Backend, out: str, temperature: float = 0.3
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def guarded_translation(texts: DataFrame, key: str, text: str, backend: Backend, keep: Callable[[DataFrame], DataFrame], entries: DataFrame | None = None, source: str = "Spanish", target: str = "English", domain: str = "", seed: int = 42) -> DataFrame:
-    """(key, translated, flags): mask, call, retry echoes, retry violations with a hint, unmask.
+def guarded_translation(texts: DataFrame, key: str, text: str, backend: Backend, keep: Callable[[DataFrame], DataFrame], entries: DataFrame | None = None, source: str = "Spanish", target: str = "English", domain: str = "", seed: int = 42, model: str = "") -> DataFrame:
+    """(key, translated, kept_source, n_violations, retry_taken): mask, call, retry echoes, retry violations with a hint, unmask.
 
-    An answer that repeats the prompt is asked for again at low temperature, and the source stays if that fails too.
-    Violations are retried once with the previous attempt shown; the retry counts only without echo and with strictly
-    fewer violations. keep(df) must write df down (checkpoint or table): it is called after each model call.
+    An answer that repeats the prompt, or none, is asked for again at low temperature, and the source stays if that fails
+    too. Violations are retried once with the previous attempt shown; the retry counts only without echo and with strictly
+    fewer violations. Null texts stay null and are not sent. keep(df) must write df down (checkpoint or table): it is
+    called after each model call.
     """
-    base = texts.select(F.col(key), F.col(text).alias("original"), masked(F.col(text)).alias("masked"), identifiers(F.col(text)).alias("registry"))
+    scope = ["scope"] if "scope" in texts.columns else []
+    base = texts.select(F.col(key), *scope, F.col(text).alias("original"), masked(F.col(text)).alias("masked"), identifiers(F.col(text)).alias("registry")).where("original is not null")
     base = base.withColumn("budget", output_budget(F.length("masked")))
     if entries is not None:
         base = base.join(G.prompt_sections(base, entries, key, "masked"), key, "left")
         section = F.col("section")
     else:
         base, section = base.withColumn("section", F.lit(None).cast("string")), None
-    first = keep(called(base.withColumn("prompt", prompt(F.col("masked"), source, target, domain, section)), backend, "answer", seed=seed))
-    echoed = is_echo(F.col("answer"), domain)
-    again = called(first.where(echoed), backend, "second", 0.1, seed)
-    now = first.where(~echoed).withColumn("second", F.lit(None).cast("string")).unionByName(again)
-    now = keep(now.withColumn("result", F.coalesce("second", "answer")).withColumn("echo", is_echo(F.col("result"), domain)))
-    out = now.select(key, "original", "masked", "registry", "budget", "section", "result", "echo")
+    failed = lambda c: F.coalesce(is_echo(F.col(c), domain), F.lit(True))
+    first = keep(called(base.withColumn("prompt", prompt(F.col("masked"), source, target, domain, section, model=model)), backend, "answer", seed=seed)).withColumn("failed", failed("answer"))
+    again = called(first.where("failed"), backend, "second", 0.1, seed)
+    now = first.where("not failed").withColumn("second", F.lit(None).cast("string")).unionByName(again)
+    now = keep(now.withColumn("result", F.coalesce("second", "answer")).withColumn("echo", failed("result")))
+    out = now.select(key, *scope, "original", "masked", "registry", "budget", "section", "result", "echo")
     retried = None
     if entries is not None:
         wrong = keep(G.violations(out.where(~F.col("echo")), entries, key, "masked", "result"))
         n = wrong.groupBy(key).agg(F.count(F.lit(1)).alias("n_wrong"))
         hint = G.hints(wrong.join(out.select(key, "result"), key), key, F.col("result"))
-        todo = out.join(n, key).join(hint, key).withColumn("prompt", prompt(F.col("masked"), source, target, domain, section, F.col("hint")))
-        retry = keep(called(todo, backend, "retry", 0.1, seed)).withColumn("bad", is_echo(F.col("retry"), domain))
+        todo = out.join(n, key).join(hint, key).withColumn("prompt", prompt(F.col("masked"), source, target, domain, section, F.col("hint"), model))
+        retry = keep(called(todo, backend, "retry", 0.1, seed)).withColumn("bad", failed("retry"))
         left = G.violations(retry, entries, key, "masked", "retry").groupBy(key).agg(F.count(F.lit(1)).alias("n_left"))
         better = ~F.col("bad") & (F.coalesce("n_left", F.lit(0)) < F.col("n_wrong"))
         retried = retry.join(left, key, "left").select(key, "retry", "n_wrong", better.alias("better"))
@@ -194,20 +199,39 @@ def guarded_translation(texts: DataFrame, key: str, text: str, backend: Backend,
     else:
         out = out.withColumns({"retry": F.lit(None).cast("string"), "n_wrong": F.lit(None).cast("long"), "better": F.lit(None).cast("boolean")})
     chosen = F.when(F.col("echo"), F.col("original")).otherwise(unmasked(F.when(F.coalesce("better", F.lit(False)), F.col("retry")).otherwise(F.col("result")), F.col("registry")))
-    return out.select(key, chosen.alias("translated"), F.col("echo").alias("kept_source"), F.coalesce("n_wrong", F.lit(0)).alias("n_violations"), F.coalesce("better", F.lit(False)).alias("retry_taken"))
+    out = out.select(key, chosen.alias("translated"), F.col("echo").alias("kept_source"), F.coalesce("n_wrong", F.lit(0)).alias("n_violations"), F.coalesce("better", F.lit(False)).alias("retry_taken"))
+    blank = texts.where(F.col(text).isNull()).select(key, F.lit(None).cast("string").alias("translated"), F.lit(False).alias("kept_source"), F.lit(0).cast("long").alias("n_violations"), F.lit(False).alias("retry_taken"))
+    return out.unionByName(blank)
 
 
-def translated_cells(cells: DataFrame, translate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def cell_retry(backend: Backend, source: str = "Spanish", target: str = "English", domain: str = "", seed: int = 42, model: str = "") -> Callable[[DataFrame], DataFrame]:
+    """(cell_key, text) to (cell_key, retried): one more call at low temperature with a small budget."""
+
+    def again(keys: DataFrame) -> DataFrame:
+        asked = keys.withColumn("masked", F.col("text")).withColumn("prompt", prompt(F.col("text"), source, target, domain, model=model)).withColumn("budget", retry_budget(F.length("text")))
+        return called(asked, backend, "retried", 0.1, seed).select("cell_key", F.col("retried"))
+
+    return again
+
+
+def translated_cells(cells: DataFrame, translate: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """table_cells with a translated column: each distinct stripped cell of a document is translated once.
 
-    Blank and data cells pass through. translate takes (cell_key, text) and returns (cell_key, translated); outputs
-    over four times and 50 characters longer than the cell give way to the cell.
+    Blank, null and data cells pass through. translate takes (cell_key, text) and returns (cell_key, translated). An output
+    over four times and 50 characters longer than its cell is asked for once more by again, and the cell stays unless
+    that answer is there, is short enough and does not repeat the prompt.
     """
     c = cells.withColumn("_text", strip(F.col("text")))
     keys = c.where((F.col("_text") != "") & ~is_data_cell(F.col("_text"))).select("doc_id", "_text").distinct()
     keys = keys.withColumn("cell_key", F.sha2(F.concat_ws("\0", "doc_id", "_text"), 256))
-    done = translate(keys.select("cell_key", F.col("_text").alias("text")))
-    known = keys.join(done, "cell_key").select("doc_id", "_text", F.when(is_runaway(F.col("_text"), F.col("translated")) | contains_any(F.col("translated"), list(RETRY_LEAKS)), F.col("_text")).otherwise(F.col("translated")).alias("_done"))
+    done = keep(keys.join(translate(keys.select("cell_key", F.col("_text").alias("text"))), "cell_key", "left"))
+    wild = F.coalesce(is_runaway(F.col("_text"), F.col("translated")), F.lit(True))
+    known = done.where(~wild).select("doc_id", "_text", F.col("translated").alias("_done"))
+    if again is not None:
+        runaway = done.where(wild)
+        retried = keep(runaway.join(again(runaway.select("cell_key", F.col("_text").alias("text"))), "cell_key", "left"))
+        fine = F.coalesce((F.col("retried") != "") & ~is_runaway(F.col("_text"), F.col("retried")) & ~is_echo(F.col("retried")), F.lit(False))
+        known = known.unionByName(retried.where(fine).select("doc_id", "_text", F.col("retried").alias("_done")))
     return c.join(known, ["doc_id", "_text"], "left").withColumn("translated", F.coalesce("_done", "text")).drop("_text", "_done")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, docmodel, glossary, guards, terms
 from ..operators.quality import report
+from ..sources.sinks import snapshot
 
 
 class Identifier(Protocol):
@@ -21,18 +22,42 @@ class Identifier(Protocol):
     def __call__(self, segments: list[str]) -> list[str]: ...
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where all runs on one machine."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="termloom-")
+    return path.rstrip("/")
+
+
 def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """Writes a table into the shared folder and reads it back, so that no model is called twice for one row."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="termloom-")
+    folder = shared_folder(spark)
 
     def keep(df: DataFrame) -> DataFrame:
-        path = f"{conf.rstrip('/')}/translate-{uuid.uuid4().hex}"
+        path = f"{folder}/translate-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     return keep
 
 
+#: Our own wording of the call that names a segment's terms, with the rules of the reply that parsed_lines reads.
+IDENTIFY = """Below is a passage in {language}. Name its technical terms, institutions and identifiers, one a line and nothing else.
+Write a line as one of
+KEEP: name            for codes, addresses and proper names that no translation changes
+TERM: full name | short form | other form            for all other terms, every form as the passage has it
+Name nothing that the passage does not contain.
+
+{text}"""
+#: Our own wording of the call that translates terms; the reply's lines are read by parsed_targets.
+TRANSLATE_TERMS = """Translate these {source} terms to {target}. Answer with one line a term: term → translation.
+
+{lines}"""
+
+
 def identified(segments: DataFrame, model: Identifier) -> DataFrame:
     """segments (doc_id, grp, text) with the model's reply."""
 
@@ -43,16 +68,21 @@ def identified(segments: DataFrame, model: Identifier) -> DataFrame:
     return segments.select("doc_id", "grp", "text").mapInPandas(run, f"doc_id {dict(segments.dtypes)['doc_id']}, grp int, text string, raw string")
 
 
-def extracted_terms(blocks: DataFrame, model: Identifier, translate: Callable[[list[str], list[str]], list[str]], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def extracted_terms(blocks: DataFrame, model: Identifier, translate: Callable[[list[str], list[str]], list[str]], keep: Callable[[DataFrame], DataFrame], snapshots: str | None = None) -> DataFrame:
     """Entries (doc_id, entry_idx, source_terms, target, kind) found in documents: segment, identify, parse, presence,
-    merge, reclassify, disjoin, vote, unite, case, translate the first variants with their contexts, build."""
+    merge, reclassify, disjoin, vote, unite, case, translate the first variants with their contexts, build.
+
+    With snapshots, a folder, the tables of the stages are written there too."""
+    shot = lambda df, name: snapshot(df, snapshots, name)
     segs = keep(identified(chunking.segments(docmodel.flat_texts(blocks, notes=False, headings=False)), model)).withColumn("seg", F.concat_ws("/", "doc_id", "grp"))
     lines = terms.present_only(terms.parsed_lines(segs, "seg", "raw"), segs, "seg", "text")
-    lines = keep(lines.join(segs.select("seg", "doc_id", "grp"), "seg"))
+    lines = shot(keep(lines.join(segs.select("seg", "doc_id", "grp"), "seg")), "parsed")
+    shot(segs, "segments")
     groups, kept = terms.merged_groups(lines, "doc_id", "grp"), terms.kept_terms(lines, "doc_id")
     kept, groups = terms.reclassified(kept, groups, "doc_id")
     kept = terms.without_conflicts(kept, groups, "doc_id")
     united = keep(terms.united(terms.voted(groups, "doc_id"), "doc_id").withColumn("variants", terms.normal_case(F.col("variants"))))
+    shot(united, "groups")
     whole = segs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "text"))), lambda s: s["text"]), "\n").alias("whole"))
     wanted = united.select("doc_id", F.element_at("variants", 1).alias("term")).distinct().join(whole, "doc_id").withColumn("context", terms.term_context(F.col("term"), F.col("whole"))).drop("whole")
 
@@ -63,7 +93,22 @@ def extracted_terms(blocks: DataFrame, model: Identifier, translate: Callable[[l
                 yield part[["doc_id", "term"]].assign(target=translate(list(part["term"]), [c or "" for c in part["context"]]))
 
     targets = keep(wanted.mapInPandas(ask, f"doc_id {dict(blocks.dtypes)['doc_id']}, term string, target string"))
-    return terms.built_entries(kept, united, targets, "doc_id")
+    return shot(terms.built_entries(kept, united, shot(targets, "targets"), "doc_id"), "entries")
+
+
+def batched_targets(ask: Callable[[list[str]], list[str]], source: str, target: str) -> Callable[[list[str], list[str]], list[str]]:
+    """Translates a batch of terms in one call; a term whose line is missing in the reply has no target."""
+
+    def translated(names: list[str], contexts: list[str]) -> list[str]:
+        lines = "\n".join(f'- {n} [context: "{c}"]' if c else f"- {n}" for n, c in zip(names, contexts, strict=True))
+        got = {}
+        for line in ask([TRANSLATE_TERMS.format(source=source, target=target, lines=lines)])[0].split("\n"):
+            name, arrow, told = line.strip().lstrip("-* ").partition("→")
+            if arrow and told.strip():
+                got[name.strip().lower()] = told.strip()
+        return [got.get(n.lower(), "") for n in names]
+
+    return translated
 
 
 def symbolic_entries(blocks: DataFrame) -> DataFrame:
@@ -86,7 +131,7 @@ def translated_blocks(blocks: DataFrame, backend: guards.Backend, entries: DataF
     key = lambda *more: F.concat_ws("\1", F.col("doc_id"), F.col("pos").cast("string"), *map(F.lit, more))
 
     def run(texts: DataFrame) -> DataFrame:
-        return guards.guarded_translation(texts, "key", "text", backend, keep, entries, **options).select("key", "translated")
+        return guards.guarded_translation(texts.withColumn("scope", F.substring_index("key", "\1", 1)), "key", "text", backend, keep, entries, **options).select("key", "translated")
 
     alone = rows.where("route <> 'body'").select(key("b").alias("key"), F.col("bare").alias("text"))
     titles = rows.where("kind = 'list_item' and title <> ''").select(key("t").alias("key"), F.col("title").alias("text"))
@@ -110,13 +155,19 @@ def translated_blocks(blocks: DataFrame, backend: guards.Backend, entries: DataF
     return other.select("doc_id", "pos", "translated").unionByName(body).join(t, ["doc_id", "pos"], "left")
 
 
-def run(blocks: DataFrame, cells: DataFrame, backend: guards.Backend, entries: list[glossary.Entry] | None = None, **options) -> dict[str, DataFrame]:
-    """Phase two over whole collections: translated blocks, cells, statistics and the check of source against output."""
+def run(blocks: DataFrame, cells: DataFrame, backend: guards.Backend, entries: list[glossary.Entry] | DataFrame | None = None, **options) -> dict[str, DataFrame]:
+    """Phase two over whole collections: translated blocks, cells, statistics and the check of source against output.
+
+    entries is one glossary for all documents, or a table whose scope names the document each entry is for.
+    """
     spark = blocks.sparkSession
     keep = keeper(spark)
-    table = glossary.entries_frame(spark, entries) if entries else None
+    table = glossary.entries_frame(spark, entries) if isinstance(entries, list) and entries else entries if isinstance(entries, DataFrame) else None
     done = keep(translated_blocks(blocks, backend, table, keep, **options))
+    told = ("source", "target", "domain", "seed", "model")
+    again = guards.cell_retry(backend, **{k: v for k, v in options.items() if k in told})
     to_cells = lambda d: guards.guarded_translation(d, "cell_key", "text", backend, keep, table, **options).select("cell_key", "translated")
+    new_cells = keep(guards.translated_cells(cells, to_cells, again, keep))
     new = blocks.join(done, ["doc_id", "pos"], "left")
     out_blocks = new.withColumn("runs", F.when(F.col("runs").isNotNull(), F.transform(F.slice("runs", 1, 1), lambda r: F.struct(F.coalesce("translated", r["text"]).alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), r["size"].alias("size"))))).withColumn("text", F.coalesce(F.when(F.col("runs").isNull(), F.col("translated")), "text")).select(*blocks.columns)
-    return {"blocks": done, "cells": guards.translated_cells(cells, to_cells), "stats": docmodel.doc_stats(blocks), "check": report(blocks, out_blocks)}
+    return {"blocks": done, "cells": new_cells, "stats": docmodel.doc_stats(blocks), "check": report(blocks, out_blocks, cells, new_cells.withColumn("text", F.col("translated")))}

@@ -13,17 +13,25 @@ SUFFIXES = (".docx", ".pdf")
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
     """binaryFile rows of the .docx and .pdf files right in a folder, whatever the case of the suffix, by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", False).option("pathGlobFilter", "*.{docx,pdf,DOCX,PDF,Docx,Pdf}").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", False).option("pathGlobFilter", "*.{[dD][oO][cC][xX],[pP][dD][fF]}").load(path)
     return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).where(F.col("suffix").isin(*SUFFIXES)).orderBy("path")
 
 
 def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, cells) by suffix: .docx is parsed here; .pdf needs a codec that yields span tables (see layout), so it is refused."""
+    """(blocks, cells) by suffix: .docx is parsed here. A .pdf needs a codec that yields span tables (see layout), so it gives
+    nothing and is listed by failed()."""
     from .docx import read_blocks, read_cells
 
-    pdf = F.assert_true(F.col("suffix") != ".pdf", F.lit("pdf files need a span extractor; pass its table to layout instead"))
-    checked = files.where(F.coalesce(pdf.cast("string"), F.lit("")) == "")
-    return read_blocks(checked), read_cells(checked)
+    words = files.where("suffix = '.docx'")
+    return read_blocks(words), read_cells(words)
+
+
+def failed(files: DataFrame) -> DataFrame:
+    """(path, error) of the files that give no blocks; none of them ends a run."""
+    from .docx import failures
+
+    pdf = files.where("suffix = '.pdf'").select("path", F.lit("no reader for pdf: pass its span table to layout").alias("error"))
+    return failures(files.where("suffix = '.docx'")).unionByName(pdf)
 
 
 def _as_blocks(rows: DataFrame, kind: Column, level: Column, text: Column, title: Column) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +72,33 @@ def append_report(report: DataFrame, path: str) -> int:
     return n
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes (name, content) rows as files of a folder that executors share; returns how many. A file appears whole or not
+    at all, and a task that runs again writes the same file again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_py() or b"")
+                store.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    return files.select("name", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def listed(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Paths of a folder's files whose names fit the pattern."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hpath)
+    return [str(f.getPath()) for f in found or []]
+
+
 def delete_file(spark: SparkSession, path: str) -> bool:
     """Deletes a file or folder if it is there."""
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -121,7 +121,7 @@ def test_clean_variants():
     assert terms.clean_variants("BLUEPRINT: blueprint") == ["blueprint"]
     assert terms.clean_variants("Org: meaning") == ["Org", "meaning"]
     assert terms.clean_variants("Full (Ab) | full") == ["Full", "Ab"]
-    assert terms.clean_variants("KEEP") == [] and terms.clean_variants("PAIRING RULE: Corte | x") == ["Corte", "x"]
+    assert terms.clean_variants("KEEP") == [] and terms.clean_variants("PREFER: Corte | x") == ["Corte", "x"]
     assert terms.clean_variants(" ".join("word" for _ in range(19))) == []
 
 
@@ -214,6 +214,10 @@ def test_longest_match_on_random_texts(spark):
     for r in glossary.live_entries(glossary.occurrences(chunks, entries(spark, rows), "k", "t"), "k").collect():
         got.setdefault(r["k"], []).append(r["entry_idx"])
     assert all(sorted(got.get(k, [])) == brute_live(t, rows) for k, t in enumerate(texts))
+    once = {}
+    for r in glossary.live_terms(chunks, entries(spark, rows), "k", "t").collect():
+        once.setdefault(r["k"], []).append(r["entry_idx"])
+    assert once == {k: v for k, v in ((k, brute_live(t, rows)) for k, t in enumerate(texts)) if v}
 
 
 def test_many_terms_use_one_pass(spark, monkeypatch):
@@ -228,11 +232,11 @@ def test_violations_and_hints(spark):
     source = "La CIDH y el ministerio público usan data_x"
     pairs = spark.createDataFrame([(1, source, "The court and the prosecutors use it"), (2, source, "The IACHR and the public ministry use data_x")], "k int, s string, t string")
     found = glossary.violations(pairs, entries(spark, GLOSSARY), "k", "s", "t").orderBy("entry_idx").collect()
-    assert [(r["k"], r["message"]) for r in found] == [(1, "'Comisión Interamericana de Derechos Humanos' must translate to Inter-American Commission (or: IACHR)"), (1, "'ministerio público' must translate to Public Ministry"), (1, "'data_x' must translate to data_x")]
+    assert [(r["k"], r["message"]) for r in found] == [(1, "render 'Comisión Interamericana de Derechos Humanos' as Inter-American Commission (or: IACHR)"), (1, "render 'ministerio público' as Public Ministry"), (1, "render 'data_x' as data_x")]
     hint = glossary.hints(spark.createDataFrame(found), "k").first()["hint"]
     assert hint.count("  - ") == 3
     section = glossary.prompt_sections(pairs.where("k = 1"), entries(spark, GLOSSARY), "k", "s").first()["section"]
-    assert section.splitlines()[-1] == "  data_x → data_x  (preserve exactly as written)"
+    assert section.splitlines()[-1] == "  data_x → data_x  (leave as is)"
 
 
 def test_glossary_lines(spark, tmp_path):
@@ -278,7 +282,7 @@ def test_masking(spark):
 
 
 def test_guards(spark):
-    assert one(spark, guards.is_echo(F.lit("'a' must translate to b"))) and not one(spark, guards.is_echo(F.lit("a clean answer")))
+    assert one(spark, guards.is_echo(F.lit("render 'a' as b"))) and not one(spark, guards.is_echo(F.lit("a clean answer")))
     assert one(spark, guards.is_echo(F.lit("THE DOCUMENTS BELONG TO THIS FIELD: LAW"), "law"))
     assert [one(spark, guards.is_data_cell(F.lit(c))) for c in ("42", "$100", "12 kg", "CAT 1", "No", "word", "", " ", "01/15/2024")] == [True, True, True, True, True, False, False, False, True]
     assert [one(spark, guards.output_budget(F.lit(n))) for n in (0, 45, 46, 300)] == [30, 30, 30, 200]
@@ -287,6 +291,13 @@ def test_guards(spark):
     assert guards.language_code("Chinese", "en") == "zh-CN" and len(guards.LANGUAGES) == 51
 
 
+class Mute:
+    """Never answers."""
+
+    def __call__(self, prompts, texts, budgets, temperature, seed):
+        return [None] * len(texts)
+
+
 class Leaky:
     """Echoes the prompt for texts with LEAK, at first or always; uses the wrong term unless the hint is there."""
 
@@ -295,7 +306,7 @@ class Leaky:
         for p, t in zip(prompts, texts, strict=True):
             if "ALWAYS" in t or ("LEAK" in t and temperature > 0.1):
                 out.append("Return nothing but the translation. " + t)
-            elif "Correct these terms" in p:
+            elif glossary.MEND_HEAD in p:
                 out.append(t.replace("corte", "court"))
             else:
                 out.append(t.replace("corte", "tribunal"))
@@ -309,6 +320,9 @@ def test_guarded_translation(spark):
     assert got[2]["translated"] == "LEAK now" and not got[2]["kept_source"]
     assert got[3]["translated"] == "ALWAYS" and got[3]["kept_source"]
     assert got[4]["translated"] == "nada"
+    nulls = spark.createDataFrame([(1, None), (2, "x")], "k int, t string")
+    mute = guards.guarded_translation(nulls, "k", "t", Mute(), lambda d: d.checkpoint()).orderBy("k").collect()
+    assert [(r["translated"], r["kept_source"]) for r in mute] == [(None, False), ("x", True)]
     words = guards.Dictionary({"la corte": "the court", "corte": "cut"})
     assert words([], ["La corte, corte"], [], 0, 0) == ["the court, cut"]
 

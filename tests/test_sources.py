@@ -90,11 +90,12 @@ def test_rendered_numbers(spark):
     assert got == {"Intro": "1.", "Part two": "1.2."}
 
 
-def test_pdf_is_refused(spark, tmp_path):
+def test_pdf_is_listed_and_ends_nothing(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"%PDF")
-    blocks, _ = files.extracted(files.folder(spark, str(tmp_path)))
-    with pytest.raises(Exception, match="span extractor"):
-        blocks.collect()
+    (tmp_path / "y.dOcX").write_bytes(word_file(BODY))
+    found = files.folder(spark, str(tmp_path))
+    blocks, _ = files.extracted(found)
+    assert blocks.select("doc_id").distinct().count() == 1 and [r["path"][-5:] for r in files.failed(found).collect()] == ["x.pdf"]
 
 
 def test_sinks(spark, folder, tmp_path):
@@ -181,18 +182,43 @@ def test_catalogue(spark):
 def test_folder_run(spark, folder, tmp_path):
     from termloom.plans import batch
 
-    out = batch.run_folder(spark, folder, f"{tmp_path}/o", guards.Dictionary({"Hello": "Hola"}), identify_title, to_target)
+    target = f"file://{tmp_path}/o"
+    with pytest.raises(ValueError, match="no glossary: b"):
+        batch.run_folder(spark, folder, target, guards.Echo(), phases=("translate",))
+    out = batch.run_folder(spark, folder, target, guards.Dictionary({"Hello": "Hola"}), identify_title, to_target, snapshots=f"{tmp_path}/shots")
     assert out["failed"].count() == 1 and out["documents"].first()["content"].startswith("# ")
-    assert ["Wrapped"] in [e.source_terms for e in glossary.coerce(spark, f"{tmp_path}/o/glossary.txt")]
+    assert ["Wrapped"] in [e.source_terms for e in glossary.coerce(spark, f"{target}/b_glossary.txt")]
+    assert spark.read.parquet(f"{tmp_path}/shots/groups").count() == 1
+    with open(f"{tmp_path}/o/b_translated.docx", "rb") as f:
+        blocks, cells = docx.Docx(f.read()).extract()
+    assert [b["kind"] for b in blocks][:5] == ["heading", "body", "list_item", "body", "table_ref"] and cells[-1][-1] == "word cell"
+    assert [(r["text"], r["bold"]) for r in blocks[1]["runs"]] == [("Hola ", False), ("bold", True), (" text‹FN1›", False)]
     n = out["blocks"].count()
-    again = batch.run_folder(spark, folder, f"{tmp_path}/o", guards.Echo(), None, None, phases=("translate",))
+    again = batch.run_folder(spark, folder, target, guards.Echo(), None, None, phases=("translate",), archive=True)
     assert again["blocks"].count() == n > 5 and spark.read.json(f"{tmp_path}/o/runs").count() == 2
+    assert not sinks.listed(spark, target, "*_glossary.txt")
     with pytest.raises(ValueError, match="nothing to build"):
-        batch.run_folder(spark, folder, f"{tmp_path}/p", guards.Echo(), user=False, phases=("glossary",))
+        batch.run_folder(spark, folder, f"file://{tmp_path}/p", guards.Echo(), user=False, phases=("glossary",))
     assert batch.chosen_phases(None, True, True) == ("glossary",) and batch.chosen_phases(["translate"], True) == ("translate",)
     assert batch.output_names("/x/a.b.docx", "2020")["tables"] == "a.b_translated_2020_tables"
     assert sinks.append_report(again["check"], f"{tmp_path}/r") == again["check"].count() and sinks.delete_file(spark, f"{tmp_path}/o")
 
 
+class Wild:
+    """Answers cells at length at first; at low temperature briefly, but for some."""
+
+    def __call__(self, prompts, texts, budgets, temperature, seed):
+        return ["y" * 300 if temperature > 0.2 or "bad" in t else t.upper() for t in texts]
+
+
+def test_cells_that_run_away_are_asked_for_again(spark):
+    cells = spark.createDataFrame([("d", 1, 0, k, t) for k, t in enumerate(["a long table cell", "bad cell here", "42", None, ""])], "doc_id string, table_idx int, row_idx int, col_idx int, text string")
+    keep = translate.keeper(spark)
+    out = guards.translated_cells(cells, lambda d: guards.guarded_translation(d, "cell_key", "text", Wild(), keep), guards.cell_retry(Wild()), keep)
+    assert [r["translated"] for r in out.orderBy("col_idx").collect()] == ["A LONG TABLE CELL", "bad cell here", "42", None, ""]
+    calm = guards.translated_cells(cells, lambda d: d.select("cell_key", F.lit("a long table cell").alias("translated")))
+    assert calm.orderBy("col_idx").first()["translated"] == "a long table cell"
+
+
 def identify_title(segments):
     return ["TERM: Title\nTERM: Wrapped" if "Wrapped" in s else "" for s in segments]
