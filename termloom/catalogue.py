@@ -278,32 +278,41 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("entity_list_split", """
-WITH v AS (SELECT item_id, regexp_extract_all(text, '\\p{L}+')[1:3] AS v FROM benchmark),
-f AS (SELECT item_id, v, len(v) = 3 AND len(list_filter(v, lambda x: regexp_matches(x, '^\\p{Lu}{2,7}$'))) = 0 AND (SELECT count(*) = count(DISTINCT w) FROM (SELECT lower(unnest(v)) AS w) WHERE length(w) > 1 AND w NOT IN (STOP)) AS apart FROM v)
-SELECT item_id, [unnest(v)] AS variants FROM f WHERE apart UNION ALL SELECT item_id, v FROM f WHERE NOT apart""".replace("STOP", ", ".join(f"'{w}'" for w in sorted(set(terms.STOPWORDS)))))
+WITH w AS (SELECT item_id, regexp_extract_all(text, '\\p{L}+') AS w FROM benchmark), v AS (SELECT item_id, b, w[b:b + 2] AS v FROM (SELECT *, unnest(range(1, len(w) + 1, 3)) AS b FROM w)),
+f AS (SELECT item_id, b, v, len(v) = 3 AND len(list_filter(v, lambda x: regexp_matches(x, '^\\p{Lu}{2,7}$'))) = 0 AND (SELECT count(*) = count(DISTINCT w) FROM (SELECT lower(unnest(v)) AS w) WHERE length(w) > 1 AND w NOT IN (STOP)) AS apart FROM v)
+SELECT item_id, b, [unnest(v)] AS variants FROM f WHERE apart UNION ALL SELECT item_id, b, v FROM f WHERE NOT apart""".replace("STOP", ", ".join(f"'{w}'" for w in sorted(set(terms.STOPWORDS)))))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return terms.split_lists(table(spark, d, "benchmark").select("item_id", F.slice(words(F.col("text")), 1, 3).alias("variants")))
+    """Every three neighbouring words of an item as a list, to its end."""
+    w = table(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
+    starts = F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(3)))
+    return terms.split_lists(w.select("item_id", "w", starts.alias("b")).select("item_id", F.col("b").cast("long").alias("b"), F.slice("w", F.col("b"), F.lit(3)).alias("variants")))
 
 
 @query("presence_filter", f"""
-WITH {LINES}, w AS (SELECT l.doc_id, l.pos, l.text, b.w, unnest(range(1, len(b.w) + 1)) AS k FROM lines l JOIN (SELECT item_id, regexp_extract_all(text, '\\p{{L}}+')[1:4] AS w FROM benchmark) b ON b.item_id = l.pos)
+WITH {LINES}, w AS (SELECT l.doc_id, l.pos, l.text, b.w, unnest(range(1, len(b.w) + 1)) AS k FROM lines l JOIN (SELECT item_id, regexp_extract_all(text, '\\p{{L}}+') AS w FROM benchmark) b ON b.item_id = l.pos)
 SELECT doc_id, pos, list(w[k] ORDER BY k) AS variants FROM w WHERE contains(strip_accents(lower(regexp_replace(text, '\\s+', ' ', 'g'))), strip_accents(lower(w[k]))) GROUP BY ALL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     l = lines(spark, d).withColumn("seg", F.concat_ws("/", "doc_id", "pos"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.slice(words(F.col("text")), 1, 4).alias("variants"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), words(F.col("text")).alias("variants"))
     parsed = l.select("seg", F.col("pos").cast("long").alias("pos")).join(items, "pos").select("seg", F.lit(1).alias("ord"), F.lit("group").alias("kind"), "variants")
     out = terms.present_only(parsed, l, "seg", "text")
     return out.select(F.split("seg", "/")[0].cast("long").alias("doc_id"), F.split("seg", "/")[1].cast("long").alias("pos"), "variants")
 
 
+def word_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed groups as a model might give them: every two neighbouring words of a line, from its first word to its last."""
+    w = lines(spark, d).select("doc_id", "pos", words(F.col("text")).alias("w")).where("size(w) > 0")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 2).cast("int")), lambda i: F.slice("w", i * 2 + 1, 2))
+    return w.select("doc_id", "pos", F.lit("group").alias("kind"), F.posexplode(pairs).alias("ord", "variants"))
+
+
 @query("cross_segment_merge", f"""
-WITH {LINES}, g AS (SELECT doc_id, pos, {WORDS.format("text")}[1:2] AS v FROM lines),
-e AS (SELECT doc_id, pos, strip_accents(lower(v[1])) AS canon_key, unnest(range(1, len(v) + 1)) AS k, v FROM g),
-x AS (SELECT doc_id, pos, canon_key, k, v[k] AS variant, strip_accents(lower(v[k])) AS var_key FROM e)
-SELECT doc_id, canon_key, var_key, arg_min(variant, pos * 10 + k) AS variant, count(*) AS support FROM x GROUP BY ALL""")
+WITH {LINES}, w AS (SELECT doc_id, pos, {WORDS.format("text")} AS w FROM lines), g AS (SELECT doc_id, pos, b, w[b:b + 1] AS v FROM (SELECT *, unnest(range(1, len(w) + 1, 2)) AS b FROM w)),
+e AS (SELECT doc_id, pos, b, strip_accents(lower(v[1])) AS canon_key, unnest(range(1, len(v) + 1)) AS k, v FROM g),
+x AS (SELECT doc_id, pos, b, canon_key, k, v[k] AS variant, strip_accents(lower(v[k])) AS var_key FROM e)
+SELECT doc_id, canon_key, var_key, arg_min(variant, pos * 10000000 + b * 10 + k) AS variant, count(*) AS support FROM x GROUP BY ALL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    g = lines(spark, d).select("doc_id", "pos", F.lit(1).alias("ord"), F.lit("group").alias("kind"), F.slice(words(F.col("text")), 1, 2).alias("variants")).where("size(variants) > 0")
-    return terms.merged_groups(g, "doc_id", "pos").select("doc_id", "canon_key", "var_key", "variant", "support")
+    return terms.merged_groups(word_pairs(spark, d), "doc_id", "pos").select("doc_id", "canon_key", "var_key", "variant", "support")
 
 
 @query("keep_conflict_resolution", f"""
@@ -339,8 +348,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("group_components")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    g = lines(spark, d).select("doc_id", "pos", F.lit(1).alias("ord"), F.lit("group").alias("kind"), F.slice(words(F.col("text")), 1, 2).alias("variants")).where("size(variants) > 0")
-    return terms.united(terms.voted(terms.merged_groups(g, "doc_id", "pos"), "doc_id"), "doc_id")
+    """All word pairs of a document united; group_union does the same on groups that SQL can follow."""
+    return terms.united(terms.voted(terms.merged_groups(word_pairs(spark, d), "doc_id", "pos"), "doc_id"), "doc_id")
 
 
 @query("caps_normalize", """
@@ -368,9 +377,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return terms.symbols(e, "event_id", "t").where("what = 'identifier'").select("event_id", "symbol")
 
 
-@query("term_context")
+def _last(e: str, text: str) -> str:
+    return f"nullif(instr(reverse({text}), reverse({e})), 0)"
+
+
+_ENDS = ("'. '", "'! '", "'? '", "chr(10)")
+
+
+@query("term_context", f"""
+WITH t AS (SELECT doc_id, text, {WORDS.format("text")}[-1] AS term FROM documents), p AS (SELECT *, instr(lower(text), lower(term)) - 1 AS beg FROM t),
+q AS (SELECT *, greatest(0, beg - 100) AS lo, beg + length(term) AS stop, least(length(text), beg + length(term) + 100) AS hi FROM p WHERE beg >= 0),
+r AS (SELECT *, substr(text, (lo + 1)::INT, (beg - lo)::INT) AS s, substr(text, (stop + 1)::INT, (hi - stop)::INT) AS u FROM q),
+c AS (SELECT doc_id, coalesce({", ".join(f"beg + 1 - {_last(e, 's')}" for e in _ENDS)}, CASE WHEN lo > 0 THEN lo + nullif(instr(s, ' '), 0) END, lo) AS a, coalesce({", ".join(f"stop + nullif(instr(u, {e}), 0)" for e in _ENDS)}, CASE WHEN hi < length(text) THEN stop + length(u) - {_last("' '", "u")} END, hi) AS b, text FROM r),
+x AS (SELECT doc_id, replace(regexp_replace(substr(text, (a + 1)::INT, (b - a)::INT), '^{SPACE}+|{SPACE}+$', '', 'g'), chr(10), ' ') AS cut FROM c)
+SELECT t.doc_id, t.term, replace(CASE WHEN length(cut) > 200 THEN cut[:197] || '...' ELSE cut END, '"', chr(39)) AS context FROM t LEFT JOIN x USING (doc_id)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").withColumn("term", F.element_at(words(F.col("text")), -1))
+    t = table(spark, d, "documents").withColumn("term", F.try_element_at(words(F.col("text")), F.lit(-1)))
     return t.select("doc_id", "term", terms.term_context(F.col("term"), F.col("text")).alias("context"))
 
 
@@ -442,10 +464,10 @@ def _entries(df: DataFrame, name: str, target: str) -> list[glossary.Entry]:
 
 
 @query("glossary_combine", """
-SELECT n_name AS source, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE upper(n_name) END AS target, CASE WHEN n_regionkey = 1 AND false THEN 1 ELSE 0 END AS n_other FROM nation UNION ALL SELECT r_name, 'R', 0 FROM region""")
+SELECT n_name AS source, CASE WHEN n_regionkey = 1 THEN lower(n_name) || ' x' ELSE upper(n_name) END AS target, CASE WHEN n_regionkey = 1 THEN 1 ELSE 0 END AS n_other FROM nation UNION ALL SELECT r_name, 'R', 0 FROM region""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     n, r = table(spark, d, "nation"), table(spark, d, "region").withColumn("t", F.lit("R"))
-    low = n.where("n_regionkey = 1").withColumn("t", F.lower("n_name"))
+    low = n.where("n_regionkey = 1").withColumn("t", F.concat(F.lower("n_name"), F.lit(" x")))
     out = glossary.combined(_entries(n.withColumn("t", F.upper("n_name")), "n_name", "t"), None, _entries(low, "n_name", "t"), _entries(r, "r_name", "t"))
     return glossary.entries_frame(spark, out or []).select(F.element_at("source_terms", 1).alias("source"), "target", F.size("alt_versions").alias("n_other"))
 
@@ -539,11 +561,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("data_cell_flag", """
-SELECT l_orderkey, l_linenumber, true AS amount, true AS flag, (l_quantity::INT::VARCHAR || ' ' || l_returnflag || 'bcd') IS NULL AS words, false AS blank FROM lineitem""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, true AS amount, true AS flag, l_quantity < 25 AS words, false AS blank FROM lineitem""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem")
-    qty = F.col("l_quantity").cast("int").cast("string")
-    return l.select("l_orderkey", "l_linenumber", guards.is_data_cell(F.concat(F.lit("$ "), F.format_number("l_extendedprice", 2), F.lit(" kg"))).alias("amount"), guards.is_data_cell(F.col("l_returnflag")).alias("flag"), guards.is_data_cell(F.concat(qty, F.lit(" "), "l_returnflag", F.lit("bcd"))).alias("words"), guards.is_data_cell(F.lit(" \n")).alias("blank"))
+    words_cell = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" "), "l_returnflag", F.when(F.col("l_quantity") < 25, "bc").otherwise("bcd"))
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", guards.is_data_cell(F.concat(F.lit("$ "), F.format_number("l_extendedprice", 2), F.lit(" kg"))).alias("amount"), guards.is_data_cell(F.col("l_returnflag")).alias("flag"), guards.is_data_cell(words_cell).alias("words"), guards.is_data_cell(F.lit(" \n")).alias("blank"))
 
 
 @query("cell_runaway", "SELECT conv_id, turn, length(out) > 4 * length(text) + 50 AS runaway FROM (SELECT *, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS out FROM conversations)")
@@ -574,7 +596,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 SELECT conv_id, turn, [role, ' ', 'b', ' and ', '7', ' ', 'x', '3', ' y'] AS texts, [false, false, true, false, false, false, true, false, true] AS bold, [false, false, false, false, false, false, true, false, true] AS italic, [false, false, false, false, true, false, false, true, false] AS sup FROM conversations""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    text = F.concat("role", F.lit("* *** "[:0]), F.lit(" **b** and ‹FN7› ***x‹FN3› y***"))
+    text = F.concat("role", F.lit(" **b** and ‹FN7› ***x‹FN3› y***"))
     e = c.select("conv_id", "turn", guards.emphasised(text).alias("e"))
     # the first piece holds the role and the space after it: split to show the places
     head = F.array(F.regexp_extract(F.col("e")[0]["text"], r"^(\S+)", 1), F.lit(" "))
@@ -688,12 +710,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return layout.islands(layout.lines_of(line_spans(spark, d))).groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("para").cast("long").alias("para")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("paragraph_blocks")
+_FONTS = """b AS (SELECT doc_id, size, sum(n) AS n, sum(n) FILTER (raw < 40) AS bold, min(pos) AS seen FROM sized GROUP BY ALL),
+t AS (SELECT doc_id, size AS body_size, coalesce(bold, 0) > n / 2 AS body_bold FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) AS r FROM b) WHERE r = 1),
+f AS (SELECT t.doc_id, body_size, body_bold, coalesce(list(b.size ORDER BY b.size DESC) FILTER (b.size > body_size), []) AS larger FROM t JOIN b USING (doc_id) GROUP BY ALL)"""
+
+
+@query("paragraph_blocks", f"""WITH {LINES}, {_SIZED}, {_FONTS}, s AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN y0 - (lag(y0) OVER w + 10) > 7 OR abs(size - lag(size) OVER w) > 0.5 OR (raw < 40) <> (lag(raw) OVER w < 40) OR (raw < 40 AND lag(raw) OVER w < 40) OR (raw < 40 AND regexp_matches({_PLAIN}, '^[IVXLCDM]+\\.\\s*\\S')) OR regexp_matches({_PLAIN}, '^\\d+\\)\\s+\\S') THEN 1 ELSE 0 END AS new FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM s),
+g AS (SELECT doc_id, para, string_agg(text, ' ' ORDER BY pos) AS text, min(y0) AS y0, any_value(size) AS size, bool_or(raw < 40) AS bold FROM p GROUP BY ALL),
+k AS (SELECT g.*, {_PLAIN} AS plain, body_bold, larger, trim(regexp_replace(CASE WHEN bold THEN '**' || text || '**' ELSE text END, '{SPACE}+', ' ', 'g'), ' ') AS md FROM g JOIN f USING (doc_id)),
+l AS (SELECT *, coalesce(nullif(list_position(larger[:4], size), 0), CASE WHEN bold AND NOT body_bold AND length(plain) < 120 THEN least(len(larger) + 1, CASE WHEN regexp_matches(plain, '^[IVXLCDM]+\\.\\s*\\S') THEN 3 ELSE 4 END) END, 0) AS level FROM k),
+m AS (SELECT *, CASE WHEN regexp_matches(plain, '^[_\\-–—=]{{3,}}$') THEN 'separator' WHEN level > 0 THEN 'heading' ELSE 'body' END AS kind FROM l)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY y0, para) - 1)::INT AS pos, kind, CASE WHEN kind = 'heading' THEN level END::INT AS level, NULL AS title, NULL AS marker, CASE WHEN kind = 'separator' THEN plain ELSE md END AS markdown FROM m""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     spans = line_spans(spark, d)
     zones = spans.select("doc_id", "page").distinct().withColumn("zone_y", F.lit(1e9))
     blocks = layout.assembled(layout.classified(layout.paragraphs(layout.lines_of(spans)), layout.font_stats(spans), zones))
-    return docmodel.block_text(blocks).select("doc_id", "pos", "kind", "level", "title", "marker", "markdown")
+    return docmodel.block_text(blocks).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("int").alias("pos"), "kind", "level", "title", "marker", "markdown")
 
 
 @query("continuation_merge", f"""WITH {LINES}, t AS (SELECT doc_id, pos, {_PLAIN} AS x FROM lines),
@@ -707,25 +740,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("marker_folding", """
-SELECT p_brand AS doc_id, count(*) AS n FROM part GROUP BY 1""")
+SELECT p_brand AS doc_id, p_partkey * 4 + 1 AS pos, 'heading' AS kind, NULL AS marker, CASE WHEN p_size % 2 = 0 THEN 'IV. ' ELSE '' END || p_name AS text FROM part
+UNION ALL SELECT p_brand, p_partkey * 4, 'heading', NULL, 'IV. and more' FROM part WHERE p_size % 2 = 1
+UNION ALL SELECT p_brand, p_partkey * 4 + 3, 'footnote', p_size::VARCHAR, p_type FROM part""")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """A Roman heading (alone or not) before each part's heading, and a stub note before its note."""
     p = table(spark, d, "part")
-    none = {"title": "string", "separator": "string", "marker": "string", "text": "string", "comment": "string"}
-    # each part is a lone Roman heading and the heading after it: the pair becomes one
-    both = p.select(F.col("p_brand").alias("doc_id"), "p_partkey", F.posexplode(F.array(F.lit("IV."), F.col("p_name"))).alias("k", "t"))
-    b = both.select("doc_id", (F.col("p_partkey") * 2 + F.col("k")).alias("pos"), F.lit("heading").alias("kind"), F.lit(2).alias("level"), plain_run(F.col("t")).alias("runs"), *[F.lit(None).cast(t).alias(n) for n, t in none.items()])
-    return layout.folded_markers(b).where(F.col("runs")[0]["text"].startswith("IV. ")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    item = lambda kind, text, marker: F.struct(F.lit(kind).alias("kind"), text.alias("t"), marker.alias("marker"))
+    none = F.lit(None).cast("string")
+    roman = F.when(F.col("p_size") % 2 == 0, "IV.").otherwise("IV. and more")
+    both = p.select(F.col("p_brand").alias("doc_id"), "p_partkey", F.posexplode(F.array(item("heading", roman, none), item("heading", F.col("p_name"), none), item("footnote", F.col("p_size").cast("string"), F.lit("*")), item("footnote", F.col("p_type"), F.lit("*")))).alias("k", "i"))
+    heading = F.col("i.kind") == "heading"
+    b = both.select("doc_id", (F.col("p_partkey") * 4 + F.col("k")).alias("pos"), F.col("i.kind").alias("kind"), F.lit(2).alias("level"), F.when(heading, plain_run(F.col("i.t"))).alias("runs"), F.col("i.marker").alias("marker"), F.when(~heading, F.col("i.t")).alias("text"))
+    return docmodel.block_text(layout.folded_markers(b)).select("doc_id", "pos", "kind", "marker", F.col("plain").alias("text"))
 
 
 @query("image_regions", """
-WITH i AS (SELECT DISTINCT p_brand AS doc_id, p_size::DOUBLE * 10 AS x0, p_size::DOUBLE * 10 + 60 + p_size AS x1 FROM part)
-SELECT doc_id, x0, x1, least((x1 - x0) / 72.0, 6.0) AS width_inches FROM i WHERE NOT (x0 < 105 AND 95 - 0 < x1 AND true)""")
+WITH i AS (SELECT DISTINCT p_brand AS doc_id, p_size::DOUBLE * 10 AS x0, p_size::DOUBLE * 11 + 60 AS x1 FROM part WHERE p_size < 40),
+pics AS (SELECT * FROM i WHERE NOT (x0 < 105 AND 95 < x1)),
+dr AS (SELECT p_brand AS doc_id, 1000.0 + p_partkey % 50 AS x0, 1100.0 + p_partkey % 50 AS x1 FROM part WHERE p_size >= 30),
+un AS (SELECT doc_id, min(x0)::DOUBLE AS x0, max(x1)::DOUBLE AS x1 FROM dr GROUP BY 1 HAVING count(*) >= 10)
+SELECT doc_id, x0, x1, least((x1 - x0) / 72.0, 6.0)::DOUBLE AS width_inches FROM pics UNION ALL SELECT doc_id, x0, x1, least((x1 - x0) / 72.0, 6.0)::DOUBLE FROM un""")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as pictures, some over a table, and as drawings, whose union counts where a page has ten."""
     box = lambda x0, x1: [x0.cast("double").alias("x0"), F.lit(0.0).alias("y0"), x1.cast("double").alias("x1"), F.lit(60.0).alias("y1")]
-    p = table(spark, d, "part").select(F.col("p_brand").alias("doc_id"), F.lit(1).alias("page"), "p_size")
-    images = p.select("doc_id", "page", *box(F.col("p_size") * 10, F.col("p_size") * 11 + 60))
+    p = table(spark, d, "part").select(F.col("p_brand").alias("doc_id"), F.lit(1).alias("page"), "p_size", "p_partkey")
+    images = p.where("p_size < 40").select("doc_id", "page", *box(F.col("p_size") * 10, F.col("p_size") * 11 + 60))
+    drawings = p.where("p_size >= 30").select("doc_id", "page", *box(1000 + F.col("p_partkey") % 50, 1100 + F.col("p_partkey") % 50))
     tables = p.select("doc_id", "page").distinct().select("doc_id", "page", *box(F.lit(100.0), F.lit(100.0)))
-    return layout.image_regions(images, images.limit(0), tables).select("doc_id", "x0", "x1", "width_inches")
+    return layout.image_regions(images, drawings, tables).select("doc_id", "x0", "x1", "width_inches")
 
 
 @query("page_markdown", """
@@ -740,10 +783,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalogue_files  # noqa: F401  (registers its queries here)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

@@ -28,7 +28,7 @@ SHORT_INSTRUCTIONS = ("Render the following {source} ({source_code}) passage in
 SHORT_MODELS = ("translate",)
 DOMAIN_CLAUSE = "The documents belong to this field: {domain}."
 #: What could only come from a prompt: the fixed beginnings of everything that prompts are made of.
-LEAKS = tuple(t.split("{")[0].strip(" :\n").lower() for t in (*INSTRUCTIONS, *SHORT_INSTRUCTIONS, DOMAIN_CLAUSE, G.SECTION_HEAD, G.HINT_HEAD, G.ATTEMPT_HEAD, G.MEND_HEAD))
+LEAKS = tuple(t.split("{")[0].strip(" :.\n").lower() for t in (*INSTRUCTIONS, *SHORT_INSTRUCTIONS, DOMAIN_CLAUSE, G.SECTION_HEAD, G.HINT_HEAD, G.ATTEMPT_HEAD, G.MEND_HEAD))
 HINT_BULLET = re.escape(G.RENDER) + "[^']+" + re.escape(G.AS)
 #: Language names and their codes.
 LANGUAGES = {
