@@ -9,7 +9,6 @@ slices, each slice is merged once by the ranks and cached, and the token offsets
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import sys
 import unicodedata
@@ -39,7 +38,7 @@ STATES = 8
 SCAN_CHARS = 1 << 18
 COLUMNS = 64
 #: Slices remembered by a task; beyond it the memory starts anew.
-CACHE_SLICES = 400_000
+CACHE_SLICES = 250_000
 
 
 @cache
@@ -215,7 +214,6 @@ _CODERS: dict[str, ByteBpe] = {}
 def coder(path: str) -> ByteBpe:
     """One coder a Python worker and rank file."""
     if path not in _CODERS:
-        gc.disable()  # the cache holds no cycles, and collections would walk all of it again and again
         _CODERS[path] = ByteBpe(path)
     return _CODERS[path]
 

@@ -24,6 +24,9 @@ SAMPLE_PER_LANG = 400
 MOST_LANGS = 1000
 EPOCHS = 12
 RIDGE = 1e-4
+#: Shares of the lower quartile of held-back texts' likeness: below the first a text is in letters that were never learned,
+#: below the second it is odd enough to go if its prediction is unclear as well.
+STRANGE, ODD = 0.2, 0.5
 #: ISO 639-1 codes by family; codes that are not here form families by likeness of their letters.
 FAMILIES = {
     "germanic": "da de en is nb nl nn no sv",
@@ -83,6 +86,8 @@ class LanguageModel:
         self.bias = np.zeros(self.weights.shape[1])
         self.slope = 4.0
         self.least = 0.5
+        self.centers = np.zeros((BUCKETS, len(langs)), dtype=np.float32)
+        self.familiar = 0.0
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts, dtype=np.float32)
@@ -91,6 +96,10 @@ class LanguageModel:
         x /= np.where(n == 0, 1, n)
         return x
 
+    def likeness(self, x: np.ndarray, lang: list[str]) -> np.ndarray:
+        """Cosine of each vector with the mean text of its language: low for letters that were never learned."""
+        return (x @ self.centers)[np.arange(len(x)), [self.langs.index(k) for k in lang]]
+
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights + self.bias
 
@@ -171,6 +180,10 @@ def train(counts: np.ndarray, labels: list[str]) -> LanguageModel:
         own = ((y == ia) | (y == ib)) & ~hold
         sign = np.where(y[own] == ia, 1.0, -1.0)
         model.weights[:, nf + k], model.bias[nf + k] = linear_svm(x[own], sign, np.ones(int(own.sum())))
+    centers = np.array([x[(y == k) & ~hold].mean(axis=0) if ((y == k) & ~hold).any() else x[y == k].mean(axis=0) for k in range(len(langs))])
+    model.centers = (centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
+    if hold.any():
+        model.familiar = float(np.quantile(model.likeness(x[hold], [langs[k] for k in y[hold]]), 0.25))
     model.slope, model.least = _calibrated(model, x[hold], [langs[k] for k in y[hold]])
     return model
 
@@ -252,18 +265,31 @@ def identify(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
 
 def predictions(model: LanguageModel | None, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, score) of each text."""
-    out = [("und", 0.0)] * len(texts)
+    return [(lang, score) for lang, score, _ in _told(model, texts)]
+
+
+def _told(model: LanguageModel | None, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    """(language, score, likeness to the language's mean text) of each text."""
+    out = [("und", 0.0, 0.0)] * len(texts)
     known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
     if known:
-        for i, row in zip(known, model.margins(model.vector(np.array([grams(texts[i]) for i in known], dtype=np.float32))), strict=True):
-            lang, low = model.decide(row)
-            out[i] = (lang, model.score(low))
+        x = model.vector(np.array([grams(texts[i]) for i in known], dtype=np.float32))
+        said = [model.decide(m) for m in model.margins(x)]
+        for i, (lang, low), like in zip(known, said, model.likeness(x, [k for k, _ in said]).tolist(), strict=True):
+            out[i] = (lang, model.score(low), like)
     return out
 
 
+def is_known(model: LanguageModel | None, least: float, lang: str, score: float, like: float) -> bool:
+    return lang != "und" and like >= STRANGE * model.familiar and (score >= least or like >= ODD * model.familiar)
+
+
 def with_known_language(df: DataFrame, model: LanguageModel | None, least: float | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of df whose language can be told with a score of at least `least` (by default the model's own bound);
-    rows pass by as they are, without a shuffle."""
+    """The rows of df whose language can be told; rows pass by as they are, without a shuffle.
+
+    A text without letters goes, one whose letters are unlike the mean text of its language, and one that is somewhat
+    unlike it and unclear too (a score under `least`, by default the model's own bound). An unclear text in known letters stays.
+    """
     at = df.columns.index(text_col)
     if least is None:
         least = model.least if model is not None else 0.5
@@ -272,7 +298,7 @@ def with_known_language(df: DataFrame, model: LanguageModel | None, least: float
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                keep = [lang != "und" and score >= least for lang, score in predictions(model, part.column(at).to_pylist())]
+                keep = [is_known(model, least, *x) for x in _told(model, part.column(at).to_pylist())]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -187,7 +187,8 @@ def test_stages_against_plain_versions(spark, documents):
     docs = documents
     kept = corpus_pipeline.language_stage(spark, docs, "").cache()
     model = language.fit(docs)
-    sure = {r["doc_id"] for r in docs.collect() if (p := language.predictions(model, [r["text"]])[0])[0] != "und" and p[1] >= model.least}
+    told = {r["doc_id"]: language._told(model, [r["text"]])[0] for r in docs.collect()}
+    sure = {d for d, (lang, score, like) in told.items() if lang != "und" and like >= 0.2 * model.familiar and (score >= model.least or like >= 0.5 * model.familiar)}
     assert {r["doc_id"] for r in kept.collect()} == sure
 
     unique = corpus_pipeline.near_duplicate_stage(spark, kept, "").cache()
