@@ -149,10 +149,10 @@ def test_edited_copies_are_found():
     assert not any(image_copies.consensus(*own[i], *own[j]) >= image_copies.AGREE for i in range(24) for j in range(i))
 
 
-@pytest.mark.parametrize("small", [0, 12])
-def test_buckets_lose_no_link(spark, monkeypatch, small):
+@pytest.mark.parametrize("leaders", [1, 64])
+def test_buckets_lose_no_link(spark, monkeypatch, leaders):
     """Leaders of a bucket that match nothing do not hide the links of the others, however large the bucket is."""
-    monkeypatch.setattr(image_copies, "SMALL_BUCKET", small)
+    monkeypatch.setattr(image_copies, "LEADERS", leaders)
     truth = [(7, 9), (9, 30), (12, 40), (41, 42)]
     monkeypatch.setattr(image_copies, "verified", lambda edges, payload: edges.join(edges.sparkSession.createDataFrame(truth, "a long, b long"), (edges["src"] == F.col("a")) & (edges["dst"] == F.col("b"))).select("src", "dst"))
     rows = [(1, i) for i in (1, 2, 7, 9, 30, 12, 40)] + [(2, 41), (2, 42), (3, 5)]
