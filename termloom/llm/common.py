@@ -44,10 +44,21 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def write_stage(df: DataFrame, path: str) -> None:
+    """Write df as Parquet; the shuffle files of that one run are deleted at its end, since nothing reads them again."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write_stage(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,7 +84,7 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
     path = stage_path(spark, name)
     with scratch(spark):
         df = make()
-        df.write.parquet(path)
+        write_stage(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
