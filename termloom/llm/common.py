@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +35,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Paths of the stage tables made in each open scratch(), innermost last.
-_SCRATCH: list[list[str]] = []
+#: Paths of the stage tables made in the innermost open scratch() of this thread or task.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("termloom_scratch", default=None)
+#: Stage writes under way, by session, with the setting found by the first of them.
+_CLEANING: dict[int, tuple[int, str]] = {}
+_LOCK = threading.Lock()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     return path
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files are deleted when a query ends, from the first of overlapping stage writes to the last."""
+    key = id(spark)
+    with _LOCK:
+        n, before = _CLEANING.get(key) or (0, spark.conf.get(_CLEANUP, "false"))
+        _CLEANING[key] = n + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _CLEANING.pop(key)
+            if n > 1:
+                _CLEANING[key] = n - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def write_stage(df: DataFrame, path: str) -> None:
     """Write df as Parquet; the shuffle files of that one run are deleted at its end, since nothing reads them again."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, "false")
-    conf.set(name, "true")
-    try:
+    with _cleaning(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        conf.set(name, before)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -71,11 +91,13 @@ def drop_stage(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Stage tables made inside are deleted at the end."""
-    _SCRATCH.append([])
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        _SCRATCH.reset(token)
+        for path in paths:
             drop_stage(spark, path)
 
 

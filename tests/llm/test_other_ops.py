@@ -309,3 +309,22 @@ def test_nodes_vouch_for_byte_ranges(spark):
     leaf = "file long, idx long, offset long, length long, sha256 string"
     roots = [warc_fixity.tree(spark.createDataFrame([(0, 0, 0, n, "x"), (0, 1, n, 5, "y")], leaf), 1, 0)[-1].first()["hash"] for n in (3, 4)]
     assert roots[0] != roots[1]
+
+
+def test_operators_at_once(spark):
+    """Three threads, each with stage tables and scratch folders of its own, give what they give alone."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from termloom.llm import common
+
+    rng = np.random.default_rng(8)
+    tables = [spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60 + 20 * k, (50, 2))], "src long, dst long") for k in range(3)]
+
+    def twice(edges):
+        return [sorted(map(tuple, common.connected_components(edges).collect())) for _ in range(2)]
+
+    alone = [twice(t)[0] for t in tables]
+    with ThreadPoolExecutor(3) as pool:
+        for got, want in zip(pool.map(twice, tables), alone, strict=True):
+            assert got == [want, want]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
