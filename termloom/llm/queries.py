@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_caps, html_text, image_copies, language, mixing, pii, simhash, token_files, warc_fixity
+from . import byte_bpe, embedding_caps, html_text, image_copies, language, mixing, pii, sessions, simhash, token_files, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_language": language.op9_language,
         "op10_pii": pii.op10_pii,
+        "op12_sessions": sessions.op12_sessions,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": warc_fixity.ORACLE, "op3_spherical_caps": embedding_caps.ORACLE}
+    return {"op1_warc_fixity": warc_fixity.ORACLE, "op3_spherical_caps": embedding_caps.ORACLE, "op12_sessions": sessions.ORACLE}
