@@ -182,7 +182,7 @@ class WordIds:
         self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         self.find = regex.compile(SPLIT).findall
         self.model = self.tokenizer.model
-        self.letter = _byte_letters()
+        self.letter = byte_letters()
         self._forget()
 
     def _forget(self) -> None:
@@ -227,7 +227,7 @@ class WordIds:
         return ids, np.diff(after[ends + np.arange(len(ends))], prepend=0)
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself where it prints, else the next code point from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
