@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_caps, html_text, image_copies, language, mixing, packing, pii, sessions, simhash, token_files, warc_fixity
+from . import byte_bpe, embedding_caps, html_text, image_copies, language, mixing, packing, pii, prefix_trie, sessions, simhash, token_files, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pii": pii.op10_pii,
         "op11_packing": packing.op11_packing,
         "op12_sessions": sessions.op12_sessions,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
