@@ -115,14 +115,14 @@ def test_term_tests(spark):
     assert lists(["Perú", "Chile", "Bolivia"]) and not lists(["Corte Suprema", "Corte", "Tribunal"]) and not lists(["Corte", "Sala", "CIDH"]) and not lists(["a", "b"])
 
 
-def test_clean_variants():
-    assert terms.clean_variants("| A | b |") == ["A", "b"]
-    assert terms.clean_variants("X → Y") == ["X"]
-    assert terms.clean_variants("BLUEPRINT: blueprint") == ["blueprint"]
-    assert terms.clean_variants("Org: meaning") == ["Org", "meaning"]
-    assert terms.clean_variants("Full (Ab) | full") == ["Full", "Ab"]
-    assert terms.clean_variants("KEEP") == [] and terms.clean_variants("PREFER: Corte | x") == ["Corte", "x"]
-    assert terms.clean_variants(" ".join("word" for _ in range(19))) == []
+def test_clean_variants(spark):
+    said = {
+        "| A | b |": ["A", "b"], "X → Y": ["X"], "BLUEPRINT: blueprint": ["blueprint"], "Org: meaning": ["Org", "meaning"], "Full (Ab) | full": ["Full", "Ab"],
+        "KEEP": [], "PREFER: Corte | x": ["Corte", "x"], " ".join(["word"] * 19): [], "": [], None: [], " | ": [], "→ x": [], '"Corte Suprema" | corte suprema.': ["Corte Suprema"],
+        "one: two: three": ["one", "two: three"], "A: a | B: c": ["a", "B: c"], "term:x;": ["x"], " keep : y ": ["y"], "'q' | \"'r'\"": ["q", "r"], "N (ab) → z": ["N", "ab"], "a||b": ["a", "b"],
+    }
+    rows = spark.createDataFrame([(k,) for k in said], "s string").select("s", terms.cleaned(F.col("s")).alias("v")).collect()
+    assert {r["s"]: r["v"] for r in rows} == said
 
 
 def test_lines_to_entries(spark):
@@ -173,10 +173,14 @@ def test_symbols(spark):
     assert [(r["symbol"], r["what"]) for r in got] == [("https://Ex.org/a_b_c/", "url"), ("site.gov", "url"), ("user_id", "identifier"), ("x_2", "identifier")]
 
 
-def test_context():
+def test_context(spark):
     text = 'Before it. The "Corte" decided here. After it! ' + "x" * 300
-    assert terms.context_of("corte", text) == "The 'Corte' decided here."
-    assert terms.context_of("zzz", text) is None and terms.context_of("", text) is None
+    long = "alpha " * 40 + "Corte " + "omega " * 40
+    rows = [("corte", text), ("zzz", text), ("", text), (None, text), ("corte", None), ("corte", long), ("b", "a? x\nq! c b d\ne. f"), ("a", "a"), ("w", "v" * 150 + " w " + "u" * 150), ("Q" * 220, "Q" * 220)]
+    got = [r["c"] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, term string, text string").select("i", terms.term_context(F.col("term"), F.col("text")).alias("c")).orderBy("i").collect()]
+    assert got[0] == "The 'Corte' decided here." and got[1:5] == [None] * 4
+    assert got[5].startswith("alpha alpha") and got[5].endswith("omega omega") and len(got[5]) <= 200
+    assert got[6:] == ["c b d e.", "a", "w", "Q" * 197 + "..."]
 
 
 def entries(spark, rows):
