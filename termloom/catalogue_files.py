@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .catalogue import LINES, SPACE, lines, next_doc, query, rule_lines, table
 from .functions.text import plain_run, runs_text, squash, stripped_length
-from .operators import glossary, guards, layout, quality, terms
-from .plans import batch, translate
+from .operators import glossary, guards, layout, quality, tables, terms
+from .plans import batch, pdf_documents, translate
 from .schema import BLOCKS
-from .sources import docx, docx_write, files, sinks
+from .sources import docx, docx_write, files, pdf, pdf_write, sinks
 from .sources.files import line_blocks
 
 _PLAIN = f"trim(regexp_replace(text, '{SPACE}+', ' ', 'g'), ' ')"
@@ -92,6 +92,77 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return sinks.padded_cells(back, "text").select("doc_id", "row_idx", "cells")
 
 
+# ----------------------------------------------------------------------------------------------------- PDF files
+
+
+def pdf_rows(rows: DataFrame, **columns) -> DataFrame:
+    """Rows of doc_id and pdf_write.MARK: the named columns, the others null or 0."""
+    out = [columns.get("doc_id", F.col("doc_id")).cast("string").alias("doc_id")]
+    for part in pdf_write.MARK.split(", "):
+        n, t = part.split()
+        out.append(columns.get(n, F.lit(0.0) if t == "double" else F.lit(None)).cast(t).alias(n))
+    return rows.select(*out)
+
+
+def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, k, text): documents' non-blank lines, k from 0 without holes."""
+    x = lines(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("t"))
+    return x.select("doc_id", F.posexplode("t").alias("k", "text"))
+
+
+@query("pdf_spans", f"""WITH {LINES}, t AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM lines)
+SELECT doc_id, (i // 40)::INT AS page, (i % 40 // 5)::INT AS block, (i % 5)::INT AS line, text, CASE WHEN length(text) < 40 THEN 'Body-Bold' ELSE 'Body' END AS font, 10.0::DOUBLE AS size, (60 + i % 40 * 14 + i % 40 // 5 * 20 - 8)::DOUBLE AS y0, (72 + 5 * length(text))::DOUBLE AS x1 FROM t""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every document written to a PDF file, 40 a page and five a block, and read back as spans."""
+    x = numbered_lines(spark, d)
+    k = F.col("k") % 40
+    rows = pdf_rows(x, page=F.floor(F.col("k") / 40), seq=F.col("k"), kind=F.lit("text"), text=F.col("text"), bold=F.length("text") < 40, size=F.lit(10.0), x=F.lit(72.0), y=60 + k * 14 + F.floor(k / 5) * 20)
+    back = pdf.spans(pdf.marks(pdf.pages(pdf_write.pdf_documents(rows, packed=True))))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "page", "block", "line", "text", "font", F.round("size", 3).alias("size"), F.round("y0", 3).alias("y0"), F.round("x1", 3).alias("x1"))
+
+
+@query("pdf_tables", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT p_brand AS doc_id, (i // 10 + 1)::INT AS table_idx, (i % 10)::INT AS row_idx, CASE WHEN p_size % 2 = 1 THEN [p_name || chr(10) || p_type, '', p_size::VARCHAR] ELSE [p_name, p_type, p_size::VARCHAR] END AS cells FROM p""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as ruled tables of ten rows on the pages of a file a brand, some cells over two columns: found cell by cell."""
+    p = table(spark, d, "part")
+    rows = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type", "p_size"))).alias("r")).select(F.col("p_brand").alias("doc_id"), F.posexplode("r").alias("i", "r"))
+    wide = F.col("r.p_size") % 2 == 1
+    top = 50.0 + (F.col("i") % 10) * 30
+    one = lambda kind, x, y, w, text=None: F.struct(F.lit(kind).alias("kind"), F.lit(x).cast("double").alias("x"), y.alias("y"), F.lit(w).cast("double").alias("w"), (F.lit(None) if text is None else text).cast("string").alias("text"))
+    name, kind, size = F.col("r.p_name"), F.col("r.p_type"), F.col("r.p_size").cast("string")
+    plain = F.array(one("box", 40, top, 150), one("box", 190, top, 200), one("box", 390, top, 60), one("text", 44, top + 11, 0, name), one("text", 194, top + 11, 0, kind), one("text", 394, top + 11, 0, size))
+    joined = F.array(one("box", 40, top, 350), one("box", 390, top, 60), one("text", 44, top + 11, 0, name), one("text", 44, top + 24, 0, kind), one("text", 394, top + 11, 0, size))
+    # the first rule of a page's second column keeps the grid's column where all rows of a table are wide
+    x = rows.select("doc_id", "i", F.posexplode(F.when(wide, joined).otherwise(plain)).alias("k", "m"))
+    x = pdf_rows(x, page=F.floor(F.col("i") / 10), seq=F.col("i") * 10 + F.col("k"), kind=F.col("m.kind"), text=F.col("m.text"), bold=F.lit(False), size=F.lit(8.0), x=F.col("m.x"), y=F.col("m.y"), w=F.col("m.w"), h=F.lit(30.0))
+    marks = translate.keeper(spark)(pdf.marks(pdf.pages(pdf_write.pdf_documents(x))))
+    cells = tables.cell_texts(tables.ruled_cells(pdf.rules(marks)), marks.where("kind = 'text'"))
+    size = F.element_at("cells", -1)
+    return cells.select("doc_id", "table_idx", "row_idx", F.when(F.size("cells") == 2, F.array(F.col("cells")[0], F.lit(""), size)).otherwise(F.col("cells")).alias("cells"))
+
+
+@query("pdf_pictures", """SELECT p_brand AS doc_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS page, hex(encode(p_name)) AS pixels, least(greatest(p_size, 50)::DOUBLE / 72.0, 6.0)::DOUBLE AS width_inches FROM part""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A picture a part, its name's bytes as grey values, cut out of the files again as PNG and decoded."""
+    p = table(spark, d, "part")
+    rows = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("r")).select(F.col("p_brand").alias("doc_id"), F.posexplode("r").alias("i", "r"))
+    raw = F.encode("r.p_name", "UTF-8")
+    image = F.concat(F.encode(F.concat(F.octet_length(raw).cast("string"), F.lit(" 1 1\n")), "UTF-8"), raw)
+    marks = translate.keeper(spark)(pdf.marks(pdf.pages(pdf_write.pdf_documents(pdf_rows(rows, page=F.col("i"), seq=F.lit(0), kind=F.lit("image"), x=F.lit(100.0), y=F.lit(100.0), w=F.greatest(F.col("r.p_size"), F.lit(50)), h=F.lit(60.0), image=image)))))
+    blocks = pdf_documents.picture_blocks(pdf.images(marks), pdf.drawings(marks), tables.table_boxes(tables.ruled_cells(pdf.rules(marks))))
+    return blocks.select("doc_id", "page", F.hex(png_pixels("image")).alias("pixels"), "width_inches")
+
+
+@F.udf("binary")
+def png_pixels(png: bytes | None) -> bytes | None:
+    """The pixels of a PNG file of one row without a row filter."""
+    import struct
+    import zlib
+
+    return None if png is None else zlib.decompress(png[41 : 41 + struct.unpack(">I", png[33:37])[0]])[1:]
+
+
 @query("folder_scan", """SELECT n_name || CASE n_nationkey % 5 WHEN 0 THEN '.docx' WHEN 1 THEN '.dOcX' WHEN 2 THEN '.PDF' ELSE '.DOCX' END AS name, CASE n_nationkey % 5 WHEN 2 THEN '.pdf' ELSE '.docx' END AS suffix, n_nationkey % 5 = 2 OR n_nationkey % 2 = 1 AS failed, CASE WHEN n_nationkey % 5 <> 2 AND n_nationkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_blocks FROM nation WHERE n_nationkey % 5 <> 4""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A folder of Word files, broken ones, pdf and other files: what is found, read and failed."""
@@ -103,8 +174,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     rows = n.join(whole, n["n_name"] == whole["doc_id"]).select(F.concat("n_name", end).alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("content")).otherwise(F.lit("broken").cast("binary")).alias("content"))
     sinks.write_files(rows, folder)
     found = files.folder(spark, folder)
-    blocks, _ = files.extracted(found)
-    bad = files.failed(found).select("path", F.lit(True).alias("bad"))
+    blocks, _, bad = files.extracted(found, translate.keeper(spark))
+    bad = bad.select("path", F.lit(True).alias("bad"))
     count = blocks.groupBy(F.col("doc_id").alias("path")).agg(F.count(F.lit(1)).alias("n"))
     out = found.select("path", "suffix").join(bad, "path", "left").join(count, "path", "left")
     return out.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "suffix", F.coalesce("bad", F.lit(False)).alias("failed"), F.coalesce("n", F.lit(0)).alias("n_blocks"))

@@ -102,7 +102,8 @@ def run_folder(spark: SparkSession, source: str, target: str, backend: guards.Ba
     """
     found = files.folder(spark, source)
     keep = translate.keeper(spark)
-    blocks, cells = map(keep, files.extracted(found))
+    blocks, cells, bad = files.extracted(found, keep)
+    blocks, cells = keep(blocks), keep(cells)
     paths = blocks.select("doc_id").distinct()
     given = glossary.coerce(spark, user)
     if given is False and phases == PHASES[:1]:
@@ -118,7 +119,7 @@ def run_folder(spark: SparkSession, source: str, target: str, backend: guards.Ba
             entries, lacking = read_glossaries(spark, paths, target, given or None)
         elif "translate" in phases and "glossary" not in phases and not given and lacking.limit(1).count():
             raise ValueError("no glossary: " + ", ".join(sorted(stem(r["doc_id"]) for r in lacking.limit(20).collect())))
-    out: dict[str, DataFrame] = {"failed": files.failed(found)}
+    out: dict[str, DataFrame] = {"failed": bad}
     if "translate" in phases:
         done = translate.run(blocks, cells, backend, entries, target=target_lang, **options)
         for name, df in done.items():

@@ -8,11 +8,13 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..schema import BLOCKS, TABLE_CELLS
+from ..schema import BLOCKS
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Style names and markers that decide a paragraph's kind.
@@ -187,51 +189,53 @@ def _without(runs: list[dict], marker: str) -> list[dict]:
     return out
 
 
-NAMES = ("doc_id", "pos", "kind", "level", "runs", "title", "separator", "marker", "text", "comment", "image", "width_inches", "table_index")
+_KINDS = {n: t for n, t in (c.split(" ", 1) for c in re.findall(r"\w+ (?:(?:array|struct)<.*?>+|\w+)(?=, |$)", BLOCKS)) if n != "doc_id"}
+PARSED = f"doc_id string, blocks array<struct<{', '.join(f'{n}:{t}' for n, t in _KINDS.items())}>>, cells array<struct<table_idx:int, row_idx:int, col_idx:int, text:string>>, error string"
 
 
-def read_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of a binaryFile DataFrame of .docx files; files that cannot be read give no blocks (see failures)."""
+def parsed(files: DataFrame) -> DataFrame:
+    """One row a file (path, content): its blocks, its table cells, or the error it was not read for. Any damage counts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                blocks, cells, error = [], [], None
                 try:
-                    blocks, _ = Docx(content).extract()
-                except (zipfile.BadZipFile, ElementTree.ParseError, AttributeError, KeyError):
-                    continue
-                yield pd.DataFrame([{n: b.get(n) for n in NAMES} | {"doc_id": path, "pos": i} for i, b in enumerate(blocks)], columns=list(NAMES)).astype({"level": "Int32", "table_index": "Int32"})
+                    blocks, cells = Docx(content.as_py()).extract()
+                except Exception as x:
+                    error = f"{type(x).__name__}: {x}"
+                rows = [{n: r.get(n) for n in _KINDS} | {"pos": i} for i, r in enumerate(blocks)]
+                own = [dict(zip(("table_idx", "row_idx", "col_idx", "text"), c, strict=True)) for c in cells]
+                yield pa.RecordBatch.from_pydict({"doc_id": [path], "blocks": [rows], "cells": [own], "error": [error]}, schema)
 
-    return files.select("path", "content").mapInPandas(run, BLOCKS)
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
+    return files.select("path", "content").mapInArrow(run, PARSED)
 
 
-def read_cells(files: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    _, cells = Docx(content).extract()
-                except (zipfile.BadZipFile, ElementTree.ParseError, AttributeError, KeyError):
-                    continue
-                yield pd.DataFrame([(path, *c) for c in cells], columns=["doc_id", "table_idx", "row_idx", "col_idx", "text"])
+def parsed_blocks(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", *[f"b.{n}" for n in _KINDS])
 
-    return files.select("path", "content").mapInPandas(run, TABLE_CELLS)
 
+def parsed_cells(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.*")
 
-def failures(files: DataFrame) -> DataFrame:
-    """(path, error) of files that cannot be read: a document's failure never ends a batch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    Docx(content).extract()
-                except Exception as x:  # any damage counts
-                    rows.append((path, f"{type(x).__name__}: {x}"))
-            yield pd.DataFrame(rows, columns=["path", "error"])
+def parsed_failures(rows: DataFrame) -> DataFrame:
+    """(path, error) of files that could not be read: a document's failure never ends a batch."""
+    return rows.where("error is not null").select(F.col("doc_id").alias("path"), "error")
 
-    return files.select("path", "content").mapInPandas(run, "path string, error string")
+
+def read_blocks(files: DataFrame) -> DataFrame:
+    """Blocks of a binaryFile DataFrame of .docx files; files that cannot be read give no blocks (see failures)."""
+    return parsed_blocks(parsed(files))
+
+
+def read_cells(files: DataFrame) -> DataFrame:
+    return parsed_cells(parsed(files))
+
+
+def failures(files: DataFrame) -> DataFrame:
+    return parsed_failures(parsed(files))
 
 
 def heading_numbers(rendered: DataFrame, doc: str = "doc_id", line: str = "line") -> DataFrame:

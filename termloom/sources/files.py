@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,26 +14,28 @@ SUFFIXES = (".docx", ".pdf")
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
-    """binaryFile rows of the .docx and .pdf files right in a folder, whatever the case of the suffix, by path."""
+    """binaryFile rows of the .docx and .pdf files right in a folder, whatever the case of the suffix. No order: one by path
+    would move the contents; order_by_path() gives it for names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", False).option("pathGlobFilter", "*.{[dD][oO][cC][xX],[pP][dD][fF]}").load(path)
-    return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).where(F.col("suffix").isin(*SUFFIXES)).orderBy("path")
+    return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).where(F.col("suffix").isin(*SUFFIXES))
 
 
-def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, cells) by suffix: .docx is parsed here. A .pdf needs a codec that yields span tables (see layout), so it gives
-    nothing and is listed by failed()."""
-    from .docx import read_blocks, read_cells
+def by_path(files: DataFrame) -> DataFrame:
+    """The files' names and sizes in order of path, without their contents, which stay unread."""
+    return files.select("path", "suffix", "length").orderBy("path")
 
-    words = files.where("suffix = '.docx'")
-    return read_blocks(words), read_cells(words)
 
+def extracted(files: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, cells, failures) by suffix. failures (path, error) lists the files that give no blocks; none of them ends a run.
 
-def failed(files: DataFrame) -> DataFrame:
-    """(path, error) of the files that give no blocks; none of them ends a run."""
-    from .docx import failures
+    keep writes a table down and reads it back: every file is then read and parsed once.
+    """
+    from ..plans.pdf_documents import document_blocks
+    from .docx import parsed, parsed_blocks, parsed_cells, parsed_failures
 
-    pdf = files.where("suffix = '.pdf'").select("path", F.lit("no reader for pdf: pass its span table to layout").alias("error"))
-    return failures(files.where("suffix = '.docx'")).unionByName(pdf)
+    words = keep(parsed(files.where("suffix = '.docx'")))
+    blocks, cells, bad = document_blocks(files.where("suffix = '.pdf'"), keep)
+    return parsed_blocks(words).unionByName(blocks), parsed_cells(words).unionByName(cells), parsed_failures(words).unionByName(bad)
 
 
 def _as_blocks(rows: DataFrame, kind: Column, level: Column, text: Column, title: Column) -> DataFrame:

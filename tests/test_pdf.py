@@ -110,3 +110,52 @@ def test_pictures(spark):
     rows = zlib.compress(b"\x02" + bytes([5, 6]) + b"\x01" + bytes([1, 1]))  # up, then left
     assert unpng(make(rows, Width=2, Height=2, BitsPerComponent=8, ColorSpace=n("DeviceGray"), Filter=n("FlateDecode"), DecodeParms={"Predictor": 15, "Columns": 2}))[3] == bytes([5, 6, 1, 2])
     assert make(b"\xff\xd8jpeg", Width=1, Height=1, Filter=n("DCTDecode")) == b"\xff\xd8jpeg" and make(b"", Width=1, Height=1, ColorSpace=n("Lab")) is None
+
+
+def test_faces():
+    """Merged cells, double rules, two tables, a frame alone, gaps in a rule, dangling ends, nothing."""
+    import numpy as np
+
+    from termloom.operators import tables
+
+    def found(*segments):
+        return tables.faces(*np.array(segments, dtype=float).reshape(-1, 4).T)
+
+    def box(x, y, w, h):
+        return [(x, y, x + w, y), (x, y + h, x + w, y + h), (x, y, x, y + h), (x + w, y, x + w, y + h)]
+
+    grid = [*box(0, 0, 50, 20), *box(50, 0, 50, 20), *box(0, 20, 100, 20)]
+    assert found(*grid) == [(0, 0, 0, 0, 0, 50, 20), (0, 0, 1, 50, 0, 100, 20), (0, 1, 0, 0, 20, 100, 40)]
+    moved = [*grid, *[(a + 200, b + 1, c + 200, d + 1) for a, b, c, d in grid]]
+    assert [f[:3] for f in found(*moved)] == [(0, 0, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 0, 1), (1, 1, 0)]
+    assert found(*box(0, 0, 50, 20)) == [] and found() == [] and found((0, 0, 9, 0)) == []
+    doubled = [*box(0, 0, 50, 20), *box(51.5, 0, 48.5, 20)]
+    assert len(found(*doubled)) == 2
+    lattice = [(0, y, 90, y) for y in (0, 30, 60)] + [(x, 0, x, 60) for x in (0, 30, 60, 90)]
+    assert len(found(*lattice)) == 6 and len(found(*lattice, (30, 45, 55, 45))) == 6
+    open_side = [s for s in lattice if s != (90, 0, 90, 60)]
+    assert len(found(*open_side)) == 4
+    pieces = [(0, 0, 45, 0), (44, 0, 90, 0), *[s for s in lattice if s[1] != 0 or s[3] != 0]]
+    assert len(found(*pieces)) == 6
+
+
+def test_whole_documents(spark):
+    """Headings, paragraphs, a table, a picture and a footnote of a file come out as blocks in order; a broken file is listed."""
+    from termloom.plans.pdf_documents import document_blocks
+
+    body = [text(0, 0, "Título mayor", 72, 60, 18.0)]
+    body += [text(0, 1 + k, f"Una línea larga del cuerpo número {k} que sigue", 72, 90 + 12 * k) for k in range(3)]
+    table = [(0, 20 + k, "box", None, False, 0.0, 72.0 + 100 * (k % 2), 200.0 + 20 * (k // 2), 100.0, 20.0, None) for k in range(4)]
+    table += [text(0, 30 + k, f"c{k}", 76.0 + 100 * (k % 2), 214.0 + 20 * (k // 2)) for k in range(4)]
+    picture = [(0, 50, "image", None, False, 0.0, 72.0, 300.0, 144.0, 60.0, b"1 1 1\nx")]
+    notes = [(0, 60, "rule", None, False, 0.0, 72.0, 600.0, 100.0, 0.0, None), text(0, 61, "1 Nota al pie", 72, 620, 7.0)]
+    more = [text(1, 70, "y termina aquí.", 72, 60)]
+    made = pdf_write.pdf_documents(rows_of(spark, body + table + picture + notes + more))
+    blocks, cells, bad = document_blocks(made.unionByName(files(spark, broken=b"x")))
+    got = blocks.orderBy("pos").collect()
+    assert [r["kind"] for r in got] == ["heading", "body", "table_ref", "image", "footnote", "body"] and [r["pos"] for r in got] == list(range(6))
+    assert "".join(x["text"] for x in got[0]["runs"]) == "Título mayor" and got[0]["level"] == 1 and got[2]["table_index"] == 1
+    assert got[3]["width_inches"] == 2.0 and unpng(got[3]["image"])[3] == b"x" and (got[4]["marker"], got[4]["text"]) == ("1", "Nota al pie")
+    assert sorted((r["row_idx"], r["col_idx"], r["text"]) for r in cells.collect()) == [(0, 0, "c0"), (0, 1, "c1"), (1, 0, "c2"), (1, 1, "c3")]
+    assert [r["path"] for r in bad.collect()] == ["broken"]
+    assert F is not None

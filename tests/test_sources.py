@@ -66,8 +66,8 @@ def folder(tmp_path_factory):
 
 def test_word_files(spark, folder):
     found = files.folder(spark, folder)
-    assert [p["path"].rsplit("/", 1)[1] for p in found.collect()] == ["a.DOCX", "b.docx"]
-    blocks, cells = files.extracted(found)
+    assert [p["path"].rsplit("/", 1)[1] for p in files.by_path(found).collect()] == ["a.DOCX", "b.docx"]
+    blocks, cells, _ = files.extracted(found)
     b = blocks.orderBy("pos").collect()
     assert [x["kind"] for x in b] == ["heading", "body", "list_item", "body", "table_ref", "body", "body", "footnote", "comment", "comment"]
     assert b[0]["level"] == 1 and b[2]["title"] == "1." and b[2]["runs"][0]["text"] == "First point"
@@ -94,12 +94,12 @@ def test_pdf_is_listed_and_ends_nothing(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"%PDF")
     (tmp_path / "y.dOcX").write_bytes(word_file(BODY))
     found = files.folder(spark, str(tmp_path))
-    blocks, _ = files.extracted(found)
-    assert blocks.select("doc_id").distinct().count() == 1 and [r["path"][-5:] for r in files.failed(found).collect()] == ["x.pdf"]
+    blocks, _, bad = files.extracted(found)
+    assert blocks.select("doc_id").distinct().count() == 1 and [r["path"][-5:] for r in bad.collect()] == ["x.pdf"]
 
 
 def test_sinks(spark, folder, tmp_path):
-    blocks, cells = files.extracted(files.folder(spark, folder))
+    blocks, cells, _ = files.extracted(files.folder(spark, folder))
     text = docmodel.block_text(blocks)
     assert sinks.markdown_documents(text).first()["content"].startswith("# Title\n\nHello **bold** text‹FN1›\n\n- *1.* First point")
     padded = sinks.padded_cells(cells.withColumn("translated", F.upper("text"))).first()
@@ -131,7 +131,7 @@ def test_phase_one(spark):
 
 
 def test_phase_two(spark, folder):
-    blocks, cells = files.extracted(files.folder(spark, folder))
+    blocks, cells, _ = files.extracted(files.folder(spark, folder))
     blocks, cells = blocks.checkpoint(), cells.checkpoint()
     out = translate.run(blocks, cells, guards.Dictionary({"Hello": "Hola", "word cell": "celda", "First": "Primer"}), [glossary.Entry(["title"], "Title")])
     done = {r["pos"]: r for r in out["blocks"].collect()}
