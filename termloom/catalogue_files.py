@@ -79,6 +79,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).unionByName(e)
 
 
+@query("word_numbers", f"""WITH {LINES}, t AS (SELECT doc_id, {_PLAIN} AS x, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM lines),
+u AS (SELECT *, CASE WHEN i % 7 = 0 THEN 0 WHEN i % 3 = 0 THEN 1 ELSE 2 END AS v FROM t),
+w AS (SELECT *, sum((v = 0)::INT) OVER o AS a, sum((v < 2)::INT) OVER o AS s2 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+z AS (SELECT *, greatest(1, sum((v = 1)::INT) OVER (PARTITION BY doc_id, a ORDER BY i)) AS b, greatest(1, sum((v = 2)::INT) OVER (PARTITION BY doc_id, s2 ORDER BY i)) + 4 AS c FROM w)
+SELECT doc_id, i::INT AS pos, CASE v WHEN 0 THEN a::VARCHAR || '.' WHEN 1 THEN a::VARCHAR || '.' || b::VARCHAR ELSE '(' || repeat(chr(((c - 1) % 26 + 97)::INT), (((c - 1) // 26) + 1)::INT) || ')' END || ' ' || x AS text FROM z""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' lines as numbered headings on three levels of a Word list: the numbers come back by counting."""
+    x = numbered_lines(spark, d).withColumn("text", squash(F.col("text")))
+    level = F.when(F.col("k") % 7 == 0, 0).when(F.col("k") % 3 == 0, 1).otherwise(2)
+    blocks = as_blocks(x, pos=F.col("k"), kind=F.lit("heading"), level=level + 1, runs=plain_run(F.col("text")), text=F.lit(None))
+    blocks = blocks.withColumn("place", F.struct(F.lit("4").alias("num_id"), (F.col("level") - 1).alias("level")))
+    shape = [F.struct(F.lit(k).alias("level"), F.lit(f).alias("fmt"), F.lit(t).alias("template"), F.lit(n).alias("start")) for k, f, t, n in ((0, "decimal", "%1.", 1), (1, "decimal", "%1.%2", 1), (2, "lowerLetter", "(%3)", 5))]
+    levels = x.select("doc_id").distinct().select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("4").alias("num_id"), F.lit("0").alias("abstract_id"), F.explode(F.array(*shape)).alias("s")).select("doc_id", "num_id", "abstract_id", "s.*", F.lit(None).cast("int").alias("restart"))
+    rows = translate.keeper(spark)(docx.parsed(files_of(docx_write.word_documents(blocks, levels=levels))))
+    back = docx.with_numbers(docx.parsed_blocks(rows), docx.parsed_numbers(rows))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", runs_text(F.col("runs")).alias("text"))
+
+
+@query("word_pictures", """SELECT p_brand AS doc_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS k, hex(encode(p_name)) AS pixels, round(p_size / 10.0, 3)::DOUBLE AS width_inches FROM part""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A picture a part written into the Word file of its brand, and read back from it."""
+    p = table(spark, d, "part")
+    blocks = as_blocks(p, doc_id=F.col("p_brand"), pos=F.col("p_partkey"), kind=F.lit("image"), image=grey_png(F.col("p_name")), width_inches=F.col("p_size") / 10)
+    back = docx.parsed_pictures(docx.parsed(files_of(docx_write.word_documents(blocks))))
+    return back.select("doc_id", "k", F.hex(png_pixels("image")).alias("pixels"), F.round("width_inches", 3).alias("width_inches"))
+
+
+@F.udf("binary")
+def grey_png(text: str) -> bytes:
+    from .sources.pdf_objects import png
+
+    return png(len(text.encode()), 1, 1, text.encode())
+
+
 @query("word_tables", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, max(p_size % 2) OVER (PARTITION BY p_brand) AS wide FROM part)
 SELECT p_brand AS doc_id, i::INT AS row_idx, CASE WHEN p_size % 2 = 1 THEN [p_name, p_type, p_size::VARCHAR, 'more'] WHEN wide = 1 THEN [p_name, p_type, p_size::VARCHAR, ''] ELSE [p_name, p_type, p_size::VARCHAR] END AS cells FROM p""")
 def _(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.text import stripped_length
+from ..operators.numbering import resolved_numbers
 from ..schema import BLOCKS
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -34,8 +36,13 @@ class Docx:
             names = set(z.namelist())
             part = lambda n: ElementTree.fromstring(z.read(n)) if n in names else None
             self.document, self.styles = part("word/document.xml"), part("word/styles.xml")
+            self.media = {n: z.read(n) for n in names if n.startswith("word/media/")}
+            links = part("word/_rels/document.xml.rels")
+            self.targets = {e.get("Id"): "word/" + (e.get("Target") or "") for e in links} if links is not None else {}
             self.notes, self.comments, self.numbering = part("word/footnotes.xml"), part("word/comments.xml"), part("word/numbering.xml")
         self.style_names = {s.get(f"{W}styleId"): (n.get(f"{W}val") or "") for s in (self.styles.iter(f"{W}style") if self.styles is not None else ()) if (n := s.find(f"{W}name")) is not None}
+        based = lambda st: (b.get(f"{W}val") if (b := st.find(f"{W}basedOn")) is not None else None)
+        self.style_props = {st.get(f"{W}styleId"): (st.find(f"{W}pPr"), based(st)) for st in (self.styles.iter(f"{W}style") if self.styles is not None else ())}
         self.note_numbers: dict[str, str] = {}
 
     # -- small parts
@@ -66,16 +73,44 @@ class Docx:
         return [r for _, r in sorted(rows, key=lambda x: x[0])]
 
     def numbering_levels(self) -> list[dict]:
-        """(num_id, level, fmt, template, start) of every numbering definition."""
+        """(num_id, abstract_id, level, fmt, template, start, restart) of every numbering definition."""
         if self.numbering is None:
             return []
         val = lambda e, tag, default: (x.get(f"{W}val") if (x := e.find(f"{W}{tag}")) is not None else default)
         shapes = {a.get(f"{W}abstractNumId"): a for a in self.numbering.iter(f"{W}abstractNum")}
         out = []
         for num in self.numbering.iter(f"{W}num"):
-            shape = shapes.get(val(num, "abstractNumId", None))
-            for lvl in shape.iter(f"{W}lvl") if shape is not None else ():
-                out.append({"num_id": num.get(f"{W}numId"), "level": int(lvl.get(f"{W}ilvl") or 0), "fmt": val(lvl, "numFmt", "decimal"), "template": val(lvl, "lvlText", "%1."), "start": int(val(lvl, "start", "1"))})
+            abstract = val(num, "abstractNumId", None)
+            restarts = {o.get(f"{W}ilvl"): int(val(o, "startOverride", "")) for o in num.iter(f"{W}lvlOverride") if val(o, "startOverride", "")}
+            for lvl in shapes[abstract].iter(f"{W}lvl") if abstract in shapes else ():
+                level = lvl.get(f"{W}ilvl") or "0"
+                out.append({"num_id": num.get(f"{W}numId"), "abstract_id": abstract, "level": int(level), "fmt": val(lvl, "numFmt", "decimal"), "template": val(lvl, "lvlText", "%1."), "start": int(val(lvl, "start", "1")), "restart": restarts.get(level)})
+        return out
+
+    def list_place(self, p) -> tuple[str, int] | None:
+        """(num_id, level) of a numbered paragraph, its own or its style's, the styles it is based on included."""
+        props, level, seen = p.find(f"{W}pPr"), None, set()
+        style = props.find(f"{W}pStyle").get(f"{W}val") if props is not None and props.find(f"{W}pStyle") is not None else None
+        while True:
+            num = props.find(f"{W}numPr") if props is not None else None
+            own = {e.tag: e.get(f"{W}val") for e in num} if num is not None else {}
+            level = own.get(f"{W}ilvl") if level is None else level
+            if f"{W}numId" in own:
+                return (own[f"{W}numId"], int(level or 0)) if own[f"{W}numId"] != "0" else None
+            if style is None or style in seen:
+                return None
+            seen.add(style)
+            props, style = self.style_props.get(style, (None, None))
+
+    def pictures(self) -> list[tuple[bytes, float]]:
+        """(bytes, width in inches) of the pictures in the body, in order."""
+        out = []
+        for d in self.document.iter(f"{W}drawing"):
+            size = next((e for e in d.iter() if e.tag.endswith("}extent")), None)
+            blip = next((e for e in d.iter() if e.tag.endswith("}blip")), None)
+            target = self.targets.get(next((v for k, v in blip.attrib.items() if k.endswith("}embed")), ""), "") if blip is not None else ""
+            if target in self.media:
+                out.append((self.media[target], int(size.get("cx", 0)) / 914400 if size is not None else 0.0))
         return out
 
     # -- paragraphs
@@ -123,14 +158,14 @@ class Docx:
         heading = HEADING_STYLE.match(name)
         if heading:
             self.numbered(runs)
-            return {"kind": "heading", "level": max(1, min(6, int(heading[1]))), "runs": runs}
+            return {"kind": "heading", "level": max(1, min(6, int(heading[1]))), "runs": runs, "place": self.list_place(p)}
         listed = LIST_STYLE.search(name) or (ppr is not None and ppr.find(f"{W}numPr") is not None) or LIST_START.match(text)
         if listed and ITEM_START.match(text):
             marker = text.split(None, 1)[0]
             return {"kind": "list_item", "title": marker, "runs": _without(runs, marker), "separator": " "}
         if listed and (number := self.numbered(runs)) and all(r["bold"] for r in runs if r["text"].strip()):
             return {"kind": "heading", "level": max(2, min(4, number.count(".") + 1)), "runs": runs}
-        return {"kind": "body", "runs": runs}
+        return {"kind": "body", "runs": runs, "place": self.list_place(p) if listed else None}
 
     # -- the whole
 
@@ -190,7 +225,7 @@ def _without(runs: list[dict], marker: str) -> list[dict]:
 
 
 _KINDS = {n: t for n, t in (c.split(" ", 1) for c in re.findall(r"\w+ (?:(?:array|struct)<.*?>+|\w+)(?=, |$)", BLOCKS)) if n != "doc_id"}
-PARSED = f"doc_id string, blocks array<struct<{', '.join(f'{n}:{t}' for n, t in _KINDS.items())}>>, cells array<struct<table_idx:int, row_idx:int, col_idx:int, text:string>>, error string"
+PARSED = f"doc_id string, blocks array<struct<{', '.join(f'{n}:{t}' for n, t in _KINDS.items())}>>, cells array<struct<table_idx:int, row_idx:int, col_idx:int, text:string>>, numbered array<struct<pos:int, num_id:string, level:int>>, levels array<struct<num_id:string, abstract_id:string, level:int, fmt:string, template:string, start:int, restart:int>>, pictures array<struct<image:binary, width_inches:double>>, error string"
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -199,14 +234,17 @@ def parsed(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                blocks, cells, error = [], [], None
+                blocks, cells, levels, pictures, error = [], [], [], [], None
                 try:
-                    blocks, cells = Docx(content.as_py()).extract()
+                    file = Docx(content.as_py())
+                    levels, pictures = file.numbering_levels(), [dict(zip(("image", "width_inches"), x, strict=True)) for x in file.pictures()]
+                    blocks, cells = file.extract()
                 except Exception as x:
                     error = f"{type(x).__name__}: {x}"
+                places = [{"pos": i, "num_id": r["place"][0], "level": r["place"][1]} for i, r in enumerate(blocks) if r.get("place")]
                 rows = [{n: r.get(n) for n in _KINDS} | {"pos": i} for i, r in enumerate(blocks)]
                 own = [dict(zip(("table_idx", "row_idx", "col_idx", "text"), c, strict=True)) for c in cells]
-                yield pa.RecordBatch.from_pydict({"doc_id": [path], "blocks": [rows], "cells": [own], "error": [error]}, schema)
+                yield pa.RecordBatch.from_pydict({"doc_id": [path], "blocks": [rows], "cells": [own], "numbered": [places], "levels": [levels], "pictures": [pictures], "error": [error]}, schema)
 
     schema = to_arrow_schema(StructType.fromDDL(PARSED))
     return files.select("path", "content").mapInArrow(run, PARSED)
@@ -216,6 +254,31 @@ def parsed_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", *[f"b.{n}" for n in _KINDS])
 
 
+def parsed_numbers(rows: DataFrame) -> DataFrame:
+    """(doc_id, pos, number) of numbered headings and list paragraphs, counted here, without a renderer."""
+    places = rows.select("doc_id", F.explode("numbered").alias("x")).select("doc_id", "x.*")
+    levels = rows.select("doc_id", F.explode("levels").alias("x")).select("doc_id", "x.*")
+    return resolved_numbers(places, levels)
+
+
+def with_numbers(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Blocks with their numbers before their text; a numbered list paragraph that is bold throughout is a heading."""
+    x = blocks.join(numbers.withColumnRenamed("number", "_number"), ["doc_id", "pos"], "left")
+    has = F.col("_number").isNotNull()
+    head = F.transform("runs", lambda r, i: F.when(i == 0, F.struct(F.concat("_number", F.lit(" "), r["text"]).alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic"), r["size"].alias("size"))).otherwise(r))
+    strong = F.forall("runs", lambda r: r["bold"] | (stripped_length(r) == 0))
+    risen = has & (F.col("kind") == "body") & strong
+    dots = F.length("_number") - F.length(F.replace("_number", F.lit("."), F.lit("")))
+    level = F.when(risen, F.greatest(F.lit(2), F.least(F.lit(4), dots + 1))).otherwise(F.col("level"))
+    out = {"runs": F.when(has, head).otherwise(F.col("runs")), "level": level.cast("int"), "kind": F.when(risen, "heading").otherwise(F.col("kind"))}
+    return x.select(*[(out[c] if c in out else F.col(c)).alias(c) for c in blocks.columns])
+
+
+def parsed_pictures(rows: DataFrame) -> DataFrame:
+    """(doc_id, k, image, width_inches) of the pictures of Word files, which are no blocks."""
+    return rows.select("doc_id", F.posexplode("pictures").alias("k", "p")).select("doc_id", "k", "p.*")
+
+
 def parsed_cells(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.*")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterable
 from xml.sax.saxutils import escape, quoteattr
@@ -18,6 +19,7 @@ from ..operators.guards import emphasis_pieces
 NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
 KIND = "application/vnd.openxmlformats-officedocument.wordprocessingml"
 STAMP = (1980, 1, 1, 0, 0, 0)
 MOST_LEVEL = 4
@@ -55,8 +57,47 @@ def _runs(block: dict, notes: dict[str, int]) -> str:
     return "".join(_marked(f"‹FN{t}›", notes) if up else _run(t, b, i) for t, b, i, up in emphasis_pieces(told))
 
 
-def _paragraph(inside: str, style: str = "") -> str:
-    return f"<w:p>{f'<w:pPr><w:pStyle w:val={quoteattr(style)}/></w:pPr>' if style else ''}{inside}</w:p>"
+def _paragraph(inside: str, style: str = "", place: dict | None = None) -> str:
+    props = (f"<w:pStyle w:val={quoteattr(style)}/>" if style else "") + (f'<w:numPr><w:ilvl w:val="{place["level"]}"/><w:numId w:val="{place["num_id"]}"/></w:numPr>' if place else "")
+    return f"<w:p>{f'<w:pPr>{props}</w:pPr>' if props else ''}{inside}</w:p>"
+
+
+def picture_size(image: bytes) -> tuple[int, int]:
+    """(width, height) in pixels of a PNG or JPEG file, (1, 1) if it is neither."""
+    if image.startswith(b"\x89PNG"):
+        return struct.unpack(">II", image[16:24])
+    at = 2
+    while image.startswith(b"\xff\xd8") and at + 9 < len(image) and image[at] == 0xFF:
+        if image[at + 1] in (0xC0, 0xC1, 0xC2):
+            high, wide = struct.unpack(">HH", image[at + 5 : at + 9])
+            return wide, high
+        at += 2 + struct.unpack(">H", image[at + 2 : at + 4])[0]
+    return 1, 1
+
+
+def _picture(image: bytes, inches: float, k: int) -> str:
+    """An inline drawing of that width, the height in proportion."""
+    wide, high = picture_size(image)
+    cx = round(inches * 914400)
+    cy = round(cx * high / wide)
+    fill = f'<pic:blipFill><a:blip r:embed="p{k}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="{cx}" cy="{cy}"/></a:xfrm><a:prstGeom prst="rect"/></pic:spPr>'
+    graphic = f'<a:graphic xmlns:a="{DRAWING}/main"><a:graphicData uri="{DRAWING}/picture"><pic:pic xmlns:pic="{DRAWING}/picture"><pic:nvPicPr><pic:cNvPr id="{k}" name="p{k}"/><pic:cNvPicPr/></pic:nvPicPr>{fill}</pic:pic></a:graphicData></a:graphic>'
+    return f'<w:r><w:drawing><wp:inline xmlns:wp="{DRAWING}/wordprocessingDrawing"><wp:extent cx="{cx}" cy="{cy}"/><wp:docPr id="{k}" name="p{k}"/>{graphic}</wp:inline></w:drawing></w:r>'
+
+
+def _numbering(levels: list[dict]) -> str:
+    """The numbering part of levels (num_id, abstract_id, level, fmt, template, start, restart)."""
+    shapes: dict[str, dict[int, dict]] = {}
+    nums: dict[str, tuple[str, dict[int, int]]] = {}
+    for v in levels:
+        shapes.setdefault(v["abstract_id"], {})[v["level"]] = v
+        own = nums.setdefault(v["num_id"], (v["abstract_id"], {}))
+        if v["restart"] is not None:
+            own[1][v["level"]] = v["restart"]
+    level = lambda v: f'<w:lvl w:ilvl="{v["level"]}"><w:start w:val="{v["start"]}"/><w:numFmt w:val="{v["fmt"]}"/><w:lvlText w:val={quoteattr(v["template"])}/></w:lvl>'
+    a = "".join(f'<w:abstractNum w:abstractNumId="{k}">{"".join(level(v) for _, v in sorted(own.items()))}</w:abstractNum>' for k, own in sorted(shapes.items()))
+    again = lambda own: "".join(f'<w:lvlOverride w:ilvl="{k}"><w:startOverride w:val="{n}"/></w:lvlOverride>' for k, n in sorted(own.items()))
+    return a + "".join(f'<w:num w:numId="{k}"><w:abstractNumId w:val="{abstract}"/>{again(own)}</w:num>' for k, (abstract, own) in sorted(nums.items()))
 
 
 def _table(rows: list[list[str]]) -> str:
@@ -67,18 +108,19 @@ def _table(rows: list[list[str]]) -> str:
     return f"<w:tbl><w:tblPr/><w:tblGrid>{'<w:gridCol/>' * wide}</w:tblGrid>{body}</w:tbl>"
 
 
-def word_file(blocks: Iterable[dict], tables: dict[int, list[list[str]]] | None = None) -> bytes:
+def word_file(blocks: Iterable[dict], tables: dict[int, list[list[str]]] | None = None, levels: list[dict] | None = None) -> bytes:
     """A .docx of blocks in order: headings up to level 4, list items with their title, notes and comments in their parts.
 
-    A table's block becomes the table if tables has it, else a line [TABLE n]. Equal blocks give equal bytes.
+    A table's block becomes the table if tables has it, else a line [TABLE n]. Pictures become media parts of their width.
+    levels: numbering definitions, for blocks with a place (num_id, level). Equal blocks give equal bytes.
     """
     blocks = list(blocks)
     note_blocks = [b for b in blocks if b["kind"] == "footnote"]
     notes = {b["marker"] or "": k for k, b in enumerate(note_blocks, 1)}
-    body, comments = [], []
+    body, comments, media = [], [], []
     for b in blocks:
         if b["kind"] == "heading":
-            body.append(_paragraph(_runs(b, notes), f"Heading{max(1, min(MOST_LEVEL, b['level'] or 1))}"))
+            body.append(_paragraph(_runs(b, notes), f"Heading{max(1, min(MOST_LEVEL, b['level'] or 1))}", b.get("place")))
         elif b["kind"] == "list_item":
             title = b.get("title_translated") or b["title"] or ""
             body.append(_paragraph(_run(title + (b["separator"] or " ")) + _runs(b, notes), "ListParagraph"))
@@ -86,7 +128,10 @@ def word_file(blocks: Iterable[dict], tables: dict[int, list[list[str]]] | None
             rows = (tables or {}).get(b["table_index"])
             body.append(_table(rows) if rows else _paragraph(_run(f"[TABLE {b['table_index']}]")))
         elif b["kind"] in ("body", "separator"):
-            body.append(_paragraph(_runs(b, notes) if b["runs"] is not None or b.get("translated") is not None else _run(b["text"] or "")))
+            body.append(_paragraph(_runs(b, notes) if b["runs"] is not None or b.get("translated") is not None else _run(b["text"] or ""), place=b.get("place")))
+        elif b["kind"] == "image" and b.get("image"):
+            media.append(bytes(b["image"]))
+            body.append(_paragraph(_picture(media[-1], b.get("width_inches") or 6.0, len(media))))
         elif b["kind"] == "comment":
             c, k = b["comment"] or {}, len(comments)
             own = f"<w:commentRangeStart w:id=\"{k}\"/>{_run(c.get('anchor') or '')}<w:commentRangeEnd w:id=\"{k}\"/>"
@@ -95,27 +140,32 @@ def word_file(blocks: Iterable[dict], tables: dict[int, list[list[str]]] | None
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{n}"><w:name w:val="heading {n}"/></w:style>' for n in range(1, MOST_LEVEL + 1)) + '<w:style w:type="paragraph" w:styleId="ListParagraph"><w:name w:val="List Paragraph"/></w:style>'
     foot = "".join(f'<w:footnote w:id="{k}">{_paragraph(_run(b.get("translated") or b["text"] or ""))}</w:footnote>' for k, b in enumerate(note_blocks, 1))
     own = {"document": f"<w:body>{''.join(body)}<w:sectPr/></w:body>", "styles": styles, "footnotes": foot, "comments": "".join(comments)}
+    if levels:
+        own["numbering"] = _numbering(levels)
     names = list(own)
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    parts = {f"word/{n}.xml": f'{head}<w:{n} xmlns:w="{NS}">{x}</w:{n}>' for n, x in own.items()}
+    parts = {f"word/{n}.xml": f'{head}<w:{n} xmlns:w="{NS}" xmlns:r="{OFFICE}">{x}</w:{n}>' for n, x in own.items()}
+    ends = ["png" if m.startswith(b"\x89PNG") else "jpeg" for m in media]
     types = "".join(f'<Override PartName="/word/{n}.xml" ContentType="{KIND}.{"document.main" if n == "document" else n}+xml"/>' for n in names)
-    parts["[Content_Types].xml"] = f'{head}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{types}</Types>'
+    parts["[Content_Types].xml"] = f'{head}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="png" ContentType="image/png"/><Default Extension="jpeg" ContentType="image/jpeg"/>{types}</Types>'
     parts["_rels/.rels"] = f'{head}<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="d" Type="{OFFICE}/officeDocument" Target="word/document.xml"/></Relationships>'
-    parts["word/_rels/document.xml.rels"] = f'{head}<Relationships xmlns="{PACKAGE}/relationships">' + "".join(f'<Relationship Id="{n}" Type="{OFFICE}/{n}" Target="{n}.xml"/>' for n in names[1:]) + "</Relationships>"
+    parts["word/_rels/document.xml.rels"] = f'{head}<Relationships xmlns="{PACKAGE}/relationships">' + "".join(f'<Relationship Id="{n}" Type="{OFFICE}/{n}" Target="{n}.xml"/>' for n in names[1:]) + "".join(f'<Relationship Id="p{k}" Type="{OFFICE}/image" Target="media/image{k}.{end}"/>' for k, end in enumerate(ends, 1)) + "</Relationships>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name in sorted(parts):
             z.writestr(zipfile.ZipInfo(name, STAMP), parts[name].encode(), zipfile.ZIP_DEFLATED)
+        for k, (m, end) in enumerate(zip(media, ends, strict=True), 1):
+            z.writestr(zipfile.ZipInfo(f"word/media/image{k}.{end}", STAMP), m, zipfile.ZIP_STORED)
     return out.getvalue()
 
 
-def word_documents(blocks: DataFrame, cells: DataFrame | None = None, cell_text: str = "translated") -> DataFrame:
+def word_documents(blocks: DataFrame, cells: DataFrame | None = None, cell_text: str = "translated", levels: DataFrame | None = None) -> DataFrame:
     """(doc_id, content): a .docx a document, from blocks (with translated and title_translated, if known) and their cells.
 
     A document is one file, so its blocks and cells meet in one task.
     """
-    fields = ["kind", "level", "runs", "title", "separator", "marker", "text", "comment", "table_index"]
-    more = [c for c in ("translated", "title_translated") if c in blocks.columns]
+    fields = ["kind", "level", "runs", "title", "separator", "marker", "text", "comment", "image", "width_inches", "table_index"]
+    more = [c for c in ("translated", "title_translated", "place") if c in blocks.columns]
     own = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", *fields, *more))).alias("blocks"))
     if cells is None:
         own = own.withColumn("cells", F.lit(None).cast("array<struct<table_idx:int,row_idx:int,col_idx:int,t:string>>"))
@@ -123,13 +173,18 @@ def word_documents(blocks: DataFrame, cells: DataFrame | None = None, cell_text:
         cell = F.struct(F.col("table_idx").cast("int").alias("table_idx"), F.col("row_idx").cast("int").alias("row_idx"), F.col("col_idx").cast("int").alias("col_idx"), F.col(cell_text).alias("t"))
         own = own.join(cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(cell)).alias("cells")), "doc_id", "left")
 
+    if levels is None:
+        own = own.withColumn("levels", F.lit(None).cast("array<struct<num_id:string,abstract_id:string,level:int,fmt:string,template:string,start:int,restart:int>>"))
+    else:
+        own = own.join(levels.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("num_id", "abstract_id", "level", "fmt", "template", "start", "restart"))).alias("levels")), "doc_id", "left")
+
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
                 tables: dict[int, dict[int, list[str]]] = {}
                 for c in b.column("cells")[k].as_py() or []:
                     tables.setdefault(c["table_idx"], {}).setdefault(c["row_idx"], []).append(c["t"] or "")
-                content = word_file(b.column("blocks")[k].as_py(), {n: [r for _, r in sorted(rows.items())] for n, rows in tables.items()})
+                content = word_file(b.column("blocks")[k].as_py(), {n: [r for _, r in sorted(rows.items())] for n, rows in tables.items()}, b.column("levels")[k].as_py())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), pa.array([content], pa.binary())], ["doc_id", "content"])
 
-    return own.select("doc_id", "blocks", "cells").mapInArrow(run, f"doc_id {dict(blocks.dtypes)['doc_id']}, content binary")
+    return own.select("doc_id", "blocks", "cells", "levels").mapInArrow(run, f"doc_id {dict(blocks.dtypes)['doc_id']}, content binary")

@@ -31,11 +31,12 @@ def extracted(files: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda
     keep writes a table down and reads it back: every file is then read and parsed once.
     """
     from ..plans.pdf_documents import document_blocks
-    from .docx import parsed, parsed_blocks, parsed_cells, parsed_failures
+    from .docx import parsed, parsed_blocks, parsed_cells, parsed_failures, parsed_numbers, with_numbers
 
     words = keep(parsed(files.where("suffix = '.docx'")))
     blocks, cells, bad = document_blocks(files.where("suffix = '.pdf'"), keep)
-    return parsed_blocks(words).unionByName(blocks), parsed_cells(words).unionByName(cells), parsed_failures(words).unionByName(bad)
+    own = with_numbers(parsed_blocks(words), parsed_numbers(words))
+    return own.unionByName(blocks), parsed_cells(words).unionByName(cells), parsed_failures(words).unionByName(bad)
 
 
 def _as_blocks(rows: DataFrame, kind: Column, level: Column, text: Column, title: Column) -> DataFrame:

@@ -81,7 +81,7 @@ def test_heading_numbers():
     d = docx.Docx(word_file(BODY), {"Auto": "2.1."})
     blocks, _ = d.extract()
     assert (blocks[3]["kind"], blocks[3]["level"], blocks[3]["runs"][0]["text"]) == ("heading", 3, "2.1. Auto")
-    assert d.numbering_levels() == [{"num_id": "1", "level": 0, "fmt": "lowerLetter", "template": "%1)", "start": 3}]
+    assert d.numbering_levels() == [{"num_id": "1", "abstract_id": "7", "level": 0, "fmt": "lowerLetter", "template": "%1)", "start": 3, "restart": None}]
 
 
 def test_rendered_numbers(spark):
@@ -222,3 +222,44 @@ def test_cells_that_run_away_are_asked_for_again(spark):
 
 def identify_title(segments):
     return ["TERM: Title\nTERM: Wrapped" if "Wrapped" in s else "" for s in segments]
+
+
+def test_numbers_by_counting(spark):
+    """Counters of nested levels, restarts, lists of one shape, skipped levels and every format, against a plain walk."""
+    import random
+
+    from termloom.operators.numbering import resolved_numbers
+
+    levels = [("d", n, a, k, f, t, s, r) for n, a, restart in (("1", "0", None), ("2", "0", 7), ("3", "9", None)) for k, (f, t, s) in enumerate((("upperRoman", "%1.", 1), ("decimal", "%1.%2", 3), ("lowerLetter", "%3)", 1), ("decimalZero", "%4-%2", 1), ("bullet", "o", 1))) for r in [restart if k == 0 else None]]
+    rng = random.Random(1)
+    places = [("d", 10 * p, rng.choice("1123"), rng.choice((0, 1, 1, 2, 2, 3, 4))) for p in range(300)]
+    shape = {(x[1], x[3]): x for x in levels}
+    of = {x[1]: x[2] for x in levels}
+
+    def low_roman(n):
+        out = ""
+        for v, s in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out, n = out + s * (n // v), n % v
+        return out
+
+    write = {"upperRoman": lambda n: low_roman(n).upper(), "decimal": str, "lowerLetter": lambda n: chr(97 + (n - 1) % 26) * ((n - 1) // 26 + 1), "decimalZero": lambda n: f"{n:02d}", "bullet": lambda n: ""}
+    counts, seen, want = {}, set(), {}
+    for _, pos, num, level in places:
+        own = counts.setdefault(of[num], {})
+        start = lambda k: shape[num, k][7] if shape[num, k][7] is not None else shape[num, k][6]  # noqa: B023, E731
+        if num not in seen and shape[num, 0][7] is not None:
+            own.pop(0, None)
+        seen.add(num)
+        own[level] = own[level] + 1 if level in own else start(level)
+        for k in range(level + 1, 5):
+            own.pop(k, None)
+        if shape[num, level][4] != "bullet":
+            text = shape[num, level][5]
+            for k in range(5):
+                text = text.replace(f"%{k + 1}", write[shape[num, k][4]](own.get(k, start(k))))
+            want[pos] = (num, text)
+    got = resolved_numbers(spark.createDataFrame(places, "doc_id string, pos int, num_id string, level int"), spark.createDataFrame(levels, "doc_id string, num_id string, abstract_id string, level int, fmt string, template string, start int, restart int"))
+    got = {r["pos"]: r["number"] for r in got.collect()}
+    # a list with a restart has starts of its own, so the lists of its shape are held against the walk before it comes
+    first = min(p for _, p, num, _ in places if num == "2")
+    assert set(got) == set(want) and all(got[p] == t for p, (num, t) in want.items() if num == "3" or p <= first)
