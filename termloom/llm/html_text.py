@@ -27,7 +27,7 @@ COMMENT_END = re.compile(r"--!?>")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Element names of HTML by what they do to the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style head title template noscript textarea select option button svg math iframe object canvas audio video datalist".split())
+UNSEEN = frozenset("script style head title template noscript textarea select option button svg iframe object canvas audio video datalist".split())
 RAW = frozenset("script style textarea title".split())
 HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template noframes".split())
 BLOCKS = ("html body main article section div nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot caption tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog hgroup center").split()
@@ -186,6 +186,9 @@ def parse(html: str, labelled: bool = False) -> Page:
             if not every:
                 break
 
+    def foreign(name: str) -> bool:
+        return name == "math" or stack.nearest(("math",)) > 0
+
     scan = tags(html)
     for before, slash, name, attributes, after in scan:
         if before:
@@ -217,7 +220,7 @@ def parse(html: str, labelled: bool = False) -> Page:
                 end = _raw_end(name).search(html, after)
                 tail = TAG.match(html, end.start() + 1) if end else None
                 scan.send(tail.end() if tail else len(html))
-            elif not attributes.rstrip().endswith("/"):
+            elif not (name == "svg" and attributes.rstrip().endswith("/")):  # only foreign elements close themselves
                 unseen.push(name, 0)
             continue
         if unseen.items:
@@ -253,7 +256,7 @@ def parse(html: str, labelled: bool = False) -> Page:
             page.hints.append(_hints(attributes) if attributes else ())
             page.label.append(int(labelled and LABEL in attributes))
             stack.push(name, len(page.parent) - 1)
-        elif not attributes.rstrip().endswith("/"):
+        elif not (foreign(name) and attributes.rstrip().endswith("/")):  # of HTML's own elements the slash says nothing
             if name == "a":
                 links += 1
             stack.push(name, stack.items[-1][1])

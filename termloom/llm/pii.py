@@ -29,7 +29,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # high-recall generators
-LOOSE_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}) ?| at ", re.I)
+LOOSE_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}) ?| at | @ ?|@ ", re.I)
 LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]++)+", re.I)
 #: Digit groups with up to five marks or blanks between two of them; wider gaps part numbers.
 DIGIT_CHAIN = re.compile(r"[0-9]++(?:[ ().\-/]{1,5}+[0-9]++)*+")
@@ -37,7 +37,10 @@ DIGITS = re.compile(r"[0-9]+")
 MOST_GROUPS = 6
 GAP = " ().-/"
 LOOSE_ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+ANY_ACCOUNT = re.compile(r"\b[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{1,30}){1,9}\b")
 LOOSE_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|credential)\s{0,3}(?:=|:|is)\s{0,3}[\"']?([^\s\"'<>]{5,}[^\s\"'<>.,;:)\]])", re.I)
+#: How the keys of well-known services look.
+LOOSE_KEY = re.compile(r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[oprsu]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")
 SECRET_HINTS = ("token", "secret", "passw", "pwd", "key", "credential")
 CONTEXT = 28
 _HINTS = {
@@ -120,11 +123,11 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Everything that could be personal data beyond the base rules; spans may overlap."""
     out = []
     low = text.lower()
-    if "at" in low and ("." in low or "dot" in low):
+    if ("at" in low or "@" in low) and ("." in low or "dot" in low):
         for m in LOOSE_AT.finditer(text):
             lo = m.start()
             if lo and text[lo - 1].isalnum() and (domain := LOOSE_DOMAIN.match(text, m.end())):
-                while lo and text[lo - 1] in LOCAL:
+                while lo and (text[lo - 1] in LOCAL or text[lo - 1].isalnum()):
                     lo -= 1
                 if lo < m.start():
                     out.append(("email", lo, domain.end()))
@@ -137,9 +140,14 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             out.append(("national_id", lo, hi))
     for m in LOOSE_ACCOUNT.finditer(text):
         out.append(("account", *m.span()))
+    for m in ANY_ACCOUNT.finditer(text):  # words may follow, so every end whose check digits are right is proposed
+        ends = [*(m.start() + k for k, c in enumerate(m[0]) if c == " "), m.end()]
+        out += [("account", m.start(), hi) for hi in ends if mod97(text[m.start() : hi])]
     if any(h in low for h in SECRET_HINTS):
         for m in LOOSE_SECRET.finditer(text):
             out.append(("secret", *m.span(1)))
+    for m in LOOSE_KEY.finditer(text):
+        out.append(("secret", *m.span()))
     return list(dict.fromkeys(out))
 
 
@@ -172,6 +180,7 @@ def features(text: str, kind: str, lo: int, hi: int) -> list[float]:
     row += [float(s[:1] == "("), float(s.startswith("00")), float([3, 2, 4] == groups), float("at" in s.lower()), float("dot" in s.lower() or "." in s), float(" " in s), float("-" in s), float("." in s), float("/" in s)]
     row += [float(any(w in before for w in words)) for words in _HINTS.values()]
     row += [float(g) for g in (groups + [0, 0, 0])[1:3]]
+    row += [float("@" in s), float(LOOSE_KEY.fullmatch(s) is not None), float(s[:1] == "0"), float(s.isascii())]
     row += _beside(text, lo, hi) if kind in ("phone", "card", "national_id") else [0.0] * 6
     return row
 
@@ -200,21 +209,29 @@ class Boosted:
         return self
 
     def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[tuple, np.ndarray]:
-        """A complete tree as (feature, cut, leaf value) arrays in heap order, and each row's leaf."""
-        inner = (1 << self.depth) - 1
+        """A complete tree as (feature, cut, leaf value) arrays in heap order, and each row's leaf.
+
+        Level by level: one histogram over (node, feature, bin) gives the best cut of every node at once.
+        """
+        inner, width = (1 << self.depth) - 1, self.bins + 1
         feature, cut = np.zeros(inner, dtype=np.int64), np.full(inner, 1 << 20)
         node = np.zeros(len(g), dtype=np.int64)
-        for k in range(inner):
-            own = np.flatnonzero(node == k)
-            if len(own) > 8:
-                best = 1e-3
-                gs, hs = g[own], h[own]
-                for j in range(b.shape[1]):
-                    sg, sh = np.bincount(b[own, j], gs, self.bins + 1).cumsum(), np.bincount(b[own, j], hs, self.bins + 1).cumsum()
-                    gain = sg[:-1] ** 2 / (sh[:-1] + self.ridge) + (sg[-1] - sg[:-1]) ** 2 / (sh[-1] - sh[:-1] + self.ridge) - sg[-1] ** 2 / (sh[-1] + self.ridge)
-                    if gain.max() > best:
-                        best, feature[k], cut[k] = gain.max(), j, int(gain.argmax())
-            node[own] = 2 * k + 1 + (b[own, feature[k]] > cut[k])
+        n_features = b.shape[1]
+        place = (b + np.arange(n_features) * width).astype(np.int64)
+        gs, hs = np.repeat(g, n_features), np.repeat(h, n_features)
+        for level in range(self.depth):
+            first, n = (1 << level) - 1, 1 << level
+            at = (place + ((node - first) * (n_features * width))[:, None]).ravel()
+            shape = (n, n_features, width)
+            sg, sh = (np.bincount(at, v, n * n_features * width).reshape(shape).cumsum(axis=2) for v in (gs, hs))
+            top_g, top_h = sg[:, :, -1:], sh[:, :, -1:]
+            gain = sg[:, :, :-1] ** 2 / (sh[:, :, :-1] + self.ridge) + (top_g - sg[:, :, :-1]) ** 2 / (top_h - sh[:, :, :-1] + self.ridge) - top_g**2 / (top_h + self.ridge)
+            gain = gain.reshape(n, -1)
+            best = gain.argmax(axis=1)
+            good = (np.bincount(node - first, minlength=n) > 8) & (gain[np.arange(n), best] > 1e-3)
+            own = np.flatnonzero(good)
+            feature[first + own], cut[first + own] = best[own] // self.bins, best[own] % self.bins
+            node = 2 * node + 1 + (b[np.arange(len(g)), feature[node]] > cut[node])
         leaf = node - inner
         width = 1 << self.depth
         value = self.rate * np.bincount(leaf, g, width) / (np.bincount(leaf, h, width) + self.ridge)
@@ -249,6 +266,7 @@ def _account(rng: random.Random, good: bool) -> str:
     land = rng.choice(("DE", "FR", "ES", "NL", "IT", "GB"))
     check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
     s = f"{land}{check if good else (check + rng.randint(1, 90)) % 97:02d}{body}"
+    s = s.lower() if rng.random() < 0.25 else s
     return re.sub(r"(.{4})(?=.)", r"\1 ", s) if rng.random() < 0.5 else s
 
 
@@ -261,10 +279,15 @@ def labelled(n: int = 9000, seed: int = 11) -> list[tuple[str, str, bool]]:
     word = lambda: "".join(rng.choice("etaoinshrdlucmfgypwbv") for _ in range(rng.randint(2, 9)))
     hint = lambda k: rng.choice(_HINTS[k]) + rng.choice((": ", " ", " is ", ". ", " no "))
     phone = lambda: rng.choice(("({a}) {b}-{c}", "{a}-{b}-{c}", "{a} {b} {c}", "{a}.{b}.{c}", "00{x} {a} {b}{c}", "0{a} {b} {c}")).format(a=_number(rng, 3), b=_number(rng, 3), c=_number(rng, 4), x=_number(rng, 2))
+    there = lambda: rng.choice(("0{p} {p} {p} {p} {p}", "0{d}.{p}.{p}.{p}.{p}", "0{d} {p} {p} {p} {p}", "{m}{p} {t} {t}", "{m}{p} {p} {p} {p}", "{m}{t}{t}{p}", "0{p}/{t}{t}{p}", "0{t}/{t}{t}", "0{t} {t}{t}{d}", "0{p} {q} {q}", "0{q} {t}{t}", "({t}) {t} {q}", "0{p}-{t}{t}{d}")).format(p=_number(rng, 2), d=_number(rng, 1), t=_number(rng, 3), q=_number(rng, 4), m=rng.choice("679"))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    key = lambda: rng.choice((lambda: rng.choice(("AKIA", "ASIA")) + some(16).upper(), lambda: f"gh{rng.choice('opsu')}_{some(36)}", lambda: f"xoxb-{_number(rng, 11)}-{some(24)}", lambda: "AIza" + some(35), lambda: f"sk_live_{some(24)}", lambda: f"eyJ{some(20)}.{some(40)}.{some(43)}"))()
+    name = lambda: word() + (rng.choice("äöüéèñçå") + word() if rng.random() < 0.3 else "")
     hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789_-!") for _ in range(k))
     case = lambda x: x.upper() if rng.random() < 0.2 else x
-    mail = lambda: case(f"{word()}{rng.choice(('', '.' + word()))} {rng.choice(('(at)', '[at]', 'at'))} {word()}{rng.choice((' (dot) ', ' [dot] ', ' dot ', '.', '.'))}{rng.choice(('com', 'org', 'net', 'de', 'fr', 'example.com'))}")
+    mail = lambda: case(f"{name()}{rng.choice(('', '.' + word()))} {rng.choice(('(at)', '[at]', 'at', '@'))} {word()}{rng.choice((' (dot) ', ' [dot] ', ' dot ', '.', '.'))}{rng.choice(('com', 'org', 'net', 'de', 'fr', 'example.com'))}")
     day = lambda: rng.choice(("{y}-{m:02d}-{d:02d}", "{d:02d}.{m:02d}.{y}", "{m:02d}/{d:02d}/{y}")).format(y=rng.randint(1900, 2030), m=rng.randint(1, 12), d=rng.randint(1, 28))
     next_to = lambda: rng.choice((" / ", " ", ". ", " - ", "/", "  "))
     made = (
@@ -289,6 +312,15 @@ def labelled(n: int = 9000, seed: int = 11) -> list[tuple[str, str, bool]]:
         lambda: ("", f"{word()}. At {word()}. {word().capitalize()}", False),
         lambda: ("", f"{word()} at {word()}. {word().capitalize()} {word()}", False),
         lambda: ("", f"{word()} at {word()} dot {word()}ing", False),
+        lambda: (hint("phone"), there(), True),
+        lambda: (hint("phone"), there(), True),
+        lambda: (hint("phone"), rng.choice((" ", ".", "-")).join(("0" + _number(rng, 1), *(_number(rng, 2) for _ in range(4)))), True),
+        lambda: (hint("phone"), rng.choice((" ", ".", "-")).join(("0" + _number(rng, 1), *(_number(rng, 2) for _ in range(4)))), True),
+        lambda: (hint("account"), _account(rng, True).lower(), True),
+        lambda: (hint("number"), there(), False),
+        lambda: (rng.choice(("", "key ", "the key: ", "id ", "use ", "Bearer ")), key(), True),
+        lambda: (rng.choice(("", "key ", "id ", "use ")), rng.choice((some(20), some(20).upper(), "AKIA" + word(), "gh_" + some(12))), False),
+        lambda: ("", next(s for _ in iter(int, 1) if not mod97(s := f"{word()[:2]}{_number(rng, 2)} " + " ".join(word()[:4].ljust(4, "x") for _ in range(3)))), False),
         # numbers beside each other: each personal one is marked
         lambda: (hint("phone") if rng.random() < 0.7 else "", next_to().join(("{}",) * rng.randint(2, 4)), phone),
         lambda: (hint("phone") if rng.random() < 0.7 else "", "{}" + rng.choice((" ", ". ", " - ", " (", " / ")) + day(), phone),
