@@ -120,7 +120,22 @@ def test_mail_in_capitals_and_long_names():
     assert pii.all_spans(EXTRA[1], pii.fit())[1] == [("email", 9, 375)]
 
 
-@pytest.mark.parametrize("text", ["1" * 300_000, "1." * 60_000, ("1" + " " * 50) * 6000, "a at " * 40_000, "+1 " * 60_000, "token=" * 40_000])
+@pytest.mark.parametrize(
+    "form", ["tel: 01 23 45 67 8{}", "tel: 612 345 67{}", "tel: 030/1234567{}", "tel: 020 7946 095{}", "write to john{} @ example.com", "write to jöhn{} (at) example.org", "key AKIAIOSFODNN7EXAMPL{}"]
+)
+def test_shapes_of_other_lands(form):
+    lead = form.index(" ") + 1 if not form.startswith("write") else len("write to ")
+    for k in range(10):
+        text = form.format(k) + " please"
+        assert (lead, len(text) - len(" please")) in {(a, b) for _, a, b in pii.all_spans(text, pii.fit())[1]}, text
+
+
+def test_accounts_in_small_letters():
+    text = "iban de89370400440532013000 now, and de89 3704 0044 0532 0130 00 too"
+    assert [text[a:b] for _, a, b in pii.all_spans(text, pii.fit())[1]] == ["de89370400440532013000", "de89 3704 0044 0532 0130 00"]
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, "1." * 60_000, ("1" + " " * 50) * 6000, "a at " * 40_000, "+1 " * 60_000, "token=" * 40_000, "ab12" + "x" * 300_000, "ab12 " + "xyz9 " * 40_000])
 def test_odd_runs_take_linear_time(text):
     import time
 
