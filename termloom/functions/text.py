@@ -54,15 +54,27 @@ def same_format(a: Column, b: Column) -> Column:
 
 
 def consolidated(runs: Column) -> Column:
-    """Neighbouring runs of equal bold, italic and size become one; order-dependent, so a fold over the array."""
+    """Neighbouring runs of equal bold, italic and size become one.
 
-    def add(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(F.concat(last["text"], r["text"]).alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic"), r["size"].alias("size"))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))
-        return F.when((F.size(acc) > 0) & same_format(F.get(acc, F.size(acc) - 1), r), joined).otherwise(F.concat(acc, F.array(r)))
+    The positions where the format changes cut the array into slices, each joined once, so the cost is linear in the runs.
+    """
 
-    return F.aggregate(runs, F.array().cast(f"array<{RUN}>"), add)
+    def cut(all_runs: Column) -> Column:
+        changes = lambda r, i: (i == 0) | ~F.coalesce(same_format(F.get(all_runs, i - 1), r), F.lit(False))
+        starts = F.filter(F.transform(all_runs, lambda r, i: F.when(changes(r, i), i)), lambda i: i.isNotNull())
+
+        def join(at: Column) -> Column:
+            def one(start: Column, k: Column) -> Column:
+                first = F.get(all_runs, start)
+                own = F.slice(all_runs, start + 1, F.coalesce(F.get(at, k + 1), F.size(all_runs)) - start)
+                text = F.array_join(F.transform(own, lambda r: r["text"]), "")
+                return F.struct(text.alias("text"), first["bold"].alias("bold"), first["italic"].alias("italic"), first["size"].alias("size"))
+
+            return F.transform(at, one)
+
+        return let(starts, join)
+
+    return let(runs, cut)
 
 
 def runs_markdown(runs: Column) -> Column:

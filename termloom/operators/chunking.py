@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import let, running_total, strip
 from .docmodel import NOTE_MARKER
@@ -17,30 +23,33 @@ SENTENCE_END = r"(?U)(?<=[.!?][\"”’')])\s+|(?<=[.!?])\s+"
 INLINE_MARKER = r"‹(?:FN|C)\d+›"
 
 
-def greedy_groups(ordered: Column, max_chars: int, max_rows: int | None = None) -> Column:
-    """Group numbers (from 0) for an ordered array of lengths: a group closes before it would pass max_chars, or at max_rows.
+def packed(rows: DataFrame, key: str, pos: str, text: str, max_chars: int, max_rows: int | None = None) -> DataFrame:
+    """(key, pos, text, grp): rows with their group number (from 0), packed in order of pos within key.
 
-    Greedy packing restarts at each overflow, so it is a fold over the array and not a window.
+    A group closes before it would pass max_chars (one more for each row), or at max_rows. Packing restarts at each
+    overflow, so it is no window but a fold over the sorted rows of a partition, which carries the open group from batch
+    to batch: one shuffle on key, and no document is ever held whole. A null text counts as empty; rows of a null key
+    are one document.
     """
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("len"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, size: Column) -> Column:
-        over = acc["len"] + size + 1 > max_chars
-        if max_rows is not None:
-            over = over | (acc["n"] >= max_rows)
-        new = (acc["n"] > 0) & over
-        g = F.when(new, acc["g"] + 1).otherwise(acc["g"])
-        return F.struct(g.alias("g"), (F.when(new, 0).otherwise(acc["len"]) + size + 1).cast("int").alias("len"), (F.when(new, 0).otherwise(acc["n"]) + 1).cast("int").alias("n"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
-
-
-def packed(rows: DataFrame, key: str, pos: str, text: str, max_chars: int, max_rows: int | None = None) -> DataFrame:
-    """rows with their group number, packed in order of pos within key; one shuffle on key."""
-    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(pos, text))).alias("rows"))
-    whole = whole.withColumn("groups", greedy_groups(F.transform("rows", lambda r: F.length(r[text])), max_chars, max_rows))
-    each = whole.select(key, F.explode(F.arrays_zip("rows", "groups")).alias("x"))
-    return each.select(key, F.col(f"x.rows.{pos}").alias(pos), F.col(f"x.rows.{text}").alias(text), F.col("x.groups").alias("grp"))
+    ordered = rows.select(key, pos, text).repartition(key).sortWithinPartitions(key, pos, text)
+    schema = T.StructType([*ordered.schema.fields, T.StructField("grp", T.IntegerType())])
+    most = max_rows or sys.maxsize
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        began, last, group, length, n = False, None, 0, 0, 0
+        for batch in batches:
+            groups = []
+            sizes = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist()
+            for own, size in zip(batch.column(0).to_pylist(), sizes, strict=True):
+                if not began or own != last:
+                    began, last, group, length, n = True, own, 0, 0, 0
+                elif length + size + 1 > max_chars or n >= most:
+                    group, length, n = group + 1, 0, 0
+                length, n = length + size + 1, n + 1
+                groups.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(groups, pa.int32())], schema.names)
+
+    return ordered.mapInArrow(fold, schema)
 
 
 def joined_groups(rows: DataFrame, key: str, pos: str, text: str, glue: str = "\n") -> DataFrame:

@@ -59,10 +59,9 @@ def lines_of(spans: DataFrame) -> DataFrame:
     return out.where(F.exists("runs", lambda r: stripped_length(r) > 0))
 
 
-def upper_median(values: Column) -> Column:
-    """The middle of the sorted values, the upper one of two."""
-    v = F.array_sort(values)
-    return F.get(v, F.floor(F.size(v) / 2).cast("int"))
+def upper_median(value: str, *keys: str) -> Column:
+    """The middle of the sorted values of the rows with equal keys, the upper one of two; null without a value."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {value} desc) over (partition by {', '.join(keys)})")
 
 
 def islands(lines: DataFrame) -> DataFrame:
@@ -75,7 +74,7 @@ def islands(lines: DataFrame) -> DataFrame:
     w = block.orderBy("line")
     filled = F.filter("runs", lambda r: stripped_length(r) > 0)
     x = lines.withColumn("_size", F.coalesce(F.array_max(F.transform(filled, lambda r: r["size"])), F.lit(0.0))).withColumn("_bold", F.exists(filled, lambda r: r["bold"])).withColumn("_text", runs_text(F.col("runs")))
-    height = F.coalesce(upper_median(F.collect_list(F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0"))).over(block)), F.lit(DEFAULT_HEIGHT))
+    height = F.coalesce(upper_median("if(y1 > y0, y1 - y0, null)", "doc_id", "page", "block"), F.lit(DEFAULT_HEIGHT))
     was = lambda c: F.lag(c).over(w)
     split = (F.col("y0") - was("y1") > height * SPLIT_GAP) | (F.abs(F.col("_size") - was("_size")) > SIZE_STEP) | (F.col("_bold") != was("_bold")) | (F.col("_bold") & was("_bold")) | (F.col("_bold") & F.col("_text").rlike(ROMAN_HEAD)) | F.col("_text").rlike(NUMBERED_ITEM)
     x = x.withColumn("_split", F.when(F.row_number().over(w) == 1, 0).otherwise(F.coalesce(split, F.lit(False)).cast("int")))

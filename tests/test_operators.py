@@ -84,6 +84,24 @@ def test_greedy_packing(spark):
         assert [g for _, g in own] == greedy([len(t) for kk, _, t in rows if kk == k], 100, 3)
 
 
+def test_packing_of_a_long_document_and_of_nulls(spark):
+    n = 400_000
+    long = spark.range(n).select(F.lit("d").alias("k"), F.col("id").alias("i"), F.repeat(F.lit("x"), (F.col("id") % 41).cast("int")).alias("t"))
+    got = [r["grp"] for r in chunking.packed(long, "k", "i", "t", 100, 3).orderBy("i").select("grp").collect()]
+    assert got == greedy([i % 41 for i in range(n)], 100, 3)
+    rows = [(None, 1, None), (None, 2, "x" * 99), ("a", None, "x"), ("a", 1, ""), ("a", 1, "")]
+    odd = chunking.packed(spark.createDataFrame(rows, "k string, i int, t string"), "k", "i", "t", 100).collect()
+    assert sorted(((r["k"] or "", r["i"] or 0, r["grp"]) for r in odd)) == [("", 1, 0), ("", 2, 1), ("a", 0, 0), ("a", 1, 0), ("a", 1, 0)]
+    assert chunking.packed(spark.createDataFrame([], "k string, i int, t string"), "k", "i", "t", 100).count() == 0
+
+
+def test_many_runs_take_linear_time(spark):
+    n = 200_000
+    runs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.lit("a").alias("text"), (i % 3 == 0).alias("bold"), F.lit(False).alias("italic"), F.lit(1.0).alias("size")))
+    got = spark.range(1).select(X.consolidated(runs).alias("r")).select(F.size("r"), F.get("r", F.lit(1))["text"]).first()
+    assert got[1] == "aa" and got[0] == 2 * -(-n // 3)  # every third is bold
+
+
 def test_marker_carry_over(spark):
     text = "First one‹FN1› here. Second?‹FN2› Third‹FN3›‹FN4›"
     m = [(r["id"], r["sent"]) for r in one(spark, chunking.marker_sentences(F.col("t")), t=text)]
@@ -354,7 +372,8 @@ def test_fonts_and_lines(spark):
     lines = layout.lines_of(s).orderBy("block", "line").collect()
     assert [(r["marker"], r["runs"][0]["text"]) for r in lines] == [("1", "note text here"), (None, "Body words body words"), (None, "Big"), (None, "equal many chars 12345")]
     assert lines[2]["runs"][0]["bold"]
-    assert one(spark, layout.upper_median(F.array(*map(F.lit, (4.0, 1.0, 3.0, 2.0))))) == 3.0
+    values = spark.createDataFrame([(1, 4.0), (1, 1.0), (1, 3.0), (1, 2.0), (2, None), (3, 5.0), (3, 7.0), (3, 6.0)], "k int, v double")
+    assert set(values.select("k", layout.upper_median("v", "k")).collect()) == {(1, 3.0), (2, None), (3, 6.0)}
 
 
 def test_paragraphs_and_classes(spark):
