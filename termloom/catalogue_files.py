@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .catalogue import LINES, SPACE, lines, next_doc, query, rule_lines, table
 from .functions.text import plain_run, runs_text, squash, stripped_length
@@ -106,7 +107,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", "k", F.hex(png_pixels("image")).alias("pixels"), F.round("width_inches", 3).alias("width_inches"))
 
 
-@F.udf("binary")
+@F.udf(T.BinaryType())
 def grey_png(text: str) -> bytes:
     from .sources.pdf_objects import png
 
@@ -188,7 +189,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("doc_id", "page", F.hex(png_pixels("image")).alias("pixels"), "width_inches")
 
 
-@F.udf("binary")
+@F.udf(T.BinaryType())
 def png_pixels(png: bytes | None) -> bytes | None:
     """The pixels of a PNG file of one row without a row filter."""
     import struct
