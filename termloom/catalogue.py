@@ -533,6 +533,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return glossary.violations(line_pairs(spark, d), demo_glossary(spark), "id", "text", "out")
 
 
+#: DuckDB: a glossary a document, of the first word and the first two words of each of its lines, after the common one;
+#: occurrences and live entries like LIVE, each document's entries and the common ones only.
+_OWN_LIVE = f"""WITH {LINES}, {_PAIRS}, {GLOSSARY}, src AS (SELECT id, (id // 100000)::BIGINT AS scope, strip_accents(lower(text)) AS folded FROM p),
+w AS (SELECT doc_id, pos, {WORDS.format("text")} AS ws FROM lines),
+own AS (SELECT doc_id AS scope, ({len(TERMS)} + 2 * pos + k)::INT AS entry_idx, CASE k WHEN 0 THEN ws[1] ELSE ws[1] || ' ' || ws[2] END AS term, CASE k WHEN 0 THEN 'require' ELSE 'verbatim' END AS kind, len(ws) AS n FROM w, (VALUES (0), (1)) ks(k)),
+every AS (SELECT NULL::BIGINT AS scope, entry_idx, source_terms, target, target_alts, kind FROM gl UNION ALL SELECT scope, entry_idx, [term], CASE kind WHEN 'require' THEN term || 'X' ELSE term END, []::VARCHAR[], kind FROM own WHERE n > entry_idx % 2 AND term IS NOT NULL),
+tt AS (SELECT DISTINCT scope, entry_idx, strip_accents(lower(unnest(source_terms))) AS term FROM every),
+hit AS (SELECT s.id, t.entry_idx, t.term, s.folded FROM src s JOIN tt t ON s.scope = t.scope AND contains(s.folded, t.term) UNION ALL SELECT s.id, t.entry_idx, t.term, s.folded FROM src s JOIN tt t ON t.scope IS NULL AND contains(s.folded, t.term)),
+occ AS (SELECT id, entry_idx, p AS s, p + length(term) AS e FROM (SELECT *, unnest(range(1, length(folded) - length(term) + 2)) AS p FROM hit) WHERE substr(folded, p, length(term)) = term),
+live AS (SELECT DISTINCT id, entry_idx FROM occ a WHERE NOT EXISTS (SELECT 1 FROM occ b WHERE b.id = a.id AND b.entry_idx <> a.entry_idx AND b.s < a.e AND a.s < b.e AND b.e - b.s > a.e - a.s))"""
+
+
+def own_glossaries(spark: SparkSession, d: str) -> DataFrame:
+    """The common glossary (no scope), and one a document."""
+    own = lines(spark, d).withColumn("ws", words(F.col("text")))
+    first, second = F.element_at("ws", 1), F.element_at("ws", 2)
+    entry = lambda k, t, target, kind: F.struct((2 * F.col("pos") + (len(TERMS) + k)).cast("int").alias("entry_idx"), F.array(t).alias("source_terms"), target.alias("target"), F.array().cast("array<string>").alias("target_alts"), F.lit(kind).alias("kind"))
+    two = F.concat(first, F.lit(" "), second)
+    none = F.array().cast("array<struct<entry_idx:int,source_terms:array<string>,target:string,target_alts:array<string>,kind:string>>")
+    made = F.concat(F.when(F.size("ws") > 0, F.array(entry(0, first, F.concat(first, F.lit("X")), "require"))).otherwise(none), F.when(F.size("ws") > 1, F.array(entry(1, two, two, "verbatim"))).otherwise(none))
+    own = own.select(F.col("doc_id").cast("string").alias("scope"), F.explode(made).alias("e")).select("scope", "e.*")
+    return demo_glossary(spark).withColumn("scope", F.lit(None).cast("string")).unionByName(own)
+
+
+@query("glossary_own_entries", _OWN_LIVE + " SELECT id, entry_idx FROM live")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every line against its own document's glossary and the common one."""
+    chunks = line_chunks(spark, d).withColumn("scope", F.floor(F.col("id") / 100000).cast("string"))
+    return glossary.live_terms(chunks, own_glossaries(spark, d), "id", "text")
+
+
+@query("glossary_own_violations", _OWN_LIVE + """ SELECT id, entry_idx, 'render ''' || source_terms[1] || ''' as ' || target || CASE WHEN len(target_alts) > 0 THEN ' (or: ' || array_to_string(target_alts, ', ') || ')' ELSE '' END AS message
+FROM live JOIN p USING (id) JOIN every USING (entry_idx) WHERE (every.scope IS NULL OR every.scope = id // 100000) AND kind IN ('require', 'verbatim') AND NOT contains(strip_accents(lower(out)), strip_accents(lower(target))) AND len(list_filter(target_alts, lambda t: contains(strip_accents(lower(p.out)), strip_accents(lower(t))))) = 0""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pairs = line_pairs(spark, d).withColumn("scope", F.floor(F.col("id") / 100000).cast("string"))
+    return glossary.violations(pairs, own_glossaries(spark, d), "id", "text", "out")
+
+
 @query("glossary_retry_hints", _VIOLATED + f" SELECT id, '{glossary.HINT_HEAD}' || chr(10) || string_agg('  - ' || message, chr(10) ORDER BY entry_idx) AS hint FROM v GROUP BY id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return glossary.hints(glossary.violations(line_pairs(spark, d), demo_glossary(spark), "id", "text", "out"), "id")

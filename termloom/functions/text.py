@@ -36,6 +36,11 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def fold_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: [None if t is None else fold_text(t) for t in ts], na_action="ignore")
+
+
 def presence_fold(text: Column) -> Column:
     """Folded and white-space-normalised, for presence tests across line breaks."""
     return fold(squash(text))

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, fold_text, strip
+from ..functions.text import fold, fold_each, fold_text, strip
 
 #: The rule lines' form.
 RULE = r"(?iU)^(TRANSLATE|KEEP|PREFER):\s*(.+?)(?:\s*→\s*(.+))?$"
@@ -19,6 +20,10 @@ LINES = "line_no int, line string"
 HEADER = ("# Glossary of this document. Edit freely before translation.", "# TRANSLATE: source → target  (checked)", "# KEEP: term  (stays as it is)", "# PREFER: source → target  (a hint)", "# Several source forms of one thing: a | b | c", "# Lines that begin with # are notes.")
 #: Beyond so many bytes of terms the glossary is not sent to every task at once but slice by slice.
 BROADCAST_BYTES = 8 << 20
+#: A document's texts beyond so many bytes are dealt to several tasks.
+SCOPE_BYTES = 64 << 20
+#: So many documents with more than one task are sent to all tasks as a table.
+MANY_SCOPES = 100_000
 #: Our own wording of what a model is told about terms; guards watch for it in answers.
 SECTION_HEAD = "Vocabulary of this document (source → target); use it wherever it applies:"
 UNCHANGED = "  (leave as is)"
@@ -58,9 +63,10 @@ def parsed(lines: DataFrame) -> DataFrame:
     return x.select("line_no", F.posexplode(made).alias("var_no", "e")).select("line_no", "var_no", "e.*")
 
 
-def numbered(entries: DataFrame, *order: str) -> DataFrame:
-    """entry_idx in the given order. A glossary is one small table."""
-    return entries.withColumn("entry_idx", F.row_number().over(Window.orderBy(*order)) - 1)
+def numbered(entries: DataFrame, *order: str, scope: str | None = None, after: int = 0) -> DataFrame:
+    """entry_idx in the given order, from after on: of one small glossary, or of each scope's."""
+    window = Window.partitionBy(scope) if scope else Window.partitionBy(F.lit(0))
+    return entries.withColumn("entry_idx", F.row_number().over(window.orderBy(*order)) + (after - 1))
 
 
 def issues(lines: DataFrame) -> DataFrame:
@@ -214,29 +220,21 @@ def live(spans: list[tuple[int, int, int]]) -> list[int]:
 
 def live_terms(chunks: DataFrame, entries: DataFrame, key: str, text: str, told: str | None = None, accepted: dict[int, list[str]] | None = None) -> DataFrame:
     """(key, entry_idx) of the live entries of each text; with told and accepted only those none of whose accepted folded
-    forms the folded told has. Where both tables have a scope, entries concern the chunks of theirs only (null: all). One pass over the texts, where liveness is decided too; a glossary beyond 8 MB takes a pass
-    a slice and joins the spans by key."""
+    forms the folded told has. One pass over the texts, where liveness is decided too; a glossary beyond 8 MB takes a pass
+    a slice and joins the spans by key. Where both tables have a scope, see live_in_scopes."""
+    if scoped(chunks, entries):
+        return live_in_scopes(chunks, entries, key, text, told=told).select(key, "entry_idx")
     slices = term_slices(entries)
-    scoped = "scope" in chunks.columns and "scope" in entries.columns
-    # as many rows as the glossary; one document's entries do not concern another
-    owner = {r[0]: r[1] for r in entries.select("entry_idx", "scope").collect()} if scoped else {}
-    cols = [F.col(key), F.col(text).alias("_text"), (F.col("scope") if scoped else F.lit(None).cast("string")).alias("_scope"), *([F.col(told).alias("_told")] if told else [])]
-    schema = f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int"
-    src = chunks.select(*cols)
-    mine = lambda spans, scope: [x for x in spans if owner[x[2]] in (None, scope)] if scoped else spans
+    src = chunks.select(F.col(key), F.col(text).alias("_text"), *([F.col(told).alias("_told")] if told else []))
     if len(slices) > 1:
-        spans = occurrences(chunks, entries, key, text, slices)
-        if scoped:
-            spans = spans.join(entries.select("entry_idx", F.col("scope").alias("_own")), "entry_idx").join(chunks.select(key, "scope"), key).where("_own is null or _own = scope").select(key, "entry_idx", "s", "e")
-        found = live_entries(spans, key)
+        found = live_entries(occurrences(chunks, entries, key, text, slices), key)
         if not told:
             return found
-        grouped = found.groupBy(key).agg(F.collect_set("entry_idx").alias("_live"))
-        src = src.drop("_text").join(grouped, key)
+        src = src.drop("_text").join(found.groupBy(key).agg(F.collect_set("entry_idx").alias("_live")), key)
         of_row = lambda pdf: pdf["_live"]
     else:
         find = _finder(slices[0])
-        of_row = lambda pdf: (live(mine(find(fold_text(t)), c)) if t else () for t, c in zip(pdf["_text"], pdf["_scope"], strict=True))
+        of_row = lambda pdf: (live(find(fold_text(t))) if t else () for t in pdf["_text"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -248,7 +246,111 @@ def live_terms(chunks: DataFrame, entries: DataFrame, key: str, text: str, told:
                 rows += [(k, i) for i in own]
             yield pd.DataFrame(rows, columns=[key, "entry_idx"])
 
-    return src.mapInPandas(run, schema)
+    return src.mapInPandas(run, f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int")
+
+
+def scoped(chunks: DataFrame, entries: DataFrame) -> bool:
+    return "scope" in chunks.columns and "scope" in entries.columns
+
+
+def is_rule() -> Column:
+    return F.col("kind").isin("require", "verbatim")
+
+
+def live_in_scopes(chunks: DataFrame, entries: DataFrame, key: str, text: str, payload: Column | None = None, told: str | None = None) -> DataFrame:
+    """(key, entry_idx, payload) of the live entries of each text where each document (scope) has a glossary of its own.
+
+    Entries without a scope concern every text, texts without a scope meet only these. entry_idx is unique among the
+    entries of a scope and those of none, which are numbered first. With told only rules that the told text breaks.
+
+    One shuffle by scope: a task meets a scope's entries first and streams the scope's texts through their search, so no
+    text meets the terms of another document. A scope with much text is dealt to several tasks, each with its entries; a
+    glossary of more than BROADCAST_BYTES is dealt by term, and liveness is decided from the spans by key.
+    """
+    accepted = F.when(is_rule(), F.concat(F.array("target"), F.coalesce("target_alts", F.array().cast("array<string>"))))
+    e = entries.select("scope", "entry_idx", "source_terms", accepted.alias("accepted"), (F.lit(None) if payload is None else payload).cast("string").alias("payload"))
+    size = F.coalesce(F.octet_length(F.concat_ws("", "source_terms", "accepted", "payload")), F.lit(0)).cast("long")
+    common = e.where("scope is null")
+    last, common_bytes = common.agg(F.max("entry_idx"), F.sum(size)).first()
+    wide = (common_bytes or 0) > BROADCAST_BYTES
+    share = lambda n, most: (1 + F.floor(F.coalesce(n, F.lit(0)) / most)).cast("int")
+    of_terms = e.where("scope is not null").groupBy("scope").agg(share(F.sum(size), BROADCAST_BYTES).alias("parts"), F.lit(1).alias("salts"))
+    of_texts = chunks.groupBy("scope").agg(F.lit(1).alias("parts"), share(F.sum(F.octet_length(text)), SCOPE_BYTES).alias("salts"))
+    odd = of_terms.where("parts > 1").unionByName(of_texts.where("salts > 1")).groupBy("scope").agg(F.max("parts").alias("parts"), F.max("salts").alias("salts"))
+    few = odd.limit(MANY_SCOPES + 1).collect()
+    spans_only = wide or any(r["parts"] > 1 for r in few) or (len(few) > MANY_SCOPES and odd.where("parts > 1").limit(1).count() > 0)
+    if len(few) <= MANY_SCOPES:
+        odd = F.broadcast(chunks.sparkSession.createDataFrame(few, "scope string, parts int, salts int"))
+    odd = odd.withColumnRenamed("scope", "_scope")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        more = df.join(odd, F.col("scope").eqNullSafe(F.col("_scope")), "left") if few else df.withColumns({"parts": F.lit(1), "salts": F.lit(1)})
+        return more.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("parts", "salts")})
+
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    texts = dealt(chunks.select("scope", F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(told or text).alias("_told")))
+    texts = texts.withColumn("salt", F.pmod(F.xxhash64("_key"), F.col("salts")).cast("int")).withColumn("part", every("parts"))
+    own = dealt(e.where("scope is not null")).withColumn("salt", every("salts")).withColumn("part", every("parts"))
+    own = own.withColumn("source_terms", F.filter("source_terms", lambda t: F.pmod(F.xxhash64(t), F.col("parts")) == F.col("part")))
+    both = own.unionByName(texts, allowMissingColumns=True).withColumn("is_text", F.col("entry_idx").isNull())
+    both = both.repartition("scope", "part", "salt").sortWithinPartitions("scope", "part", "salt", "is_text")
+    names = ("scope", "part", "salt", "is_text", "_key", "_text", "_told", "entry_idx", "source_terms", "accepted", "payload")
+    # at most BROADCAST_BYTES
+    shared = [] if wide else [(r["entry_idx"], r["source_terms"], r["accepted"], r["payload"]) for r in common.collect()]
+    broken = told is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_all, known = _entries_of(shared)
+        here, own_rows, of_own = None, [], None
+        for batch in batches:
+            keys, out = [], []
+            for scope, part, salt, is_text, k, t, said, *entry in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if (scope, part, salt) != here:
+                    here, own_rows, of_own = (scope, part, salt), [], None
+                if not is_text:
+                    own_rows.append(entry)
+                    continue
+                if of_own is None:
+                    of_own, rules = _entries_of(own_rows)
+                    rules.update(known)
+                if not t:
+                    continue
+                folded = fold_text(t)
+                spans = of_own(folded) + (of_all(folded) if part == 0 else [])
+                if spans_only:
+                    got = [(i, s, e, None) for s, e, i in spans]
+                else:
+                    got = [(i, None, None, rules[i][1]) for i in live(spans)]
+                    if broken and got:
+                        said = fold_text(said or "")
+                        got = [g for g in got if rules[g[0]][0] is not None and not any(a in said for a in rules[g[0]][0])]
+                keys += [k] * len(got)
+                out += got
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, batch.schema.field("_key").type), *(pa.array(c, pa.int32()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=[key, "entry_idx", "s", "e", "payload"]
+            )
+
+    found = both.select(*names).mapInArrow(run, f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int, s int, e int, payload string")
+    if not spans_only:
+        return found.select(key, "entry_idx", "payload")
+    spans = found.drop("payload")
+    if wide:
+        spans = spans.unionByName(occurrences(chunks, common, key, text))
+    at = live_entries(spans, key).join(chunks.select(key, F.col("scope").alias("_own"), F.col(told or text).alias("_told")), key)
+    at = at.withColumn("_own", F.when(F.col("entry_idx") > F.lit(-1 if last is None else last), F.col("_own")))
+    at = at.join(e.withColumnRenamed("entry_idx", "_idx"), (F.col("entry_idx") == F.col("_idx")) & F.col("_own").eqNullSafe(F.col("scope")))
+    if broken:
+        at = at.where("accepted is not null").withColumns({"_said": fold(F.coalesce("_told", F.lit(""))), "_forms": fold_each(F.col("accepted"))})
+        at = at.where(~F.exists("_forms", lambda a: F.contains(F.col("_said"), a)))
+    return at.select(key, "entry_idx", "payload")
+
+
+def _entries_of(rows: list) -> tuple[Callable[[str], list[tuple[int, int, int]]], dict[int, tuple[list[str] | None, str | None]]]:
+    """The search for the terms of (entry_idx, source_terms, accepted, payload) rows; accepted folded forms and payload by entry."""
+    terms = sorted({(i, f) for i, own, _, _ in rows for f in map(fold_text, filter(None, own or ())) if f})
+    rules = {i: (None if a is None else [fold_text(x or "") for x in a], p) for i, _, a, p in rows}
+    return _finder(pd.DataFrame(terms, columns=["entry_idx", "term"])), rules
 
 
 def live_entries(spans: DataFrame, key: str) -> DataFrame:
@@ -268,13 +370,15 @@ def target_present(translation: Column, target: Column, alts: Column) -> Column:
 
 def violations(pairs: DataFrame, entries: DataFrame, key: str, source: str, translation: str) -> DataFrame:
     """(key, entry_idx, message): live require and verbatim entries of the source none of whose targets the translation has."""
-    rules = entries.where(F.col("kind").isin("require", "verbatim"))
-    # as many rows as the glossary has checked rules
-    accepted = {r["entry_idx"]: [fold_text(t) for t in (r["target"], *r["target_alts"])] for r in rules.select("entry_idx", "target", "target_alts").collect()}
-    missing = live_terms(pairs, entries, key, source, translation, accepted)
     also = F.when(F.size("target_alts") > 0, F.concat(F.lit(" (or: "), F.array_join("target_alts", ", "), F.lit(")"))).otherwise("")
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(" — "), "note")).otherwise("") if "note" in entries.columns else F.lit("")
     message = F.concat(F.lit(RENDER), F.element_at("source_terms", 1), F.lit(AS), "target", also, note)
+    if scoped(pairs, entries):
+        return live_in_scopes(pairs, entries, key, source, message, translation).select(key, "entry_idx", F.col("payload").alias("message"))
+    rules = entries.where(is_rule())
+    # as many rows as the glossary has checked rules
+    accepted = {r["entry_idx"]: [fold_text(t) for t in (r["target"], *r["target_alts"])] for r in rules.select("entry_idx", "target", "target_alts").collect()}
+    missing = live_terms(pairs, entries, key, source, translation, accepted)
     return missing.join(rules, "entry_idx").select(key, "entry_idx", message.alias("message"))
 
 
@@ -283,7 +387,10 @@ def prompt_sections(chunks: DataFrame, entries: DataFrame, key: str, text: str)
     mark = F.when(F.col("kind") == "verbatim", UNCHANGED).otherwise("")
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("  ["), "note", F.lit("]"))).otherwise("") if "note" in entries.columns else F.lit("")
     line = F.concat(F.lit("  "), F.element_at("source_terms", 1), F.lit(" → "), "target", mark, note)
-    lines = live_terms(chunks, entries, key, text).join(entries.select("entry_idx", line.alias("line")), "entry_idx")
+    if scoped(chunks, entries):
+        lines = live_in_scopes(chunks, entries, key, text, line).withColumnRenamed("payload", "line")
+    else:
+        lines = live_terms(chunks, entries, key, text).join(entries.select("entry_idx", line.alias("line")), "entry_idx")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("entry_idx", "line"))), lambda s: s["line"])
     return lines.groupBy(key).agg(F.concat(F.lit(SECTION_HEAD + "\n"), F.array_join(ordered, "\n")).alias("section"))
 

@@ -72,7 +72,7 @@ def glossary_files(blocks: DataFrame, user: list[glossary.Entry] | None, identif
 def read_glossaries(spark: SparkSession, paths: DataFrame, folder: str, user: list[glossary.Entry] | None) -> tuple[DataFrame, DataFrame]:
     """(entries with their document as scope, documents without a glossary file) of the documents paths (doc_id).
 
-    The user's entries come last and win: they concern every document.
+    Entries are numbered a document, after the user's, which concern every document.
     """
     name = F.concat(F.regexp_replace(F.regexp_extract("doc_id", "([^/]+)$", 1), r"\.[^.]*$", ""), F.lit(GLOSSARY_END))
     wanted = paths.select("doc_id", name.alias("name"))
@@ -85,10 +85,10 @@ def read_glossaries(spark: SparkSession, paths: DataFrame, folder: str, user: li
     lines = files.select("doc_id", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("n", "line"))
     own = lines.select(F.struct("doc_id", "n").alias("line_no"), "line")
     entries = glossary.parsed(own).select(F.col("line_no.doc_id").alias("scope"), F.col("line_no.n").alias("n"), "var_no", "source_terms", "target", "target_alts", "kind")
+    entries = glossary.numbered(entries, "n", "var_no", scope="scope", after=len(user or ())).drop("n", "var_no")
     if user:
-        mine = glossary.entries_frame(spark, user).select(F.lit(None).cast("string").alias("scope"), F.col("entry_idx").alias("n"), F.lit(0).alias("var_no"), "source_terms", "target", "target_alts", "kind")
-        entries = entries.unionByName(mine)
-    return glossary.numbered(entries, "scope", "n", "var_no").drop("n", "var_no"), files.where("value is null").select("doc_id")
+        entries = entries.unionByName(glossary.entries_frame(spark, user).select(F.lit(None).cast("string").alias("scope"), "source_terms", "target", "target_alts", "kind", "entry_idx"))
+    return entries, files.where("value is null").select("doc_id")
 
 
 def run_folder(spark: SparkSession, source: str, target: str, backend: guards.Backend, identify: translate.Identifier | None = None, to_target: Callable | None = None, user: object = None, phases: tuple[str, ...] = PHASES, rebuild: bool = False, archive: bool = False, snapshots: str | None = None, stamp: str | None = None, target_lang: str = "English", **options) -> dict[str, DataFrame]:

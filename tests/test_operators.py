@@ -2,12 +2,14 @@
 
 import random
 import sys
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from termloom.functions import text as X
+from termloom.functions.text import fold_text
 from termloom.operators import chunking, docmodel, glossary, guards, layout, quality, terms
 from termloom.operators.glossary import Entry
 from termloom.schema import BLOCKS, ENTRIES
@@ -432,3 +434,50 @@ def test_fold_parity_rule_equals_greedy_pairs(spark):
                 want.append(kinds[i])
                 i += 1
         assert [r["runs"][0]["text"] for r in layout.folded_markers(b).orderBy("pos").collect()] == want
+
+
+def plain_live(chunks, entries):
+    """{(key, entry_idx)} by comparing all spans of a text."""
+    out = set()
+    for key, scope, text in chunks:
+        spans = [(at, at + len(f), i) for s, i, terms, *_ in entries if s is None or s == scope for f in {fold_text(t) for t in terms if t} if f for at in glossary.find_all(fold_text(text or ""), f)]
+        out |= {(key, i) for s, e, i in spans if not any(j != i and b < e and s < c and c - b > e - s for b, c, j in spans)}
+    return out
+
+
+def scoped_tables(spark):
+    rng = random.Random(3)
+    words = ["ab", "abc", "b c", "Çá", "ca", "a", "bca ab"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    entries = [(None, i, [words[i], words[i + 2]], text(1), [], "require") for i in range(3)]
+    for d in range(40):
+        entries += [(f"d{d}", 3 + k, [text(rng.randint(1, 2)), None, ""][: rng.randint(1, 3)], text(1), [text(1)], rng.choice(["require", "verbatim", "prefer"])) for k in range(rng.randint(0, 6))]
+    # texts without a scope, of a scope without entries, empty and null ones; a third of all texts has one scope
+    chunks = [(2**60 + n, None if n % 17 == 0 else "lone" if n % 19 == 0 else "d0" if n % 3 == 0 else f"d{rng.randrange(40)}", None if n % 23 == 0 else text(rng.randint(0, 9)), text(2)) for n in range(400)]
+    e = spark.createDataFrame(entries, "scope string, entry_idx int, source_terms array<string>, target string, target_alts array<string>, kind string")
+    return chunks, entries, spark.createDataFrame(chunks, "id long, scope string, text string, told string"), e
+
+
+@pytest.mark.parametrize("sizes", [(8 << 20, 300), (12, 300)])
+def test_a_glossary_for_each_document(spark, monkeypatch, sizes):
+    monkeypatch.setattr(glossary, "BROADCAST_BYTES", sizes[0])
+    monkeypatch.setattr(glossary, "SCOPE_BYTES", sizes[1])
+    chunks, entries, c, e = scoped_tables(spark)
+    want = plain_live([x[:3] for x in chunks], entries)
+    got = glossary.live_terms(c, e, "id", "text").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+    told = {k: fold_text(t) for k, _, _, t in chunks}
+    scope = {k: s for k, s, *_ in chunks}
+    rule = {(s, i): (terms, [target, *alts]) for s, i, terms, target, alts, kind in entries if kind != "prefer"}
+    owner = lambda k, i: (None if i < 3 else scope[k], i)
+    broken = {(k, i) for k, i in want if owner(k, i) in rule and not any(fold_text(t) in told[k] for t in rule[owner(k, i)][1])}
+    rows = glossary.violations(c, e, "id", "text", "told").collect()
+    assert {(r["id"], r["entry_idx"]) for r in rows} == broken and len(rows) == len(broken)
+    assert all(f"render '{rule[owner(r['id'], r['entry_idx'])][0][0]}' as" in r["message"] for r in rows)
+    sections = glossary.prompt_sections(c, e, "id", "text").collect()
+    assert {r["id"]: r["section"].count("\n") for r in sections} == Counter(k for k, _ in want)
+
+
+def test_no_glossaries_and_no_texts(spark):
+    _, _, c, e = scoped_tables(spark)
+    assert glossary.live_terms(c, e.limit(0), "id", "text").count() == 0 and glossary.live_terms(c.limit(0), e, "id", "text").count() == 0
