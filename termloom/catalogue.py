@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import fold, plain_run, squash, strip
 from .operators import chunking, docmodel, glossary, guards, layout, quality, terms
+from .plans.translate import keeper
 from .sources.files import line_blocks, page_blocks, page_parts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,23 +464,41 @@ def _entries(df: DataFrame, name: str, target: str) -> list[glossary.Entry]:
     return [glossary.Entry([r[0]], r[1]) for r in df.orderBy(name).select(name, target).collect()]
 
 
+def _rows(df: DataFrame, idx: Column, name: Column, target: Column, *more: str) -> DataFrame:
+    return df.select(idx.cast("long").alias("entry_idx"), F.array(name).alias("source_terms"), target.alias("target"), F.array().cast("array<string>").alias("target_alts"), F.lit("").alias("source"), *more)
+
+
 @query("glossary_combine", """
 SELECT n_name AS source, CASE WHEN n_regionkey = 1 THEN lower(n_name) || ' x' ELSE upper(n_name) END AS target, CASE WHEN n_regionkey = 1 THEN 1 ELSE 0 END AS n_other FROM nation UNION ALL SELECT r_name, 'R', 0 FROM region""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    n, r = table(spark, d, "nation"), table(spark, d, "region").withColumn("t", F.lit("R"))
-    low = n.where("n_regionkey = 1").withColumn("t", F.concat(F.lower("n_name"), F.lit(" x")))
-    out = glossary.combined(_entries(n.withColumn("t", F.upper("n_name")), "n_name", "t"), None, _entries(low, "n_name", "t"), _entries(r, "r_name", "t"))
-    return glossary.entries_frame(spark, out or []).select(F.element_at("source_terms", 1).alias("source"), "target", F.size("alt_versions").alias("n_other"))
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    own = lambda turn, df, key, name, target: _rows(df, F.col(key), F.col(name), target).withColumn("turn", F.lit(turn))
+    every = own(0, n, "n_nationkey", "n_name", F.upper("n_name")).unionByName(own(2, n.where("n_regionkey = 1"), "n_nationkey", "n_name", F.concat(F.lower("n_name"), F.lit(" x")))).unionByName(own(3, r, "r_regionkey", "r_name", F.lit("R")))
+    return glossary.combined_rows(every, keeper(spark)).select(F.element_at("source_terms", 1).alias("source"), "target", F.size("alt_versions").alias("n_other"))
+
+
+@query("glossary_combine_words", f"""WITH {LINES}, w AS (SELECT doc_id % 3 AS turn, doc_id, pos, unnest({WORDS.format("text")}) AS word FROM lines),
+e AS (SELECT DISTINCT turn, word, min(doc_id) OVER (PARTITION BY turn, word) AS idx, strip_accents(lower(word)) AS term FROM w),
+r AS (SELECT *, row_number() OVER v AS k, first(turn) OVER v AS first_turn FROM e WINDOW v AS (PARTITION BY term ORDER BY turn DESC, idx, word))
+SELECT first(word ORDER BY k) AS source, first(turn ORDER BY k)::INT AS turn, count(*) FILTER (turn <> first_turn)::INT AS n_other FROM r GROUP BY term""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The words of all documents as three glossaries, each with targets of its own; the last one that has a word wins."""
+    w = lines(spark, d).select((F.col("doc_id") % 3).cast("int").alias("turn"), "doc_id", F.explode(words(F.col("text"))).alias("word"))
+    w = w.groupBy("turn", "word").agg(F.min("doc_id").alias("idx"))
+    from pyspark.sql import Window
+
+    w = w.withColumn("idx", F.col("idx") * 100_000 + F.row_number().over(Window.partitionBy("turn", "idx").orderBy("word")))
+    every = _rows(w, F.col("idx"), F.col("word"), F.concat(F.lit("target "), F.col("turn").cast("string")), "turn")
+    return glossary.combined_rows(every, keeper(spark)).select(F.element_at("source_terms", 1).alias("source"), "turn", F.size("alt_versions").alias("n_other"))
 
 
 @query("glossary_upsert", """
 SELECT n_name AS source, CASE n_regionkey WHEN 0 THEN 'new' WHEN 1 THEN 'old' ELSE 'new' END AS target FROM nation""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
-    old = _entries(n.where("n_regionkey < 2").withColumn("t", F.lit("old")), "n_name", "t")
-    new = _entries(n.withColumn("t", F.lit("new")), "n_name", "t")
-    out, _report = glossary.upserted(old, new, [e.source_terms[0] for e in _entries(n.where("n_regionkey = 0").withColumn("t", F.lit("x")), "n_name", "t")])
-    return glossary.entries_frame(spark, out).select(F.element_at("source_terms", 1).alias("source"), "target")
+    rows = lambda df, target: _rows(df, F.col("n_nationkey"), F.col("n_name"), F.lit(target))
+    out, _report = glossary.upserted_rows(rows(n.where("n_regionkey < 2"), "old"), rows(n, "new"), keeper(spark), n.where("n_regionkey = 0").select(F.col("n_name").alias("term")))
+    return out.select(F.element_at("source_terms", 1).alias("source"), "target")
 
 
 @query("glossary_final_merge", """

@@ -498,6 +498,94 @@ def upserted(existing: list[Entry], offered: list[Entry], overwrite: Iterable[st
     return out, report
 
 
+#: Ranks of entries: the glossary's turn and the number in it.
+_TURN = 1 << 40
+
+
+def ranked_terms(entries: DataFrame, rank: Column) -> DataFrame:
+    """(rank, n, term): the folded source terms of entries in their order."""
+    return entries.select(rank.alias("rank"), F.posexplode("source_terms").alias("n", "t")).where("t is not null").select("rank", "n", fold(F.col("t")).alias("term"))
+
+
+def first_come(terms: DataFrame, keep: Callable[[DataFrame], DataFrame], taken: DataFrame | None = None) -> DataFrame:
+    """(rank) of the entries that claim all their terms (rank, term) if each comes in turn, and one that meets a claimed
+    or taken term claims nothing.
+
+    In rounds: an entry that is the first of all undecided ones at each of its terms claims them, and those that meet it
+    go. A round decides the first at least, and with many unrelated entries nearly all; a chain in which each meets
+    the next takes a round for two. Nothing is gathered: a term's minimum is partly taken before the shuffle.
+    """
+    left = terms.select("rank", "term").distinct()
+    if taken is not None:
+        left = left.join(left.join(taken.select("term").distinct(), "term", "left_semi").select("rank").distinct(), "rank", "left_anti")
+    left = keep(left)
+    kept = terms.select("rank").limit(0)
+    while left.limit(1).count():
+        first = left.groupBy("term").agg(F.min("rank").alias("first"))
+        won = keep(left.join(first, "term").groupBy("rank").agg(F.bool_and(F.col("first") == F.col("rank")).alias("won")).where("won").select("rank"))
+        claimed = left.join(won, "rank", "left_semi").select("term")
+        left = keep(left.join(left.join(claimed, "term", "left_semi").select("rank").distinct(), "rank", "left_anti"))
+        kept = kept.unionByName(won)
+    return kept
+
+
+def _met(terms: DataFrame, claims: DataFrame) -> DataFrame:
+    """(rank, holder): the holder of the first term of each entry, in its own order, that an earlier rank has claimed."""
+    return terms.join(claims.select("term", F.col("rank").alias("holder")), "term").where("holder < rank").groupBy("rank").agg(F.min_by("holder", "n").alias("holder"))
+
+
+def _with_target(met: DataFrame, entries: DataFrame) -> DataFrame:
+    """met with the offered target, what the holder has, and whether that accepts it."""
+    mine = entries.select("rank", F.col("target").alias("offered"), F.element_at("source_terms", 1).alias("term"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("another glossary")).alias("label"))
+    theirs = entries.select(F.col("rank").alias("holder"), F.col("target").alias("held"), F.concat(F.array("target"), F.coalesce("target_alts", F.array().cast("array<string>"))).alias("forms"))
+    x = met.join(mine, "rank").join(theirs, "holder")
+    x = x.withColumns({"_offered": fold(F.col("offered")), "_forms": fold_each(F.col("forms"))})
+    return x.withColumn("accepted", F.array_contains("_forms", F.col("_offered"))).drop("_offered", "_forms", "forms")
+
+
+def combined_rows(entries: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """combined for tables: entries (turn, entry_idx, source_terms, target, target_alts, source, ...), a later turn wins.
+
+    Returns the entries that stay, with alt_versions: the targets, in the order of the ranks, of those they displace.
+    """
+    e = entries.withColumn("rank", F.col("entry_idx") - F.col("turn") * F.lit(_TURN))
+    terms = keep(ranked_terms(e, F.col("rank")))
+    kept = first_come(terms, keep)
+    claims = terms.join(kept, "rank", "left_semi").select("term", "rank").distinct()
+    lost = terms.join(kept, "rank", "left_anti")
+    other = _with_target(_met(lost, claims), e).where("not accepted").select(F.col("holder").alias("rank"), F.struct(F.col("rank").alias("r"), F.struct("label", F.col("offered").alias("target")).alias("v")).alias("o"))
+    versions = other.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["v"]).alias("alt_versions"))
+    stay = e.join(lost.select("rank").distinct(), "rank", "left_anti").drop("alt_versions").join(versions, "rank", "left")
+    return stay.withColumn("alt_versions", F.coalesce("alt_versions", F.array().cast("array<struct<label:string,target:string>>"))).drop("rank")
+
+
+def upserted_rows(existing: DataFrame, offered: DataFrame, keep: Callable[[DataFrame], DataFrame], overwrite: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """upserted for tables: (entries, report), overwrite (term) naming entries that may take the place of a known one.
+
+    Both tables have entry_idx, source_terms, target, target_alts, source. entries keep these with their turn: 0 in the place of
+    an existing one, 1 for added ones. The report has a row an offered entry: entry_idx, term, outcome (added,
+    unchanged, conflict, updated), kept (the known target), offered.
+    """
+    names = ["turn", "entry_idx", "source_terms", "target", "target_alts", "source"]
+    e = existing.withColumn("turn", F.lit(0)).select(*names).unionByName(offered.withColumn("turn", F.lit(1)).select(*names)).withColumn("rank", F.col("entry_idx") + F.col("turn") * F.lit(_TURN))
+    terms = keep(ranked_terms(e, F.col("rank")))
+    old, new = terms.where(F.col("rank") < _TURN), terms.where(F.col("rank") >= _TURN)
+    added = first_come(new, keep, old)
+    held = old.groupBy("term").agg(F.max("rank").alias("rank")).unionByName(new.join(added, "rank", "left_semi").select("term", "rank").distinct())
+    met = _with_target(_met(new.join(added, "rank", "left_anti"), held), e)
+    may = F.lit(False)
+    if overwrite is not None:
+        named = new.join(overwrite.select(fold(F.col("term")).alias("term")).distinct(), "term", "left_semi").select("rank", F.lit(True).alias("may")).distinct()
+        met, may = met.join(named, "rank", "left"), F.coalesce("may", F.lit(False))
+    met = keep(met.select("rank", "holder", "term", "held", "offered", F.when(F.col("accepted"), "unchanged").when(may, "updated").otherwise("conflict").alias("outcome")))
+    swap = met.where("outcome = 'updated'").groupBy("holder").agg(F.min("rank").alias("by"))
+    gone = met.select("rank").distinct()
+    place = e.join(gone, "rank", "left_anti").select("rank", "turn", F.col("entry_idx").alias("at")).join(swap.withColumnRenamed("holder", "rank"), "rank", "left")
+    out = place.select(F.coalesce("by", "rank").alias("rank"), F.col("turn").alias("_turn"), "at").join(e, "rank").select(F.col("_turn").alias("turn"), F.col("at").alias("entry_idx"), *names[2:])
+    report = e.where("turn = 1").select("rank", "entry_idx", F.element_at("source_terms", 1).alias("term"), F.col("target").alias("offered")).join(met.select("rank", "outcome", F.col("held").alias("kept")), "rank", "left")
+    return out, report.select("entry_idx", "term", F.coalesce("outcome", F.lit("added")).alias("outcome"), "kept", "offered")
+
+
 def final_merge(primary: list[Entry], symbolic: list[Entry], user: list[Entry] | None, origin: str = "draft") -> tuple[list[Entry], list[str]]:
     """Primary and symbolic entries that meet no user entry, then the user's; keys are lower case, not folded.
 

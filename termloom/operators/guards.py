@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import contains_any, strip
 from . import glossary as G
+from .ledger import Ledger
 
 IDENTIFIER = r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"
 #: Placeholders of masked identifiers, and the characters that make a cell data.
@@ -152,8 +153,10 @@ class Http:
         return out
 
 
-def called(rows: DataFrame, backend: Backend, out: str, temperature: float = 0.3, seed: int = 42) -> DataFrame:
-    """rows with the backend's answer to prompt / masked / budget as a new column."""
+def called(rows: DataFrame, backend: Backend, out: str, temperature: float = 0.3, seed: int = 42, model: str = "", ledger: Ledger | None = None) -> DataFrame:
+    """rows with the backend's answer to prompt / masked / budget as a new column; with a ledger only what it lacks is asked."""
+    if ledger is not None:
+        return ledger.answered(rows, backend, out, temperature, seed, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,14 +165,15 @@ def called(rows: DataFrame, backend: Backend, out: str, temperature: float = 0.3
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def guarded_translation(texts: DataFrame, key: str, text: str, backend: Backend, keep: Callable[[DataFrame], DataFrame], entries: DataFrame | None = None, source: str = "Spanish", target: str = "English", domain: str = "", seed: int = 42, model: str = "") -> DataFrame:
+def guarded_translation(texts: DataFrame, key: str, text: str, backend: Backend, keep: Callable[[DataFrame], DataFrame], entries: DataFrame | None = None, source: str = "Spanish", target: str = "English", domain: str = "", seed: int = 42, model: str = "", ledger: Ledger | None = None) -> DataFrame:
     """(key, translated, kept_source, n_violations, retry_taken): mask, call, retry echoes, retry violations with a hint, unmask.
 
     An answer that repeats the prompt, or none, is asked for again at low temperature, and the source stays if that fails
     too. Violations are retried once with the previous attempt shown; the retry counts only without echo and with strictly
     fewer violations. Null texts stay null and are not sent. keep(df) must write df down (checkpoint or table): it is
-    called after each model call.
+    called after each model call. A ledger keeps answers over lost tasks and from run to run.
     """
+    ask = lambda rows, out, temperature=0.3: called(rows, backend, out, temperature, seed, model, ledger)
     scope = ["scope"] if "scope" in texts.columns else []
     base = texts.select(F.col(key), *scope, F.col(text).alias("original"), masked(F.col(text)).alias("masked"), identifiers(F.col(text)).alias("registry")).where("original is not null")
     base = base.withColumn("budget", output_budget(F.length("masked")))
@@ -179,8 +183,8 @@ def guarded_translation(texts: DataFrame, key: str, text: str, backend: Backend,
     else:
         base, section = base.withColumn("section", F.lit(None).cast("string")), None
     failed = lambda c: F.coalesce(is_echo(F.col(c), domain), F.lit(True))
-    first = keep(called(base.withColumn("prompt", prompt(F.col("masked"), source, target, domain, section, model=model)), backend, "answer", seed=seed)).withColumn("failed", failed("answer"))
-    again = called(first.where("failed"), backend, "second", 0.1, seed)
+    first = keep(ask(base.withColumn("prompt", prompt(F.col("masked"), source, target, domain, section, model=model)), "answer")).withColumn("failed", failed("answer"))
+    again = ask(first.where("failed"), "second", 0.1)
     now = first.where("not failed").withColumn("second", F.lit(None).cast("string")).unionByName(again)
     now = keep(now.withColumn("result", F.coalesce("second", "answer")).withColumn("echo", failed("result")))
     out = now.select(key, *scope, "original", "masked", "registry", "budget", "section", "result", "echo")
@@ -190,7 +194,7 @@ def guarded_translation(texts: DataFrame, key: str, text: str, backend: Backend,
         n = wrong.groupBy(key).agg(F.count(F.lit(1)).alias("n_wrong"))
         hint = G.hints(wrong.join(out.select(key, "result"), key), key, F.col("result"))
         todo = out.join(n, key).join(hint, key).withColumn("prompt", prompt(F.col("masked"), source, target, domain, section, F.col("hint"), model))
-        retry = keep(called(todo, backend, "retry", 0.1, seed)).withColumn("bad", failed("retry"))
+        retry = keep(ask(todo, "retry", 0.1)).withColumn("bad", failed("retry"))
         left = G.violations(retry, entries, key, "masked", "retry").groupBy(key).agg(F.count(F.lit(1)).alias("n_left"))
         better = ~F.col("bad") & (F.coalesce("n_left", F.lit(0)) < F.col("n_wrong"))
         retried = retry.join(left, key, "left").select(key, "retry", "n_wrong", better.alias("better"))
@@ -204,12 +208,12 @@ def guarded_translation(texts: DataFrame, key: str, text: str, backend: Backend,
     return out.unionByName(blank)
 
 
-def cell_retry(backend: Backend, source: str = "Spanish", target: str = "English", domain: str = "", seed: int = 42, model: str = "") -> Callable[[DataFrame], DataFrame]:
+def cell_retry(backend: Backend, source: str = "Spanish", target: str = "English", domain: str = "", seed: int = 42, model: str = "", ledger: Ledger | None = None) -> Callable[[DataFrame], DataFrame]:
     """(cell_key, text) to (cell_key, retried): one more call at low temperature with a small budget."""
 
     def again(keys: DataFrame) -> DataFrame:
         asked = keys.withColumn("masked", F.col("text")).withColumn("prompt", prompt(F.col("text"), source, target, domain, model=model)).withColumn("budget", retry_budget(F.length("text")))
-        return called(asked, backend, "retried", 0.1, seed).select("cell_key", F.col("retried"))
+        return called(asked, backend, "retried", 0.1, seed, model, ledger).select("cell_key", F.col("retried"))
 
     return again
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import glossary, guards
 from ..operators.docmodel import block_text
+from ..operators.ledger import Ledger
 from ..sources import files, sinks
 from ..sources.docx_write import word_documents
 from . import translate
@@ -159,6 +160,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--archive-glossary", action="store_true")
     p.add_argument("--dump-dir")
     p.add_argument("--timestamp", action="store_true")
+    p.add_argument("--ledger", help="a shared folder of answers: a run that is started again asks for what is missing there")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("termloom").getOrCreate()
     model, reviewer = guards.Http(a.url, a.model), guards.Http(a.url, a.review_model or a.model)
@@ -167,7 +169,7 @@ def main(argv: list[str] | None = None) -> None:
         ask = lambda prompts, n: reviewer(prompts, prompts, [n] * len(prompts), 0.1, a.seed)
         identify = lambda texts: ask([translate.IDENTIFY.format(language=a.source_lang, text=t) for t in texts], 512)
         to_target = translate.batched_targets(lambda prompts: ask(prompts, 1024), a.source_lang, a.target_lang)
-        run_folder(spark, a.source, a.target, model, identify, to_target, False if a.no_glossary else a.base_glossary, phases, a.force_rebuild, a.archive_glossary, a.dump_dir, run_stamp() if a.timestamp else None, source=a.source_lang, target_lang=a.target_lang, domain=a.domain, seed=a.seed, model=a.model)
+        run_folder(spark, a.source, a.target, model, identify, to_target, False if a.no_glossary else a.base_glossary, phases, a.force_rebuild, a.archive_glossary, a.dump_dir, run_stamp() if a.timestamp else None, source=a.source_lang, target_lang=a.target_lang, domain=a.domain, seed=a.seed, model=a.model, ledger=Ledger(a.ledger) if a.ledger else None)
     except ValueError as x:
         raise SystemExit(str(x)) from x
 

@@ -164,7 +164,7 @@ def run(blocks: DataFrame, cells: DataFrame, backend: guards.Backend, entries: l
     keep = keeper(spark)
     table = glossary.entries_frame(spark, entries) if isinstance(entries, list) and entries else entries if isinstance(entries, DataFrame) else None
     done = keep(translated_blocks(blocks, backend, table, keep, **options))
-    told = ("source", "target", "domain", "seed", "model")
+    told = ("source", "target", "domain", "seed", "model", "ledger")
     again = guards.cell_retry(backend, **{k: v for k, v in options.items() if k in told})
     to_cells = lambda d: guards.guarded_translation(d, "cell_key", "text", backend, keep, table, **options).select("cell_key", "translated")
     new_cells = keep(guards.translated_cells(cells, to_cells, again, keep))

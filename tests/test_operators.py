@@ -481,3 +481,27 @@ def test_a_glossary_for_each_document(spark, monkeypatch, sizes):
 def test_no_glossaries_and_no_texts(spark):
     _, _, c, e = scoped_tables(spark)
     assert glossary.live_terms(c, e.limit(0), "id", "text").count() == 0 and glossary.live_terms(c.limit(0), e, "id", "text").count() == 0
+
+
+def test_merges_of_tables_are_those_of_lists(spark):
+    rng = random.Random(5)
+    names = [*"abcdefgh", "É", "e", ""]
+    some = lambda n: [Entry(rng.sample(names, rng.randint(0 if k else 1, 3)), rng.choice("xyz"), rng.sample("xyz", rng.randint(0, 1)), source=rng.choice(["", "mine"])) for k in range(n)]
+    keep = lambda df: df.checkpoint()
+    schema = "turn int, entry_idx int, source_terms array<string>, target string, target_alts array<string>, source string"
+    frame = lambda gs: spark.createDataFrame([(t, i, e.source_terms, e.target, e.target_alts, e.source) for t, g in enumerate(gs) for i, e in enumerate(g)], schema)
+    for sizes in ((5, 7, 6), (0, 12, 0), (0, 0, 0)):
+        parts = [some(n) for n in sizes]
+        got = glossary.combined_rows(frame(parts), keep).orderBy("turn", "entry_idx").collect()
+        want = glossary.combined(*parts)
+        assert [(r["source_terms"], r["target"], [tuple(v) for v in r["alt_versions"]]) for r in got] == [(e.source_terms, e.target, e.alt_versions) for e in want]
+    for n, m in ((6, 12), (0, 9), (5, 0)):
+        old, new = some(n), [e for e in some(m) if e.source_terms]
+        want, report = glossary.upserted(old, new, ["A", "b", "é"])
+        out, told = glossary.upserted_rows(frame([old]).drop("turn"), frame([new]).drop("turn"), keep, spark.createDataFrame([("A",), ("b",), ("é",)], "term string"))
+        got = out.orderBy("turn", "entry_idx").collect()
+        assert [(r["source_terms"], r["target"], r["target_alts"]) for r in got] == [(e.source_terms, e.target, e.target_alts) for e in want]
+        rows = told.orderBy("entry_idx").collect()
+        of = lambda outcome: [r["term"] for r in rows if r["outcome"] == outcome]
+        assert (len(of("added")), of("unchanged"), of("updated")) == (report["added"], report["unchanged"], report["updated"])
+        assert [{"term": r["term"], "kept": r["kept"], "offered": r["offered"]} for r in rows if r["outcome"] == "conflict"] == report["conflicts"]
