@@ -28,8 +28,9 @@ class Ledger:
     """Answers in a folder that the driver and all executors share, in buckets by the first hex digits of the call's hash.
 
     Equal calls are made once. A task writes a file after so many answers, complete or not at all (renamed into place),
-    and a task that is run again, or a second copy of it, first reads what the run has written in its bucket. So only
-    calls whose file was not written yet can be made twice: at most `every` a lost task. A run that is started again
+    and a task that is run again first reads what the run has written in its bucket. So only calls whose file was not
+    written yet are made twice: at most `every` a lost task. A second copy that runs beside the first (speculation) sees
+    what was written when it comes to the bucket, and can repeat the bucket's later calls. A run that is started again
     anti-joins all that earlier runs have answered. No answer (null) is not written down. Of two answers to one call,
     which two runs at a time or two copies of a task can give, the smaller counts, for all its rows alike.
     """
