@@ -4,6 +4,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from termloom import catalogue
 from termloom.operators import terms
@@ -28,3 +29,18 @@ def test_word_pairs_are_dealt_once(spark, texts):
     assert exchanges(catalogue.queries()["group_components"](spark, texts)) == 1
     got = {(r["canon_key"], r["var_key"], r["variant"], r["support"]) for r in merged.where("doc_id = 0").collect()}
     assert got == {("alpha", "alpha", "Alpha", 3), ("alpha", "beta", "Béta", 2), ("alpha", "gamma", "gamma", 1), ("beta", "beta", "beta", 1), ("beta", "deltaa", "Deltaa", 1), ("epsilon", "epsilon", "épsilon", 1)}
+
+
+def test_word_files_are_written_and_read_as_streams(spark):
+    from termloom.catalogue_files import as_blocks, files_of
+    from termloom.sources import docx, docx_write
+
+    cells = spark.range(3000).selectExpr("'d' AS doc_id", "1 AS table_idx", "int(id div 3) AS row_idx", "int(id % 3) AS col_idx", "concat('c', id) AS translated")
+    blocks = as_blocks(spark.createDataFrame([("d", 0)], "doc_id string, pos int"), kind=F.lit("table_ref"), table_index=F.lit(1))
+    made = docx_write.word_documents(blocks, cells)
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    rows = docx.parsed(files_of(made)).cache()
+    assert max(len(r["cells"]) for r in rows.collect()) <= docx.PART_ITEMS
+    assert docx.parsed_cells(rows).count() == 3000 and docx.parsed_blocks(rows).count() == 1
+    last = docx.parsed_cells(rows).where("row_idx = 999").orderBy("col_idx").collect()
+    assert [r["text"] for r in last] == ["c2997", "c2998", "c2999"]
