@@ -44,3 +44,26 @@ def test_word_files_are_written_and_read_as_streams(spark):
     assert docx.parsed_cells(rows).count() == 3000 and docx.parsed_blocks(rows).count() == 1
     last = docx.parsed_cells(rows).where("row_idx = 999").orderBy("col_idx").collect()
     assert [r["text"] for r in last] == ["c2997", "c2998", "c2999"]
+
+
+def test_pictures_of_word_files_wait_in_the_file():
+    from termloom.sources import docx, docx_write
+    from termloom.sources.pdf_objects import png
+
+    one = lambda k: {"kind": "image", "image": png(3, 1, 1, b"%03d" % (k % 5)), "width_inches": 2.0}
+    file = docx.Docx(docx_write.word_file((one(k) for k in range(20)), {}, [], []))
+    assert len(file.unread) == 5 and not hasattr(file, "media")  # equal pictures are one part, read where they are shown
+    assert [image for image, _ in file.pictures()] == [one(k)["image"] for k in range(20)] and not file.unread
+
+
+def test_a_damaged_file_gives_its_error_alone(spark):
+    from termloom.catalogue_files import files_of
+    from termloom.sources import docx, docx_write
+    from termloom.sources.pdf_objects import png
+
+    said = [{"kind": "body", "runs": [{"text": f"t{k}", "bold": False, "italic": False, "size": 0.0}]} for k in range(docx.PART_ITEMS + 5)]
+    good = docx_write.word_file([*said, {"kind": "image", "image": png(3, 1, 1, b"abc"), "width_inches": 2.0}])
+    bad = good.replace(b"\x89PNG", b"\x89PNX", 1)  # fails after a whole part of blocks
+    rows = docx.parsed(files_of(spark.createDataFrame([("good", bytearray(good)), ("bad", bytearray(bad))], "doc_id string, content binary"))).cache()
+    assert [r["path"] for r in docx.parsed_failures(rows).collect()] == ["bad"]
+    assert {r["doc_id"]: r["count"] for r in docx.parsed_blocks(rows).groupBy("doc_id").count().collect()} == {"good": docx.PART_ITEMS + 5}
