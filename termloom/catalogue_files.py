@@ -171,8 +171,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     # the first rule of a page's second column keeps the grid's column where all rows of a table are wide
     x = rows.select("doc_id", "i", F.posexplode(F.when(wide, joined).otherwise(plain)).alias("k", "m"))
     x = pdf_rows(x, page=F.floor(F.col("i") / 10), seq=F.col("i") * 10 + F.col("k"), kind=F.col("m.kind"), text=F.col("m.text"), bold=F.lit(False), size=F.lit(8.0), x=F.col("m.x"), y=F.col("m.y"), w=F.col("m.w"), h=F.lit(30.0))
-    marks = translate.keeper(spark)(pdf.marks(pdf.pages(pdf_write.pdf_documents(x))))
-    cells = tables.cell_texts(tables.ruled_cells(pdf.rules(marks)), marks.where("kind = 'text'"))
+    keep = translate.keeper(spark)
+    marks = keep(pdf.marks(pdf.pages(pdf_write.pdf_documents(x))))
+    cells = tables.cell_texts(keep(tables.ruled_cells(pdf.rules(marks))), marks.where("kind = 'text'"))
     size = F.element_at("cells", -1)
     return cells.select("doc_id", "table_idx", "row_idx", F.when(F.size("cells") == 2, F.array(F.col("cells")[0], F.lit(""), size)).otherwise(F.col("cells")).alias("cells"))
 

@@ -15,13 +15,13 @@ from ..sources import pdf
 def document_blocks(files: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks, cells, failures) of the files (path, content).
 
-    keep writes down what several steps read (pages and what they paint), so that a file is read once; without it they are
+    keep writes down what several steps read (pages, what they paint, and cells), so that a file is read once; without it they are
     computed for each step. Text that meets a table or picture is left to it.
     """
     pages = keep(pdf.pages(files))
     marks = keep(pdf.marks(pages))
     spans, drawings = pdf.spans(marks), pdf.drawings(marks)
-    found = tables.ruled_cells(pdf.rules(marks))
+    found = keep(tables.ruled_cells(pdf.rules(marks)))
     boxes = tables.table_boxes(found)
     pictures = picture_blocks(pdf.images(marks), drawings, boxes)
     taken = boxes.drop("table_idx").unionByName(pictures.drop("width_inches", "image"))

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pdf_objects import DEEPEST, File, Font, Name, Operator, PdfError, Reader, Stream, font_of, picture
+from .pdf_objects import DEEPEST, File, Font, Name, Operator, PdfError, Reader, Ref, Stream, font_of, picture
+from .spool import kept
 
 PAGES = "doc_id string, page int, width double, height double, content binary, resources binary, error string"
 MARKS = "doc_id string, page int, idx int, kind string, text string, font string, size double, flags int, x0 double, y0 double, x1 double, y1 double, base double, image binary"
@@ -22,6 +24,8 @@ MARKS = "doc_id string, page int, idx int, kind string, text string, font string
 SPACE_GAP, LINE_GAP = 0.2, 2.5
 #: Lines whose gap is over so many heights are in different blocks.
 BLOCK_GAP = 0.6
+#: Fonts, and sets of resources, that pages share and a file remembers.
+REMEMBERED = 64
 #: Ascent and descent of a line in sizes, where no font tells.
 ASCENT, DESCENT = 0.8, 0.2
 
@@ -29,10 +33,25 @@ ASCENT, DESCENT = 0.8, 0.2
 # ----------------------------------------------------------------------------------------------------- files to pages
 
 
+class NoPages(Exception):
+    """A file whose page tree has no pages."""
+
+
+def _font(file: File, ref) -> Font:
+    """A font, which pages share, is read once."""
+    if not isinstance(ref, Ref):
+        return font_of(file, ref)
+    if ref not in file.fonts:
+        if len(file.fonts) >= REMEMBERED:
+            file.fonts.clear()
+        file.fonts[ref] = font_of(file, ref)
+    return file.fonts[ref]
+
+
 def _resources(file: File, value, depth: int = 0) -> dict:
     """Fonts, pictures and forms by name, without references."""
     d = file.get(value) or {}
-    out: dict = {"fonts": {n: font_of(file, f) for n, f in (file.get(d.get("Font")) or {}).items()}, "images": {}, "forms": {}}
+    out: dict = {"fonts": {n: _font(file, f) for n, f in (file.get(d.get("Font")) or {}).items()}, "images": {}, "forms": {}}
     for n, ref in (file.get(d.get("XObject")) or {}).items():
         s = file.get(ref)
         if not isinstance(s, Stream):
@@ -48,30 +67,36 @@ def _resources(file: File, value, depth: int = 0) -> dict:
 def pages(files: DataFrame) -> DataFrame:
     """A row a page of the files (path, content), numbered from 0. A file that cannot be read gives one row with its error."""
 
-    def one(path: str, data: bytes) -> list[tuple]:
-        try:
-            file = File(data or b"")
-            shared: dict = {}
-            out = []
-            for k, p in enumerate(file.pages()):
-                box = [float(file.get(x)) for x in file.get(p.get("CropBox") or p.get("MediaBox") or [0, 0, 612, 792])]
-                key = repr(p.get("Resources"))
-                if key not in shared:
-                    shared[key] = pickle.dumps(_resources(file, p.get("Resources")))
-                shift = b"1 0 0 1 %f %f cm " % (-min(box[0], box[2]), -min(box[1], box[3]))
-                out.append((path, k, abs(box[2] - box[0]), abs(box[3] - box[1]), shift + file.content(p["Contents"]), shared[key], None))
-            return out or [(path, None, None, None, None, None, "no pages")]
-        except Exception as x:  # any damage counts, and ends no run
-            return [(path, None, None, None, None, None, f"{type(x).__name__}: {x}")]
+    schema = pa.schema([("doc_id", pa.string()), ("page", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("content", pa.binary()), ("resources", pa.binary()), ("error", pa.string())])
+
+    def one(path: str, data: bytes) -> Iterator[tuple]:
+        file = File(data or b"")
+        shared: dict = {}
+        k = -1
+        for k, p in enumerate(file.pages()):
+            box = [float(file.get(x)) for x in file.get(p.get("CropBox") or p.get("MediaBox") or [0, 0, 612, 792])]
+            key = repr(p.get("Resources"))
+            if key not in shared:
+                if len(shared) >= REMEMBERED:
+                    shared.clear()
+                shared[key] = pickle.dumps(_resources(file, p.get("Resources")))
+            shift = b"1 0 0 1 %f %f cm " % (-min(box[0], box[2]), -min(box[1], box[3]))
+            yield (path, k, abs(box[2] - box[0]), abs(box[3] - box[1]), shift + file.content(p["Contents"]), shared[key], None)
+        if k < 0:
+            raise NoPages
+
+    def whole(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        while own := list(islice(rows, 64)):
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*own, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.string()]
-        names = [c.split()[0] for c in PAGES.split(", ")]
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = one(path, data.as_py())
-                for lo in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows[lo : lo + 64], strict=True), kinds, strict=True)], names)
+                try:
+                    yield from kept(whole(one(path, data.as_py())), schema)  # all or, where the file is damaged, nothing
+                except Exception as x:  # any damage counts, and ends no run
+                    error = "no pages" if isinstance(x, NoPages) else f"{type(x).__name__}: {x}"
+                    yield from whole(iter([(path, None, None, None, None, None, error)]))
 
     return files.select("path", "content").mapInArrow(run, PAGES)
 

@@ -67,3 +67,19 @@ def test_a_damaged_file_gives_its_error_alone(spark):
     rows = docx.parsed(files_of(spark.createDataFrame([("good", bytearray(good)), ("bad", bytearray(bad))], "doc_id string, content binary"))).cache()
     assert [r["path"] for r in docx.parsed_failures(rows).collect()] == ["bad"]
     assert {r["doc_id"]: r["count"] for r in docx.parsed_blocks(rows).groupBy("doc_id").count().collect()} == {"good": docx.PART_ITEMS + 5}
+
+
+def test_pdf_files_are_written_and_read_a_page_at_a_time(spark):
+    from termloom.sources import pdf, pdf_objects, pdf_write
+
+    mark = lambda k: {"page": k // 2, "seq": k, "kind": "text", "text": f"t{k}", "bold": False, "size": 10.0, "x": 72.0, "y": 80.0 + k % 2 * 20, "w": 0.0, "h": 0.0, "image": None}
+    n = 2 * pdf_write.PACKED + 6
+    content = pdf_write.document((mark(k) for k in range(2 * n)), packed=True)
+    assert content.count(b"/ObjStm") > 2  # not all objects in one
+    file = pdf_objects.File(content)
+    pages = sum(1 for _ in file.pages())
+    assert pages == n and not hasattr(file, "objects") and len(file.read) <= pdf_objects.READ
+    made = pdf_write.pdf_documents(spark.createDataFrame([("d", *mark(k).values()) for k in range(2 * n)], "doc_id string, " + pdf_write.MARK), packed=True)
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = pdf.marks(pdf.pages(made)).orderBy("page", "idx").collect()
+    assert [r["text"] for r in got] == [f"t{k}" for k in range(2 * n)]
