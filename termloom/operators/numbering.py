@@ -39,20 +39,24 @@ def resolved_numbers(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
     levels: (doc_id, num_id, abstract_id, level, fmt, template, start, restart). Lists of one abstract_id count on together;
     a paragraph counts its level up and sets the deeper ones back; the first paragraph of a list with a restart starts its
     level at it. %n in a template stands for level n's counter, which is its start where no paragraph has counted it.
-    Documents are independent: windows go by document and list.
+    Documents are independent: all counters run in one window by document and list, so rows are sorted once for all levels.
     """
     of_num = levels.groupBy("doc_id", "num_id", "abstract_id").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("fmt", "template", "start", "restart")))).alias("is"))
     x = paragraphs.select("doc_id", "pos", "num_id", "level").join(of_num, ["doc_id", "num_id"])
     listed = Window.partitionBy("doc_id", "abstract_id").orderBy("pos")
     x = x.withColumn("_first", F.row_number().over(Window.partitionBy("doc_id", "num_id").orderBy("pos")) == 1)
     shape = lambda k, f: F.try_element_at("is", F.lit(k))[f]
+    hit = lambda k: F.coalesce((F.col("level") == k).cast("int"), F.lit(0))
+    x = x.withColumns({"_row": F.row_number().over(listed), **{f"_c{k}": F.sum(hit(k)).over(listed) for k in range(LEVELS)}})
+    last = lambda when, v: F.last(F.when(when, v), ignorenulls=True).over(listed)
+    now: dict[str, Column] = {}
     for k in range(LEVELS):
-        begins = F.col("_first") & shape(k, "restart").isNotNull()
-        x = x.withColumn(f"_since{k}", F.sum(((F.col("level") < k) | begins).cast("int")).over(listed))
-        run = Window.partitionBy("doc_id", "abstract_id", f"_since{k}").orderBy("pos")
+        back = (F.col("level") < k) | (F.col("_first") & shape(k, "restart").isNotNull())
         start = F.coalesce(shape(k, "restart"), shape(k, "start"), F.lit(1))
-        # counted up with the paragraphs of the level; one of a deeper level alone shows the start
-        x = x.withColumn(f"_n{k}", F.greatest(F.sum((F.col("level") == k).cast("int")).over(run), F.lit(1)) - 1 + F.first(start).over(run))
+        # counted up with the paragraphs of the level since it was set back; one of a deeper level alone shows the start
+        since = F.col(f"_c{k}") - F.coalesce(last(back, F.col(f"_c{k}") - hit(k)), F.lit(0))
+        now[f"_n{k}"] = F.greatest(since, F.lit(1)) - 1 + last(back | (F.col("_row") == 1), start)
+    x = x.withColumns(now)
     counters = F.array(*[F.struct(F.col(f"_n{k}").alias("n"), F.coalesce(shape(k, "fmt"), F.lit("decimal")).alias("fmt")) for k in range(LEVELS)])
     texts = F.transform(counters, lambda c: written(c["n"], c["fmt"]))
     template = F.coalesce(F.element_at("is", F.col("level"))["template"], F.lit(""))

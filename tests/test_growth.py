@@ -83,3 +83,13 @@ def test_pdf_files_are_written_and_read_a_page_at_a_time(spark):
     assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = pdf.marks(pdf.pages(made)).orderBy("page", "idx").collect()
     assert [r["text"] for r in got] == [f"t{k}" for k in range(2 * n)]
+
+
+def test_numbers_sort_paragraphs_once_for_all_levels(spark):
+    from termloom.operators.numbering import resolved_numbers
+
+    levels = spark.createDataFrame([("d", "1", "0", k, "decimal", t, 1, None) for k, t in enumerate(("%1.", "%1.%2", "%1.%2.%3"))], "doc_id string, num_id string, abstract_id string, level int, fmt string, template string, start int, restart int")
+    places = spark.createDataFrame([("d", i, "1", v) for i, v in enumerate((1, 0, 1, 1, 2, 0, 2, 1))], "doc_id string, pos int, num_id string, level int")
+    made = resolved_numbers(places, levels)
+    assert [r["number"] for r in made.orderBy("pos").collect()] == ["1.1", "1.", "1.1", "1.2", "1.2.1", "2.", "2.1.1", "2.1"]
+    assert len(re.findall(r"^[ :|+-]*Window ", made._jdf.queryExecution().optimizedPlan().toString(), re.M)) <= 3
