@@ -93,3 +93,13 @@ def test_numbers_sort_paragraphs_once_for_all_levels(spark):
     made = resolved_numbers(places, levels)
     assert [r["number"] for r in made.orderBy("pos").collect()] == ["1.1", "1.", "1.1", "1.2", "1.2.1", "2.", "2.1.1", "2.1"]
     assert len(re.findall(r"^[ :|+-]*Window ", made._jdf.queryExecution().optimizedPlan().toString(), re.M)) <= 3
+
+
+def test_fonts_that_pages_share_are_read_once(monkeypatch):
+    from termloom.sources import pdf, pdf_objects, pdf_write
+
+    rows = ({"page": k, "seq": 0, "kind": "image", "text": None, "bold": None, "size": 0.0, "x": 100.0, "y": 100.0, "w": 50.0, "h": 60.0, "image": b"3 1 1\n%03d" % k} for k in range(100))
+    file, calls = pdf_objects.File(pdf_write.document(rows)), []
+    monkeypatch.setattr(pdf, "font_of", lambda f, ref: calls.append(ref) or pdf_objects.font_of(f, ref))
+    own = [pdf._resources(file, p["Resources"]) for p in file.pages()]
+    assert len({i for r in own for i in r["images"].values()}) == 100 and len(calls) == 2
