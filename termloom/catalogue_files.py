@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,11 @@ from .schema import BLOCKS
 from .sources import docx, docx_write, files, pdf, pdf_write, sinks
 from .sources.files import line_blocks
 
+#: Pages of one PDF file; a brand with more pictures is a set of files, as long works are, so that no file grows with the table.
+VOLUME_PAGES = 2000
+#: Part keys that are numbered together.
+KEY_RANGE = 50_000
+
 _PLAIN = f"trim(regexp_replace(text, '{SPACE}+', ' ', 'g'), ' ')"
 
 
@@ -180,14 +185,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pdf_pictures", """SELECT p_brand AS doc_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS page, hex(encode(p_name)) AS pixels, least(greatest(p_size, 50)::DOUBLE / 72.0, 6.0)::DOUBLE AS width_inches FROM part""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """A picture a part, its name's bytes as grey values, cut out of the files again as PNG and decoded."""
-    p = table(spark, d, "part")
-    rows = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("r")).select(F.col("p_brand").alias("doc_id"), F.posexplode("r").alias("i", "r"))
-    raw = F.encode("r.p_name", "UTF-8")
+    """A picture a part, its name's bytes as grey values, cut out of a brand's files (one for VOLUME_PAGES pages) again as PNG and decoded."""
+    rows = numbered_parts(table(spark, d, "part").select(F.col("p_brand").alias("doc_id"), "p_partkey", "p_name", "p_size"))
+    raw = F.encode("p_name", "UTF-8")
     image = F.concat(F.encode(F.concat(F.octet_length(raw).cast("string"), F.lit(" 1 1\n")), "UTF-8"), raw)
-    marks = translate.keeper(spark)(pdf.marks(pdf.pages(pdf_write.pdf_documents(pdf_rows(rows, page=F.col("i"), seq=F.lit(0), kind=F.lit("image"), x=F.lit(100.0), y=F.lit(100.0), w=F.greatest(F.col("r.p_size"), F.lit(50)), h=F.lit(60.0), image=image)))))
+    volume = F.floor(F.col("i") / VOLUME_PAGES)
+    own = F.concat(volume.cast("string"), F.lit("/"), "doc_id")
+    marks = translate.keeper(spark)(pdf.marks(pdf.pages(pdf_write.pdf_documents(pdf_rows(rows, doc_id=own, page=F.col("i") % VOLUME_PAGES, seq=F.lit(0), kind=F.lit("image"), x=F.lit(100.0), y=F.lit(100.0), w=F.greatest(F.col("p_size"), F.lit(50)), h=F.lit(60.0), image=image)))))
     blocks = pdf_documents.picture_blocks(pdf.images(marks), pdf.drawings(marks), tables.table_boxes(tables.ruled_cells(pdf.rules(marks))))
-    return blocks.select("doc_id", "page", F.hex(png_pixels("image")).alias("pixels"), "width_inches")
+    page = (F.col("page") + F.substring_index("doc_id", "/", 1).cast("long") * VOLUME_PAGES).cast("int")
+    return blocks.select(F.expr("substring(doc_id, instr(doc_id, '/') + 1)").alias("doc_id"), page.alias("page"), F.hex(png_pixels("image")).alias("pixels"), "width_inches")
+
+
+def numbered_parts(parts: DataFrame) -> DataFrame:
+    """parts with i, their number within the document by p_partkey from 0.
+
+    Keys are counted by ranges of KEY_RANGE, so no task sorts a whole document: a range's parts are numbered from the count before it.
+    """
+    x = parts.withColumn("_range", F.floor(F.col("p_partkey") / KEY_RANGE))
+    before = Window.partitionBy("doc_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = x.groupBy("doc_id", "_range").agg(F.count(F.lit(1)).alias("_n")).select("doc_id", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    x = x.join(counts, ["doc_id", "_range"]).withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "_range").orderBy("p_partkey")) - 1 + F.col("_before"))
+    return x.drop("_range", "_before")
 
 
 @F.udf(T.BinaryType())

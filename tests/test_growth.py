@@ -103,3 +103,23 @@ def test_fonts_that_pages_share_are_read_once(monkeypatch):
     monkeypatch.setattr(pdf, "font_of", lambda f, ref: calls.append(ref) or pdf_objects.font_of(f, ref))
     own = [pdf._resources(file, p["Resources"]) for p in file.pages()]
     assert len({i for r in own for i in r["images"].values()}) == 100 and len(calls) == 2
+
+
+def test_a_brand_with_many_pictures_is_a_set_of_files(spark, tmp_path, monkeypatch):
+    from termloom import catalogue_files
+    from termloom.sources import pdf_write
+
+    n, sizes = 250, []
+    parts = spark.range(n).selectExpr("id * 7 AS p_partkey", "concat('p', id) AS p_name", "if(id % 5 = 0, 'a/b', 'c') AS p_brand", "int(id % 60) AS p_size")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(catalogue_files, "VOLUME_PAGES", 20)
+    monkeypatch.setattr(catalogue_files, "KEY_RANGE", 100)
+    made = pdf_write.pdf_documents
+    monkeypatch.setattr(pdf_write, "pdf_documents", lambda rows: sizes.append(rows.groupBy("doc_id").count().agg({"count": "max"}).first()[0]) or made(rows))
+    rows = catalogue.queries()["pdf_pictures"](spark, str(tmp_path)).collect()
+    assert sizes == [20]  # a file holds so many pages, however many pictures a brand has
+    want = {}
+    for k in range(n):
+        own = want.setdefault("a/b" if k % 5 == 0 else "c", [])
+        own.append((len(own), f"p{k}".encode().hex().upper()))
+    assert {b: sorted((r["page"], r["pixels"]) for r in rows if r["doc_id"] == b) for b in want} == want
