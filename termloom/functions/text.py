@@ -10,17 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: White space of any kind, as (?U)\\s has it.
+WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 RUN = "struct<text:string,bold:boolean,italic:boolean,size:double>"
 
 
 def squash(text: Column) -> Column:
     """Every run of white space becomes one space; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[^\S ]", " "))  # a lone blank, most of them, is no match
 
 
 def strip(text: Column) -> Column:
     """No white space (of any kind) at the ends. trim() would take spaces only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE))
+
+
+def has_text(text: Column) -> Column:
+    """Whether anything but white space (of any kind) is there."""
+    return text.rlike(r"(?U)\S")
 
 
 def fold_text(s: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -13,10 +13,16 @@ NUMBERED = r"^\s*\d+(?:\.\d+)*[\.\)]\s"
 LOW, HIGH = 0.3, 3.0
 
 
+def is_table_line() -> Column:
+    """Whether plain is a rendered table; most texts lack its first letters and need not be put together for that."""
+    raw = F.coalesce(F.array_join(F.transform("runs", lambda r: r["text"]), ""), F.col("text"))
+    return F.contains(raw, F.lit("[TABLE")) & F.col("plain").rlike(TABLE_LINE)
+
+
 def counted(blocks: DataFrame) -> DataFrame:
     """(doc_id, what, n) for headings, body (without rendered table lines), lists, tables and footnotes; zeros included."""
     b = block_text(blocks)
-    table_line = (F.col("kind") == "body") & F.col("plain").rlike(TABLE_LINE)
+    table_line = (F.col("kind") == "body") & is_table_line()
     what = F.when(F.col("kind") == "heading", "headings").when(table_line | (F.col("kind") == "table_ref"), "tables").when(F.col("kind") == "body", "body").when(F.col("kind") == "list_item", "lists").when(F.col("kind") == "footnote", "footnotes")
     kinds = F.explode(F.array(*map(F.lit, ("headings", "body", "lists", "tables", "footnotes"))))
     every = b.select("doc_id").distinct().select("doc_id", kinds.alias("what"))
@@ -45,19 +51,20 @@ def lost_numbers(source: DataFrame, output: DataFrame) -> DataFrame:
 
 
 def ratio_outliers(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs whose output is under 0.3 or over 3 times as long as a source of at least `least` characters."""
-    r = pairs.withColumn("n_source", F.length("source")).withColumn("n_output", F.length("output")).where(F.col("n_source") >= least)
+    """Pairs whose output is under 0.3 or over 3 times as long as a source of at least `least` characters. pairs: n_source, n_output."""
+    r = pairs.where(F.col("n_source") >= least)
     return r.withColumn("ratio", F.col("n_output") / F.col("n_source")).where((F.col("ratio") < LOW) | (F.col("ratio") > HIGH))
 
 
 def body_ratios(source: DataFrame, output: DataFrame) -> DataFrame:
-    body = lambda b: block_text(b).where((F.col("kind") == "body") & ~F.col("plain").rlike(TABLE_LINE))
-    return ratio_outliers(zipped(body(source), body(output)), 20)
+    body = lambda b: block_text(b).where((F.col("kind") == "body") & ~is_table_line()).select("doc_id", "pos", F.length("plain").alias("n"))
+    # lengths meet, the texts stay where they are
+    return ratio_outliers(zipped(body(source), body(output), "n").withColumnsRenamed({"source": "n_source", "output": "n_output"}), 20)
 
 
 def cell_ratios(source: DataFrame, output: DataFrame) -> DataFrame:
     keys = ["doc_id", "table_idx", "row_idx", "col_idx"]
-    pairs = source.select(*keys, strip(F.col("text")).alias("source")).join(output.select(*keys, strip(F.col("text")).alias("output")), keys)
+    pairs = source.select(*keys, F.length(strip(F.col("text"))).alias("n_source")).join(output.select(*keys, F.length(strip(F.col("text"))).alias("n_output")), keys)
     return ratio_outliers(pairs, 10)
 
 

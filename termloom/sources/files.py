@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_run, squash, strip
+from ..functions.text import has_text, plain_run, squash
 from ..schema import BLOCKS
 
 SUFFIXES = (".docx", ".pdf")
@@ -47,7 +47,7 @@ def _as_blocks(rows: DataFrame, kind: Column, level: Column, text: Column, title
 
 def line_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A text's non-blank lines as body blocks, in order."""
-    lines = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).where(strip(F.col("line")) != "")
+    lines = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).where(has_text(F.col("line")))
     return _as_blocks(lines, F.lit("body"), F.lit(None), F.col("line"), F.lit(None).cast("string"))
 
 

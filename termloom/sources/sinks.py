@@ -66,10 +66,12 @@ def snapshot(df: DataFrame, folder: str | None, name: str) -> DataFrame:
 
 def append_report(report: DataFrame, path: str) -> int:
     """Appends the findings of a check to a log folder; returns how many there are."""
-    n = report.count()
-    if n:
-        report.withColumn("at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).write.mode("append").json(path)
-    return n
+    from pyspark.sql import Observation
+
+    seen = Observation()  # counted while they are written: counting first would run the check twice
+    counted = report.observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.withColumn("at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).write.mode("append").json(path)
+    return seen.get["n"]
 
 
 def write_files(files: DataFrame, folder: str) -> int:

@@ -123,3 +123,19 @@ def test_a_brand_with_many_pictures_is_a_set_of_files(spark, tmp_path, monkeypat
         own = want.setdefault("a/b" if k % 5 == 0 else "c", [])
         own.append((len(own), f"p{k}".encode().hex().upper()))
     assert {b: sorted((r["page"], r["pixels"]) for r in rows if r["doc_id"] == b) for b in want} == want
+
+
+def test_a_check_runs_once_and_its_texts_stay(spark, tmp_path):
+    from termloom.catalogue_files import as_blocks
+    from termloom.functions.text import has_text, plain_run, squash, strip
+    from termloom.operators import quality
+    from termloom.sources import sinks
+
+    runs = spark.sparkContext.accumulator(0)
+    b = as_blocks(spark.range(2).selectExpr("string(id) AS doc_id", "0 AS pos"), kind=F.lit("body"), runs=plain_run(F.when(F.col("doc_id") == "0", " [TABLE 1] ").otherwise("long " * 9)))
+    found = quality.report(b, b.withColumn("doc_id", F.lit("0"))).rdd.map(lambda r: runs.add(1) or r).toDF("doc_id string, check string, place string, message string")
+    assert sinks.append_report(found, f"{tmp_path}/r") == runs.value == spark.read.json(f"{tmp_path}/r").count() > 0
+    plan = quality.body_ratios(b, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert "plain" not in plan.split("Join")[0] and [r["n"] for r in quality.counted(b).where("what = 'tables'").orderBy("doc_id").collect()] == [1, 0]
+    white = spark.createDataFrame([(" \n a\u2003\u00a0b\u0085 c\u3000",), ("\u2028",), (" ",)], "t string")
+    assert [tuple(r) for r in white.select(squash(F.col("t")), strip(F.col("t")), has_text(F.col("t"))).collect()] == [("a b c", "a\u2003\u00a0b\u0085 c", True), ("", "", False), ("", "", False)]
