@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -120,11 +122,33 @@ def at(m: Matrix, x: float, y: float) -> tuple[float, float]:
     return x * m[0] + y * m[2] + m[4], x * m[1] + y * m[3] + m[5]
 
 
+class Steps(dict):
+    """How far a code moves the text on, by code; in one font and one state of the text, computed once a code."""
+
+    def __init__(self, font: Font, size: float, char: float, word: float, wide: float):
+        super().__init__()
+        self.told = (font, size, char, word, wide)
+
+    def __missing__(self, c: int) -> float:
+        f, size, char, word, wide = self.told
+        self[c] = step = (f.widths.get(c, f.width) * size + char + (word if c == 32 and f.code_bytes == 1 else 0)) * wide
+        return step
+
+
 class Painter:
     """Runs a page's content and notes what it paints: pieces of text, straight rules, whole drawings and pictures."""
 
     def __init__(self, height: float):
         self.height, self.marks = height, []
+        self.steps: dict[tuple, Steps] = {}
+
+    def _steps(self, f: Font, *state: float) -> Steps:
+        key = (id(f), *state)
+        if key not in self.steps:
+            if len(self.steps) >= REMEMBERED:
+                self.steps.clear()
+            self.steps[key] = Steps(f, *state)
+        return self.steps[key]
 
     def _box(self, m: Matrix, x0: float, y0: float, x1: float, y1: float) -> dict:
         xs, ys = zip(*(at(m, x, y) for x in (x0, x1) for y in (y0, y1)), strict=True)
@@ -142,14 +166,13 @@ class Painter:
         def show(s: bytes) -> None:
             nonlocal text
             f, size, wide = state["font"], state["size"], state["wide"]
-            shown, width = [], 0.0
-            for c in f.codes(s):
-                shown.append(f.text.get(c, ""))
-                width += (f.widths.get(c, f.width) * size + state["char"] + (state["word"] if c == 32 and f.code_bytes == 1 else 0)) * wide
+            codes = f.codes(s)
+            steps = self._steps(f, size, state["char"], state["word"], wide)
+            width = reduce(add, map(steps.__getitem__, codes), 0.0)
             whole = times(text, state["m"])
             height = (whole[2] ** 2 + whole[3] ** 2) ** 0.5 * size
             box = self._box(whole, 0, state["rise"] - DESCENT * size, width, state["rise"] + ASCENT * size)
-            said = "".join(shown)
+            said = "".join([f.text.get(c, "") for c in codes])
             if said:
                 self.marks.append({"kind": "text", "text": said, "font": f.name, "size": height, "flags": f.flags, "base": self.height - at(whole, 0, 0)[1]} | box)
             text = times((1, 0, 0, 1, width, 0), text)
@@ -260,7 +283,9 @@ def marks(pages_: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[n]) for n in names], names)
 
-    spread = pages_.where("error is null").repartition(F.col("doc_id"), F.col("page"))
+    # as many tasks as shuffles have: pages are small, but running them is not
+    n = int(pages_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pages_.where("error is null").repartition(n, F.col("doc_id"), F.col("page"))
     return spread.select("doc_id", "page", "height", "content", "resources").mapInArrow(run, MARKS)
 
 
@@ -287,14 +312,16 @@ def spans(marks_: DataFrame) -> DataFrame:
     t = t.withColumn("text", spaced)
     parts = F.array_sort(F.collect_list(F.struct("idx", "text")))
     s = t.groupBy("doc_id", "page", "_line", "_span").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), *(F.first(c).alias(c) for c in ("size", "flags", "font")), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    lines = s.groupBy("doc_id", "page", "_line").agg(F.min("x0").alias("lx0"), F.min("y0").alias("ly0"), F.max("x1").alias("lx1"), F.max("y1").alias("ly1"))
-    down = Window.partitionBy("doc_id", "page").orderBy("_line")
+    # a line's box stands beside each of its spans, so that no second run over the marks finds it
+    own_line = Window.partitionBy("doc_id", "page", "_line")
+    s = s.withColumns({"ly0": F.min("y0").over(own_line), "ly1": F.max("y1").over(own_line), "lx0": F.min("x0").over(own_line), "lx1": F.max("x1").over(own_line)})
+    down = Window.partitionBy("doc_id", "page").orderBy("_line", "_span")
     prev = lambda c: F.lag(c).over(down)
     height = F.greatest(F.col("ly1") - F.col("ly0"), prev("ly1") - prev("ly0"))
     apart = (F.col("ly0") - prev("ly1") > height * BLOCK_GAP) | (F.col("ly1") < prev("ly0")) | (F.col("lx0") > prev("lx1")) | (F.col("lx1") < prev("lx0"))
-    lines = lines.withColumn("_b", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("block", F.sum("_b").over(down))
-    lines = lines.withColumn("line", F.row_number().over(Window.partitionBy("doc_id", "page", "block").orderBy("_line")) - 1)
-    out = s.join(lines.select("doc_id", "page", "_line", "block", "line"), ["doc_id", "page", "_line"])
+    starts = F.coalesce(F.col("_line") != prev("_line"), F.lit(True))
+    s = s.withColumn("_b", (starts & F.coalesce(apart, F.lit(True))).cast("int")).withColumn("block", F.sum("_b").over(down))
+    out = s.withColumn("line", F.dense_rank().over(Window.partitionBy("doc_id", "page", "block").orderBy("_line")) - 1)
     return out.select("doc_id", "page", (F.col("block") - 1).cast("int").alias("block"), F.col("line").cast("int").alias("line"), (F.col("_span") - 1).cast("int").alias("span"), "text", "size", "flags", "font", "x0", "y0", "x1", "y1")
 
 

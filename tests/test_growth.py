@@ -149,3 +149,17 @@ def test_words_of_a_document_are_dealt_once(spark, texts):
     assert [tuple(r) for r in got] == [(i, 4) for i in range(6)]
     asked = spark.createDataFrame([("see a.org",), ("x.y",), ("U.N.",), ("",), ("a/b",), ("plain word",), ("http:x",)], "t string")
     assert [r[0] for r in asked.select(terms.is_real_keep(F.col("t"))).collect()] == [True, False, True, False, True, False, False]
+
+
+def test_spans_are_found_in_one_run_over_the_marks(spark):
+    from termloom.sources import pdf, pdf_objects, pdf_write
+
+    rows = [{"page": 0, "seq": k, "kind": "text", "text": f"Wörd {k} (x)", "bold": k == 1, "size": 10.0, "x": 72.0 + 60 * (k == 1), "y": y, "w": 0.0, "h": 0.0, "image": None} for k, y in enumerate((80.0, 80.0, 94.0, 150.0))]
+    made = pdf_write.pdf_documents(spark.createDataFrame([("d", *r.values()) for r in rows], "doc_id string, " + pdf_write.MARK), packed=True)
+    found = pdf.spans(pdf.marks(pdf.pages(made)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 3  # write, read, run
+    got = [tuple(r) for r in found.select("block", "line", "span", "text", F.round("x1", 3)).orderBy("block", "line", "span").collect()]
+    assert got == [(0, 0, 0, "Wörd 0 (x)", 122.0), (0, 0, 1, " Wörd 1 (x)", 182.0), (0, 1, 0, "Wörd 2 (x)", 122.0), (1, 0, 0, "Wörd 3 (x)", 122.0)]
+    read = lambda s: pdf_objects.Reader(s, refs=False).value()
+    assert [read(s) for s in (b"<4142>", b"<4 14 2>", b"<414>", b"<>", b"<41", b"/A#42c", b"/A#4")] == [b"AB", b"AB", b"A@", b"", b"A", "ABc", "A#4"]
