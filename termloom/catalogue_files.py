@@ -75,7 +75,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     body = as_blocks(c, pos=F.col("k"), kind=F.lit("body"), runs=plain_run(F.concat("role", F.lit("‹FN"), "n", F.lit("›"))), marker=none, text=none)
     notes = as_blocks(c, pos=F.col("k") + (1 << 20), kind=F.lit("footnote"), marker=F.col("n"), text=F.concat(F.lit("N"), "x"))
     said = as_blocks(c, pos=F.col("k") + (1 << 21), kind=F.lit("comment"), text=F.concat(F.lit("C"), "x"), comment=F.struct(F.lit("").alias("id"), F.col("role").alias("author"), F.lit("").alias("date"), F.concat(F.lit("at "), "n").alias("anchor")))
-    back = docx.read_blocks(files_of(docx_write.word_documents(body.unionByName(notes).unionByName(said)))).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = translate.keeper(spark)(docx.parsed(files_of(docx_write.word_documents(body.unionByName(notes).unionByName(said)))))
+    back = docx.parsed_blocks(rows).withColumn("doc_id", F.col("doc_id").cast("long"))
     told = back.where("kind = 'footnote'").select("doc_id", "pos", F.concat("text", F.lit("?")).alias("translated")).unionByName(back.where("kind = 'comment'").select("doc_id", "pos", F.concat("text", F.lit("!")).alias("translated")))
     text = lambda n: F.lit(None).cast("string").alias(n)
     a = sinks.notes_table(back, told).select(F.col("doc_id").alias("conv_id"), F.lit("footnote").alias("kind"), "marker", text("author"), text("anchor"), "original", "translated")

@@ -163,3 +163,33 @@ def test_spans_are_found_in_one_run_over_the_marks(spark):
     assert got == [(0, 0, 0, "Wörd 0 (x)", 122.0), (0, 0, 1, " Wörd 1 (x)", 182.0), (0, 1, 0, "Wörd 2 (x)", 122.0), (1, 0, 0, "Wörd 3 (x)", 122.0)]
     read = lambda s: pdf_objects.Reader(s, refs=False).value()
     assert [read(s) for s in (b"<4142>", b"<4 14 2>", b"<414>", b"<>", b"<41", b"/A#42c", b"/A#4")] == [b"AB", b"AB", b"A@", b"", b"A", "ABc", "A#4"]
+
+
+def test_small_word_files_go_on_together(spark):
+    import pyarrow as pa
+
+    from termloom.sources import docx, docx_write
+
+    class Files:  # what the task does, without a session
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    said = lambda n: [{"kind": "body", "runs": [{"text": f"t{k}", "bold": False, "italic": False, "size": 0.0}]} for k in range(n)]
+    contents = [*(docx_write.word_file(said(3)) for _ in range(50)), b"broken", docx_write.word_file(said(docx.PART_ITEMS + 5)), docx_write.word_file([])]
+    given = pa.RecordBatch.from_pydict({"path": [f"f{k}" for k in range(len(contents))], "content": pa.array(contents, pa.binary())})
+    made = list(docx.parsed(Files())(iter([given])))
+    assert len(made) == 3  # two parts of the long file, and all others
+    rows = [r for b in made for r in b.to_pylist()]
+    assert {r["doc_id"] for r in rows if r["error"]} == {"f50"} and len({r["doc_id"] for r in rows}) == 53
+    assert sum(len(r["blocks"]) for r in rows) == 150 + docx.PART_ITEMS + 5
+
+
+def test_notes_are_read_from_the_files_once(spark, tmp_path, monkeypatch):
+    from termloom.sources import docx
+
+    spark.sql("SELECT 1L AS conv_id, 0 AS turn, 'user' AS role, 'Hi  there' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    plans, parsed = [], docx.parsed
+    monkeypatch.setattr(docx, "parsed", lambda files: plans.append(1) or parsed(files))
+    made = catalogue.queries()["word_notes"](spark, str(tmp_path))
+    assert plans == [1] and "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()  # what was read is written down
+    assert {(r["kind"], r["original"]) for r in made.collect()} == {("footnote", "NHi there"), ("comment", "CHi there"), ("body", "user‹FN1›")}
