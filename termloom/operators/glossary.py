@@ -20,6 +20,8 @@ LINES = "line_no int, line string"
 HEADER = ("# Glossary of this document. Edit freely before translation.", "# TRANSLATE: source → target  (checked)", "# KEEP: term  (stays as it is)", "# PREFER: source → target  (a hint)", "# Several source forms of one thing: a | b | c", "# Lines that begin with # are notes.")
 #: Beyond so many bytes of terms the glossary is not sent to every task at once but slice by slice.
 BROADCAST_BYTES = 8 << 20
+#: Texts that are Python objects at once, however large a task's batches are.
+TEXT_ROWS = 1000
 #: A document's texts beyond so many bytes are dealt to several tasks.
 SCOPE_BYTES = 64 << 20
 #: So many documents with more than one task are sent to all tasks as a table.
@@ -152,22 +154,31 @@ def occurrences(chunks: DataFrame, entries: DataFrame, key: str, text: str, slic
     """
     out = None
     for part in slices or term_slices(entries):
-        find = _finder(part)
+        find = _finder(zip(part["entry_idx"], part["term"], strict=True))
 
-        def run(batches: Iterator[pd.DataFrame], find: Callable = find) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [(k, i, s, e) for k, text in zip(pdf[key], pdf["_text"], strict=True) if text for s, e, i in find(fold_text(text))]
-                yield pd.DataFrame(rows, columns=[key, "entry_idx", "s", "e"])
+        def run(batches: Iterator[pa.RecordBatch], find: Callable = find) -> Iterator[pa.RecordBatch]:
+            for own in pieces(batches):
+                rows = [(k, i, s, e) for k, text in zip(*(c.to_pylist() for c in own.columns), strict=True) if text for s, e, i in find(fold_text(text))]
+                yield found_rows(rows, [own.schema.field(0).type, *[pa.int32()] * 3], [key, "entry_idx", "s", "e"])
 
-        found = chunks.select(F.col(key), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int, s int, e int")
+        found = chunks.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int, s int, e int")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _finder(terms: pd.DataFrame) -> Callable[[str], list[tuple[int, int, int]]]:
-    """A search for all (start, end, entry) of the terms in a folded text; an automaton where there are many terms."""
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches by TEXT_ROWS rows."""
+    return (b.slice(lo, TEXT_ROWS) for b in batches for lo in range(0, b.num_rows, TEXT_ROWS))
+
+
+def found_rows(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(types), types, strict=True)], names)
+
+
+def _finder(terms: Iterable[tuple[int, str]]) -> Callable[[str], list[tuple[int, int, int]]]:
+    """A search for all (start, end, entry) of the terms (entry, term) in a folded text; an automaton where there are many terms."""
     owners: dict[str, list[int]] = {}
-    for i, t in zip(terms["entry_idx"], terms["term"], strict=True):
+    for i, t in terms:
         owners.setdefault(t, []).append(int(i))
     made: list = []
 
@@ -231,22 +242,22 @@ def live_terms(chunks: DataFrame, entries: DataFrame, key: str, text: str, told:
         if not told:
             return found
         src = src.drop("_text").join(found.groupBy(key).agg(F.collect_set("entry_idx").alias("_live")), key)
-        of_row = lambda pdf: pdf["_live"]
+        of_row = lambda b: b.column("_live").to_pylist()
     else:
-        find = _finder(slices[0])
-        of_row = lambda pdf: (live(find(fold_text(t))) if t else () for t in pdf["_text"])
+        find = _finder(zip(slices[0]["entry_idx"], slices[0]["term"], strict=True))
+        of_row = lambda b: (live(find(fold_text(t))) if t else () for t in b.column("_text").to_pylist())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, own, said in zip(pdf[key], of_row(pdf), pdf["_told"] if told else pdf[key], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            rows, keys = [], b.column(key).to_pylist()
+            for k, own, said in zip(keys, of_row(b), b.column("_told").to_pylist() if told else keys, strict=True):
                 if told and len(own):
                     said = fold_text(said or "")
                     own = [i for i in own if i in accepted and not any(t in said for t in accepted[i])]
                 rows += [(k, i) for i in own]
-            yield pd.DataFrame(rows, columns=[key, "entry_idx"])
+            yield found_rows(rows, [b.schema.field(key).type, pa.int32()], [key, "entry_idx"])
 
-    return src.mapInPandas(run, f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int")
+    return src.mapInArrow(run, f"`{key}` {dict(chunks.dtypes)[key]}, entry_idx int")
 
 
 def scoped(chunks: DataFrame, entries: DataFrame) -> bool:
@@ -293,7 +304,8 @@ def live_in_scopes(chunks: DataFrame, entries: DataFrame, key: str, text: str, p
     own = dealt(e.where("scope is not null")).withColumn("salt", every("salts")).withColumn("part", every("parts"))
     own = own.withColumn("source_terms", F.filter("source_terms", lambda t: F.pmod(F.xxhash64(t), F.col("parts")) == F.col("part")))
     both = own.unionByName(texts, allowMissingColumns=True).withColumn("is_text", F.col("entry_idx").isNull())
-    both = both.repartition("scope", "part", "salt").sortWithinPartitions("scope", "part", "salt", "is_text")
+    # as many tasks as shuffles have: the search takes longer than the bytes tell
+    both = both.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scope", "part", "salt").sortWithinPartitions("scope", "part", "salt", "is_text")
     names = ("scope", "part", "salt", "is_text", "_key", "_text", "_told", "entry_idx", "source_terms", "accepted", "payload")
     # at most BROADCAST_BYTES
     shared = [] if wide else [(r["entry_idx"], r["source_terms"], r["accepted"], r["payload"]) for r in common.collect()]
@@ -302,7 +314,7 @@ def live_in_scopes(chunks: DataFrame, entries: DataFrame, key: str, text: str, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_all, known = _entries_of(shared)
         here, own_rows, of_own = None, [], None
-        for batch in batches:
+        for batch in pieces(batches):
             keys, out = [], []
             for scope, part, salt, is_text, k, t, said, *entry in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
                 if (scope, part, salt) != here:
@@ -350,7 +362,7 @@ def _entries_of(rows: list) -> tuple[Callable[[str], list[tuple[int, int, int]]]
     """The search for the terms of (entry_idx, source_terms, accepted, payload) rows; accepted folded forms and payload by entry."""
     terms = sorted({(i, f) for i, own, _, _ in rows for f in map(fold_text, filter(None, own or ())) if f})
     rules = {i: (None if a is None else [fold_text(x or "") for x in a], p) for i, _, a, p in rows}
-    return _finder(pd.DataFrame(terms, columns=["entry_idx", "term"])), rules
+    return _finder(terms), rules
 
 
 def live_entries(spans: DataFrame, key: str) -> DataFrame:

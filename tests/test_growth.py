@@ -193,3 +193,24 @@ def test_notes_are_read_from_the_files_once(spark, tmp_path, monkeypatch):
     made = catalogue.queries()["word_notes"](spark, str(tmp_path))
     assert plans == [1] and "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()  # what was read is written down
     assert {(r["kind"], r["original"]) for r in made.collect()} == {("footnote", "NHi there"), ("comment", "CHi there"), ("body", "user‹FN1›")}
+
+
+def test_texts_are_python_objects_a_slice_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from termloom.operators import glossary, guards
+
+    class Rows:  # what the task does
+        mapInArrow = lambda self, run, _: run
+        schema = type("S", (), {"fields": []})
+
+    given = pa.RecordBatch.from_pydict({"prompt": ["p"] * 1000, "masked": [str(k) for k in range(1000)], "budget": [30] * 1000})
+    sizes = []
+    made = guards.called(Rows(), lambda prompts, texts, budgets, t, seed: sizes.append(len(texts)) or texts, "answer")(iter([given]))
+    assert [x for b in made for x in b.column("answer").to_pylist()] == [str(k) for k in range(1000)] and max(sizes) == guards.CALL_ROWS
+    assert [b.num_rows for b in glossary.pieces(iter([given.slice(0, 0), given, given]))] == [glossary.TEXT_ROWS] * 2
+    chunks = spark.range(30).selectExpr("id", "string(id % 10) AS scope", "concat('term', id % 10, ' other') AS text")
+    entries = spark.range(10).selectExpr("string(id) AS scope", "int(1) AS entry_idx", "array(concat('term', id)) AS source_terms", "'t' AS target", "array() AS target_alts", "'require' AS kind")
+    found = glossary.live_terms(chunks, entries, "id", "text")
+    assert re.search(r"Exchange hashpartitioning\(scope#\d+, part#\d+, salt#\d+, 4\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r["id"] for r in found.collect()) == list(range(30))
