@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 #: White space of any kind, as (?U)\\s has it.
 WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_RUNS = re.compile(f"[{WHITE}]{{2,}}|[{WHITE.replace(' ', '')}]")  # a lone blank, most of them, is no match
 RUN = "struct<text:string,bold:boolean,italic:boolean,size:double>"
 
 
@@ -48,9 +50,9 @@ def fold_each(texts: pd.Series) -> pd.Series:
     return texts.map(lambda ts: [None if t is None else fold_text(t) for t in ts], na_action="ignore")
 
 
-def presence_fold(text: Column) -> Column:
-    """Folded and white-space-normalised, for presence tests across line breaks."""
-    return fold(squash(text))
+def presence_fold(s: str) -> str:
+    """Folded and white-space-normalised (as squash has it), for presence tests across line breaks."""
+    return fold_text(_RUNS.sub(" ", s).strip(" "))
 
 
 def stripped_length(run: Column) -> Column:

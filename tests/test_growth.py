@@ -214,3 +214,39 @@ def test_texts_are_python_objects_a_slice_at_a_time(spark, monkeypatch):
     found = glossary.live_terms(chunks, entries, "id", "text")
     assert re.search(r"Exchange hashpartitioning\(scope#\d+, part#\d+, salt#\d+, 4\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
     assert sorted(r["id"] for r in found.collect()) == list(range(30))
+
+
+def test_presence_folds_and_tests_in_one_pass(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from termloom.functions.text import presence_fold, squash
+
+    docs = [(1, "La CORTE\n\nNotícia de la corte"), (None, "corte"), (2, "Corte"), (2, "x dé"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "Corte dé x"), (2, "noticia y LA"), (1, "a"), (3, "1"), (None, "corte")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made = catalogue.queries()["presence_filter"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and plan.count("Join") == 1  # a task runs one Python worker
+    assert "_text" not in plan.split("MapInArrow")[0]  # texts are not dealt
+    got = {(r["doc_id"], r["pos"]): r["variants"] for r in made.collect()}
+    assert got == {(1, 0): ["Corte"], (1, 2): ["noticia", "LA"], (None, 0): ["Corte"], (2, 0): ["Corte", "dé", "x"]}
+
+    segments = spark.createDataFrame([("s", " la Corte \n\n SUPREMA"), ("t", None)], "s string, t string")
+    groups = [("s", 1, "group", ["corte  suprema", None, "", "CORTE\x1cSUPREMA", "x"]), ("s", 2, "keep", ["x"]), ("s", 3, "keep", []), ("s", 4, "keep", None), ("t", 1, "keep", ["x"])]
+    parsed = spark.createDataFrame(groups, "s string, ord int, kind string, variants array<string>")
+    assert [tuple(r) for r in terms.present_only(parsed, segments, "s", "t").collect()] == [("s", 1, "group", ["corte  suprema", ""])]
+    texts = [" \n a  b\u0085 c\u3000", " ", " ", "", "a\x1cÉ  ﬁ "]
+    assert [presence_fold(t) for t in texts] == ["a b c", "", "", "", "a\x1ce fi"]
+    assert [r[0].lower() for r in spark.createDataFrame([(t,) for t in texts[:4]], "t string").select(squash(F.col("t"))).collect()] == [presence_fold(t) for t in texts[:4]]
+
+    class Rows:  # what the task does
+        dtypes = [("k", "bigint")]
+        select = groupBy = lambda self, *_: self
+        mapInArrow = lambda self, run, _: setattr(self, "run", run) or self
+        agg = lambda self, _: self.run
+
+    monkeypatch.setattr(terms, "FOUND_VARIANTS", 3)
+    given = pa.RecordBatch.from_pydict({"k": range(11), "_text": ["b a"] * 10 + ["-"], "variants": [["a", "x", "B"]] * 11})
+    sent = list(terms.present_beside(Rows(), ["k"], "t")(iter([given.slice(0, 0), given])))
+    assert [b.num_rows for b in sent] == [2] * 5
+    assert [tuple(r.values()) for b in sent for r in b.to_pylist()] == [(k, [0, 2], ["a", "B"]) for k in range(10)]
