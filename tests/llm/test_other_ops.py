@@ -160,6 +160,61 @@ def test_buckets_lose_no_link(spark, monkeypatch, leaders):
     assert {(r["node"], r["component"]) for r in got} == {(7, 7), (9, 7), (30, 7), (12, 12), (40, 12), (41, 41), (42, 41)}
 
 
+def test_payloads_are_shipped_in_slices(spark, monkeypatch):
+    """However many pairs there are, payloads shuffled at once are about as many as images, and no link is lost."""
+    pics = image_copies.render(np.random.default_rng(5).standard_normal((12, 64)), np.zeros(12, dtype=int))
+    images = [*pics, *(p * 0.8 + 20 for p in pics)]
+    packed = [image_copies._packed(*image_copies.describe(p[None])[0]) for p in images]
+    payload = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(packed)], "id long, packed binary")
+    edges = [(i, j) for j in range(len(images)) for i in range(j)]
+    sizes, compared = [], image_copies.compared
+
+    def counted(edges, payload, others):
+        sizes.append((edges.count(), payload.count() + others.count()))
+        return compared(edges, payload, others)
+
+    monkeypatch.setattr(image_copies, "compared", counted)
+    monkeypatch.setattr(image_copies, "SHIPPED", 1)
+    got = {(r["src"], r["dst"]) for r in image_copies.verified(spark.createDataFrame(edges, "src long, dst long"), payload).collect()}
+    assert got == {(i, j) for i, j in edges if image_copies.are_copies(packed[i], packed[j])} and len(got) >= 12
+    assert sum(n for n, _ in sizes) == len(edges) > 11 * len(images)
+    assert max(a + b for a, b in sizes) <= 3 * len(images)  # so few images fall unevenly into groups
+
+
+def test_tables_and_pairs_in_turn(spark, monkeypatch):
+    """Tables shuffled one by one, and pairs listed a few at a time, give the components of all rows at once."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(b), int(i)) for b, i in zip(rng.integers(0, 12, 70), rng.integers(0, 40, 70), strict=True)})
+    truth = [(i, j) for j in range(40) for i in range(j) if (i + j) % 3 == 0]
+    listed = []
+
+    def verified(edges, payload):
+        listed.append(edges.count())
+        return edges.join(edges.sparkSession.createDataFrame(truth, "a long, b long"), (edges["src"] == F.col("a")) & (edges["dst"] == F.col("b"))).select("src", "dst")
+
+    monkeypatch.setattr(image_copies, "verified", verified)
+    monkeypatch.setattr(image_copies, "PAIRS", 100)
+    tables = [spark.createDataFrame([r for r in rows if r[0] % 4 == t], "bucket long, id long") for t in range(4)]
+    got = {r["node"]: r["component"] for r in image_copies.linked_components(tables[0], None, *tables[1:]).collect()}
+    share = {(i, j) for a, i in rows for b, j in rows if a == b and i < j}
+    linked = [x for x in truth if x in share]
+    assert got == roots(linked, {x for pair in linked for x in pair})
+    assert len(listed) > 3
+
+
+def test_large_tables_of_images(spark, monkeypatch):
+    """Pictures taken in parts, a Hamming table at a time, give what they give at once."""
+    base = np.random.default_rng(9).standard_normal((10, 64))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, base[:6]]))] + [(30, None), (None, [1.0] * 64)]
+    pics = image_copies.pictures(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    once = sorted(map(str, image_copies.image_copies(pics, "vec_id", "image").collect()))
+    asked, keys = [], image_copies.linked_components
+    monkeypatch.setattr(image_copies, "linked_components", lambda rows, payload, *more: asked.append(len(more)) or keys(rows, payload, *more))
+    monkeypatch.setattr(image_copies, "SHIPPED", 1)
+    assert sorted(map(str, image_copies.image_copies(pics, "vec_id", "image").collect())) == once
+    assert asked == [3] and sum("kept=False" in x for x in once) >= 5
+
+
 def test_textures_are_smoothed_twice():
     f = image_copies.textures(8)
     near = [np.corrcoef(a[:, 1:].ravel(), a[:, :-1].ravel())[0, 1] for a in f]
